@@ -95,6 +95,15 @@ def panel_split(windows: DataFrame, n_periods: Column | int, length: int = 8,
         "split", F.when(F.col("pos") < n_train, F.lit("train")).otherwise(F.lit("valid")))
 
 
+def panel_split_by_series(windows: DataFrame, valid: int = 4, key: str = "series") -> DataFrame:
+    """W6 for ragged panels: the last ``valid`` windows of each series
+    validate, the earlier ones train (equal to ``panel_split`` when every
+    series covers the whole calendar)."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    return windows.withColumn(
+        "split", F.when(F.col("pos") < n - valid, F.lit("train")).otherwise(F.lit("valid")))
+
+
 def last_values(df: DataFrame, y: str = "density", n: int = 8,
                 key: str = "series", order: str = "t") -> DataFrame:
     """The last ``n`` values of each series, ``k`` = 1 for the latest."""
