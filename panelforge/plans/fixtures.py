@@ -126,12 +126,29 @@ def build_panel(spark: SparkSession, sf_dir: str, cutoff: dt.date = CUTOFF,
                      F.coalesce(F.col("active"), F.lit(0)).cast("int").alias("active"),
                      (F.coalesce(F.col("active"), F.lit(0)).cast("double") * F.lit(100.0)
                       / F.col("customers")).alias("density")))
-    panel = panel.repartition("series").sortWithinPartitions("series", "t")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    panel = panel.repartition(n_parts, "series").sortWithinPartitions("series", "t")
     if checkpoint:
-        panel = panel.checkpoint(eager=True)
+        panel = checkpoint_clustered(panel)
     return panel
 
 
+def checkpoint_clustered(df: DataFrame) -> DataFrame:
+    """Checkpoint a DataFrame keeping its hash partitioning and sort order.
+
+    A checkpoint taken under adaptive execution reports an unknown
+    partitioning, so every later per-series window would shuffle again.
+    Taking it with AQE off (only for this panel-sized job) keeps
+    ``hashpartitioning(series)`` and the (series, t) order on the result."""
+    spark = df.sparkSession
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memoized dense panel for ``sf_dir`` in this session."""
     return _memoized(spark, ("panel", sf_dir), lambda: build_panel(spark, sf_dir))
