@@ -105,10 +105,11 @@ def panel_split_by_series(windows: DataFrame, valid: int = 4, key: str = "series
 
 
 def last_values(df: DataFrame, y: str = "density", n: int = 8,
-                key: str = "series", order: str = "t") -> DataFrame:
-    """The last ``n`` values of each series, ``k`` = 1 for the latest."""
+                key: str = "series", order: str = "t", extra: tuple[str, ...] = ()) -> DataFrame:
+    """The last ``n`` values of each series, ``k`` = 1 for the latest
+    (``extra`` columns are carried along)."""
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return (df.select(key, order, y, F.row_number().over(w).alias("k"))
+    return (df.select(key, *extra, order, y, F.row_number().over(w).alias("k"))
             .where(F.col("k") <= n))
 
 

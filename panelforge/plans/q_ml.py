@@ -1 +1,234 @@
-"""Queries (placeholder)."""
+"""Machine-learning and forecasting queries (slices 5-6).
+
+``split_hash``, ``standardize`` and ``assemble_features`` have SQL oracles;
+model fits do not (the driver records rows-only checks, and the tests check
+their properties).  Grids are small here; the reference's full grids are an
+option of the operators (``full=True``).
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import forecast as fc
+from ..operators import joins
+from ..operators import ml
+from ..operators import windows as win
+from ..session import scratch_path
+from ..sources.tables import read_table
+from . import fixtures as fx
+from .catalog import register, rounded
+from .q_evaluation import baseline_predictions
+
+LINE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+LINE_LABEL = "l_extendedprice"
+ATTR_FEATURES = ["x", "customers", "avg_acctbal", "share_automobile", "share_building",
+                 "share_furniture", "share_household", "share_machinery", "suppliers"]
+SEQ_LEN = 8
+VALID = 4
+
+
+def _lineitem(spark, sf_dir) -> DataFrame:
+    return read_table(spark, sf_dir, "lineitem",
+                      ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                       "l_discount", "l_tax"])
+
+
+@register("split_hash", """
+SELECT l_orderkey, l_linenumber,
+       CAST(CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 8)) AS BIGINT) % 100 AS INTEGER) AS bucket,
+       CASE WHEN CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 70
+            THEN 'train' ELSE 'test' END AS split
+FROM lineitem
+""")
+def q_split_hash(spark, sf_dir):
+    li = _lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber")
+    return ml.hash_split(li, ["l_orderkey", "l_linenumber"])
+
+
+@register("standardize", """
+SELECT l_orderkey, l_linenumber,
+       round((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER (), 6) AS z_l_quantity,
+       round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER (), 6) AS z_l_extendedprice,
+       round((l_discount - avg(l_discount) OVER ()) / stddev_samp(l_discount) OVER (), 6) AS z_l_discount,
+       round((l_tax - avg(l_tax) OVER ()) / stddev_samp(l_tax) OVER (), 6) AS z_l_tax
+FROM lineitem
+""")
+def q_standardize(spark, sf_dir):
+    li = _lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_quantity",
+                                         "l_extendedprice", "l_discount", "l_tax")
+    out = ml.standardize(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return rounded(out.drop("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+
+
+def _attr_panel(spark, sf_dir) -> DataFrame:
+    joined = joins.panel_attr_join(fx.panel(spark, sf_dir), fx.attributes(spark, sf_dir))
+    return joined.withColumn("x", ((F.year("t") - 2019) * 12 + F.month("t") - 8).cast("int"))
+
+
+@register("assemble_features", """
+SELECT p.series, p.t, CAST(5 AS INTEGER) AS n_features,
+       CAST((year(p.t) - 2019) * 12 + month(p.t) - 8 AS DOUBLE) AS f_x,
+       CAST(a.customers AS DOUBLE) AS f_customers, round(a.avg_acctbal, 6) AS f_avg_acctbal,
+       CAST(a.suppliers AS DOUBLE) AS f_suppliers, round(a.avg_supp_bal, 6) AS f_avg_supp_bal
+FROM panel p JOIN attrs a ON p.series = a.series
+WHERE a.avg_supp_bal IS NOT NULL
+""")
+def q_assemble_features(spark, sf_dir):
+    feats = ["x", "customers", "avg_acctbal", "suppliers", "avg_supp_bal"]
+    data = ml.assemble(_attr_panel(spark, sf_dir), feats, "features", "skip")
+    arr = F.col("_a")
+    out = data.select("series", "t", ml.vector_to_array("features").alias("_a"))
+    return rounded(out.select("series", "t", F.size(arr).alias("n_features"),
+                              *[arr[i].alias(f"f_{c}") for i, c in enumerate(feats)]))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    data = _attr_panel(spark, sf_dir)
+    return rounded(ml.feature_importance(data, ATTR_FEATURES, "density", num_trees=100,
+                                         max_depth=4, seed=42, layout_keys=["series", "t"]))
+
+
+@register("pca_scree")
+def q_pca_scree(spark, sf_dir):
+    emb = ml.embeddings_vectors(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+    return rounded(ml.pca_scree(emb, vector_col="vec", k=9))
+
+
+def _line_cv(spark, sf_dir, estimator, grid) -> DataFrame:
+    li = _lineitem(spark, sf_dir)
+    return rounded(ml.cross_validate(li, estimator, grid, LINE_FEATURES, LINE_LABEL, folds=2,
+                                     seed=123, split_keys=["l_orderkey", "l_linenumber"]))
+
+
+@register("rf_cv")
+def q_rf_cv(spark, sf_dir):
+    rf = RandomForestRegressor(labelCol=LINE_LABEL, featuresCol="features", seed=42)
+    return _line_cv(spark, sf_dir, rf, ml.rf_grid(rf))
+
+
+@register("gbt_cv")
+def q_gbt_cv(spark, sf_dir):
+    gbt = GBTRegressor(labelCol=LINE_LABEL, featuresCol="features", seed=42)
+    return _line_cv(spark, sf_dir, gbt, ml.gbt_grid(gbt))
+
+
+# ------------------------------------------------------- panel forecasting
+def _windows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(train windows, valid windows) of the zero-repaired panel: a window
+    trains when its target precedes the hold-out periods."""
+    repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
+    hold = fc.holdout_calendar(repaired, VALID)
+    seq = win.sequence_windows(repaired, length=SEQ_LEN)
+    seq = seq.join(repaired.select("series", "t", "state"), ["series", "t"])
+    seq = ml.flatten_windows(seq, SEQ_LEN)
+    marked = seq.join(F.broadcast(hold), "t", "left")
+    train = marked.where(F.col("h").isNull()).drop("h")
+    valid = marked.where(F.col("h").isNotNull())
+    return train, valid
+
+
+def _recursive_state(spark, sf_dir) -> DataFrame:
+    """Per series, the last SEQ_LEN values before the hold-out (oldest first)."""
+    repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
+    hold = fc.holdout_calendar(repaired, VALID)
+    hist = repaired.join(F.broadcast(hold), "t", "left_anti")
+    last = win.last_values(hist, "density", SEQ_LEN, extra=("state",))
+    return last.groupBy("series").agg(
+        F.first("state").alias("state"),
+        F.transform(F.sort_array(F.collect_list(F.struct("t", "density"))),
+                    lambda s: s["density"]).alias("x")).where(F.size("x") == SEQ_LEN)
+
+
+@register("gbt_early_stop")
+def q_gbt_early_stop(spark, sf_dir):
+    train, valid = _windows(spark, sf_dir)
+    feats = ml.lag_features(SEQ_LEN)
+    model, data = ml.gbt_early_stop(train.select(*feats, "target", "series", "t"),
+                                    valid.select(*feats, "target", "series", "t"), feats, "target",
+                                    max_iter=100, tol=0.01, layout_keys=["series", "t"])
+    scored = model.transform(data.where("_is_valid"))
+    rmse = F.sqrt(F.avg((F.col("target") - F.col("prediction")) ** 2))
+    return rounded(scored.agg(F.lit(model.getNumTrees).alias("trees_used"),
+                              F.lit(100).alias("max_iter"), rmse.alias("valid_rmse")))
+
+
+@register("huber_ar")
+def q_huber_ar(spark, sf_dir):
+    train, _ = _windows(spark, sf_dir)
+    model = ml.pooled_ar_pipeline("huber", SEQ_LEN).fit(train)
+    rows = ml.huber_coefficients(model, SEQ_LEN)
+    return rounded(spark.createDataFrame(rows, "term string, coefficient double"))
+
+
+@register("param_search")
+def q_param_search(spark, sf_dir):
+    train, valid = _windows(spark, sf_dir)
+    feats = ml.lag_features(SEQ_LEN)
+    tr = ml.assemble(train, feats)
+    va = ml.assemble(valid, feats)
+    lr = LinearRegression(labelCol="target", featuresCol="features", loss="huber")
+    space = {"regParam": ("log", 1e-6, 1e-2), "epsilon": [1.35, 2.0, 3.0],
+             "fitIntercept": [True, False]}
+    return rounded(ml.random_search(tr, va, lr, space, n_trials=6, label="target", seed=1999))
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    train, valid = _windows(spark, sf_dir)
+    model = ml.pooled_ar_pipeline("linear", SEQ_LEN).fit(train)
+    path = scratch_path(spark, "model")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    a = model.transform(valid).select("series", "t", F.col("prediction").alias("p_fit"))
+    b = loaded.transform(valid).select("series", "t", F.col("prediction").alias("p_loaded"))
+    return rounded(a.join(b, ["series", "t"]).withColumn(
+        "same", F.abs(F.col("p_fit") - F.col("p_loaded")) < 1e-9))
+
+
+POOLED_KINDS = ("gbt", "rf", "huber")
+
+
+def pooled_predictions(spark, sf_dir, kinds=POOLED_KINDS, recursive: bool = True) -> DataFrame:
+    """Recursive 4-step forecasts of each pooled model, in the prediction
+    layout of ``operators.forecast`` (with the actual ``y``)."""
+    train, valid = _windows(spark, sf_dir)
+    state = _recursive_state(spark, sf_dir)
+    repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
+    hold = fc.holdout_calendar(repaired, VALID)
+    actual = repaired.select("series", "t", F.col("density").alias("y"))
+    out = None
+    for kind in kinds:
+        model = ml.pooled_ar_pipeline(kind, SEQ_LEN).fit(train)
+        if recursive:
+            pred = ml.recursive_forecast(model, state, hold, VALID, SEQ_LEN, f"pooled_{kind}")
+        else:
+            pred = model.transform(valid).select(
+                F.lit(f"pooled_{kind}").alias("model"), "series", "state", "t", "h",
+                F.col("prediction").alias("p"))
+        pred = pred.join(actual, ["series", "t"]).select(*fc.PRED_COLS)
+        out = pred if out is None else out.unionByName(pred)
+    return out
+
+
+@register("pooled_ar_forecast")
+def q_pooled_ar_forecast(spark, sf_dir):
+    """One-step-ahead (teacher-forced) predictions of the pooled GBT model."""
+    return rounded(pooled_predictions(spark, sf_dir, ("gbt",), recursive=False))
+
+
+@register("backtest_recursive")
+def q_backtest_recursive(spark, sf_dir):
+    return rounded(pooled_predictions(spark, sf_dir, ("gbt",), recursive=True))
+
+
+@register("backtest_select_all")
+def q_backtest_select_all(spark, sf_dir):
+    preds = baseline_predictions(spark, sf_dir).unionByName(pooled_predictions(spark, sf_dir))
+    order = ["persistence", "seasonal_naive"] + [f"pooled_{k}" for k in POOLED_KINDS]
+    out = fc.select_model(preds, order)
+    return rounded(out.withColumn("rank", F.col("rank").cast("int")))

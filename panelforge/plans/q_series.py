@@ -1 +1,27 @@
-"""Queries (placeholder)."""
+"""Per-series statistics without a SQL form (slice 4): PACF, ADF, dashboard.
+
+These run a small numpy routine per series inside ``applyInPandas``; their
+correctness is checked against numpy references and a size/power
+simulation in the tests, and the driver records a rows-only check.
+"""
+
+from __future__ import annotations
+
+from ..operators import timeseries as ts
+from . import fixtures as fx
+from .catalog import register, rounded
+
+
+@register("pacf_by_series")
+def q_pacf_by_series(spark, sf_dir):
+    return rounded(ts.pacf(fx.panel(spark, sf_dir)))
+
+
+@register("adf_by_series")
+def q_adf_by_series(spark, sf_dir):
+    return rounded(ts.adf(fx.panel(spark, sf_dir)))
+
+
+@register("ts_summary")
+def q_ts_summary(spark, sf_dir):
+    return rounded(ts.ts_summary(fx.panel(spark, sf_dir)))
