@@ -288,22 +288,22 @@ def recursive_forecast(model: PipelineModel, state: DataFrame, horizons: DataFra
     ``state``: one row per series with ``series, state, x`` (the last
     ``length`` known values, oldest first).  ``horizons``: (t, h) of the
     held-out periods.  Each step scores all series at once with
-    ``model.transform`` and shifts the prediction into ``x``; the plan is
-    checkpointed every ``checkpoint_every`` steps to bound its depth."""
-    cur = state.select("series", "state", "x")
-    outs = []
+    ``model.transform``, shifts the prediction into ``x`` and appends it to
+    ``preds``; the predictions are exploded once at the end, so each step is
+    computed once.  The plan is checkpointed every ``checkpoint_every`` steps
+    to bound its depth."""
+    cur = state.select("series", "state", "x", F.array().cast("array<double>").alias("preds"))
     for h in range(1, steps + 1):
         scored = model.transform(flatten_windows(cur, length))
-        step = scored.select("series", "state", "x", F.col("prediction").alias("p"))
-        outs.append(step.select("series", "state", F.lit(h).alias("h"), "p"))
-        cur = step.select("series", "state",
-                          F.slice(F.concat("x", F.array("p")), 2, length).alias("x"))
-        if checkpoint_every and h % checkpoint_every == 0:
+        cur = scored.select(
+            "series", "state",
+            F.slice(F.concat("x", F.array("prediction")), 2, length).alias("x"),
+            F.concat("preds", F.array("prediction")).alias("preds"))
+        if checkpoint_every and h % checkpoint_every == 0 and h < steps:
             cur = cur.checkpoint(eager=True)
-    preds = outs[0]
-    for o in outs[1:]:
-        preds = preds.unionByName(o)
-    return (preds.join(F.broadcast(horizons), "h")
+    long = cur.select("series", "state", F.posexplode("preds").alias("_i", "p"))
+    return (long.withColumn("h", (F.col("_i") + 1).cast("int"))
+            .join(F.broadcast(horizons), "h")
             .select(F.lit(model_name).alias("model"), "series", "state", "t", "h", "p"))
 
 
