@@ -53,14 +53,32 @@ def assemble(df: DataFrame, features: list[str], out: str = "features",
 
 
 def standardize(df: DataFrame, features: list[str], prefix: str = "z_") -> DataFrame:
-    """M2: (x - mean) / sample std per column via ``StandardScaler``
-    (constant column -> 0).  Rows with NULL features are dropped by the
-    assembler.  Returns the input columns plus ``z_<name>`` columns."""
+    """M2: (x - mean) / sample std per column; a constant column gives 0 and
+    rows with a NULL feature are dropped (as the assembler does).
+
+    The 2 x d moments come from one aggregate (partial aggregation on every
+    task, 2d numbers to the driver); the scaling itself is a plain codegen
+    projection, so no vector is built per row."""
+    data = df.na.drop("any", subset=features)
+    stats = data.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
+                     *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(features)]).first()
+    cols = []
+    for i, c in enumerate(features):
+        m, sd = stats[f"m{i}"], stats[f"s{i}"]
+        if m is None or sd is None or sd == 0 or sd != sd:
+            z = F.lit(0.0)
+        else:
+            z = (F.col(c) - F.lit(m)) / F.lit(sd)
+        cols.append(z.alias(prefix + c))
+    return data.select(*df.columns, *cols)
+
+
+def standard_scaler(df: DataFrame, features: list[str], out: str = "scaled"):
+    """M2 as a fitted Spark ML stage (for pipelines): assembler + scaler with
+    mean and std; returns (model, transformed DataFrame)."""
     data = assemble(df, features, "_f")
-    model = StandardScaler(inputCol="_f", outputCol="_z", withMean=True, withStd=True).fit(data)
-    out = model.transform(data).withColumn("_za", vector_to_array("_z"))
-    return out.select(*df.columns, *[F.col("_za")[i].alias(prefix + c)
-                                     for i, c in enumerate(features)])
+    model = StandardScaler(inputCol="_f", outputCol=out, withMean=True, withStd=True).fit(data)
+    return model, model.transform(data)
 
 
 def feature_columns_checked(features: list[str], label: str) -> list[str]:

@@ -3,12 +3,11 @@
 The reference ran these on one pandas series at a time.  Here each takes a
 long ``(series, t, y)`` DataFrame and answers for all series in one job:
 
-* decomposition and ACF are pure window/aggregate plans on the panel's
-  series partitioning (no shuffle, no Python);
-* PACF (Durbin-Levinson) and ADF (OLS with lag search) run per series in
-  ``applyInPandas``.  Each group is one series of at most #calendar-months
-  rows (PACF: at most ``max_lags`` rows), so the group size is bounded by the
-  calendar and never by data volume.
+* decomposition, ACF and PACF are pure window/aggregate/higher-order-function
+  plans on the panel's series partitioning (no shuffle, no Python);
+* ADF (OLS with a lag search) runs per series in ``applyInPandas``.  Each
+  group is one series of at most #calendar-months rows, so the group size is
+  bounded by the calendar and never by data volume.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,15 +52,14 @@ def decompose(df: DataFrame, y: str = "density", period: int = 12, key: str = "s
         F.when(ok, F.col("y") - F.col("trend") - seasonal).alias("resid"))
 
 
-def acf(df: DataFrame, y: str = "density", max_lags: int = 24, key: str = "series",
-        order: str = "t") -> DataFrame:
-    """Autocorrelation per series for k = 1..K with K = min(ceil(10
-    log10 n), n // 2, max_lags), biased autocovariance, and the 95 % Bartlett
-    band ``1.96 * sqrt((1 + 2 * sum_{i<k} r_i^2) / n)``.
+def acf_arrays(df: DataFrame, y: str = "density", max_lags: int = 24, key: str = "series",
+               order: str = "t") -> DataFrame:
+    """Per series: ``n``, the lag count ``K = min(ceil(10 log10 n), n // 2,
+    max_lags)`` and ``r`` = [r_1 .. r_max_lags] (biased autocovariance ratio).
 
     One window spec gives all lags in one sort; the lag products are summed
     by one grouped aggregate per series (a wide row, no row explosion before
-    the aggregate) and unpivoted afterwards."""
+    the aggregate)."""
     w = series_window(key, order)
     centred = df.select(key, order,
                         (F.col(y) - F.avg(y).over(Window.partitionBy(key))).alias("_c"))
@@ -73,62 +71,59 @@ def acf(df: DataFrame, y: str = "density", max_lags: int = 24, key: str = "serie
     n = F.col("n")
     kmax = F.least(F.ceil(F.lit(10.0) * F.log10(n)).cast("int"), (n / 2).cast("int"),
                    F.lit(max_lags))
-    long = sums.select(key, "n", kmax.alias("_K"), F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.try_divide(F.col(f"_s{k}"), F.col("_s0")).alias("acf"))
-        for k in range(1, max_lags + 1)])).alias("_e"))
-    long = long.where(F.col("_e.k") <= F.col("_K")).select(key, "n", "_e.k", "_e.acf")
+    r = F.array(*[F.try_divide(F.col(f"_s{k}"), F.col("_s0")) for k in range(1, max_lags + 1)])
+    return sums.select(key, "n", kmax.alias("K"), r.alias("r"))
+
+
+def acf(df: DataFrame, y: str = "density", max_lags: int = 24, key: str = "series",
+        order: str = "t") -> DataFrame:
+    """Autocorrelation per series for k = 1..K with the 95 % Bartlett
+    band ``1.96 * sqrt((1 + 2 * sum_{i<k} r_i^2) / n)``; one row per
+    (series, k)."""
+    a = acf_arrays(df, y, max_lags, key, order)
+    long = (a.select(key, "n", "K", F.posexplode("r").alias("_i", "acf"))
+            .where(F.col("_i") < F.col("K"))
+            .select(key, "n", (F.col("_i") + 1).cast("int").alias("k"), "acf"))
     prior = F.sum(F.col("acf") * F.col("acf")).over(
         Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
-    band = F.lit(1.96) * F.sqrt((F.lit(1.0) + F.lit(2.0) * F.coalesce(prior, F.lit(0.0))) / n)
+    band = F.lit(1.96) * F.sqrt((F.lit(1.0) + F.lit(2.0) * F.coalesce(prior, F.lit(0.0))) / F.col("n"))
     return long.select(key, "k", "acf", band.alias("band"), "n")
 
 
-PACF_SCHEMA = T.StructType([
-    T.StructField("series", T.IntegerType()), T.StructField("k", T.IntegerType()),
-    T.StructField("pacf", T.DoubleType()), T.StructField("band", T.DoubleType()),
-    T.StructField("n", T.LongType())])
-
-
-def _durbin_levinson(r: np.ndarray) -> np.ndarray:
-    """Partial autocorrelations phi_kk for k = 1..len(r) from r_1..r_K."""
-    K = len(r)
-    out = np.full(K, np.nan)
-    phi = np.zeros(0)
-    v = 1.0
-    for k in range(1, K + 1):
-        rk = r[k - 1]
-        num = rk - (phi @ r[:k - 1][::-1] if k > 1 else 0.0)
-        if v <= 0 or not np.isfinite(num):
-            break
-        a = num / v
-        phi = np.append(phi - a * phi[::-1], a)
-        v = v * (1.0 - a * a)
-        out[k - 1] = a
-    return out
-
-
-def _pacf_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("k")
-    n = int(pdf["n"].iloc[0])
-    kmax = max(n // 2 - 1, 0)
-    pdf = pdf[pdf["k"] <= kmax]
-    r = pdf["acf"].to_numpy(dtype=float)
-    vals = _durbin_levinson(r) if len(r) else np.zeros(0)
-    return pd.DataFrame({"series": pdf["series"].to_numpy(), "k": pdf["k"].to_numpy(),
-                         "pacf": vals, "band": np.full(len(vals), 1.96 / math.sqrt(n)),
-                         "n": np.full(len(vals), n, dtype="int64")})
+def durbin_levinson(r: Column, kp: Column) -> Column:
+    """Partial autocorrelations phi_kk, k = 1..kp, from the autocorrelation
+    array ``r`` (r_1 first), as a Spark higher-order-function expression.
+
+    The fold keeps (phi_{k-1}, v_{k-1}, out); each step computes
+    phi_kk = (r_k - sum_j phi_{k-1,j} r_{k-j}) / v_{k-1}, updates
+    phi_{k,j} = phi_{k-1,j} - phi_kk phi_{k-1,k-j} and v_k = v_{k-1}(1 - phi_kk^2)."""
+    def step(acc, k):
+        dot = F.aggregate(F.zip_with(acc["phi"], F.reverse(F.slice(r, F.lit(1), k - 1)),
+                                     lambda x, z: x * z), F.lit(0.0), lambda s, z: s + z)
+        a = F.try_divide(F.element_at(r, k) - dot, acc["v"])
+        phi = F.concat(F.zip_with(acc["phi"], F.reverse(acc["phi"]), lambda p, q: p - a * q),
+                       F.array(a))
+        return F.struct(phi.alias("phi"), (acc["v"] * (F.lit(1.0) - a * a)).alias("v"),
+                        F.concat(acc["out"], F.array(a)).alias("out"))
+
+    empty = F.array().cast("array<double>")
+    init = F.struct(empty.alias("phi"), F.lit(1.0).alias("v"), empty.alias("out"))
+    ks = F.when(kp >= 1, F.sequence(F.lit(1), kp)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(ks, init, step)["out"]
 
 
 def pacf(df: DataFrame, y: str = "density", max_lags: int = 24, key: str = "series",
          order: str = "t") -> DataFrame:
     """T4: partial autocorrelation (Yule-Walker with the biased
-    autocovariance, via Durbin-Levinson on the ACF), k <= n // 2 - 1, band
-    ``1.96 / sqrt(n)``.  The per-series Python step sees only the K ACF
-    values of one series."""
-    a = acf(df, y, max_lags, key, order).withColumnRenamed(key, "series")
-    a = a.withColumn("series", F.col("series").cast("int"))
-    out = a.groupBy("series").applyInPandas(_pacf_group, PACF_SCHEMA)
-    return out.withColumn("pacf", F.when(~F.isnan("pacf"), F.col("pacf")))
+    autocovariance, solved by Durbin-Levinson on the ACF array) for
+    k <= min(K, n // 2 - 1), band ``1.96 / sqrt(n)``.  Runs entirely in
+    JVM expressions on one short array per series."""
+    a = acf_arrays(df, y, max_lags, key, order)
+    kp = F.least(F.col("K"), (F.col("n") / 2).cast("int") - 1)
+    out = a.select(key, "n", durbin_levinson(F.col("r"), kp).alias("_p"))
+    return (out.select(key, "n", F.posexplode("_p").alias("_i", "pacf"))
+            .select(F.col(key).cast("int").alias(key), (F.col("_i") + 1).cast("int").alias("k"),
+                    "pacf", (F.lit(1.96) / F.sqrt(F.col("n"))).alias("band"), "n"))
 
 
 # ---------------------------------------------------------------- ADF

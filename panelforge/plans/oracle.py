@@ -66,5 +66,14 @@ ncal AS (SELECT count(*) AS n_periods FROM cal)
 
 
 def with_fixtures(body: str) -> str:
-    return "WITH " + FIXTURE_CTES.strip() + ",\n" + body.strip().removeprefix("WITH").strip() \
-        if body.strip().upper().startswith("WITH") else "WITH " + FIXTURE_CTES.strip() + "\n" + body
+    """Prefix ``body`` with the fixture CTEs.  A body that starts with its
+    own ``WITH`` (or ``WITH RECURSIVE``) has its CTEs appended after them."""
+    text = body.strip()
+    head = "WITH "
+    upper = text.upper()
+    if upper.startswith("WITH RECURSIVE"):
+        head, text = "WITH RECURSIVE ", text[len("WITH RECURSIVE"):].strip()
+        return head + FIXTURE_CTES.strip() + ",\n" + text
+    if upper.startswith("WITH"):
+        return head + FIXTURE_CTES.strip() + ",\n" + text[len("WITH"):].strip()
+    return head + FIXTURE_CTES.strip() + "\n" + text

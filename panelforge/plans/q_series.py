@@ -1,7 +1,8 @@
-"""Per-series statistics without a SQL form (slice 4): PACF, ADF, dashboard.
+"""Per-series statistics (slice 4): PACF, ADF, dashboard.
 
-These run a small numpy routine per series inside ``applyInPandas``; their
-correctness is checked against numpy references and a size/power
+PACF runs as JVM expressions and has a DuckDB oracle (Durbin-Levinson as a
+recursive CTE).  ADF runs a small numpy routine per series inside
+``applyInPandas``; it is checked against numpy OLS and a size/power
 simulation in the tests, and the driver records a rows-only check.
 """
 
@@ -10,9 +11,35 @@ from __future__ import annotations
 from ..operators import timeseries as ts
 from . import fixtures as fx
 from .catalog import register, rounded
+from .q_windows import ACF_R_SQL
+
+PACF_SQL = "WITH RECURSIVE " + ACF_R_SQL + """,
+arr AS (
+  SELECT series, any_value(n) AS n,
+         least(any_value(kk), CAST(any_value(n) // 2 AS INTEGER) - 1) AS kp,
+         list(acf ORDER BY k) AS r
+  FROM r GROUP BY series
+),
+dl AS (
+  SELECT series, n, kp, r, 0 AS k, CAST([] AS DOUBLE[]) AS phi, CAST(1.0 AS DOUBLE) AS v,
+         CAST(NULL AS DOUBLE) AS pk
+  FROM arr WHERE kp >= 1
+  UNION ALL
+  SELECT d.series, d.n, d.kp, d.r, d.k + 1,
+         list_concat(list_transform(range(1, d.k + 1),
+                                    lambda j: d.phi[j] - x.a * d.phi[d.k + 1 - j]), [x.a]),
+         d.v * (1 - x.a * x.a), x.a
+  FROM dl d, LATERAL (
+    SELECT (d.r[d.k + 1] - coalesce(list_sum(list_transform(range(1, d.k + 1),
+                                    lambda j: d.phi[j] * d.r[d.k + 1 - j])), 0.0)) / d.v AS a) x
+  WHERE d.k < d.kp
+)
+SELECT series, CAST(k AS INTEGER) AS k, round(pk, 6) AS pacf, round(1.96 / sqrt(n), 6) AS band, n
+FROM dl WHERE k >= 1
+"""
 
 
-@register("pacf_by_series")
+@register("pacf_by_series", PACF_SQL)
 def q_pacf_by_series(spark, sf_dir):
     return rounded(ts.pacf(fx.panel(spark, sf_dir)))
 

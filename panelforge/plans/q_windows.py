@@ -154,8 +154,8 @@ def q_decompose_seasonal_diff(spark, sf_dir):
     return rounded(ts.decompose(win.seasonal_diff(fx.panel(spark, sf_dir)), y="d12"))
 
 
-@register("acf_by_series", """
-WITH c AS (
+ACF_R_SQL = """
+c AS (
   SELECT series, t, density - avg(density) OVER (PARTITION BY series) AS c,
          row_number() OVER (PARTITION BY series ORDER BY t) AS rn
   FROM panel
@@ -172,6 +172,10 @@ r AS (
          least(CAST(ceil(10.0 * log10(s0.n)) AS INTEGER), CAST(s0.n // 2 AS INTEGER), 24) AS kk
   FROM s0 JOIN prod ON prod.series = s0.series
 )
+"""
+
+
+@register("acf_by_series", "WITH " + ACF_R_SQL + """
 SELECT series, k, round(acf, 6) AS acf,
        round(1.96 * sqrt((1.0 + 2.0 * coalesce(sum(acf * acf) OVER (PARTITION BY series ORDER BY k
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / n), 6) AS band, n

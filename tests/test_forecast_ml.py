@@ -123,3 +123,13 @@ def test_recursive_forecast_shifts_state(spark):
     assert len(out) == 12
     # a linear trend is continued step by step
     assert np.allclose([r.p for r in out if r.series == 0], [30.0, 31.0, 32.0, 33.0], atol=1e-3)
+
+
+def test_standardize_matches_ml_scaler(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)) * [3, 7] + [1, -2])]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    native = {r.id: (r.z_a, r.z_b) for r in ml.standardize(df, ["a", "b"]).collect()}
+    _, scaled = ml.standard_scaler(df, ["a", "b"])
+    for r in scaled.select("id", "scaled").collect():
+        assert np.allclose(native[r.id], r.scaled.toArray(), atol=1e-10)
