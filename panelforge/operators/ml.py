@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import (OneHotEncoder, PCA, StandardScaler, StringIndexer,
-                                VectorAssembler)
+                                TargetEncoder, VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -274,14 +274,22 @@ def flatten_windows(windows: DataFrame, length: int = 8) -> DataFrame:
 
 
 def pooled_ar_pipeline(kind: str = "gbt", length: int = 8, seed: int = 42,
-                       group_col: str = "state") -> Pipeline:
+                       group_col: str = "state", series_col: str | None = None) -> Pipeline:
     """One model for all series.  Inputs: the last ``length``
-    values plus a one-hot group; target: the next value.  ``kind``: 'gbt',
-    'rf', 'linear' or 'huber' (Huber loss, L2 penalty)."""
-    idx = StringIndexer(inputCol=group_col, outputCol="_g_idx", handleInvalid="keep",
-                        stringOrderType="alphabetAsc")
-    ohe = OneHotEncoder(inputCols=["_g_idx"], outputCols=["_g_vec"], handleInvalid="keep")
-    asm = VectorAssembler(inputCols=lag_features(length) + ["_g_vec"], outputCol="features")
+    values, a one-hot group and, with ``series_col``, a target-encoded series
+    id (the counterpart of a learned series embedding); target: the next
+    value.  ``kind``: 'gbt', 'rf', 'linear' or 'huber' (Huber loss, L2)."""
+    stages = [StringIndexer(inputCol=group_col, outputCol="_g_idx", handleInvalid="keep",
+                            stringOrderType="alphabetAsc"),
+              OneHotEncoder(inputCols=["_g_idx"], outputCols=["_g_vec"], handleInvalid="keep")]
+    inputs = lag_features(length) + ["_g_vec"]
+    if series_col:
+        stages += [StringIndexer(inputCol=series_col, outputCol="_s_idx", handleInvalid="keep",
+                                 stringOrderType="alphabetAsc"),
+                   TargetEncoder(inputCols=["_s_idx"], outputCols=["_s_te"], labelCol="target",
+                                 targetType="continuous", handleInvalid="keep", smoothing=1.0)]
+        inputs.append("_s_te")
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     if kind == "gbt":
         reg = GBTRegressor(labelCol="target", featuresCol="features", maxIter=30, maxDepth=4,
                            seed=seed)
@@ -295,7 +303,7 @@ def pooled_ar_pipeline(kind: str = "gbt", length: int = 8, seed: int = 42,
                                regParam=1e-4, elasticNetParam=0.0)
     else:
         raise ValueError(kind)
-    return Pipeline(stages=[idx, ohe, asm, reg])
+    return Pipeline(stages=stages + [reg])
 
 
 def recursive_forecast(model: PipelineModel, state: DataFrame, horizons: DataFrame,
@@ -304,17 +312,19 @@ def recursive_forecast(model: PipelineModel, state: DataFrame, horizons: DataFra
     """Multi-step forecast by feeding predictions back.
 
     ``state``: one row per series with ``series, state, x`` (the last
-    ``length`` known values, oldest first).  ``horizons``: (t, h) of the
+    ``length`` known values, oldest first) and any id columns the model
+    reads (carried along unchanged).  ``horizons``: (t, h) of the
     held-out periods.  Each step scores all series at once with
     ``model.transform``, shifts the prediction into ``x`` and appends it to
     ``preds``; the predictions are exploded once at the end, so each step is
     computed once.  The plan is checkpointed every ``checkpoint_every`` steps
     to bound its depth."""
-    cur = state.select("series", "state", "x", F.array().cast("array<double>").alias("preds"))
+    keep = [c for c in state.columns if c not in ("x",)]
+    cur = state.select(*keep, "x", F.array().cast("array<double>").alias("preds"))
     for h in range(1, steps + 1):
         scored = model.transform(flatten_windows(cur, length))
         cur = scored.select(
-            "series", "state",
+            *keep,
             F.slice(F.concat("x", F.array("prediction")), 2, length).alias("x"),
             F.concat("preds", F.array("prediction")).alias("preds"))
         if checkpoint_every and h % checkpoint_every == 0 and h < steps:

@@ -127,7 +127,7 @@ def _windows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
         hold = fc.holdout_calendar(repaired, VALID)
         seq = win.sequence_windows(repaired, length=SEQ_LEN)
-        seq = seq.join(repaired.select("series", "t", "state"), ["series", "t"])
+        seq = seq.join(repaired.select("series", "t", "county", "state"), ["series", "t"])
         seq = ml.flatten_windows(seq, SEQ_LEN)
         return seq.join(F.broadcast(hold), "t", "left").checkpoint(eager=True)
     marked = fx._memoized(spark, ("windows", sf_dir), build)
@@ -141,9 +141,9 @@ def _recursive_state(spark, sf_dir) -> DataFrame:
     repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
     hold = fc.holdout_calendar(repaired, VALID)
     hist = repaired.join(F.broadcast(hold), "t", "left_anti")
-    last = win.last_values(hist, "density", SEQ_LEN, extra=("state",))
+    last = win.last_values(hist, "density", SEQ_LEN, extra=("county", "state"))
     return last.groupBy("series").agg(
-        F.first("state").alias("state"),
+        F.first("county").alias("county"), F.first("state").alias("state"),
         F.transform(F.sort_array(F.collect_list(F.struct("t", "density"))),
                     lambda s: s["density"]).alias("x")).where(F.size("x") == SEQ_LEN)
 
@@ -207,7 +207,7 @@ def pooled_predictions(spark, sf_dir, kinds=POOLED_KINDS, recursive: bool = True
     actual = repaired.select("series", "t", F.col("density").alias("y"))
     out = None
     for kind in kinds:
-        model = ml.pooled_ar_pipeline(kind, SEQ_LEN).fit(train)
+        model = ml.pooled_ar_pipeline(kind, SEQ_LEN, series_col="county").fit(train)
         if recursive:
             pred = ml.recursive_forecast(model, state, hold, VALID, SEQ_LEN, f"pooled_{kind}")
         else:

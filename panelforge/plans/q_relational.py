@@ -186,6 +186,17 @@ def q_append_panel(spark, sf_dir):
     return rounded(joins.append_panel(fx.panel(spark, sf_dir), fx.late_panel(spark, sf_dir)))
 
 
+@register("stream_append", """
+SELECT series, county, state, t, active, round(density, 6) AS density FROM panel
+UNION ALL
+SELECT series, county, state, t, CAST(NULL AS INTEGER) AS active, round(density, 6) AS density
+FROM panel WHERE t IN (SELECT t FROM cal ORDER BY t DESC LIMIT 4)
+""")
+def q_stream_append(spark, sf_dir):
+    from ..streaming import stream_append
+    return rounded(stream_append(spark, fx.panel(spark, sf_dir), fx.late_panel(spark, sf_dir)))
+
+
 @register("dense_ids", """
 SELECT county, CAST(row_number() OVER (ORDER BY county) - 1 AS INTEGER) AS county_id
 FROM (SELECT DISTINCT county FROM panel WHERE county IS NOT NULL) d
