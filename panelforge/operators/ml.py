@@ -15,8 +15,8 @@ import math
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
-from pyspark.ml.feature import (OneHotEncoder, PCA, StandardScaler, StringIndexer,
-                                TargetEncoder, VectorAssembler)
+from pyspark.ml.feature import (OneHotEncoder, PCA, SQLTransformer, StandardScaler,
+                                StringIndexer, TargetEncoder, VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -287,8 +287,11 @@ def pooled_ar_pipeline(kind: str = "gbt", length: int = 8, seed: int = 42,
         stages += [StringIndexer(inputCol=series_col, outputCol="_s_idx", handleInvalid="keep",
                                  stringOrderType="alphabetAsc"),
                    TargetEncoder(inputCols=["_s_idx"], outputCols=["_s_te"], labelCol="target",
-                                 targetType="continuous", handleInvalid="keep", smoothing=1.0)]
-        inputs.append("_s_te")
+                                 targetType="continuous", handleInvalid="keep", smoothing=1.0),
+                   # the encoder keeps the index's nominal metadata; a derived
+                   # column drops it so trees treat the encoding as continuous
+                   SQLTransformer(statement="SELECT *, _s_te * 1.0 AS _s_te_num FROM __THIS__")]
+        inputs.append("_s_te_num")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     if kind == "gbt":
         reg = GBTRegressor(labelCol="target", featuresCol="features", maxIter=30, maxDepth=4,

@@ -133,3 +133,18 @@ def test_standardize_matches_ml_scaler(spark):
     _, scaled = ml.standard_scaler(df, ["a", "b"])
     for r in scaled.select("id", "scaled").collect():
         assert np.allclose(native[r.id], r.scaled.toArray(), atol=1e-10)
+
+
+def test_target_encoding_is_continuous_for_trees(spark):
+    # encoded values far above the number of series must not be read as categories
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in range(4):
+        for i in range(20):
+            x = [float(100 + 50 * s + v) for v in rng.normal(size=8)]
+            rows.append((s, f"c{s}", "S" if s < 2 else "T", x, float(100 + 50 * s)))
+    df = spark.createDataFrame(rows, "series int, county string, state string, x array<double>, target double")
+    w = ml.flatten_windows(df)
+    for kind in ("rf", "gbt"):
+        model = ml.pooled_ar_pipeline(kind, series_col="county").fit(w)
+        assert model.transform(w).count() == 80
