@@ -1,10 +1,16 @@
 """Keyed joins, lookups and appends (inventory J1-J7, U1, U4).
 
 Joins never rely on row positions: every alignment is an equi-join on
-explicit keys.  A side is broadcast only after its row count has been checked
-against a bound (``bounded_broadcast``); otherwise the join is left to the
-planner, where AQE still switches to a broadcast at run time when the side
-turns out small, and splits skewed partitions of a sort-merge join.
+explicit keys.  Broadcast decisions:
+
+* sides whose size is bounded by construction (k top keys, V hold-out
+  periods, the months of a calendar) are broadcast explicitly by the caller;
+* a side the caller wants broadcast under an explicit row bound goes through
+  ``bounded_broadcast`` (a LIMIT-count check, shuffle join above the bound);
+* everything else is left to the planner: Spark broadcasts a side only when
+  its size estimate is under ``spark.sql.autoBroadcastJoinThreshold`` and
+  AQE re-checks with runtime sizes, otherwise it is a sort-merge join whose
+  skewed partitions AQE splits.
 """
 
 from __future__ import annotations
@@ -35,9 +41,14 @@ def harmonize_key(df: DataFrame, key: str, dtype: str = "int") -> DataFrame:
 
 
 def panel_attr_join(panel: DataFrame, attrs: DataFrame, key: str = "series",
-                    how: str = "inner", attr_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Attributes (one row per key) joined onto the panel (N rows per key)."""
-    return panel.join(bounded_broadcast(attrs, attr_max_rows), key, how)
+                    how: str = "inner", attr_max_rows: int | None = None) -> DataFrame:
+    """Attributes (one row per key) joined onto the panel (N rows per key).
+
+    The attribute table grows with the number of series, so by default the
+    planner picks the strategy from its size; ``attr_max_rows`` forces a
+    broadcast under that checked bound."""
+    side = bounded_broadcast(attrs, attr_max_rows) if attr_max_rows else attrs
+    return panel.join(side, key, how)
 
 
 def common_keys(left: DataFrame, right: DataFrame, key: str = "series") -> DataFrame:
@@ -56,16 +67,17 @@ def dense_ids(df: DataFrame, key: str, id_col: str) -> DataFrame:
     """Dense 0-based ids for the distinct values of ``key``, in sorted
     key order (first-seen order is not stable in a distributed scan).
 
-    The distinct key table is aggregated first, so the global ordering window
-    only ever sees one row per key."""
+    The keys are de-duplicated first (partial aggregation), then ranked by a
+    distributed global rank (no single-task window)."""
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     return global_rank(keys, key, id_col)
 
 
 def lookup_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Replace a key by its dense id.  Rows whose key is missing from the
-    dictionary are dropped here and reported by ``missing_keys``."""
-    return df.join(bounded_broadcast(ids), key, "inner")
+    """Attach the dense id of a key (one id row per key, so no
+    duplication).  Rows whose key is missing from the dictionary are dropped
+    here and reported by ``missing_keys``."""
+    return df.join(ids, key, "inner")
 
 
 def missing_keys(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -29,7 +29,6 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import bounded_broadcast
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_table
 
@@ -82,7 +81,7 @@ def series_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series, county, state: nation joined to region (both fixed-size dims)."""
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    return (nation.join(bounded_broadcast(region), nation.n_regionkey == region.r_regionkey, "left")
+    return (nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
             .select(F.col("n_nationkey").cast("int").alias("series"),
                     F.col("n_name").alias("county"), F.col("r_name").alias("state")))
 
@@ -97,10 +96,9 @@ def build_panel(spark: SparkSession, sf_dir: str, cutoff: dt.date = CUTOFF,
                 checkpoint: bool = True) -> DataFrame:
     """The dense panel ``series, county, state, t, active, density``."""
     ensure_checkpoint_dir(spark)
-    counts = order_month_counts(spark, sf_dir, cutoff)
-    if checkpoint:
-        # small: at most #nations x #months rows; reused for bounds and cells
-        counts = counts.checkpoint(eager=True)
+    # small (at most #nations x #months rows) and read three times below:
+    # bounds, calendar and cells; kept in memory until the panel is written
+    counts = order_month_counts(spark, sf_dir, cutoff).persist()
     bounds = counts.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
     if bounds is None or bounds["lo"] is None:
         lo = hi = None
@@ -130,6 +128,7 @@ def build_panel(spark: SparkSession, sf_dir: str, cutoff: dt.date = CUTOFF,
     panel = panel.repartition(n_parts, "series").sortWithinPartitions("series", "t")
     if checkpoint:
         panel = checkpoint_clustered(panel)
+        counts.unpersist()
     return panel
 
 

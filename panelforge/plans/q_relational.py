@@ -224,7 +224,7 @@ def q_future_state_ids(spark, sf_dir):
     fut = fx.future_panel(spark, sf_dir)
     state_of = p.groupBy("series").agg(F.min_by("state", "t").alias("state"))
     ids = joins.dense_ids(p, "state", "state_id")
-    with_state = fut.join(joins.bounded_broadcast(state_of), "series")
+    with_state = fut.join(state_of, "series")
     return joins.lookup_ids(with_state, ids, "state").select("series", "t", "state", "state_id")
 
 
