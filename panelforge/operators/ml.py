@@ -156,7 +156,10 @@ def cross_validate(df: DataFrame, estimator, grid, features: list[str], label: s
     features = feature_columns_checked(features, label)
     keys = split_keys or features
     data = hash_split(assemble(df, features), keys, train_pct)
-    train = stable_layout(data.where(F.col("split") == "train"), keys)
+    # A file scan already has a deterministic layout and row order, so the
+    # seeded fold assignment is reproducible without re-shuffling the table;
+    # pass a shuffled input through ``stable_layout`` first.
+    train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
     evaluator = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator,

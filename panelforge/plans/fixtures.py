@@ -39,6 +39,7 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 LATE_MONTHS = 4                       # months of the late-arriving panel
 FUTURE_MONTHS = 4                     # months of the future panel
 CALENDAR_BROADCAST_MAX = 100_000      # months; far above any real calendar
+PANEL_ROWS_PER_PARTITION = 250_000    # target panel partition size (rows)
 
 _lock = threading.Lock()
 _memo: dict[tuple, DataFrame] = {}
@@ -124,7 +125,7 @@ def build_panel(spark: SparkSession, sf_dir: str, cutoff: dt.date = CUTOFF,
                      F.coalesce(F.col("active"), F.lit(0)).cast("int").alias("active"),
                      (F.coalesce(F.col("active"), F.lit(0)).cast("double") * F.lit(100.0)
                       / F.col("customers")).alias("density")))
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = panel_partitions(spark, sf_dir, n_months if lo is not None else 0)
     panel = panel.repartition(n_parts, "series").sortWithinPartitions("series", "t")
     if checkpoint:
         panel = checkpoint_clustered(panel)
@@ -132,6 +133,17 @@ def build_panel(spark: SparkSession, sf_dir: str, cutoff: dt.date = CUTOFF,
     return panel
 
 
+def panel_partitions(spark: SparkSession, sf_dir: str, n_months: int) -> int:
+    """Partition count of the panel: its exact row count (#series x #months)
+    divided by the target partition size, capped by the shuffle partition
+    setting.  Keeps downstream per-series tasks full instead of launching
+    thousands of empty ones for a small panel on a large cluster."""
+    n_series = series_dim(spark, sf_dir).count()
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = -(-max(n_series * n_months, 1) // PANEL_ROWS_PER_PARTITION)
+    return max(1, min(cap, want))
+
+
 def checkpoint_clustered(df: DataFrame) -> DataFrame:
     """Checkpoint a DataFrame keeping its hash partitioning and sort order.
 
