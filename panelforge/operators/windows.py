@@ -22,22 +22,22 @@ def series_window(key: str | list[str] = "series", order: str = "t"):
 
 def global_rank(df: DataFrame, key: str, out: str, partitions: int | None = None) -> DataFrame:
     """0-based rank of every row of ``df`` by ``key`` without a single-task
-    window: rows are range-partitioned and sorted, each partition ranks its
-    rows locally and adds the row count of all earlier partitions (a table
-    with one row per partition)."""
+    window: rows are range-partitioned and sorted; the position inside a
+    partition comes from ``monotonically_increasing_id`` (partition id in
+    the upper bits, row index in the lower 33), and the row counts of all
+    earlier partitions are added from a table with one row per partition."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, F.col(key))
-              .withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn(
-        "_lr", F.row_number().over(Window.partitionBy("_pid").orderBy(F.col(key))) - 1)
+    ranged = (df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key)
+              .select("*", F.spark_partition_id().alias("_pid"),
+                      F.monotonically_increasing_id().alias("_mid")))
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
         "_pid",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid")
-            .select(*[c for c in df.columns],
-                    (F.col("_off") + F.col("_lr")).cast("int").alias(out)))
+    return (ranged.join(F.broadcast(offsets), "_pid")
+            .select(*[c for c in df.columns], (F.col("_off") + local).cast("int").alias(out)))
 
 
 def rolling_stats(df: DataFrame, y: str = "density", window: int = 12,
@@ -69,18 +69,20 @@ def seasonal_diff(df: DataFrame, y: str = "density", period: int = 12,
 
 
 def sequence_windows(df: DataFrame, y: str = "density", length: int = 8,
-                     key: str = "series", order: str = "t") -> DataFrame:
+                     key: str = "series", order: str = "t", extra: tuple[str, ...] = ()) -> DataFrame:
     """Sliding windows of ``length + 1`` consecutive rows, step 1.
 
     ``x`` holds the first ``length`` values, ``target`` the last; the row's
     ``t`` is the target's period and ``pos`` the 0-based window number.
-    Windows that are incomplete, or that contain a NULL, are dropped."""
+    Windows that are incomplete, or that contain a NULL, are dropped.
+    ``extra`` columns of the target row are carried along (no join back)."""
     w = series_window(key, order)
     frame = w.rowsBetween(-length, 0)
     seq = F.collect_list(y).over(frame)
-    out = (df.select(key, order, seq.alias("_s"), (F.row_number().over(w) - 1 - length).alias("pos"))
+    out = (df.select(key, *extra, order, seq.alias("_s"),
+                     (F.row_number().over(w) - 1 - length).alias("pos"))
            .where(F.size("_s") == length + 1)
-           .select(key, order, "pos", F.slice("_s", 1, length).alias("x"),
+           .select(key, *extra, order, "pos", F.slice("_s", 1, length).alias("x"),
                    F.element_at("_s", -1).alias("target")))
     return out
 

@@ -126,8 +126,7 @@ def _windows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     def build():
         repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
         hold = fc.holdout_calendar(repaired, VALID)
-        seq = win.sequence_windows(repaired, length=SEQ_LEN)
-        seq = seq.join(repaired.select("series", "t", "county", "state"), ["series", "t"])
+        seq = win.sequence_windows(repaired, length=SEQ_LEN, extra=("county", "state"))
         seq = ml.flatten_windows(seq, SEQ_LEN)
         return seq.join(F.broadcast(hold), "t", "left").checkpoint(eager=True)
     marked = fx._memoized(spark, ("windows", sf_dir), build)
@@ -210,11 +209,12 @@ def pooled_predictions(spark, sf_dir, kinds=POOLED_KINDS, recursive: bool = True
         model = ml.pooled_ar_pipeline(kind, SEQ_LEN, series_col="county").fit(train)
         if recursive:
             pred = ml.recursive_forecast(model, state, hold, VALID, SEQ_LEN, f"pooled_{kind}")
+            pred = pred.join(actual, ["series", "t"]).select(*fc.PRED_COLS)
         else:
+            # one step ahead: the window's own target is the actual value
             pred = model.transform(valid).select(
                 F.lit(f"pooled_{kind}").alias("model"), "series", "state", "t", "h",
-                F.col("prediction").alias("p"))
-        pred = pred.join(actual, ["series", "t"]).select(*fc.PRED_COLS)
+                F.col("target").alias("y"), F.col("prediction").alias("p"))
         out = pred if out is None else out.unionByName(pred)
     return out
 

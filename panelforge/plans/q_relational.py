@@ -157,6 +157,17 @@ def q_csv_roundtrip(spark, sf_dir):
     return rounded(read_csv(spark, path, PANEL_SCHEMA))
 
 
+@register("csv_read_cast", f"SELECT {PANEL_COLS} FROM panel")
+def q_csv_read_cast(spark, sf_dir):
+    """S1 + P5: CSV read with a header and no schema (every column a string,
+    the reference's load path), then one bulk ``try_cast`` projection."""
+    path = write_csv(fx.typed_text(spark, sf_dir), scratch_path(spark, "csv-strings"))
+    text = read_csv(spark, path, schema=None)
+    typed = cols.cast_columns(text, ["series", "county", "state", "t", "active", "density"],
+                              ["int", "string", "string", "date", "int", "double"])
+    return rounded(typed)
+
+
 @register("date_parts", """
 SELECT series, t, CAST(t AS DATE) AS date, CAST(year(t) AS INTEGER) AS year,
        CAST(month(t) AS INTEGER) AS month, CAST(day(t) AS INTEGER) AS day

@@ -114,7 +114,7 @@ def test_smape_evaluator_and_random_search(spark):
 def test_recursive_forecast_shifts_state(spark):
     vals = {s: [float(i + s) for i in range(30)] for s in range(3)}
     p = _panel(spark, vals)
-    w = ml.flatten_windows(win.sequence_windows(p).join(p.select("series", "t", "state"), ["series", "t"]))
+    w = ml.flatten_windows(win.sequence_windows(p, extra=("state",)))
     model = ml.pooled_ar_pipeline("linear").fit(w)
     state = spark.createDataFrame([(s, "S", [float(i + s) for i in range(22, 30)]) for s in range(3)],
                                   "series int, state string, x array<double>")
