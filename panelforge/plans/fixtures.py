@@ -29,7 +29,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, session_key
 from ..sources.tables import read_table
 
 # Fixed values of the fixture definition.
@@ -46,7 +46,7 @@ _memo: dict[tuple, DataFrame] = {}
 
 
 def _memoized(spark: SparkSession, key: tuple, build) -> DataFrame:
-    full = (spark.sparkContext.applicationId, id(spark)) + key
+    full = session_key(spark) + key
     with _lock:
         df = _memo.get(full)
     if df is None:
