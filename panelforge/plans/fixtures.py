@@ -62,7 +62,9 @@ def clear_memo() -> None:
 
 
 def _ntz(day: dt.date):
-    return F.lit(dt.datetime(day.year, day.month, day.day)).cast("timestamp_ntz")
+    """Midnight of ``day`` as a TIMESTAMP_NTZ literal (built from text, so no
+    time-zone conversion applies)."""
+    return F.lit(f"{day.isoformat()} 00:00:00").cast("timestamp_ntz")
 
 
 def order_month_counts(spark: SparkSession, sf_dir: str, cutoff: dt.date = CUTOFF) -> DataFrame:
