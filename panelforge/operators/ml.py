@@ -192,17 +192,20 @@ def gbt_grid(gbt: GBTRegressor, full: bool = False):
 
 
 def gbt_early_stop(train: DataFrame, valid: DataFrame, features: list[str], label: str,
-                   max_iter: int = 100, tol: float = 0.01, seed: int = 42,
-                   layout_keys: list[str] | None = None) -> tuple:
+                   max_iter: int = 100, tol: float = 0.001, step_size: float = 0.3,
+                   seed: int = 42, layout_keys: list[str] | None = None) -> tuple:
     """GBT with a validation indicator: boosting stops once the
-    validation error stops improving by ``tol``.  Returns (model, data)."""
+    validation error improves by less than ``tol`` (relative).  Spark fits
+    the first tree at full weight, so a small step needs a small tolerance
+    to let later trees count.  Returns (model, data)."""
     data = (train.withColumn("_is_valid", F.lit(False))
             .unionByName(valid.withColumn("_is_valid", F.lit(True))))
     data = assemble(data, features)
     if layout_keys:
         data = stable_layout(data, layout_keys)
     gbt = GBTRegressor(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=3,
-                       validationIndicatorCol="_is_valid", validationTol=tol, seed=seed)
+                       stepSize=step_size, validationIndicatorCol="_is_valid",
+                       validationTol=tol, seed=seed)
     return gbt.fit(data), data
 
 

@@ -153,7 +153,7 @@ def q_gbt_early_stop(spark, sf_dir):
     feats = ml.lag_features(SEQ_LEN)
     model, data = ml.gbt_early_stop(train.select(*feats, "target", "series", "t"),
                                     valid.select(*feats, "target", "series", "t"), feats, "target",
-                                    max_iter=100, tol=0.01, layout_keys=["series", "t"])
+                                    max_iter=100, tol=0.001, layout_keys=["series", "t"])
     scored = model.transform(data.where("_is_valid"))
     rmse = F.sqrt(F.avg((F.col("target") - F.col("prediction")) ** 2))
     return rounded(scored.agg(F.lit(model.getNumTrees).alias("trees_used"),
