@@ -89,10 +89,16 @@ def feature_columns_checked(features: list[str], label: str) -> list[str]:
 
 # ------------------------------------------------------- importance and PCA
 def feature_importance(df: DataFrame, features: list[str], label: str, num_trees: int = 100,
-                       max_depth: int = 4, seed: int = 42, layout_keys: list[str] | None = None
-                       ) -> DataFrame:
-    """M4: random-forest importances by feature name, descending (sum 1)."""
+                       max_depth: int = 4, seed: int = 42, layout_keys: list[str] | None = None,
+                       train_pct: int | None = None) -> DataFrame:
+    """M4: random-forest importances by feature name, descending (sum 1).
+    With ``train_pct`` the forest is fit on that share of rows (hash split
+    on ``layout_keys``), as the reference fits on a 70 % split."""
     features = feature_columns_checked(features, label)
+    if train_pct is not None:
+        if not layout_keys:
+            raise ValueError("train_pct needs layout_keys to hash")
+        df = hash_split(df, layout_keys, train_pct).where(F.col("split") == "train")
     data = assemble(df.select(*(layout_keys or []), *features, label), features)
     if layout_keys:
         data = stable_layout(data, layout_keys)

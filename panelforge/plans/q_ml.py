@@ -90,7 +90,8 @@ def q_assemble_features(spark, sf_dir):
 def q_feature_importance(spark, sf_dir):
     data = _attr_panel(spark, sf_dir)
     return rounded(ml.feature_importance(data, ATTR_FEATURES, "density", num_trees=100,
-                                         max_depth=4, seed=42, layout_keys=["series", "t"]))
+                                         max_depth=4, seed=42, layout_keys=["series", "t"],
+                                         train_pct=70))
 
 
 @register("pca_scree")

@@ -52,3 +52,22 @@ def q_adf_by_series(spark, sf_dir):
 @register("ts_summary")
 def q_ts_summary(spark, sf_dir):
     return rounded(ts.ts_summary(fx.panel(spark, sf_dir)))
+
+
+@register("mean_series_stationarity")
+def q_mean_series_stationarity(spark, sf_dir):
+    """T1/T8 as the reference's stationarity check runs: rolling mean/std
+    and the ADF test of the mean series, as one long table."""
+    from pyspark.sql import functions as F
+
+    from ..operators.aggregates import mean_series
+    from ..operators.windows import rolling_stats
+    ms = mean_series(fx.panel(spark, sf_dir))
+    roll = rolling_stats(ms).select(
+        "series", F.lit("rolling").alias("part"), "t", "density", "roll_mean", "roll_std",
+        F.lit(None).cast("double").alias("adf_stat"), F.lit(None).cast("double").alias("p_value"))
+    test = ts.adf(ms).select(
+        "series", F.lit("adf").alias("part"), F.lit(None).cast("date").alias("t"),
+        F.lit(None).cast("double").alias("density"), F.lit(None).cast("double").alias("roll_mean"),
+        F.lit(None).cast("double").alias("roll_std"), "adf_stat", "p_value")
+    return rounded(roll.unionByName(test))

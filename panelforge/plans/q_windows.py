@@ -139,6 +139,18 @@ FROM s3
 """
 
 
+MEAN_SQL = """
+ms AS (SELECT CAST(0 AS INTEGER) AS series, t, avg(density) AS density FROM panel GROUP BY t)
+"""
+
+
+@register("mean_series_decompose", "WITH " + MEAN_SQL + "," + _decompose_sql("ms", "density"))
+def q_mean_series_decompose(spark, sf_dir):
+    """T5 as the reference calls it: on the mean series over all series."""
+    from ..operators.aggregates import mean_series
+    return rounded(ts.decompose(mean_series(fx.panel(spark, sf_dir))))
+
+
 @register("decompose_level", "WITH " + _decompose_sql("panel", "density"))
 def q_decompose_level(spark, sf_dir):
     return rounded(ts.decompose(fx.panel(spark, sf_dir)))
