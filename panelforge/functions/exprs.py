@@ -11,6 +11,8 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import constants as C
+
 ColumnOrName = Column | str
 
 
@@ -51,7 +53,8 @@ def series_label(county: ColumnOrName, state: ColumnOrName) -> Column:
     return F.concat(_col(county), F.lit(", "), _col(state))
 
 
-def month_index(t: ColumnOrName, year0: int = 2019, month0: int = 8) -> Column:
+def month_index(t: ColumnOrName, year0: int = C.MONTH_INDEX_ORIGIN[0],
+                month0: int = C.MONTH_INDEX_ORIGIN[1]) -> Column:
     """Whole months since (year0, month0); 0 at that month."""
     t = _col(t)
     return (F.year(t) - F.lit(year0)) * 12 + F.month(t) - F.lit(month0)
@@ -64,7 +67,7 @@ def smape_term(y: ColumnOrName, p: ColumnOrName, strict: bool = False) -> Column
     row scored 0 when the denominator is 0.  ``strict=True`` uses ``|y|`` in
     the denominator, which keeps the range for negative targets."""
     y, p = _col(y).cast("double"), _col(p).cast("double")
-    den = ((F.abs(y) if strict else y) + F.abs(p)) / F.lit(200.0)
+    den = ((F.abs(y) if strict else y) + F.abs(p)) / F.lit(C.SMAPE_SCALE)
     return F.when(den == 0, F.lit(0.0)).otherwise(F.abs(y - p) / den)
 
 

@@ -14,6 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions.exprs import days_from, pairwise_corr, series_label, sign_colour
 
 DEFAULT_ANCHOR = dt.date(2000, 1, 1)
@@ -49,7 +50,8 @@ def series_time_corr(panel: DataFrame, y: str = "density", t: str = "t",
                     "state", "correlation"))
 
 
-def ranked_corr_series(panel: DataFrame, n: int, least: bool = False, y: str = "density",
+def ranked_corr_series(panel: DataFrame, n: int = C.TOP_N_SERIES, least: bool = False,
+                       y: str = "density",
                        t: str = "t", anchor: dt.date = DEFAULT_ANCHOR) -> DataFrame:
     """O3: the ``n`` series with the largest (``least=False``) or smallest
     correlation, returned with their whole history for plotting.

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions.exprs import month_index
 
 
@@ -41,8 +42,9 @@ def date_parts(df: DataFrame, text_col: str, fmt: str = "yyyy-MM-dd", out: str =
     return df.withColumns({out: d, "year": F.year(d), "month": F.month(d), "day": F.dayofmonth(d)})
 
 
-def add_month_index(df: DataFrame, t: str = "t", out: str = "x", year0: int = 2019,
-                    month0: int = 8) -> DataFrame:
+def add_month_index(df: DataFrame, t: str = "t", out: str = "x",
+                    year0: int = C.MONTH_INDEX_ORIGIN[0],
+                    month0: int = C.MONTH_INDEX_ORIGIN[1]) -> DataFrame:
     """whole months since (year0, month0)."""
     return df.withColumn(out, month_index(t, year0, month0))
 

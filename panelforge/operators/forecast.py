@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions.exprs import smape_term
 
 PRED_COLS = ["model", "series", "state", "t", "h", "y", "p"]
 
 
-def holdout_calendar(panel: DataFrame, valid: int = 4, t: str = "t") -> DataFrame:
+def holdout_calendar(panel: DataFrame, valid: int = C.VALIDATION_LENGTH, t: str = "t") -> DataFrame:
     """(t, h) for the last ``valid`` periods; h = 1 for the earliest of them.
     Ranks the distinct periods only (bounded by the calendar length)."""
     dates = panel.select(t).distinct()
@@ -32,7 +33,8 @@ def _mark_holdout(panel: DataFrame, valid: int, y: str) -> DataFrame:
     return panel.join(cal, "t", "left").select("series", "state", "t", "h", F.col(y).alias("y"))
 
 
-def persistence_forecast(panel: DataFrame, valid: int = 4, y: str = "density") -> DataFrame:
+def persistence_forecast(panel: DataFrame, valid: int = C.VALIDATION_LENGTH,
+                         y: str = "density") -> DataFrame:
     """Every held-out period is predicted by the series' value at the
     last period before the hold-out."""
     marked = _mark_holdout(panel, valid, y)
@@ -43,8 +45,8 @@ def persistence_forecast(panel: DataFrame, valid: int = 4, y: str = "density") -
             .select(F.lit("persistence").alias("model"), *PRED_COLS[1:]))
 
 
-def seasonal_naive_forecast(panel: DataFrame, valid: int = 4, y: str = "density",
-                            period: int = 12) -> DataFrame:
+def seasonal_naive_forecast(panel: DataFrame, valid: int = C.VALIDATION_LENGTH,
+                            y: str = "density", period: int = C.SEASONAL_PERIOD) -> DataFrame:
     """Seasonal naive: the value ``period`` rows earlier (needs period >= valid
     so that the prediction only uses history)."""
     if period < valid:
@@ -82,7 +84,7 @@ def smape_macro(pred: DataFrame) -> DataFrame:
     return s.join(g, "model")
 
 
-def smape_best_groups_mean(pred: DataFrame, n: int = 6) -> DataFrame:
+def smape_best_groups_mean(pred: DataFrame, n: int = C.BEST_GROUPS) -> DataFrame:
     """Mean of the ``n`` lowest per-group SMAPEs per model."""
     g = smape_by(pred, ["state"])
     rk = F.row_number().over(Window.partitionBy("model").orderBy("smape", "state"))

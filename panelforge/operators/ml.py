@@ -23,6 +23,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions.exprs import hash_percent, smape_term
 
 
@@ -34,7 +35,8 @@ def stable_layout(df: DataFrame, keys: list[str], partitions: int | None = None)
     return df.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
-def hash_split(df: DataFrame, keys: list[str], train_pct: int = 70, out: str = "split") -> DataFrame:
+def hash_split(df: DataFrame, keys: list[str], train_pct: int = C.TRAIN_PERCENT,
+               out: str = "split") -> DataFrame:
     """M3: 'train' for rows whose key hash bucket (0..99) is below
     ``train_pct``, else 'test'.  Partition- and order-invariant."""
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if len(keys) > 1 else F.col(keys[0])
@@ -88,8 +90,9 @@ def feature_columns_checked(features: list[str], label: str) -> list[str]:
 
 
 # ------------------------------------------------------- importance and PCA
-def feature_importance(df: DataFrame, features: list[str], label: str, num_trees: int = 100,
-                       max_depth: int = 4, seed: int = 42, layout_keys: list[str] | None = None,
+def feature_importance(df: DataFrame, features: list[str], label: str,
+                       num_trees: int = C.RF_NUM_TREES, max_depth: int = C.RF_MAX_DEPTH,
+                       seed: int = C.RF_SEED, layout_keys: list[str] | None = None,
                        train_pct: int | None = None) -> DataFrame:
     """M4: random-forest importances by feature name, descending (sum 1).
     With ``train_pct`` the forest is fit on that share of rows (hash split
@@ -113,7 +116,8 @@ def feature_importance(df: DataFrame, features: list[str], label: str, num_trees
 
 
 def pca_scree(df: DataFrame, vector_col: str | None = None, features: list[str] | None = None,
-              k: int = 9, standardize_first: bool = False, cutoff: float = 0.95) -> DataFrame:
+              k: int = C.PCA_MAX_COMPONENTS, standardize_first: bool = False,
+              cutoff: float = C.PCA_CUTOFF) -> DataFrame:
     """One PCA fit with k components; explained variance ratio per
     component, its running sum, and whether the running sum has reached the
     cut-off.  The prefix of a k-component fit equals the smaller fits."""
@@ -154,7 +158,8 @@ def _cv_rows(cv_model, param_names: list[str], metric: str = "rmse") -> tuple[li
 
 
 def cross_validate(df: DataFrame, estimator, grid, features: list[str], label: str,
-                   folds: int = 2, seed: int = 123, train_pct: int = 70,
+                   folds: int = C.CV_FOLDS, seed: int = C.SPLIT_SEED,
+                   train_pct: int = C.TRAIN_PERCENT,
                    split_keys: list[str] | None = None, parallelism: int = 2) -> DataFrame:
     """Hash split into train/test, k-fold CV over ``grid`` on
     train (best model refit on all train), hold-out RMSE on test.  Returns
@@ -180,26 +185,31 @@ def cross_validate(df: DataFrame, estimator, grid, features: list[str], label: s
 
 
 def rf_grid(rf: RandomForestRegressor, full: bool = False):
-    """The reference grid (trees 50/100/150, depth 5/10/15, bins 16/32/48)
-    or a small default for routine runs."""
+    """The reference grid (``constants.RF_GRID``, 27 maps) or a small
+    default for routine runs."""
     if full:
-        return (ParamGridBuilder().addGrid(rf.numTrees, [50, 100, 150])
-                .addGrid(rf.maxDepth, [5, 10, 15]).addGrid(rf.maxBins, [16, 32, 48]).build())
+        g = C.RF_GRID
+        return (ParamGridBuilder().addGrid(rf.numTrees, list(g["numTrees"]))
+                .addGrid(rf.maxDepth, list(g["maxDepth"]))
+                .addGrid(rf.maxBins, list(g["maxBins"])).build())
     return ParamGridBuilder().addGrid(rf.numTrees, [10, 20]).addGrid(rf.maxDepth, [5]).build()
 
 
 def gbt_grid(gbt: GBTRegressor, full: bool = False):
-    """The reference grid with depth 105 replaced by 5 (Spark's maximum is
-    30): depth 2/5, bins 16/32, iterations 10/50/100; or a small default."""
+    """The reference grid (``constants.GBT_GRID``, 12 maps) with depths above
+    Spark's maximum (30) replaced by 5; or a small default."""
     if full:
-        return (ParamGridBuilder().addGrid(gbt.maxDepth, [2, 5]).addGrid(gbt.maxBins, [16, 32])
-                .addGrid(gbt.maxIter, [10, 50, 100]).build())
+        g = C.GBT_GRID
+        depths = sorted({d if d <= C.SPARK_MAX_TREE_DEPTH else 5 for d in g["maxDepth"]})
+        return (ParamGridBuilder().addGrid(gbt.maxDepth, depths)
+                .addGrid(gbt.maxBins, list(g["maxBins"]))
+                .addGrid(gbt.maxIter, list(g["maxIter"])).build())
     return ParamGridBuilder().addGrid(gbt.maxDepth, [2, 5]).addGrid(gbt.maxIter, [10]).build()
 
 
 def gbt_early_stop(train: DataFrame, valid: DataFrame, features: list[str], label: str,
                    max_iter: int = 100, tol: float = 0.001, step_size: float = 0.3,
-                   seed: int = 42, layout_keys: list[str] | None = None) -> tuple:
+                   seed: int = C.RF_SEED, layout_keys: list[str] | None = None) -> tuple:
     """GBT with a validation indicator: boosting stops once the
     validation error improves by less than ``tol`` (relative).  Spark fits
     the first tree at full weight, so a small step needs a small tolerance
@@ -233,7 +243,8 @@ class SmapeEvaluator(Evaluator):
         return False
 
 
-def sample_param_maps(estimator, space: dict, n_trials: int, seed: int = 1999) -> list[dict]:
+def sample_param_maps(estimator, space: dict, n_trials: int = C.SEARCH_TRIALS,
+                      seed: int = C.GLOBAL_SEED) -> list[dict]:
     """Seeded random search.  ``space`` maps a param name to a list of
     choices or to ``("log", lo, hi)`` / ``("uniform", lo, hi)``.  Distinct
     maps only; at most ``n_trials``."""
@@ -260,7 +271,7 @@ def sample_param_maps(estimator, space: dict, n_trials: int, seed: int = 1999) -
 
 
 def random_search(train: DataFrame, valid: DataFrame, estimator, space: dict, n_trials: int,
-                  label: str, seed: int = 1999) -> DataFrame:
+                  label: str, seed: int = C.GLOBAL_SEED) -> DataFrame:
     """Fit each sampled parameter map on ``train`` and score SMAPE on the
     time-ordered ``valid`` rows.  ``fitMultiple`` shares the cached input."""
     maps = sample_param_maps(estimator, space, n_trials, seed)
@@ -276,16 +287,16 @@ def random_search(train: DataFrame, valid: DataFrame, estimator, space: dict, n_
 
 
 # ----------------------------------------------- pooled autoregression
-def lag_features(length: int = 8) -> list[str]:
+def lag_features(length: int = C.SEQUENCE_LENGTH) -> list[str]:
     return [f"x_{i}" for i in range(1, length + 1)]
 
 
-def flatten_windows(windows: DataFrame, length: int = 8) -> DataFrame:
+def flatten_windows(windows: DataFrame, length: int = C.SEQUENCE_LENGTH) -> DataFrame:
     """Sequence windows with the array ``x`` spread into ``x_1..x_L``."""
     return windows.select("*", *[F.element_at("x", i).alias(f"x_{i}") for i in range(1, length + 1)])
 
 
-def pooled_ar_pipeline(kind: str = "gbt", length: int = 8, seed: int = 42,
+def pooled_ar_pipeline(kind: str = "gbt", length: int = C.SEQUENCE_LENGTH, seed: int = C.RF_SEED,
                        group_col: str = "state", series_col: str | None = None) -> Pipeline:
     """One model for all series.  Inputs: the last ``length``
     values, a one-hot group and, with ``series_col``, a target-encoded series
@@ -322,7 +333,8 @@ def pooled_ar_pipeline(kind: str = "gbt", length: int = 8, seed: int = 42,
 
 
 def recursive_forecast(model: PipelineModel, state: DataFrame, horizons: DataFrame,
-                       steps: int, length: int = 8, model_name: str = "pooled",
+                       steps: int = C.VALIDATION_LENGTH, length: int = C.SEQUENCE_LENGTH,
+                       model_name: str = "pooled",
                        checkpoint_every: int = 10) -> DataFrame:
     """Multi-step forecast by feeding predictions back.
 
@@ -350,7 +362,8 @@ def recursive_forecast(model: PipelineModel, state: DataFrame, horizons: DataFra
             .select(F.lit(model_name).alias("model"), "series", "state", "t", "h", "p"))
 
 
-def huber_coefficients(model: PipelineModel, length: int = 8) -> list[tuple[str, float]]:
+def huber_coefficients(model: PipelineModel,
+                       length: int = C.SEQUENCE_LENGTH) -> list[tuple[str, float]]:
     reg = model.stages[-1]
     names = lag_features(length)
     coefs = reg.coefficients.toArray().tolist()

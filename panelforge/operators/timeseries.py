@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import constants as C
 from ..functions import adf_kernel
 from ..functions.adf_kernel import (ADF_CRIT, ADF_SCHEMA, adf_critical, adf_pvalue,  # noqa: F401
                                     adf_test)
 from .windows import centred_ma, series_window
 
 
-def decompose(df: DataFrame, y: str = "density", period: int = 12, key: str = "series",
+def decompose(df: DataFrame, y: str = "density", period: int = C.SEASONAL_PERIOD,
+              key: str = "series",
               order: str = "t") -> DataFrame:
     """T5: additive decomposition ``y = trend + seasonal + resid``.
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as C
+
 
 def series_window(key: str | list[str] = "series", order: str = "t"):
     keys = [key] if isinstance(key, str) else list(key)
@@ -40,7 +42,7 @@ def global_rank(df: DataFrame, key: str, out: str, partitions: int | None = None
             .select(*[c for c in df.columns], (F.col("_off") + local).cast("int").alias(out)))
 
 
-def rolling_stats(df: DataFrame, y: str = "density", window: int = 12,
+def rolling_stats(df: DataFrame, y: str = "density", window: int = C.ROLLING_WINDOW,
                   key: str = "series", order: str = "t") -> DataFrame:
     """Trailing mean and sample standard deviation over ``window``
     rows; NULL until the window holds ``window`` non-null values (pandas
@@ -60,7 +62,7 @@ def diff(df: DataFrame, y: str = "density", lag: int = 1, out: str = "d1",
             .where(F.col(out).isNotNull()))
 
 
-def seasonal_diff(df: DataFrame, y: str = "density", period: int = 12,
+def seasonal_diff(df: DataFrame, y: str = "density", period: int = C.SEASONAL_PERIOD,
                   key: str = "series", order: str = "t") -> DataFrame:
     """The lag-``period`` difference of the first difference, both with
     their leading rows dropped (row positions, as pandas ``diff().dropna()``)."""
@@ -68,7 +70,7 @@ def seasonal_diff(df: DataFrame, y: str = "density", period: int = 12,
     return diff(d1, "d1", period, "d12", key, order)
 
 
-def sequence_windows(df: DataFrame, y: str = "density", length: int = 8,
+def sequence_windows(df: DataFrame, y: str = "density", length: int = C.SEQUENCE_LENGTH,
                      key: str = "series", order: str = "t", extra: tuple[str, ...] = ()) -> DataFrame:
     """Sliding windows of ``length + 1`` consecutive rows, step 1.
 
@@ -87,8 +89,8 @@ def sequence_windows(df: DataFrame, y: str = "density", length: int = 8,
     return out
 
 
-def panel_split(windows: DataFrame, n_periods: Column | int, length: int = 8,
-                valid: int = 4, key: str = "series") -> DataFrame:
+def panel_split(windows: DataFrame, n_periods: Column | int, length: int = C.SEQUENCE_LENGTH,
+                valid: int = C.VALIDATION_LENGTH, key: str = "series") -> DataFrame:
     """Label windows 'train' or 'valid'.  Per series the first
     ``T - length - valid`` windows train and the rest validate, where T is
     the number of calendar periods."""
@@ -97,7 +99,8 @@ def panel_split(windows: DataFrame, n_periods: Column | int, length: int = 8,
         "split", F.when(F.col("pos") < n_train, F.lit("train")).otherwise(F.lit("valid")))
 
 
-def panel_split_by_series(windows: DataFrame, valid: int = 4, key: str = "series") -> DataFrame:
+def panel_split_by_series(windows: DataFrame, valid: int = C.VALIDATION_LENGTH,
+                          key: str = "series") -> DataFrame:
     """W6 for ragged panels: the last ``valid`` windows of each series
     validate, the earlier ones train (equal to ``panel_split`` when every
     series covers the whole calendar)."""
@@ -106,7 +109,7 @@ def panel_split_by_series(windows: DataFrame, valid: int = 4, key: str = "series
         "split", F.when(F.col("pos") < n - valid, F.lit("train")).otherwise(F.lit("valid")))
 
 
-def last_values(df: DataFrame, y: str = "density", n: int = 8,
+def last_values(df: DataFrame, y: str = "density", n: int = C.SEQUENCE_LENGTH,
                 key: str = "series", order: str = "t", extra: tuple[str, ...] = ()) -> DataFrame:
     """The last ``n`` values of each series, ``k`` = 1 for the latest
     (``extra`` columns are carried along)."""
@@ -115,7 +118,7 @@ def last_values(df: DataFrame, y: str = "density", n: int = 8,
             .where(F.col("k") <= n))
 
 
-def last_values_array(df: DataFrame, y: str = "density", n: int = 8,
+def last_values_array(df: DataFrame, y: str = "density", n: int = C.SEQUENCE_LENGTH,
                       key: str = "series", order: str = "t") -> DataFrame:
     """W7 as one ordered array per series (oldest first)."""
     last = last_values(df, y, n, key, order)
@@ -124,7 +127,8 @@ def last_values_array(df: DataFrame, y: str = "density", n: int = 8,
                     lambda s: s[y]).alias("last_values"))
 
 
-def centred_ma(y: str, period: int = 12, key: str = "series", order: str = "t") -> Column:
+def centred_ma(y: str, period: int = C.SEASONAL_PERIOD, key: str = "series",
+               order: str = "t") -> Column:
     """Centred moving average of an even ``period`` (the 2 x period MA:
     end points weighted 1/2); NULL unless the full span is present."""
     half = period // 2

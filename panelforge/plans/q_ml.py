@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..operators import forecast as fc
 from ..operators import joins
 from ..operators import ml
@@ -27,8 +28,8 @@ LINE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 LINE_LABEL = "l_extendedprice"
 ATTR_FEATURES = ["x", "customers", "avg_acctbal", "share_automobile", "share_building",
                  "share_furniture", "share_household", "share_machinery", "suppliers"]
-SEQ_LEN = 8
-VALID = 4
+SEQ_LEN = C.SEQUENCE_LENGTH
+VALID = C.VALIDATION_LENGTH
 
 
 def _lineitem(spark, sf_dir) -> DataFrame:
@@ -89,15 +90,14 @@ def q_assemble_features(spark, sf_dir):
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     data = _attr_panel(spark, sf_dir)
-    return rounded(ml.feature_importance(data, ATTR_FEATURES, "density", num_trees=100,
-                                         max_depth=4, seed=42, layout_keys=["series", "t"],
-                                         train_pct=70))
+    return rounded(ml.feature_importance(data, ATTR_FEATURES, "density",
+                                         layout_keys=["series", "t"], train_pct=C.TRAIN_PERCENT))
 
 
 @register("pca_scree")
 def q_pca_scree(spark, sf_dir):
     emb = ml.embeddings_vectors(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
-    return rounded(ml.pca_scree(emb, vector_col="vec", k=9))
+    return rounded(ml.pca_scree(emb, vector_col="vec"))
 
 
 def _line_cv(spark, sf_dir, estimator, grid) -> DataFrame:
@@ -108,13 +108,13 @@ def _line_cv(spark, sf_dir, estimator, grid) -> DataFrame:
 
 @register("rf_cv")
 def q_rf_cv(spark, sf_dir):
-    rf = RandomForestRegressor(labelCol=LINE_LABEL, featuresCol="features", seed=42)
+    rf = RandomForestRegressor(labelCol=LINE_LABEL, featuresCol="features", seed=C.RF_SEED)
     return _line_cv(spark, sf_dir, rf, ml.rf_grid(rf))
 
 
 @register("gbt_cv")
 def q_gbt_cv(spark, sf_dir):
-    gbt = GBTRegressor(labelCol=LINE_LABEL, featuresCol="features", seed=42)
+    gbt = GBTRegressor(labelCol=LINE_LABEL, featuresCol="features", seed=C.RF_SEED)
     return _line_cv(spark, sf_dir, gbt, ml.gbt_grid(gbt))
 
 
@@ -178,7 +178,7 @@ def q_param_search(spark, sf_dir):
     lr = LinearRegression(labelCol="target", featuresCol="features", loss="huber")
     space = {"regParam": ("log", 1e-6, 1e-2), "epsilon": [1.35, 2.0, 3.0],
              "fitIntercept": [True, False]}
-    return rounded(ml.random_search(tr, va, lr, space, n_trials=6, label="target", seed=1999))
+    return rounded(ml.random_search(tr, va, lr, space, n_trials=6, label="target", seed=C.GLOBAL_SEED))
 
 
 @register("model_roundtrip")
