@@ -140,7 +140,9 @@ def panel_partitions(spark: SparkSession, sf_dir: str, n_months: int) -> int:
     divided by the target partition size, capped by the shuffle partition
     setting.  Keeps downstream per-series tasks full instead of launching
     thousands of empty ones for a small panel on a large cluster."""
-    n_series = series_dim(spark, sf_dir).count()
+    # series_dim is nation left-joined to region: same rows as nation, whose
+    # count Parquet answers from footer metadata
+    n_series = read_table(spark, sf_dir, "nation").count()
     cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
     want = -(-max(n_series * n_months, 1) // PANEL_ROWS_PER_PARTITION)
     return max(1, min(cap, want))
@@ -167,6 +169,16 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memoized(spark, ("panel", sf_dir), lambda: build_panel(spark, sf_dir))
 
 
+def build_fixtures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Panel and attributes, built concurrently (independent jobs; Spark
+    schedules them side by side on free cores).  Returns (panel, attributes)."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        fp = pool.submit(panel, spark, sf_dir)
+        fa = pool.submit(attributes, spark, sf_dir)
+        return fp.result(), fa.result()
+
+
 def late_panel(spark: SparkSession, sf_dir: str, months: int = LATE_MONTHS) -> DataFrame:
     """The last ``months`` calendar months of the panel, without ``active``
     (the shape of a late-arriving extract)."""
