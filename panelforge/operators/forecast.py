@@ -28,16 +28,17 @@ def holdout_calendar(panel: DataFrame, valid: int = C.VALIDATION_LENGTH, t: str
             .select(t, (F.lit(valid + 1) - F.col("_rk")).cast("int").alias("h")))
 
 
-def _mark_holdout(panel: DataFrame, valid: int, y: str) -> DataFrame:
-    cal = F.broadcast(holdout_calendar(panel, valid))
+def _mark_holdout(panel: DataFrame, valid: int, y: str, holdout: DataFrame | None) -> DataFrame:
+    cal = F.broadcast(holdout if holdout is not None else holdout_calendar(panel, valid))
     return panel.join(cal, "t", "left").select("series", "state", "t", "h", F.col(y).alias("y"))
 
 
 def persistence_forecast(panel: DataFrame, valid: int = C.VALIDATION_LENGTH,
-                         y: str = "density") -> DataFrame:
+                         y: str = "density", holdout: DataFrame | None = None) -> DataFrame:
     """Every held-out period is predicted by the series' value at the
-    last period before the hold-out."""
-    marked = _mark_holdout(panel, valid, y)
+    last period before the hold-out.  ``holdout`` (from ``holdout_calendar``)
+    can be shared between models so the calendar is computed once."""
+    marked = _mark_holdout(panel, valid, y, holdout)
     hist = F.col("h").isNull()
     last = F.max_by(F.when(hist, F.col("y")), F.when(hist, F.col("t"))).over(
         Window.partitionBy("series"))
@@ -46,18 +47,40 @@ def persistence_forecast(panel: DataFrame, valid: int = C.VALIDATION_LENGTH,
 
 
 def seasonal_naive_forecast(panel: DataFrame, valid: int = C.VALIDATION_LENGTH,
-                            y: str = "density", period: int = C.SEASONAL_PERIOD) -> DataFrame:
+                            y: str = "density", period: int = C.SEASONAL_PERIOD,
+                            holdout: DataFrame | None = None) -> DataFrame:
     """Seasonal naive: the value ``period`` rows earlier (needs period >= valid
     so that the prediction only uses history)."""
     if period < valid:
         raise ValueError("period must be >= valid")
-    marked = _mark_holdout(panel, valid, y)
+    marked = _mark_holdout(panel, valid, y, holdout)
     w = Window.partitionBy("series").orderBy("t")
     return (marked.select("*", F.lag("y", period).over(w).alias("p"))
             .where(F.col("h").isNotNull())
             .select(F.lit("seasonal_naive").alias("model"), *PRED_COLS[1:]))
 
 
+def naive_forecasts(panel: DataFrame, valid: int = C.VALIDATION_LENGTH, y: str = "density",
+                    period: int = C.SEASONAL_PERIOD) -> DataFrame:
+    """Persistence and seasonal-naive forecasts from one windowed pass over
+    the panel (one hold-out calendar, one sort), unpivoted to one row per
+    model.  Same rows as the union of the two single-model functions."""
+    if period < valid:
+        raise ValueError("period must be >= valid")
+    marked = _mark_holdout(panel, valid, y, None)
+    hist = F.col("h").isNull()
+    last = F.max_by(F.when(hist, F.col("y")), F.when(hist, F.col("t"))).over(
+        Window.partitionBy("series"))
+    seas = F.lag("y", period).over(Window.partitionBy("series").orderBy("t"))
+    both = marked.select("*", last.alias("_p1"), seas.alias("_p2")).where(F.col("h").isNotNull())
+    models = F.explode(F.array(
+        F.struct(F.lit("persistence").alias("model"), F.col("_p1").alias("p")),
+        F.struct(F.lit("seasonal_naive").alias("model"), F.col("_p2").alias("p"))))
+    return (both.select("series", "state", "t", "h", "y", models.alias("_m"))
+            .select(F.col("_m.model").alias("model"), "series", "state", "t", "h", "y",
+                    F.col("_m.p").alias("p")))
+
+
 def with_smape(pred: DataFrame, strict: bool = False) -> DataFrame:
     return pred.withColumn("_e", smape_term("y", "p", strict))
 
@@ -79,9 +102,14 @@ def smape_by_horizon(pred: DataFrame) -> DataFrame:
 def smape_macro(pred: DataFrame) -> DataFrame:
     """A10: mean over series of the per-series SMAPE, and mean over groups of
     the per-group SMAPE, per model."""
-    s = smape_by(pred, ["series"]).groupBy("model").agg(F.avg("smape").alias("mean_series_smape"))
-    g = smape_by(pred, ["state"]).groupBy("model").agg(F.avg("smape").alias("mean_group_smape"))
-    return s.join(g, "model")
+    # one pass: GROUPING SETS ((model, series), (model, state)), then the
+    # two means per model from the tagged rows
+    e = with_smape(pred)
+    sets = (e.groupingSets([["model", "series"], ["model", "state"]], "model", "series", "state")
+            .agg(F.avg("_e").alias("smape"), F.grouping("state").alias("_by_series")))
+    return sets.groupBy("model").agg(
+        F.avg(F.when(F.col("_by_series") == 1, F.col("smape"))).alias("mean_series_smape"),
+        F.avg(F.when(F.col("_by_series") == 0, F.col("smape"))).alias("mean_group_smape"))
 
 
 def smape_best_groups_mean(pred: DataFrame, n: int = C.BEST_GROUPS) -> DataFrame:

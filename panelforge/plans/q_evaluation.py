@@ -16,8 +16,7 @@ BASELINE_MODELS = ["persistence", "seasonal_naive"]
 
 
 def baseline_predictions(spark, sf_dir) -> DataFrame:
-    repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
-    return fc.persistence_forecast(repaired).unionByName(fc.seasonal_naive_forecast(repaired))
+    return fc.naive_forecasts(win.zero_series_repair(fx.panel(spark, sf_dir)))
 
 
 PRED_SQL = REPAIR_SQL + """,

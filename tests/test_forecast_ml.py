@@ -148,3 +148,11 @@ def test_target_encoding_is_continuous_for_trees(spark):
     for kind in ("rf", "gbt"):
         model = ml.pooled_ar_pipeline(kind, series_col="county").fit(w)
         assert model.transform(w).count() == 80
+
+
+def test_naive_forecasts_equal_single_models(spark):
+    vals = {1: [float(i % 7 + i) for i in range(30)], 2: [3.0] * 30}
+    p = _panel(spark, vals)
+    both = sorted(map(tuple, fc.naive_forecasts(p).collect()))
+    single = sorted(map(tuple, fc.persistence_forecast(p).unionByName(fc.seasonal_naive_forecast(p)).collect()))
+    assert both == single
