@@ -30,9 +30,11 @@ from ..functions.exprs import hash_percent, smape_term
 # ------------------------------------------------------------------ helpers
 def stable_layout(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
     """Hash-partition by ``keys`` and sort within partitions, so a seeded fit
-    sees the same rows in the same tasks whatever the input layout was."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+    sees the same rows in the same tasks whatever the input layout was.
+    Without an explicit count AQE sizes the partitions from the data (its
+    coalescing is a deterministic function of the shuffle statistics)."""
+    parted = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    return parted.sortWithinPartitions(*keys)
 
 
 def hash_split(df: DataFrame, keys: list[str], train_pct: int = C.TRAIN_PERCENT,

@@ -28,8 +28,11 @@ def global_rank(df: DataFrame, key: str, out: str, partitions: int | None = None
     partition comes from ``monotonically_increasing_id`` (partition id in
     the upper bits, row index in the lower 33), and the row counts of all
     earlier partitions are added from a table with one row per partition."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key)
+    # Without an explicit count AQE may coalesce neighbouring ranges, which
+    # keeps partition ids in key order.
+    parted = (df.repartitionByRange(partitions, F.col(key)) if partitions
+              else df.repartitionByRange(F.col(key)))
+    ranged = (parted.sortWithinPartitions(key)
               .select("*", F.spark_partition_id().alias("_pid"),
                       F.monotonically_increasing_id().alias("_mid")))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
