@@ -100,6 +100,14 @@ def q_pca_scree(spark, sf_dir):
     return rounded(ml.pca_scree(emb, vector_col="vec"))
 
 
+@register("pca_scree_features")
+def q_pca_scree_features(spark, sf_dir):
+    """M5 on the reference's kind of input: the feature matrix of the
+    panel-attribute join (attributes + month index), standardised first."""
+    data = _attr_panel(spark, sf_dir).na.drop("any", subset=ATTR_FEATURES)
+    return rounded(ml.pca_scree(data, features=ATTR_FEATURES, standardize_first=True))
+
+
 def _line_cv(spark, sf_dir, estimator, grid) -> DataFrame:
     li = _lineitem(spark, sf_dir)
     return rounded(ml.cross_validate(li, estimator, grid, LINE_FEATURES, LINE_LABEL, folds=2,
