@@ -27,6 +27,30 @@ SESSION_DEFAULTS = {
 }
 
 
+def cluster_conf(total_cores: int, input_tb: float = 100.0) -> dict[str, str]:
+    """Settings for a large cluster (to pass as ``extra`` or to spark-submit).
+
+    * shuffle partitions: enough that one partition of the largest shuffle
+      (the orders x customer join input, about a tenth of the input bytes)
+      stays near 256 MB, and at least 3 per core; AQE coalesces small
+      shuffles back down, so small stages do not pay for it;
+    * 256 MB file splits and advisory partition size, so a task's input and
+      its shuffle block fit comfortably in executor memory;
+    * skew join: a partition is skewed above 5x the median and 512 MB, and
+      AQE splits it.
+    """
+    largest_shuffle_mb = input_tb * 1024 * 1024 / 10
+    parts = max(3 * total_cores, int(largest_shuffle_mb / 256))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    }
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "panelforge", driver_memory: str = "16g",
                   extra: dict | None = None) -> SparkSession:
