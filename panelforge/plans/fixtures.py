@@ -173,9 +173,13 @@ def build_fixtures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     """Panel and attributes, built concurrently (independent jobs; Spark
     schedules them side by side on free cores).  Returns (panel, attributes)."""
     from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    # the worker threads inherit the caller's job group and scheduler pool
     with ThreadPoolExecutor(max_workers=2) as pool:
-        fp = pool.submit(panel, spark, sf_dir)
-        fa = pool.submit(attributes, spark, sf_dir)
+        fp = pool.submit(inheritable_thread_target(panel), spark, sf_dir)
+        fa = pool.submit(inheritable_thread_target(attributes), spark, sf_dir)
         return fp.result(), fa.result()
 
 
