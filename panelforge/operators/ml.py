@@ -272,6 +272,51 @@ def sample_param_maps(estimator, space: dict, n_trials: int = C.SEARCH_TRIALS,
     return [{estimator.getParam(k): v for k, v in pm.items()} for pm in maps]
 
 
+def sample_settings(space: dict, n_trials: int = C.SEARCH_TRIALS,
+                    seed: int = C.GLOBAL_SEED) -> list[dict]:
+    """Seeded random draws of plain settings (same spec as
+    ``sample_param_maps``), distinct, at most ``n_trials``."""
+    rng = np.random.default_rng(seed)
+    out, seen = [], set()
+    for _ in range(n_trials * 20):
+        if len(out) >= n_trials:
+            break
+        draw = {}
+        for name, spec in space.items():
+            if isinstance(spec, tuple) and spec and spec[0] in ("log", "uniform"):
+                kind, lo, hi = spec
+                v = math.exp(rng.uniform(math.log(lo), math.log(hi))) if kind == "log" \
+                    else rng.uniform(lo, hi)
+                v = float(f"{v:.6g}")
+            else:
+                v = spec[int(rng.integers(len(spec)))]
+                v = v.item() if hasattr(v, "item") else v
+            draw[name] = v
+        sig = tuple(sorted(draw.items()))
+        if sig not in seen:
+            seen.add(sig)
+            out.append(draw)
+    return out
+
+
+def random_search_pipelines(train: DataFrame, valid: DataFrame, build, space: dict,
+                            n_trials: int = C.SEARCH_TRIALS, label: str = "target",
+                            seed: int = C.GLOBAL_SEED) -> DataFrame:
+    """M11 with structure in the space: ``build(settings) -> Pipeline`` makes
+    one pipeline per sampled setting (e.g. with or without the series
+    encoding), each fit on ``train`` and scored by SMAPE on the time-ordered
+    ``valid`` rows.  The loop is over settings; every fit is distributed."""
+    ev = SmapeEvaluator(labelCol=label)
+    rows = []
+    for i, settings in enumerate(sample_settings(space, n_trials, seed)):
+        model = build(settings).fit(train)
+        desc = ", ".join(f"{k}={settings[k]}" for k in sorted(settings))
+        rows.append((i, desc, ev.evaluate(model.transform(valid))))
+    out = train.sparkSession.createDataFrame(rows, "trial int, params string, smape double")
+    rk = F.row_number().over(Window.orderBy("smape", "trial"))
+    return out.select("trial", "params", "smape", rk.cast("int").alias("rank"))
+
+
 def random_search(train: DataFrame, valid: DataFrame, estimator, space: dict, n_trials: int,
                   label: str, seed: int = C.GLOBAL_SEED) -> DataFrame:
     """Fit each sampled parameter map on ``train`` and score SMAPE on the
@@ -299,15 +344,18 @@ def flatten_windows(windows: DataFrame, length: int = C.SEQUENCE_LENGTH) -> Data
 
 
 def pooled_ar_pipeline(kind: str = "gbt", length: int = C.SEQUENCE_LENGTH, seed: int = C.RF_SEED,
-                       group_col: str = "state", series_col: str | None = None) -> Pipeline:
+                       group_col: str | None = "state", series_col: str | None = None,
+                       reg_param: float = 1e-4, epsilon: float = 1.35) -> Pipeline:
     """One model for all series.  Inputs: the last ``length``
     values, a one-hot group and, with ``series_col``, a target-encoded series
     id (the counterpart of a learned series embedding); target: the next
     value.  ``kind``: 'gbt', 'rf', 'linear' or 'huber' (Huber loss, L2)."""
-    stages = [StringIndexer(inputCol=group_col, outputCol="_g_idx", handleInvalid="keep",
-                            stringOrderType="alphabetAsc"),
-              OneHotEncoder(inputCols=["_g_idx"], outputCols=["_g_vec"], handleInvalid="keep")]
-    inputs = lag_features(length) + ["_g_vec"]
+    stages, inputs = [], lag_features(length)
+    if group_col:
+        stages += [StringIndexer(inputCol=group_col, outputCol="_g_idx", handleInvalid="keep",
+                                 stringOrderType="alphabetAsc"),
+                   OneHotEncoder(inputCols=["_g_idx"], outputCols=["_g_vec"], handleInvalid="keep")]
+        inputs.append("_g_vec")
     if series_col:
         stages += [StringIndexer(inputCol=series_col, outputCol="_s_idx", handleInvalid="keep",
                                  stringOrderType="alphabetAsc"),
@@ -328,7 +376,7 @@ def pooled_ar_pipeline(kind: str = "gbt", length: int = C.SEQUENCE_LENGTH, seed:
         reg = LinearRegression(labelCol="target", featuresCol="features", regParam=0.0)
     elif kind == "huber":
         reg = LinearRegression(labelCol="target", featuresCol="features", loss="huber",
-                               regParam=1e-4, elasticNetParam=0.0)
+                               regParam=reg_param, epsilon=epsilon, elasticNetParam=0.0)
     else:
         raise ValueError(kind)
     return Pipeline(stages=stages + [reg])

@@ -179,14 +179,21 @@ def q_huber_ar(spark, sf_dir):
 
 @register("param_search")
 def q_param_search(spark, sf_dir):
+    """Seeded random search over model settings, scored by SMAPE on the
+    last VALID months (time-ordered).  Like the reference's tuner the space
+    switches the series and group encodings on and off and draws the L2
+    factor from its choice list; the model is the Huber-loss regression."""
     train, valid = _windows(spark, sf_dir)
-    feats = ml.lag_features(SEQ_LEN)
-    tr = ml.assemble(train, feats)
-    va = ml.assemble(valid, feats)
-    lr = LinearRegression(labelCol="target", featuresCol="features", loss="huber")
-    space = {"regParam": ("log", 1e-6, 1e-2), "epsilon": [1.35, 2.0, 3.0],
-             "fitIntercept": [True, False]}
-    return rounded(ml.random_search(tr, va, lr, space, n_trials=6, label="target", seed=C.GLOBAL_SEED))
+    space = {"use_county": [True, False], "use_state": [True, False],
+             "l2": list(C.L2_CHOICES), "epsilon": [1.35, 2.0, 3.0]}
+
+    def build(s):
+        return ml.pooled_ar_pipeline("huber", SEQ_LEN,
+                                     group_col="state" if s["use_state"] else None,
+                                     series_col="county" if s["use_county"] else None,
+                                     reg_param=s["l2"], epsilon=s["epsilon"])
+    return rounded(ml.random_search_pipelines(train, valid, build, space, n_trials=6,
+                                              label="target", seed=C.GLOBAL_SEED))
 
 
 @register("model_roundtrip")

@@ -156,3 +156,12 @@ def test_naive_forecasts_equal_single_models(spark):
     both = sorted(map(tuple, fc.naive_forecasts(p).collect()))
     single = sorted(map(tuple, fc.persistence_forecast(p).unionByName(fc.seasonal_naive_forecast(p)).collect()))
     assert both == single
+
+
+def test_sample_settings_deterministic_and_distinct():
+    space = {"a": [True, False], "b": [1, 2, 3], "c": ("log", 1e-4, 1e-1)}
+    one = ml.sample_settings(space, 8, seed=5)
+    two = ml.sample_settings(space, 8, seed=5)
+    assert one == two and len(one) == 8
+    assert len({tuple(sorted(d.items())) for d in one}) == 8
+    assert all(1e-4 <= d["c"] <= 1e-1 for d in one)
