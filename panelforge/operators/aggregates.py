@@ -77,8 +77,8 @@ def key_coverage(panel: DataFrame, attrs: DataFrame, key: str = "series") -> Dat
              .where(F.col(key).isNotNull()))
     per_key = flags.groupBy(key).agg(F.max("_p").alias("_p"), F.max("_a").alias("_a"))
     return per_key.agg(
-        F.sum("_p").cast("bigint").alias("panel_keys"),
-        F.sum("_a").cast("bigint").alias("attr_keys"),
+        F.coalesce(F.sum("_p"), F.lit(0)).cast("bigint").alias("panel_keys"),
+        F.coalesce(F.sum("_a"), F.lit(0)).cast("bigint").alias("attr_keys"),
         F.count_if((F.col("_p") == 1) & (F.col("_a") == 1)).alias("common_keys"))
 
 

@@ -115,7 +115,9 @@ def smape_macro(pred: DataFrame) -> DataFrame:
 def smape_best_groups_mean(pred: DataFrame, n: int = C.BEST_GROUPS) -> DataFrame:
     """Mean of the ``n`` lowest per-group SMAPEs per model."""
     g = smape_by(pred, ["state"])
-    rk = F.row_number().over(Window.partitionBy("model").orderBy("smape", "state"))
+    # a group without a defined error ranks last, never among the best
+    rk = F.row_number().over(Window.partitionBy("model").orderBy(
+        F.col("smape").asc_nulls_last(), F.col("state")))
     return (g.select("*", rk.alias("_rk")).where(F.col("_rk") <= n)
             .groupBy("model").agg(F.avg("smape").alias("best_mean_smape"),
                                   F.count(F.lit(1)).alias("n_groups")))
@@ -133,6 +135,7 @@ def select_model(pred: DataFrame, model_order: list[str]) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(m) for m in model_order]), F.col("model"))
     macro = (smape_by(pred, ["series"]).groupBy("model")
              .agg(F.avg("smape").alias("mean_smape")))
-    rk = F.row_number().over(Window.orderBy("mean_smape", "_ord"))
+    # a model without a defined error ranks last, never selected first
+    rk = F.row_number().over(Window.orderBy(F.col("mean_smape").asc_nulls_last(), F.col("_ord")))
     return (macro.withColumn("_ord", order.cast("int")).select("model", "mean_smape", rk.alias("rank"))
             .withColumn("selected", F.col("rank") == 1))

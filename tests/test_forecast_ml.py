@@ -165,3 +165,13 @@ def test_sample_settings_deterministic_and_distinct():
     assert one == two and len(one) == 8
     assert len({tuple(sorted(d.items())) for d in one}) == 8
     assert all(1e-4 <= d["c"] <= 1e-1 for d in one)
+
+
+def test_undefined_errors_rank_last(spark):
+    rows = [("m_null", 1, "S", None, 1, 1.0, None), ("m_ok", 1, "S", None, 1, 1.0, 2.0),
+            ("m_ok", 2, "T", None, 1, 1.0, None)]
+    pred = spark.createDataFrame(rows, "model string, series int, state string, t date, h int, y double, p double")
+    sel = {r.model: r["rank"] for r in fc.select_model(pred, ["m_null", "m_ok"]).collect()}
+    assert sel == {"m_ok": 1, "m_null": 2}
+    best = {r.model: r.best_mean_smape for r in fc.smape_best_groups_mean(pred, 1).collect()}
+    assert best["m_ok"] is not None and best["m_ok"] > 0

@@ -32,7 +32,7 @@ def test_key_coverage_matches_sets(spark):
         pb = spark.createDataFrame([(k,) for k in b], "series int")
         r = agg.key_coverage(pa, pb).first()
         sa, sb = {k for k in a if k is not None}, {k for k in b if k is not None}
-        assert (r.panel_keys or 0, r.attr_keys or 0, r.common_keys or 0) == (len(sa), len(sb), len(sa & sb))
+        assert (r.panel_keys, r.attr_keys, r.common_keys) == (len(sa), len(sb), len(sa & sb))
     check()
 
 
