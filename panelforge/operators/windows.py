@@ -22,12 +22,17 @@ def series_window(key: str | list[str] = "series", order: str = "t"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def global_rank(df: DataFrame, key: str, out: str, partitions: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, key: str, out: str, partitions: int | None = None,
+                checkpoint: bool = True) -> DataFrame:
     """0-based rank of every row of ``df`` by ``key`` without a single-task
     window: rows are range-partitioned and sorted; the position inside a
     partition comes from ``monotonically_increasing_id`` (partition id in
     the upper bits, row index in the lower 33), and the row counts of all
-    earlier partitions are added from a table with one row per partition."""
+    earlier partitions are added from a table with one row per partition.
+
+    The positioned table feeds two branches (partition sizes and the final
+    join); it is checkpointed once so the range shuffle runs once and both
+    branches see the same positions."""
     # Without an explicit count AQE may coalesce neighbouring ranges, which
     # keeps partition ids in key order.
     parted = (df.repartitionByRange(partitions, F.col(key)) if partitions
@@ -35,6 +40,8 @@ def global_rank(df: DataFrame, key: str, out: str, partitions: int | None = None
     ranged = (parted.sortWithinPartitions(key)
               .select("*", F.spark_partition_id().alias("_pid"),
                       F.monotonically_increasing_id().alias("_mid")))
+    if checkpoint:
+        ranged = ranged.checkpoint(eager=True)
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
