@@ -17,7 +17,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import (OneHotEncoder, PCA, SQLTransformer, StandardScaler,
                                 StringIndexer, TargetEncoder, VectorAssembler)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window

@@ -9,7 +9,8 @@ option of the operators (``full=True``).
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def q_assemble_features(spark, sf_dir):
     feats = ["x", "customers", "avg_acctbal", "suppliers", "avg_supp_bal"]
     data = ml.assemble(_attr_panel(spark, sf_dir), feats, "features", "skip")
     arr = F.col("_a")
-    out = data.select("series", "t", ml.vector_to_array("features").alias("_a"))
+    out = data.select("series", "t", vector_to_array("features").alias("_a"))
     return rounded(out.select("series", "t", F.size(arr).alias("n_features"),
                               *[arr[i].alias(f"f_{c}") for i, c in enumerate(feats)]))
 

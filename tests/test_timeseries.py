@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from helpers import months
