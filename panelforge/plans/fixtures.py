@@ -104,8 +104,12 @@ def build_panel(spark: SparkSession, sf_dir: str, cutoff: dt.date = CUTOFF,
     """The dense panel ``series, county, state, t, active, density``."""
     ensure_checkpoint_dir(spark)
     # small (at most #nations x #months rows) and read three times below:
-    # bounds, calendar and cells; kept in memory until the panel is written
-    counts = order_month_counts(spark, sf_dir, cutoff).persist()
+    # bounds, calendar and cells.  A checkpoint rather than a cache: under
+    # AQE a cached plan keeps all shuffle partitions uncoalesced, a
+    # checkpoint is written from the coalesced plan (and cuts lineage).
+    counts = order_month_counts(spark, sf_dir, cutoff)
+    if checkpoint:
+        counts = counts.checkpoint(eager=True)
     bounds = counts.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
     if bounds is None or bounds["lo"] is None:
         lo = hi = None
@@ -132,11 +136,14 @@ def build_panel(spark: SparkSession, sf_dir: str, cutoff: dt.date = CUTOFF,
                      (F.coalesce(F.col("active"), F.lit(0)).cast("double") * F.lit(100.0)
                       / F.col("customers")).alias("density")))
     n_parts = panel_partitions(spark, sf_dir, n_months if lo is not None else 0)
-    panel = panel.repartition(n_parts, "series").sortWithinPartitions("series", "t")
     if checkpoint:
-        panel = checkpoint_clustered(panel)
-        counts.unpersist()
-    return panel
+        # Materialize the joined cells under AQE (small shuffles coalesced),
+        # then only the final repartition + sort runs in the AQE-off
+        # checkpoint job that keeps the partitioning.
+        cells_done = panel.checkpoint(eager=True)
+        return checkpoint_clustered(
+            cells_done.repartition(n_parts, "series").sortWithinPartitions("series", "t"))
+    return panel.repartition(n_parts, "series").sortWithinPartitions("series", "t")
 
 
 def panel_partitions(spark: SparkSession, sf_dir: str, n_months: int) -> int:
