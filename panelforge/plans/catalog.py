@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixtures as fx
-from .oracle import ANCHOR_SQL, with_fixtures
+from .oracle import ANCHOR_SQL, positive_zero_rounds, with_fixtures
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_fixtures(sql)
+            ORACLE[name] = positive_zero_rounds(with_fixtures(sql))
         return fn
     return deco
 

@@ -65,6 +65,36 @@ ncal AS (SELECT count(*) AS n_periods FROM cal)
 """
 
 
+def positive_zero_rounds(sql: str) -> str:
+    """Rewrite every ``round(...)`` call as ``(round(...) + 0.0)``.
+
+    DuckDB rounds a tiny negative double to -0.0 while Spark's ``round``
+    (through BigDecimal) gives +0.0; adding 0.0 turns -0.0 into +0.0 and
+    leaves every other value unchanged, so the two results hash alike."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = positive_zero_rounds(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def with_fixtures(body: str) -> str:
     """Prefix ``body`` with the fixture CTEs.  A body that starts with its
     own ``WITH`` (or ``WITH RECURSIVE``) has its CTEs appended after them."""
