@@ -22,6 +22,11 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Joins on (series, t) between two sides already hash-partitioned by
+    # series (the co-located panel and tables derived from it) may reuse
+    # that partitioning instead of re-shuffling both sides; every series
+    # is bounded by the calendar length, so the co-partition is not skewed.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
