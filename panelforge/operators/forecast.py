@@ -61,13 +61,13 @@ def seasonal_naive_forecast(panel: DataFrame, valid: int = C.VALIDATION_LENGTH,
 
 
 def naive_forecasts(panel: DataFrame, valid: int = C.VALIDATION_LENGTH, y: str = "density",
-                    period: int = C.SEASONAL_PERIOD) -> DataFrame:
+                    period: int = C.SEASONAL_PERIOD, holdout: DataFrame | None = None) -> DataFrame:
     """Persistence and seasonal-naive forecasts from one windowed pass over
     the panel (one hold-out calendar, one sort), unpivoted to one row per
     model.  Same rows as the union of the two single-model functions."""
     if period < valid:
         raise ValueError("period must be >= valid")
-    marked = _mark_holdout(panel, valid, y, None)
+    marked = _mark_holdout(panel, valid, y, holdout)
     hist = F.col("h").isNull()
     last = F.max_by(F.when(hist, F.col("y")), F.when(hist, F.col("t"))).over(
         Window.partitionBy("series"))

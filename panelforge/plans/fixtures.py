@@ -29,6 +29,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..session import ensure_checkpoint_dir, session_key
 from ..sources.tables import read_table
 
@@ -194,6 +195,14 @@ def build_fixtures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         return fp.result(), fa.result()
 
 
+def holdout(spark: SparkSession, sf_dir: str, valid: int = C.VALIDATION_LENGTH) -> DataFrame:
+    """(t, h) of the last ``valid`` calendar months, computed once per
+    session (a ``valid``-row checkpoint shared by every backtest query)."""
+    from ..operators.forecast import holdout_calendar
+    return _memoized(spark, ("holdout", sf_dir, valid),
+                     lambda: holdout_calendar(panel(spark, sf_dir), valid).checkpoint(eager=True))
+
+
 def late_panel(spark: SparkSession, sf_dir: str, months: int = LATE_MONTHS) -> DataFrame:
     """The last ``months`` calendar months of the panel, without ``active``
     (the shape of a late-arriving extract)."""

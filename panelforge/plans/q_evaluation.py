@@ -16,7 +16,8 @@ BASELINE_MODELS = ["persistence", "seasonal_naive"]
 
 
 def baseline_predictions(spark, sf_dir) -> DataFrame:
-    return fc.naive_forecasts(win.zero_series_repair(fx.panel(spark, sf_dir)))
+    return fc.naive_forecasts(win.zero_series_repair(fx.panel(spark, sf_dir)),
+                              holdout=fx.holdout(spark, sf_dir))
 
 
 PRED_SQL = REPAIR_SQL + """,

@@ -135,7 +135,7 @@ def _windows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     every model fit and search trial reads it again."""
     def build():
         repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
-        hold = fc.holdout_calendar(repaired, VALID)
+        hold = fx.holdout(spark, sf_dir, VALID)
         seq = win.sequence_windows(repaired, length=SEQ_LEN, extra=("county", "state"))
         seq = ml.flatten_windows(seq, SEQ_LEN)
         return seq.join(F.broadcast(hold), "t", "left").checkpoint(eager=True)
@@ -148,7 +148,7 @@ def _windows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def _recursive_state(spark, sf_dir) -> DataFrame:
     """Per series, the last SEQ_LEN values before the hold-out (oldest first)."""
     repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
-    hold = fc.holdout_calendar(repaired, VALID)
+    hold = fx.holdout(spark, sf_dir, VALID)
     hist = repaired.join(F.broadcast(hold), "t", "left_anti")
     last = win.last_values(hist, "density", SEQ_LEN, extra=("county", "state"))
     return last.groupBy("series").agg(
@@ -219,7 +219,7 @@ def pooled_predictions(spark, sf_dir, kinds=POOLED_KINDS, recursive: bool = True
     train, valid = _windows(spark, sf_dir)
     state = _recursive_state(spark, sf_dir)
     repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
-    hold = fc.holdout_calendar(repaired, VALID)
+    hold = fx.holdout(spark, sf_dir, VALID)
     actual = repaired.select("series", "t", F.col("density").alias("y"))
     out = None
     for kind in kinds:
