@@ -67,8 +67,12 @@ def smape_term(y: ColumnOrName, p: ColumnOrName, strict: bool = False) -> Column
     row scored 0 when the denominator is 0.  ``strict=True`` uses ``|y|`` in
     the denominator, which keeps the range for negative targets."""
     y, p = _col(y).cast("double"), _col(p).cast("double")
-    den = ((F.abs(y) if strict else y) + F.abs(p)) / F.lit(C.SMAPE_SCALE)
-    return F.when(den == 0, F.lit(0.0)).otherwise(F.abs(y - p) / den)
+    # 200 * |y - p| / (y + |p|): the same value as dividing by (y + |p|) / 200,
+    # but it stays within [0, 200] in floating point for tiny (subnormal)
+    # inputs, where scaling the denominator first loses precision.
+    total = (F.abs(y) if strict else y) + F.abs(p)
+    return F.when(total == 0, F.lit(0.0)).otherwise(
+        F.lit(C.SMAPE_SCALE) * F.abs(y - p) / total)
 
 
 def hash_percent(key: ColumnOrName) -> Column:

@@ -38,8 +38,8 @@ pred AS (
   SELECT 'seasonal_naive' AS model, series, state, t, h, y, p_seas AS p FROM base WHERE h IS NOT NULL
 ),
 scored AS (
-  SELECT *, CASE WHEN (y + abs(p)) / 200.0 = 0 THEN 0.0
-                 ELSE abs(y - p) / ((y + abs(p)) / 200.0) END AS e
+  SELECT *, CASE WHEN y + abs(p) = 0 THEN 0.0
+                 ELSE 200.0 * abs(y - p) / (y + abs(p)) END AS e
   FROM pred
 )
 """

@@ -71,3 +71,10 @@ def test_hash_percent_partition_invariant(spark):
     assert a == b
     share = sum(1 for v in a.values() if v < 70) / len(a)
     assert 0.65 < share < 0.75
+
+
+def test_smape_subnormal_inputs_stay_in_range(spark):
+    tiny = [(5e-324, 1e-323), (1e-310, 3e-310), (0.0, 5e-324), (2e-308, 1e-320)]
+    df = spark.createDataFrame(tiny, "y double, p double")
+    for r in df.select(smape_term("y", "p").alias("e")).collect():
+        assert 0.0 <= r.e <= 200.0
