@@ -28,6 +28,22 @@ def holdout_calendar(panel: DataFrame, valid: int = C.VALIDATION_LENGTH, t: str
             .select(t, (F.lit(valid + 1) - F.col("_rk")).cast("int").alias("h")))
 
 
+def backtest_calendar(panel: DataFrame, length: int = C.SEQUENCE_LENGTH,
+                      valid: int = C.VALIDATION_LENGTH, t: str = "t") -> DataFrame:
+    """The calendar of a backtest: the last ``valid`` periods ('holdout',
+    pos 1 = first held-out) and the ``length`` periods before them ('input',
+    pos 1 = oldest), i.e. the window the first forecast reads.  Ranks the
+    distinct periods only (bounded by the calendar length)."""
+    dates = panel.select(t).distinct()
+    rk = F.row_number().over(Window.orderBy(F.col(t).desc()))
+    ranked = dates.select(t, rk.alias("_rk")).where(F.col("_rk") <= valid + length)
+    holdout = F.col("_rk") <= valid
+    return ranked.select(
+        t, F.when(holdout, F.lit("holdout")).otherwise(F.lit("input")).alias("role"),
+        F.when(holdout, F.lit(valid + 1) - F.col("_rk"))
+         .otherwise(F.lit(valid + length + 1) - F.col("_rk")).cast("int").alias("pos"))
+
+
 def _mark_holdout(panel: DataFrame, valid: int, y: str, holdout: DataFrame | None) -> DataFrame:
     cal = F.broadcast(holdout if holdout is not None else holdout_calendar(panel, valid))
     return panel.join(cal, "t", "left").select("series", "state", "t", "h", F.col(y).alias("y"))

@@ -45,6 +45,16 @@ scored AS (
 """
 
 
+@register("backtest_calendar", """
+SELECT t, CASE WHEN rk <= 4 THEN 'holdout' ELSE 'input' END AS role,
+       CAST(CASE WHEN rk <= 4 THEN 5 - rk ELSE 13 - rk END AS INTEGER) AS pos
+FROM (SELECT t, row_number() OVER (ORDER BY t DESC) AS rk FROM cal) x
+WHERE rk <= 12
+""")
+def q_backtest_calendar(spark, sf_dir):
+    return fc.backtest_calendar(fx.panel(spark, sf_dir))
+
+
 @register("backtest_persistence", "WITH " + PRED_SQL + """
 SELECT model, series, state, t, h, round(y, 6) AS y, round(p, 6) AS p FROM pred
 """)

@@ -175,3 +175,10 @@ def test_undefined_errors_rank_last(spark):
     assert sel == {"m_ok": 1, "m_null": 2}
     best = {r.model: r.best_mean_smape for r in fc.smape_best_groups_mean(pred, 1).collect()}
     assert best["m_ok"] is not None and best["m_ok"] > 0
+
+
+def test_backtest_calendar_roles(spark):
+    p = _panel(spark, {1: list(range(20)), 2: list(range(20))})
+    cal = fc.backtest_calendar(p).orderBy("t").collect()
+    assert [r.role for r in cal] == ["input"] * 8 + ["holdout"] * 4
+    assert [r.pos for r in cal] == list(range(1, 9)) + list(range(1, 5))
