@@ -182,3 +182,14 @@ def test_backtest_calendar_roles(spark):
     cal = fc.backtest_calendar(p).orderBy("t").collect()
     assert [r.role for r in cal] == ["input"] * 8 + ["holdout"] * 4
     assert [r.pos for r in cal] == list(range(1, 9)) + list(range(1, 5))
+
+
+def test_reference_grids_full_size(spark):
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+    rf = RandomForestRegressor()
+    gbt = GBTRegressor()
+    rf_maps = ml.rf_grid(rf, full=True)
+    gbt_maps = ml.gbt_grid(gbt, full=True)
+    assert len(rf_maps) == 27 and len(gbt_maps) == 12
+    depths = {pm[gbt.maxDepth] for pm in gbt_maps}
+    assert depths == {2, 5}  # 105 exceeds Spark's maximum depth of 30
