@@ -86,3 +86,20 @@ def test_gbt_early_stop_stops(spark):
     tr, va = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
     model, _ = ml.gbt_early_stop(tr, va, ["x"], "y", max_iter=60, tol=0.01)
     assert 1 <= model.getNumTrees < 60
+
+
+def test_last_dates_skip_and_take(spark):
+    from helpers import months
+    rows = [(1, t, 1.0) for t in months(10)]
+    df = spark.createDataFrame(rows, "series int, t date, density double")
+    got = sorted(r.t for r in win.last_dates(df, 3, skip=2).collect())
+    assert got == months(10)[5:8]
+
+
+def test_cluster_conf_scales_partitions():
+    from panelforge.session import cluster_conf
+    small = cluster_conf(16, input_tb=0.001)
+    big = cluster_conf(8000, input_tb=100)
+    assert int(small["spark.sql.shuffle.partitions"]) == 48
+    assert int(big["spark.sql.shuffle.partitions"]) >= 3 * 8000
+    assert big["spark.sql.adaptive.coalescePartitions.enabled"] == "true"
