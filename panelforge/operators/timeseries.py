@@ -138,12 +138,20 @@ def adf(df: DataFrame, y: str = "density", key: str = "series", order: str = "t"
 def ts_summary(df: DataFrame, y: str = "density", max_lags: int = 24, key: str = "series",
                order: str = "t") -> DataFrame:
     """The series dashboard as one long table
-    ``(series, stat, k, value)``: ADF p-value, ACF and PACF by lag."""
-    a = acf(df, y, max_lags, key, order).select(
-        F.col(key).cast("int").alias("series"), F.lit("acf").alias("stat"), "k",
-        F.col("acf").alias("value"))
-    p = pacf(df, y, max_lags, key, order).select(
-        "series", F.lit("pacf").alias("stat"), "k", F.col("pacf").alias("value"))
+    ``(series, stat, k, value)``: ADF p-value, ACF and PACF by lag.  ACF and
+    PACF come from one autocorrelation array per series (one windowed pass),
+    exploded once; the ADF rows come from the per-series test."""
+    a = acf_arrays(df, y, max_lags, key, order)
+    kp = F.least(F.col("K"), (F.col("n") / 2).cast("int") - 1)
+    acf_part = F.transform(F.slice("r", F.lit(1), F.col("K")),
+                           lambda v, i: F.struct(F.lit("acf").alias("stat"), (i + 1).alias("k"),
+                                                 v.alias("value")))
+    pacf_part = F.transform(durbin_levinson(F.col("r"), kp),
+                            lambda v, i: F.struct(F.lit("pacf").alias("stat"), (i + 1).alias("k"),
+                                                  v.alias("value")))
+    both = a.select(F.col(key).cast("int").alias("series"),
+                    F.explode(F.concat(acf_part, pacf_part)).alias("_e"))
+    stats = both.select("series", "_e.stat", F.col("_e.k").cast("int").alias("k"), "_e.value")
     d = adf(df, y, key, order).select(
         "series", F.lit("adf_p").alias("stat"), F.lit(0).alias("k"), F.col("p_value").alias("value"))
-    return a.unionByName(p).unionByName(d)
+    return stats.unionByName(d)
