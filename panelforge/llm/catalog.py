@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_fold, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +21,24 @@ def query(fn):
     return fn
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; of the four folds to learn from, one
+    calibrates and the others are counted."""
+    from .toxicity import score_toxicity
+    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                         train=lambda i: crc_fold(i, 5) > 1, calibrate=lambda i: crc_fold(i, 5) == 1)
+    return out.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two of three folds."""
+    from .langid import predict_language
+    out = predict_language(table(spark, sf_dir, "documents"), train=lambda i: crc_fold(i, 3) != 1)
+    return out.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str,
             path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
