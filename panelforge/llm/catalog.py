@@ -10,10 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .common import crc_fold, table
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_decontamination": oracle.OP5}
 
 
 def query(fn):
@@ -39,6 +40,15 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    from .decontam import contamination
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items",
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str,
             path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:

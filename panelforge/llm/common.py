@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-BLOCK_BYTES = 4 << 20          # text bytes that one vectorised block holds
+BLOCK_BYTES = 2 << 20          # text bytes that one vectorised block holds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
