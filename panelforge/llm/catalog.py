@@ -32,6 +32,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the model of nine folds."""
+    from .ngram_lm import score_texts
+    out = score_texts(table(spark, sf_dir, "documents"), train=lambda i: crc_fold(i, 10) != 0)
+    return out.select("doc_id", (crc_fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", "base_score", "score")
+
+
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two of three folds."""
