@@ -49,6 +49,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    from .ngram_join import similarity_join
+    return similarity_join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
