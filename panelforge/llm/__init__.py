@@ -5,3 +5,11 @@ Ten operators over the ``documents``, ``pages``, ``benchmark``, ``labels`` and
 interface; ``catalog`` holds the thin registered queries.  Nothing else in the
 library imports this subpackage.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their task, so executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

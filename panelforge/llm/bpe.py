@@ -29,6 +29,8 @@ from tokenizers import Regex
 from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
+from .common import worker_cache
+
 MAX_MODEL_BYTES = 64 << 20      # a larger vocabulary file is refused
 CACHE_WORDS = 600_000           # distinct words, and pieces, a worker remembers
 LONG_WORD = 64                  # longer words are not remembered
@@ -207,16 +209,12 @@ class RecentCache(dict):
         return ids
 
 
-_models: dict[str, BpeModel] = {}
-
-
 def model_of(raw: bytes) -> BpeModel:
     """The parsed model, once per Python worker."""
-    key = hashlib.sha256(raw).hexdigest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = BpeModel(raw)
-    return _models[key]
+    key, kept = hashlib.sha256(raw).hexdigest(), worker_cache()
+    if kept.get("bpe", ("",))[0] != key:
+        kept["bpe"] = key, BpeModel(raw)
+    return kept["bpe"][1]
 
 
 def read_model(path: str) -> bytes:

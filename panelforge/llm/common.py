@@ -11,6 +11,8 @@ million of a large monolingual corpus about 3e-6.
 from __future__ import annotations
 
 import os
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+BROADCAST_ROWS = 2_000_000     # rows of one or two numbers that may be broadcast
 BLOCK_BYTES = 2 << 20          # text bytes that one vectorised block holds
 
 
@@ -41,6 +44,19 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint if the counted ``rows`` are within the bound; beyond
+    it Spark joins by shuffle."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def worker_cache() -> dict:
+    """State that outlives a task in its Python worker (functions of this
+    package arrive anew with every task)."""
+    name = "_panelforge_worker_cache"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
 # --------------------------------------------------------------------------
 # Arrow text batches -> byte blocks
 
@@ -86,20 +102,19 @@ ALNUM = byte_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
+    kept = worker_cache()
+    if kept.get("powers", (0,))[0] != size:
         with np.errstate(over="ignore"):
             up, down = np.full(size, _BASE, np.uint64), np.full(size, _INV, np.uint64)
             up[0] = down[0] = 1
             np.multiply.accumulate(up, out=up)
             np.multiply.accumulate(down, out=down)
-        _powers[size] = up, down
-    return _powers[size]
+        kept["powers"] = size, up, down
+    return kept["powers"][1:]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,31 +125,38 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray):
-    """Hashes of all words of a block in text order, and the number of words
-    of each row.  ``lut`` (see ``byte_table``) folds case and names separators."""
-    n_rows = len(offsets) - 1
-    if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(n_rows, np.int64)
+def word_spans(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray):
+    """First and stop byte of every word of a block in text order, and the
+    folded bytes.  ``lut`` (see ``byte_table``) folds case and names separators."""
     folded = lut[data]
     inside = folded != 0
     breaks = offsets[1:-1][offsets[1:-1] < len(data)]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     begin[breaks] |= inside[breaks]
-    starts = np.flatnonzero(begin)
     stop = inside.copy()
     stop[:-1] &= ~inside[1:]
     prev = breaks[breaks > 0] - 1
     stop[prev] |= inside[prev]
-    ends = np.flatnonzero(stop) + 1
-    up, down = _power_tables(len(data) + 1)
+    return np.flatnonzero(begin), np.flatnonzero(stop) + 1, folded
+
+
+def span_hashes(starts: np.ndarray, ends: np.ndarray, folded: np.ndarray) -> np.ndarray:
+    """Hash of the folded bytes of every span."""
+    up, down = _power_tables(len(folded) + 1)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(folded * up[:len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * down[starts]
-    per_row = np.diff(np.searchsorted(starts, offsets))
-    return mix(h), per_row
+        sums = np.zeros(len(folded) + 1, np.uint64)
+        np.cumsum(folded * up[:len(folded)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray):
+    """Hashes of all words of a block in text order, and the number of words
+    of each row."""
+    if len(data) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    starts, ends, folded = word_spans(data, offsets, lut)
+    return span_hashes(starts, ends, folded), np.diff(np.searchsorted(starts, offsets))
 
 
 class HashIndex:

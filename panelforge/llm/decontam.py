@@ -9,7 +9,7 @@ positions, the second rarest must agree on them, and what is left is compared
 word for word with the documents' own words.
 
 Scale: the vocabulary of the benchmark is broadcast only if it has at most
-``BROADCAST_TERMS`` terms, otherwise postings and terms meet in a shuffle join;
+``BROADCAST_ROWS`` terms, otherwise postings and terms meet in a shuffle join;
 term frequencies are summed map-side first; a frequent term's list is read only
 by windows that hold no rarer term.  Joins on (document, start) have one row
 per candidate, so a passage that many documents share grows linearly with the
@@ -27,10 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded, stored
 
 WINDOW = 13
-BROADCAST_TERMS = 500_000
 #: everything that separates words
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,11 +53,6 @@ class PositionalIndex:
         self.postings, self.terms, self.docs = postings, terms, docs
 
 
-def _bounded(df: DataFrame, rows: int, limit: int = BROADCAST_TERMS) -> DataFrame:
-    """A broadcast hint if the counted rows are within the bound."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
                 text_col: str = "text") -> PositionalIndex:
     """Index ``docs`` for searches over the terms of ``vocabulary(term)``."""
@@ -68,7 +62,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = src.select(F.xxhash64("id", "text").alias("doc"), words_of(F.col("text")).alias("words"))
     placed = keyed.select("doc", F.posexplode("words").alias("pos", "term"))
-    postings = stored(placed.join(_bounded(terms, n_terms), "term")
+    postings = stored(placed.join(bounded(terms, n_terms), "term")
                       .select("term_id", "doc", "pos"), "index-postings")
     freq = stored(postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("df")), "index-df")
     return PositionalIndex(postings, terms.join(freq, "term_id", "left").fillna(0, ["df"]), src)
@@ -90,7 +84,7 @@ def _leads(phrases: DataFrame, index: PositionalIndex) -> DataFrame:
     phrase with their offsets; phrases with a term that never occurs go."""
     terms = phrases.select("phrase_id", F.posexplode("phrase").alias("off", "term"))
     n_terms = index.terms.count()
-    known = terms.join(_bounded(index.terms, n_terms), "term")
+    known = terms.join(bounded(index.terms, n_terms), "term")
     by_rarity = Window.partitionBy("phrase_id").orderBy("df", "off")
     ranked = known.withColumn("r", F.row_number().over(by_rarity)).groupBy("phrase_id").agg(
         F.min("df").alias("least"),
@@ -105,12 +99,12 @@ def exact_matches(index: PositionalIndex, phrases: DataFrame) -> DataFrame:
     leads = stored(_leads(phrases, index), "phrase-leads")
     n = leads.count()
     ids = leads.select("phrase_id", "t1", "o1", "t2", "o2")
-    first = (index.postings.join(_bounded(ids, n), F.col("term_id") == F.col("t1"))
+    first = (index.postings.join(bounded(ids, n), F.col("term_id") == F.col("t1"))
              .select("phrase_id", "doc", (F.col("pos") - F.col("o1")).alias("start"), "t2", "o2")
              .where("start >= 0"))
     pair = first.where(F.col("t2").isNotNull())
     need = leads.where(F.col("t2").isNotNull()).select(F.col("t2").alias("term_id")).distinct()
-    second = (index.postings.join(_bounded(need, n), "term_id")
+    second = (index.postings.join(bounded(need, n), "term_id")
               .select(F.col("term_id").alias("t2"), "doc", F.col("pos").alias("at")))
     agreed = (pair.withColumn("at", F.col("start") + F.col("o2"))
               .join(second, ["t2", "doc", "at"], "left_semi").select("phrase_id", "doc", "start"))
@@ -123,7 +117,7 @@ def exact_matches(index: PositionalIndex, phrases: DataFrame) -> DataFrame:
     placed = (words.select("doc", words_of(F.col("text")).alias("words"), "found")
               .select("doc", "words", F.explode("found").alias("f"))
               .select("doc", "words", "f.phrase_id", "f.start"))
-    return (placed.join(_bounded(leads.select("phrase_id", "phrase"), n), "phrase_id")
+    return (placed.join(bounded(leads.select("phrase_id", "phrase"), n), "phrase_id")
             .where(F.slice("words", F.col("start") + 1, F.size("phrase")) == F.col("phrase"))
             .select("phrase_id", "doc", "start"))
 
@@ -155,13 +149,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     lens = stored(windows.select("item", F.xxhash64("phrase").alias("phrase_id"), F.size("phrase").alias("len")), "window-ids")
     n = lens.count()
     length = lens.groupBy("phrase_id").agg(F.first("len").alias("len"))
-    runs = hits.join(_bounded(length, n), "phrase_id").groupBy("doc", "start").agg(F.max("len").alias("len"))
+    runs = hits.join(bounded(length, n), "phrase_id").groupBy("doc", "start").agg(F.max("len").alias("len"))
     reach = F.max(F.col("start") + F.col("len")).over(
         Window.partitionBy("doc").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     hit = (runs.withColumn("fresh", F.greatest(F.col("start"), F.coalesce(reach, F.lit(0))))
            .groupBy("doc").agg(F.sum(F.greatest(F.col("start") + F.col("len") - F.col("fresh"), F.lit(0))).alias("n_hit")))
     found = (hits.select("phrase_id", "doc").distinct()
-             .join(_bounded(lens.select("item", "phrase_id"), n), "phrase_id")
+             .join(bounded(lens.select("item", "phrase_id"), n), "phrase_id")
              .groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("items")))
     out = index.docs.select(F.col("id").alias(id_col), F.xxhash64("id", "text").alias("doc"),
                             F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
