@@ -1,31 +1,80 @@
-"""Corpus pipeline over the ``documents`` table: the stages in order."""
+"""Corpus pipeline over the ``documents`` table.
 
-from __future__ import annotations
+Five stages, each a call of one operator over all that its predecessor kept:
+quality classifier, n-gram Jaccard join, benchmark decontamination, personal
+data, byte-pair encoding.  Filtering stages join the ids they drop (broadcast
+only up to ``BROADCAST_ROWS`` of them), so the texts themselves are shuffled
+only beyond that bound.  A ``doc_id`` names one document; rows without one
+cannot be named and pass the stages that drop by id.
+"""
 
-import os
+from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelforge.llm.bpe import bpe_encode, read_model
-from panelforge.llm.common import stored
+from panelforge.llm.common import bounded, crc_fold, stored, table
+from panelforge.llm.decontam import contamination
+from panelforge.llm.ngram_join import similarity_join
+from panelforge.llm.pii import find_personal_data
+from panelforge.llm.quality import keep_good
 
-#: SQL cannot express the trained stages or the tokenizer.
+#: SQL cannot express the trained stages, MinHash banding or the tokenizer.
 ORACLE_SQL = None
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier does not reject."""
+    return keep_good(docs, table(spark, sf_dir, "labels"),
+                     train=lambda i: crc_fold(i, 5) != 1, calibrate=lambda i: crc_fold(i, 5) == 1)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near
+    copies (five-word shingles, Jaccard 0.8 or more)."""
+    found = stored(similarity_join(docs).select("doc_id", "class_id"), "pipeline-classes")
+    gone = stored(found.where("doc_id <> class_id").select("doc_id").distinct(), "pipeline-gone")
+    kept = docs.join(bounded(gone, gone.count()), "doc_id", "left_anti")
+    again = stored(found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"),
+                   "pipeline-repeated")
+    n = again.count()
+    if n:       # repeated rows of one id
+        once = kept.join(bounded(again, n), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(bounded(again, n), "doc_id", "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth are benchmark passages."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    gone = stored(found.where("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
+    return docs.join(bounded(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by the kind's name."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = find_personal_data(docs, keep=rest).withColumnRenamed("redacted", "text")
+    return (out.withColumn("n_chars", F.char_length("text").cast("bigint"))
+            .select(*docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
-    return bpe_encode(docs, read_model(public_tokenizers.path("word_bpe_49k.json")))
+    """Token ids and their decoding of every document that is left."""
+    return bpe_encode(docs, read_model(TOKENIZER))
 
 
-STAGES = [("tokens", tokens)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminate),
+          ("personal_data", personal_data), ("tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each result is written as Parquet
     in the shared folder and read again by the next stage."""
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

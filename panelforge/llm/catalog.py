@@ -65,6 +65,38 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; one fold of labels is held out, one
+    calibrates, the others are learned."""
+    from .quality import score_quality
+    out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                        train=lambda i: crc_fold(i, 5) > 1, calibrate=lambda i: crc_fold(i, 5) == 1)
+    return out.withColumn("held_out", crc_fold("doc_id", 5) == 0)
+
+
+@query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .html_text import main_text
+    out = main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    from .pii import KINDS, find_personal_data
+    out = find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda k: F.filter(base, lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"),
+                      joined(F.col("spans")).alias("spans"))
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str,
             path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
@@ -73,3 +105,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str,
     out = bpe_encode(table(spark, sf_dir, "documents"), read_model(path))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest rows of every fiftieth vector."""
+    from .ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), is_query=lambda i: i % 50 == 0)
