@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, mix, stored, text_blocks, word_hashes
+from .common import ALNUM, bounded, mix, stored, text_blocks, word_hashes
 from .components import connected_components
 
 N_WORDS = 5
@@ -275,8 +275,8 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = stored(dealt(units.join(sized.drop("n"), "c")).mapInArrow(
         _needed, "c bigint, block int, key bigint, lo int, hi int"), "join-needed")
     # full n-gram sets of the classes that some unit needs, once each
-    wanted = needed.select("c").distinct()
-    texts = src.select("c", "text").join(wanted, "c", "left_semi").dropDuplicates(["c"])
+    wanted = stored(needed.select("c").distinct(), "join-wanted")
+    texts = src.select("c", "text").join(bounded(wanted, wanted.count()), "c", "left_semi").dropDuplicates(["c"])
     sets = stored(shingle_sets(texts, n_words), "join-sets")
     found = stored(dealt(needed.join(sized, "c").join(sets, "c")).mapInArrow(
         _verifier(threshold), "c bigint, root bigint, links bigint"), "join-links")
