@@ -121,7 +121,7 @@ def adf_test(values: np.ndarray, maxlag: int | None = None) -> dict | None:
 def adf_group(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("t")
     res = adf_test(pdf["y"].to_numpy(dtype=float))
-    row = {"series": int(pdf["series"].iloc[0])}
+    row = {"series": pdf["series"].iloc[0]}
     for f in ADF_SCHEMA.fieldNames()[1:]:
         row[f] = None if res is None else res[f]
     return pd.DataFrame([row])

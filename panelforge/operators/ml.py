@@ -395,9 +395,16 @@ def recursive_forecast(model: PipelineModel, state: DataFrame, horizons: DataFra
     ``model.transform``, shifts the prediction into ``x`` and appends it to
     ``preds``; the predictions are exploded once at the end, so each step is
     computed once.  The plan is checkpointed every ``checkpoint_every`` steps
-    to bound its depth."""
+    to bound its depth.
+
+    A series whose ``x`` is NULL, holds a NULL or has fewer than ``length``
+    values cannot be forecast: its rows come with a NULL ``p``.  ``horizons``
+    is broadcast: ``steps`` rows."""
     keep = [c for c in state.columns if c not in ("x",)]
-    cur = state.select(*keep, "x", F.array().cast("array<double>").alias("preds"))
+    ready = F.coalesce((F.size("x") == length) & ~F.exists("x", lambda v: v.isNull()), F.lit(False))
+    short = (state.where(~ready).select("series", "state", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("h"))
+             .withColumn("p", F.lit(None).cast("double")))
+    cur = state.where(ready).select(*keep, "x", F.array().cast("array<double>").alias("preds"))
     for h in range(1, steps + 1):
         scored = model.transform(flatten_windows(cur, length))
         cur = scored.select(
@@ -407,7 +414,8 @@ def recursive_forecast(model: PipelineModel, state: DataFrame, horizons: DataFra
         if checkpoint_every and h % checkpoint_every == 0 and h < steps:
             cur = cur.checkpoint(eager=True)
     long = cur.select("series", "state", F.posexplode("preds").alias("_i", "p"))
-    return (long.withColumn("h", (F.col("_i") + 1).cast("int"))
+    long = long.select("series", "state", (F.col("_i") + 1).cast("int").alias("h"), "p")
+    return (long.unionByName(short)
             .join(F.broadcast(horizons), "h")
             .select(F.lit(model_name).alias("model"), "series", "state", "t", "h", "p"))
 

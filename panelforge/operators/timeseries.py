@@ -53,35 +53,39 @@ def decompose(df: DataFrame, y: str = "density", period: int = C.SEASONAL_PERIOD
         F.when(ok, F.col("y") - F.col("trend") - seasonal).alias("resid"))
 
 
-def acf_arrays(df: DataFrame, y: str = "density", max_lags: int = 24, key: str = "series",
+def acf_arrays(df: DataFrame, y: str = "density", key: str = "series",
                order: str = "t") -> DataFrame:
-    """Per series: ``n``, the lag count ``K = min(ceil(10 log10 n), n // 2,
-    max_lags)`` and ``r`` = [r_1 .. r_max_lags] (biased autocovariance ratio).
-
-    One window spec gives all lags in one sort; the lag products are summed
-    by one grouped aggregate per series (a wide row, no row explosion before
-    the aggregate)."""
-    w = series_window(key, order)
-    centred = df.select(key, order,
-                        (F.col(y) - F.avg(y).over(Window.partitionBy(key))).alias("_c"))
-    lagged = centred.select(key, "_c", *[F.lag("_c", k).over(w).alias(f"_l{k}")
-                                         for k in range(1, max_lags + 1)])
-    sums = lagged.groupBy(key).agg(
-        F.count("_c").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("_s0"),
-        *[F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, max_lags + 1)])
-    n = F.col("n")
-    kmax = F.least(F.ceil(F.lit(10.0) * F.log10(n)).cast("int"), (n / 2).cast("int"),
-                   F.lit(max_lags))
-    r = F.array(*[F.try_divide(F.col(f"_s{k}"), F.col("_s0")) for k in range(1, max_lags + 1)])
-    return sums.select(key, "n", kmax.alias("K"), r.alias("r"))
-
-
-def acf(df: DataFrame, y: str = "density", max_lags: int = 24, key: str = "series",
+    """Per series: ``n``, the lag count ``K = min(ceil(10 log10 n), n // 2)``
+    and ``r`` = [r_1 .. r_K] (biased autocovariance ratio).
+
+    Each series is gathered once into an ordered array (bounded by the length
+    of the calendar); the lags are higher-order functions over it, so their
+    number follows the length of the series.  A NULL keeps its position and
+    adds nothing to any product."""
+    rows = df.groupBy(key).agg(
+        F.count(y).alias("n"), F.avg(y).alias("_m"),
+        F.sort_array(F.collect_list(F.struct(F.col(order), F.col(y).cast("double").alias("_y")))).alias("_s"))
+    c = F.transform("_s", lambda s: F.coalesce(s["_y"] - F.col("_m"), F.lit(0.0)))
+    kmax = F.least(F.ceil(F.lit(10.0) * F.log10("n")).cast("int"), (F.col("n") / 2).cast("int"))
+    rows = rows.select(key, "n", kmax.alias("K"), c.alias("_c"))
+
+    def product(k):
+        later = F.slice(F.col("_c"), k + 1, F.size("_c"))
+        # the shorter side ends the zip with NULLs, which are skipped
+        return F.aggregate(F.zip_with(later, F.col("_c"), lambda p, q: F.coalesce(p * q, F.lit(0.0))),
+                           F.lit(0.0), lambda total, x: total + x)
+
+    lags = F.when(F.col("K") >= 1, F.sequence(F.lit(1), F.col("K"))).otherwise(F.array().cast("array<int>"))
+    r = F.transform(lags, lambda k: F.try_divide(product(k), product(F.lit(0))))
+    return rows.select(key, "n", "K", r.alias("r"))
+
+
+def acf(df: DataFrame, y: str = "density", key: str = "series",
         order: str = "t") -> DataFrame:
     """Autocorrelation per series for k = 1..K with the 95 % Bartlett
     band ``1.96 * sqrt((1 + 2 * sum_{i<k} r_i^2) / n)``; one row per
     (series, k)."""
-    a = acf_arrays(df, y, max_lags, key, order)
+    a = acf_arrays(df, y, key, order)
     long = (a.select(key, "n", "K", F.posexplode("r").alias("_i", "acf"))
             .where(F.col("_i") < F.col("K"))
             .select(key, "n", (F.col("_i") + 1).cast("int").alias("k"), "acf"))
@@ -113,35 +117,37 @@ def durbin_levinson(r: Column, kp: Column) -> Column:
     return F.aggregate(ks, init, step)["out"]
 
 
-def pacf(df: DataFrame, y: str = "density", max_lags: int = 24, key: str = "series",
+def pacf(df: DataFrame, y: str = "density", key: str = "series",
          order: str = "t") -> DataFrame:
     """T4: partial autocorrelation (Yule-Walker with the biased
     autocovariance, solved by Durbin-Levinson on the ACF array) for
     k <= min(K, n // 2 - 1), band ``1.96 / sqrt(n)``.  Runs entirely in
     JVM expressions on one short array per series."""
-    a = acf_arrays(df, y, max_lags, key, order)
+    a = acf_arrays(df, y, key, order)
     kp = F.least(F.col("K"), (F.col("n") / 2).cast("int") - 1)
     out = a.select(key, "n", durbin_levinson(F.col("r"), kp).alias("_p"))
     return (out.select(key, "n", F.posexplode("_p").alias("_i", "pacf"))
-            .select(F.col(key).cast("int").alias(key), (F.col("_i") + 1).cast("int").alias("k"),
+            .select(key, (F.col("_i") + 1).cast("int").alias("k"),
                     "pacf", (F.lit(1.96) / F.sqrt(F.col("n"))).alias("band"), "n"))
 
 
 def adf(df: DataFrame, y: str = "density", key: str = "series", order: str = "t") -> DataFrame:
     """ADF statistic, p-value, lag used, observations, critical values
-    1/5/10 % and best AIC, one row per series."""
-    slim = df.select(F.col(key).cast("int").alias("series"), F.col(order).alias("t"),
-                     F.col(y).cast("double").alias("y"))
-    return slim.groupBy("series").applyInPandas(adf_kernel.adf_group, ADF_SCHEMA)
+    1/5/10 % and best AIC, one row per series, whatever the key's type; rows
+    with a NULL key belong to no series."""
+    slim = df.select(F.col(key).alias("series"), F.col(order).alias("t"),
+                     F.col(y).cast("double").alias("y")).where(F.col("series").isNotNull())
+    schema = T.StructType([slim.schema["series"], *ADF_SCHEMA.fields[1:]])
+    return slim.groupBy("series").applyInPandas(adf_kernel.adf_group, schema)
 
 
-def ts_summary(df: DataFrame, y: str = "density", max_lags: int = 24, key: str = "series",
+def ts_summary(df: DataFrame, y: str = "density", key: str = "series",
                order: str = "t") -> DataFrame:
     """The series dashboard as one long table
     ``(series, stat, k, value)``: ADF p-value, ACF and PACF by lag.  ACF and
     PACF come from one autocorrelation array per series (one windowed pass),
     exploded once; the ADF rows come from the per-series test."""
-    a = acf_arrays(df, y, max_lags, key, order)
+    a = acf_arrays(df, y, key, order)
     kp = F.least(F.col("K"), (F.col("n") / 2).cast("int") - 1)
     acf_part = F.transform(F.slice("r", F.lit(1), F.col("K")),
                            lambda v, i: F.struct(F.lit("acf").alias("stat"), (i + 1).alias("k"),
@@ -149,7 +155,7 @@ def ts_summary(df: DataFrame, y: str = "density", max_lags: int = 24, key: str =
     pacf_part = F.transform(durbin_levinson(F.col("r"), kp),
                             lambda v, i: F.struct(F.lit("pacf").alias("stat"), (i + 1).alias("k"),
                                                   v.alias("value")))
-    both = a.select(F.col(key).cast("int").alias("series"),
+    both = a.select(F.col(key).alias("series"),
                     F.explode(F.concat(acf_part, pacf_part)).alias("_e"))
     stats = both.select("series", "_e.stat", F.col("_e.k").cast("int").alias("k"), "_e.value")
     d = adf(df, y, key, order).select(

@@ -49,7 +49,7 @@ def global_rank(df: DataFrame, key: str, out: str, partitions: int | None = None
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     return (ranged.join(F.broadcast(offsets), "_pid")
-            .select(*[c for c in df.columns], (F.col("_off") + local).cast("int").alias(out)))
+            .select(*[c for c in df.columns], (F.col("_off") + local).cast("bigint").alias(out)))
 
 
 def rolling_stats(df: DataFrame, y: str = "density", window: int = C.ROLLING_WINDOW,

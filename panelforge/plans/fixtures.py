@@ -5,15 +5,15 @@ plays the group ("state") and the month of ``o_orderdate`` plays the period.
 
 * ``panel``: one row per series x calendar month with the number of orders of
   the nation's customers (``active``) and ``density = 100 * active /
-  customers``.  The calendar is every distinct order month before the cutoff.
-* ``attributes``: one row per series with customer and supplier aggregates;
-  suppliers are filtered by balance before a left join, so some series have
-  NULL supplier attributes.
-
-Scale notes: the only large inputs are ``orders`` and ``customer``.  They meet
-in one shuffle join on the customer key (AQE splits a hot customer), and the
-join output is pre-aggregated map-side to (nation, month) counts, so the
-panel costs one pass over ``orders``.  A skewed nation or month is absorbed
+  customers``.  The calendar is every distinct order month.
+* ``attributes``: one row per series with customer and supplier aggregates
+  over all rows; ``avg_funded_bal`` averages only suppliers with a balance
+  above ``FUNDED_BALANCE`` and is NULL for a series without one.
+
+Scale notes: the only large inputs are ``orders`` and ``customer``.  Orders
+are counted per customer and month, then meet the customers by key, and the
+join output is aggregated to (nation, month) counts, so the panel costs one
+pass over ``orders``.  A skewed nation or month is absorbed
 by partial aggregation.  The dense panel has exactly (#series x #months) rows,
 so every per-series group downstream holds at most #months rows whatever the
 size of ``orders``.  The panel is hash-partitioned by series, sorted by
@@ -23,7 +23,6 @@ downstream run without another shuffle and recovery never replays the scan.
 
 from __future__ import annotations
 
-import datetime as dt
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,27 +33,25 @@ from ..session import ensure_checkpoint_dir, session_key
 from ..sources.tables import read_table
 
 # Fixed values of the fixture definition.
-CUTOFF = dt.date(2001, 8, 1)          # first excluded month (partial in the data)
-SUPPLIER_MIN_BALANCE = 9500.0         # supplier filter before the left join
+FUNDED_BALANCE = 9500.0               # of the suppliers that avg_funded_bal averages
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 LATE_MONTHS = 4                       # months of the late-arriving panel
 FUTURE_MONTHS = 4                     # months of the future panel
 CALENDAR_BROADCAST_MAX = 100_000      # months; far above any real calendar
 PANEL_ROWS_PER_PARTITION = 250_000    # target panel partition size (rows)
 
-_lock = threading.Lock()
+_lock = threading.RLock()
 _memo: dict[tuple, DataFrame] = {}
 
 
 def _memoized(spark: SparkSession, key: tuple, build) -> DataFrame:
     full = session_key(spark) + key
+    # builds are serialised: two callers never build the same fixture, and no
+    # plan is made while another build has AQE switched off
     with _lock:
-        df = _memo.get(full)
-    if df is None:
-        df = build()
-        with _lock:
-            _memo[full] = df
-    return df
+        if full not in _memo:
+            _memo[full] = build()
+        return _memo[full]
 
 
 def clear_memo() -> None:
@@ -62,27 +59,20 @@ def clear_memo() -> None:
         _memo.clear()
 
 
-def _ntz(day: dt.date):
-    """Midnight of ``day`` as a TIMESTAMP_NTZ literal (built from text, so no
-    time-zone conversion applies)."""
-    return F.lit(f"{day.isoformat()} 00:00:00").cast("timestamp_ntz")
-
-
-def order_month_counts(spark: SparkSession, sf_dir: str, cutoff: dt.date = CUTOFF) -> DataFrame:
+def order_month_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series, t, active) for every nation-month with at least one order, plus
     rows with NULL series for orders whose customer is unknown (they still
     define calendar months)."""
-    # The month is derived before the join, so a shuffle join on the
-    # customer key moves (8-byte key, 4-byte date) per order instead of a
-    # timestamp; the date filter is written on the raw column so it is
-    # pushed into the Parquet scan.
+    # Orders are counted per (customer, month) before the join: a customer
+    # with any number of orders is at most #months rows of the shuffle.
     orders = (read_table(spark, sf_dir, "orders", ["o_custkey", "o_orderdate"])
-              .where(F.col("o_orderdate") < _ntz(cutoff))
-              .select("o_custkey", F.trunc(F.to_date("o_orderdate"), "month").alias("t")))
+              .where(F.col("o_orderdate").isNotNull())
+              .groupBy("o_custkey", F.trunc(F.to_date("o_orderdate"), "month").alias("t"))
+              .agg(F.count(F.lit(1)).alias("n")))
     customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
     return (joined.groupBy(F.col("c_nationkey").alias("series"), "t")
-            .agg(F.count(F.lit(1)).cast("int").alias("active")))
+            .agg(F.sum("n").cast("int").alias("active")))
 
 
 def series_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,15 +90,14 @@ def customers_per_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("customers"))
 
 
-def build_panel(spark: SparkSession, sf_dir: str, cutoff: dt.date = CUTOFF,
-                checkpoint: bool = True) -> DataFrame:
+def build_panel(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
     """The dense panel ``series, county, state, t, active, density``."""
     ensure_checkpoint_dir(spark)
     # small (at most #nations x #months rows) and read three times below:
     # bounds, calendar and cells.  A checkpoint rather than a cache: under
     # AQE a cached plan keeps all shuffle partitions uncoalesced, a
     # checkpoint is written from the coalesced plan (and cuts lineage).
-    counts = order_month_counts(spark, sf_dir, cutoff)
+    counts = order_month_counts(spark, sf_dir)
     if checkpoint:
         counts = counts.checkpoint(eager=True)
     bounds = counts.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
@@ -182,17 +171,9 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_fixtures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Panel and attributes, built concurrently (independent jobs; Spark
-    schedules them side by side on free cores).  Returns (panel, attributes)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark import inheritable_thread_target
-
-    # the worker threads inherit the caller's job group and scheduler pool
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        fp = pool.submit(inheritable_thread_target(panel), spark, sf_dir)
-        fa = pool.submit(inheritable_thread_target(attributes), spark, sf_dir)
-        return fp.result(), fa.result()
+    """Panel and attributes.  One after the other: the panel's checkpoint
+    switches AQE off for its own job, which a plan made meanwhile would see."""
+    return panel(spark, sf_dir), attributes(spark, sf_dir)
 
 
 def holdout(spark: SparkSession, sf_dir: str, valid: int = C.VALIDATION_LENGTH) -> DataFrame:
@@ -229,9 +210,10 @@ def future_panel(spark: SparkSession, sf_dir: str, months: int = FUTURE_MONTHS)
 
 
 def attributes(spark: SparkSession, sf_dir: str,
-               min_supplier_balance: float = SUPPLIER_MIN_BALANCE) -> DataFrame:
+               funded_balance: float = FUNDED_BALANCE) -> DataFrame:
     """One row per series: customer count, mean balance, market-segment
-    shares, count and mean balance of well-funded suppliers."""
+    shares, supplier count and mean balance, and the mean balance of the
+    suppliers above ``funded_balance`` (NULL where there is none)."""
     def build():
         customer = read_table(spark, sf_dir, "customer",
                               ["c_nationkey", "c_acctbal", "c_mktsegment"])
@@ -240,17 +222,18 @@ def attributes(spark: SparkSession, sf_dir: str,
         cust = customer.groupBy(F.col("c_nationkey").cast("int").alias("series")).agg(
             F.count(F.lit(1)).alias("customers"), F.avg("c_acctbal").alias("avg_acctbal"),
             *shares)
-        supplier = (read_table(spark, sf_dir, "supplier", ["s_nationkey", "s_acctbal"])
-                    .where(F.col("s_acctbal") > F.lit(min_supplier_balance)))
+        supplier = read_table(spark, sf_dir, "supplier", ["s_nationkey", "s_acctbal"])
+        funded = F.when(F.col("s_acctbal") > F.lit(funded_balance), F.col("s_acctbal"))
         supp = supplier.groupBy(F.col("s_nationkey").cast("int").alias("series")).agg(
-            F.count(F.lit(1)).alias("suppliers"), F.avg("s_acctbal").alias("avg_supp_bal"))
+            F.count(F.lit(1)).alias("suppliers"), F.avg("s_acctbal").alias("avg_supp_bal"),
+            F.avg(funded).alias("avg_funded_bal"))
         out = (cust.join(supp, "series", "left")
                .select("series", "customers", "avg_acctbal",
                        *[f"share_{s.lower()}" for s in SEGMENTS],
                        F.coalesce("suppliers", F.lit(0)).cast("bigint").alias("suppliers"),
-                       "avg_supp_bal"))
+                       "avg_supp_bal", "avg_funded_bal"))
         return out.checkpoint(eager=True)
-    return _memoized(spark, ("attributes", sf_dir, min_supplier_balance), build)
+    return _memoized(spark, ("attributes", sf_dir, funded_balance), build)
 
 
 def typed_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,14 +9,13 @@ explicitly so names, types and values line up with the Spark results.
 from __future__ import annotations
 
 # Fixed values of the fixture definition (same as plans.fixtures).
-CUTOFF_SQL = "TIMESTAMP '2001-08-01 00:00:00'"
 ANCHOR_SQL = "DATE '2000-01-01'"
-SUPPLIER_MIN_BALANCE_SQL = "9500.0"
+FUNDED_BALANCE_SQL = "9500.0"
 
 FIXTURE_CTES = f"""
 cal AS (
   SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS t
-  FROM orders WHERE o_orderdate < {CUTOFF_SQL}
+  FROM orders WHERE o_orderdate IS NOT NULL
 ),
 ser AS (
   SELECT CAST(n.n_nationkey AS INTEGER) AS series, n.n_name AS county, r.r_name AS state
@@ -30,7 +29,7 @@ cnt AS (
   SELECT CAST(c.c_nationkey AS INTEGER) AS series,
          CAST(date_trunc('month', o.o_orderdate) AS DATE) AS t, count(*) AS active
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-  WHERE o.o_orderdate < {CUTOFF_SQL}
+  WHERE o.o_orderdate IS NOT NULL
   GROUP BY 1, 2
 ),
 panel AS (
@@ -44,7 +43,7 @@ panel AS (
 attrs AS (
   SELECT c.series, c.customers, c.avg_acctbal, c.share_automobile, c.share_building,
          c.share_furniture, c.share_household, c.share_machinery,
-         CAST(coalesce(s.suppliers, 0) AS BIGINT) AS suppliers, s.avg_supp_bal
+         CAST(coalesce(s.suppliers, 0) AS BIGINT) AS suppliers, s.avg_supp_bal, s.avg_funded_bal
   FROM (
     SELECT CAST(c_nationkey AS INTEGER) AS series, count(*) AS customers,
            avg(c_acctbal) AS avg_acctbal,
@@ -57,8 +56,9 @@ attrs AS (
   ) c
   LEFT JOIN (
     SELECT CAST(s_nationkey AS INTEGER) AS series, count(*) AS suppliers,
-           avg(s_acctbal) AS avg_supp_bal
-    FROM supplier WHERE s_acctbal > {SUPPLIER_MIN_BALANCE_SQL} GROUP BY s_nationkey
+           avg(s_acctbal) AS avg_supp_bal,
+           avg(CASE WHEN s_acctbal > {FUNDED_BALANCE_SQL} THEN s_acctbal END) AS avg_funded_bal
+    FROM supplier GROUP BY s_nationkey
   ) s ON s.series = c.series
 ),
 ncal AS (SELECT count(*) AS n_periods FROM cal)

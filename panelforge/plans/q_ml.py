@@ -75,12 +75,12 @@ def _attr_panel(spark, sf_dir) -> DataFrame:
 SELECT p.series, p.t, CAST(5 AS INTEGER) AS n_features,
        CAST((year(p.t) - 2019) * 12 + month(p.t) - 8 AS DOUBLE) AS f_x,
        CAST(a.customers AS DOUBLE) AS f_customers, round(a.avg_acctbal, 6) AS f_avg_acctbal,
-       CAST(a.suppliers AS DOUBLE) AS f_suppliers, round(a.avg_supp_bal, 6) AS f_avg_supp_bal
+       CAST(a.suppliers AS DOUBLE) AS f_suppliers, round(a.avg_funded_bal, 6) AS f_avg_funded_bal
 FROM panel p JOIN attrs a ON p.series = a.series
-WHERE a.avg_supp_bal IS NOT NULL
+WHERE a.avg_funded_bal IS NOT NULL
 """)
 def q_assemble_features(spark, sf_dir):
-    feats = ["x", "customers", "avg_acctbal", "suppliers", "avg_supp_bal"]
+    feats = ["x", "customers", "avg_acctbal", "suppliers", "avg_funded_bal"]
     data = ml.assemble(_attr_panel(spark, sf_dir), feats, "features", "skip")
     arr = F.col("_a")
     out = data.select("series", "t", vector_to_array("features").alias("_a"))
@@ -146,15 +146,17 @@ def _windows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def _recursive_state(spark, sf_dir) -> DataFrame:
-    """Per series, the last SEQ_LEN values before the hold-out (oldest first)."""
+    """Per series, the last SEQ_LEN known values before the hold-out (oldest
+    first); a series with fewer of them keeps its row and is not forecast."""
     repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
     hold = fx.holdout(spark, sf_dir, VALID)
     hist = repaired.join(F.broadcast(hold), "t", "left_anti")
+    ids = hist.select("series", "county", "state").distinct()
+    hist = hist.where(F.col("density").isNotNull())
     last = win.last_values(hist, "density", SEQ_LEN, extra=("county", "state"))
-    return last.groupBy("series").agg(
-        F.first("county").alias("county"), F.first("state").alias("state"),
-        F.transform(F.sort_array(F.collect_list(F.struct("t", "density"))),
-                    lambda s: s["density"]).alias("x")).where(F.size("x") == SEQ_LEN)
+    x = last.groupBy("series").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("t", "density"))), lambda s: s["density"]).alias("x"))
+    return ids.join(x, "series", "left")
 
 
 @register("gbt_early_stop")
@@ -193,7 +195,7 @@ def q_param_search(spark, sf_dir):
                                      group_col="state" if s["use_state"] else None,
                                      series_col="county" if s["use_county"] else None,
                                      reg_param=s["l2"], epsilon=s["epsilon"])
-    return rounded(ml.random_search_pipelines(train, valid, build, space, n_trials=6,
+    return rounded(ml.random_search_pipelines(train, valid, build, space, n_trials=C.SEARCH_TRIALS,
                                               label="target", seed=C.GLOBAL_SEED))
 
 

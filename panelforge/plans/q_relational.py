@@ -14,7 +14,7 @@ from .catalog import register, rounded
 
 PANEL_COLS = "series, county, state, t, active, round(density, 6) AS density"
 ATTR_COLS = ("customers", "avg_acctbal", "share_automobile", "share_building", "share_furniture",
-             "share_household", "share_machinery", "suppliers", "avg_supp_bal")
+             "share_household", "share_machinery", "suppliers", "avg_supp_bal", "avg_funded_bal")
 ATTR_SQL = ", ".join(
     f"round({c}, 6) AS {c}" if c.startswith(("avg", "share")) else c for c in ATTR_COLS)
 
@@ -106,8 +106,8 @@ def q_panel_attr_join(spark, sf_dir):
 
 @register("null_profile", """
 SELECT county, state, col AS "column", count(*) AS n_nulls
-FROM (SELECT p.county, p.state, 'avg_supp_bal' AS col FROM panel p JOIN attrs a USING (series)
-      WHERE a.avg_supp_bal IS NULL
+FROM (SELECT p.county, p.state, 'avg_funded_bal' AS col FROM panel p JOIN attrs a USING (series)
+      WHERE a.avg_funded_bal IS NULL
       UNION ALL
       SELECT p.county, p.state, 'density' AS col FROM panel p JOIN attrs a USING (series)
       WHERE p.density IS NULL) x
@@ -115,7 +115,7 @@ GROUP BY county, state, col
 """)
 def q_null_profile(spark, sf_dir):
     joined = joins.panel_attr_join(fx.panel(spark, sf_dir), fx.attributes(spark, sf_dir))
-    return agg.null_profiles(joined, ["avg_supp_bal", "density"])
+    return agg.null_profiles(joined, ["avg_funded_bal", "density"])
 
 
 @register("complete_rows", f"""
@@ -123,6 +123,7 @@ SELECT p.series, p.county, p.state, p.t, p.active, round(p.density, 6) AS densit
 FROM panel p JOIN attrs a ON p.series = a.series
 WHERE p.county IS NOT NULL AND p.state IS NOT NULL AND p.density IS NOT NULL
   AND a.avg_acctbal IS NOT NULL AND a.avg_supp_bal IS NOT NULL
+  AND a.avg_funded_bal IS NOT NULL
 """)
 def q_complete_rows(spark, sf_dir):
     joined = joins.panel_attr_join(fx.panel(spark, sf_dir), fx.attributes(spark, sf_dir))
@@ -132,7 +133,8 @@ def q_complete_rows(spark, sf_dir):
 
 @register("drop_columns", """
 SELECT p.series, p.t, p.active, round(p.density, 6) AS density,
-       a.customers, a.suppliers, round(a.avg_supp_bal, 6) AS avg_supp_bal
+       a.customers, a.suppliers, round(a.avg_supp_bal, 6) AS avg_supp_bal,
+       round(a.avg_funded_bal, 6) AS avg_funded_bal
 FROM panel p JOIN attrs a ON p.series = a.series
 """)
 def q_drop_columns(spark, sf_dir):

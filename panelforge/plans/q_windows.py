@@ -174,14 +174,14 @@ c AS (
 ),
 prod AS (
   SELECT a.series, k.k, sum(a.c * b.c) AS s
-  FROM c a JOIN (SELECT unnest(range(1, 25)) AS k) k ON TRUE
+  FROM c a JOIN (SELECT unnest(range(1, (SELECT max(rn) FROM c))) AS k) k ON TRUE
   JOIN c b ON a.series = b.series AND b.rn = a.rn - k.k
   GROUP BY a.series, k.k
 ),
 s0 AS (SELECT series, count(c) AS n, sum(c * c) AS s0 FROM c GROUP BY series),
 r AS (
   SELECT s0.series, CAST(prod.k AS INTEGER) AS k, prod.s / s0.s0 AS acf, s0.n,
-         least(CAST(ceil(10.0 * log10(s0.n)) AS INTEGER), CAST(s0.n // 2 AS INTEGER), 24) AS kk
+         least(CAST(ceil(10.0 * log10(s0.n)) AS INTEGER), CAST(s0.n // 2 AS INTEGER)) AS kk
   FROM s0 JOIN prod ON prod.series = s0.series
 )
 """

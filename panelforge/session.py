@@ -27,6 +27,8 @@ SESSION_DEFAULTS = {
     # that partitioning instead of re-shuffling both sides; every series
     # is bounded by the calendar length, so the co-partition is not skewed.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # checkpoint files go when their DataFrame does
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -57,7 +59,7 @@ def cluster_conf(total_cores: int, input_tb: float = 100.0) -> dict[str, str]:
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app_name: str = "panelforge", driver_memory: str = "16g",
+                  app_name: str = "panelforge", driver_memory: str = "8g",
                   extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(SESSION_DEFAULTS)
@@ -95,6 +97,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="panelforge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is not None:

@@ -32,11 +32,12 @@ def _norm(v):
     return v
 
 
-FAST = ["group_time_corr", "key_coverage", "null_profile", "rolling_stats", "sequence_windows",
-        "decompose_level", "acf_by_series", "smape_by_horizon", "backtest_select", "future_state_ids"]
+def _with_oracle():
+    from panelforge.plans.catalog import ORACLE
+    return sorted(ORACLE)
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", _with_oracle())
 def test_oracle_matches_small(spark, name):
     import __spark_entry__ as e
     sf = SF_ORACLE if os.path.exists(SF_ORACLE) else SF_SMOKE

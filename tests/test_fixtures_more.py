@@ -13,8 +13,8 @@ def test_panel_shape_and_partitioning(spark):
     p = fx.panel(spark, SF_ORACLE)
     prof = p.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("series").alias("s"),
                  F.count_distinct("t").alias("m"), F.max("t").alias("hi")).first()
-    assert (prof.n, prof.s, prof.m) == (1975, 25, 79)
-    assert prof.hi == dt.date(2001, 7, 1)
+    assert (prof.n, prof.s, prof.m) == (2000, 25, 80)
+    assert prof.hi == dt.date(2001, 8, 1)
     # every (series, t) exactly once
     assert p.groupBy("series", "t").count().where("count > 1").count() == 0
     # per-series windows need no shuffle on the fixture
@@ -28,14 +28,18 @@ def test_late_and_future_panels(spark):
     assert late.select("t").distinct().count() == 4 and late.count() == 100
     fut = fx.future_panel(spark, SF_ORACLE)
     ts = sorted(r.t for r in fut.select("t").distinct().collect())
-    assert ts == [dt.date(2001, 8, 1), dt.date(2001, 9, 1), dt.date(2001, 10, 1), dt.date(2001, 11, 1)]
+    assert ts == [dt.date(2001, 9, 1), dt.date(2001, 10, 1), dt.date(2001, 11, 1), dt.date(2001, 12, 1)]
     assert fut.count() == 100
 
 
 def test_attributes_have_null_supplier_balance(spark):
     a = fx.attributes(spark, SF_ORACLE)
     assert a.count() == 25
-    assert a.where("avg_supp_bal IS NULL").count() > 0
+    assert a.where("avg_funded_bal IS NULL").count() > 0
+    # every supplier and every order is in the fixtures
+    tables = {n: spark.read.parquet(f"{SF_ORACLE}/{n}.parquet").count() for n in ("supplier", "orders")}
+    assert a.agg(F.sum("suppliers")).first()[0] == tables["supplier"]
+    assert fx.panel(spark, SF_ORACLE).agg(F.sum("active")).first()[0] == tables["orders"]
     shares = a.select((F.col("share_automobile") + F.col("share_building") + F.col("share_furniture")
                        + F.col("share_household") + F.col("share_machinery")).alias("s")).collect()
     assert all(abs(r.s - 1.0) < 1e-9 for r in shares)

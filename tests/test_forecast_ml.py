@@ -193,3 +193,18 @@ def test_reference_grids_full_size(spark):
     assert len(rf_maps) == 27 and len(gbt_maps) == 12
     depths = {pm[gbt.maxDepth] for pm in gbt_maps}
     assert depths == {2, 5}  # 105 exceeds Spark's maximum depth of 30
+
+
+def test_recursive_forecast_reports_series_it_cannot_forecast(spark):
+    rng = np.random.default_rng(1)
+    rows = [(s, "A", [float(v) for v in rng.normal(size=8)], float(rng.normal())) for s in range(30)]
+    train = ml.flatten_windows(spark.createDataFrame(rows, "series int, state string, x array<double>, target double"))
+    model = ml.pooled_ar_pipeline("linear").fit(train)
+    state = spark.createDataFrame(
+        [(1, "A", [1.0] * 8), (2, "A", [1.0] * 7 + [None]), (3, "A", [1.0] * 5), (4, "A", None)],
+        "series int, state string, x array<double>")
+    horizons = spark.createDataFrame([(h, f"t{h}") for h in range(1, 5)], "h int, t string")
+    out = ml.recursive_forecast(model, state, horizons).collect()
+    assert len(out) == 16
+    assert {r.series for r in out if r.p is None} == {2, 3, 4}
+    assert sum(r.p is not None for r in out) == 4

@@ -23,7 +23,7 @@ def test_acf_matches_numpy(spark):
     rng = np.random.default_rng(3)
     y = rng.normal(size=80).cumsum()
     out = ts.acf(_panel(spark, {7: y.tolist()})).orderBy("k").toPandas()
-    K = min(math.ceil(10 * math.log10(80)), 40, 24)
+    K = min(math.ceil(10 * math.log10(80)), 40)
     assert out.k.tolist() == list(range(1, K + 1))
     r = _np_acf(y, K)
     np.testing.assert_allclose(out.acf, r, atol=1e-12)
@@ -31,6 +31,21 @@ def test_acf_matches_numpy(spark):
     np.testing.assert_allclose(out.band, band, atol=1e-12)
 
 
+def test_acf_lags_follow_the_length(spark):
+    y = np.random.default_rng(5).normal(size=300)
+    out = ts.acf(_panel(spark, {1: y.tolist()})).orderBy("k").toPandas()
+    assert len(out) == 25
+    np.testing.assert_allclose(out.acf, _np_acf(y, 25), atol=1e-12)
+
+
+def test_series_key_of_any_type(spark):
+    y = np.random.default_rng(6).normal(size=60).cumsum()
+    df = _panel(spark, {1: y.tolist(), 2: (-y).tolist()}).withColumn("series", F.concat(F.lit("s"), "series"))
+    assert {r.series for r in ts.adf(df).collect()} == {"s1", "s2"}
+    assert {r.series for r in ts.pacf(df).collect()} == {"s1", "s2"}
+    assert {r.stat for r in ts.ts_summary(df).collect()} == {"adf_p", "acf", "pacf"}
+
+
 def test_pacf_matches_yule_walker(spark):
     rng = np.random.default_rng(4)
     e = rng.normal(size=200)
