@@ -29,10 +29,10 @@ from tokenizers import Regex
 from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
-from .common import worker_cache
+from .common import release, worker_cache
 
 MAX_MODEL_BYTES = 64 << 20      # a larger vocabulary file is refused
-CACHE_WORDS = 600_000           # distinct words, and pieces, a worker remembers
+CACHE_WORDS = 500_000           # distinct words, and pieces, a worker remembers
 LONG_WORD = 64                  # longer words are not remembered
 
 # Fixed values of the file format: its split pattern, white space, and the
@@ -234,13 +234,14 @@ def bpe_encode(df: DataFrame, model: bytes, id_col: str = "doc_id",
     def run(batches):
         m = model_of(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 ids = [m.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
                      pa.array(ids, pa.binary()), pa.array([m.decode(x) for x in ids], pa.string())],
                     names=["id", "n_tokens", "ids", "decoded"])
+            release()
 
     src = df.selectExpr(f"`{id_col}` AS id", f"CAST(`{text_col}` AS STRING) AS text")
     kind = src.schema["id"].dataType.simpleString()

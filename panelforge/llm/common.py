@@ -10,6 +10,7 @@ million of a large monolingual corpus about 3e-6.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import types
@@ -23,10 +24,21 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 BROADCAST_ROWS = 2_000_000     # rows of one or two numbers that may be broadcast
-BLOCK_BYTES = 2 << 20          # text bytes that one vectorised block holds
+BATCH_ROWS = 2_000             # rows of a batch handed to Python
+BLOCK_BYTES = 1 << 20          # text bytes that one vectorised block holds
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Rows here are long texts: unless the session says otherwise, hand them
+    to Python in batches of ``BATCH_ROWS`` instead of Spark's 10,000, which
+    bounds the Arrow buffers on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -39,6 +51,7 @@ def crc_fold(id_col: str | Column, k: int) -> Column:
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back: cuts
     lineage, survives lost executors and feeds several later passes."""
+    short_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -57,6 +70,15 @@ def worker_cache() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on and
+    would otherwise keep the peak of every operator it has served."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # --------------------------------------------------------------------------
 # Arrow text batches -> byte blocks
 
@@ -80,6 +102,7 @@ def text_blocks(batch: pa.RecordBatch, column: str, max_bytes: int = BLOCK_BYTES
         lo, hi = off[first], off[stop]
         yield first, stop, data[lo:hi], off[first:stop + 1] - lo
         first = stop
+    release()
 
 
 # --------------------------------------------------------------------------
@@ -105,9 +128,9 @@ _INV = pow(_BASE, -1, 1 << 64)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
     kept = worker_cache()
-    if kept.get("powers", (0,))[0] != size:
+    if kept.get("powers", (0,))[0] < n:
+        size = -(-n // BLOCK_BYTES) * BLOCK_BYTES
         with np.errstate(over="ignore"):
             up, down = np.full(size, _BASE, np.uint64), np.full(size, _INV, np.uint64)
             up[0] = down[0] = 1
@@ -152,11 +175,24 @@ def span_hashes(starts: np.ndarray, ends: np.ndarray, folded: np.ndarray) -> np.
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray):
     """Hashes of all words of a block in text order, and the number of words
-    of each row."""
+    of each row.  Large blocks are hashed in pieces of whole rows."""
+    n_rows = len(offsets) - 1
     if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    starts, ends, folded = word_spans(data, offsets, lut)
-    return span_hashes(starts, ends, folded), np.diff(np.searchsorted(starts, offsets))
+        return np.zeros(0, np.uint64), np.zeros(n_rows, np.int64)
+    hashes, counts, a = [], [], 0
+    while a < n_rows:
+        b = int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES, "right")) - 1
+        b = min(max(b, a + 1), n_rows)
+        off = offsets[a:b + 1] - offsets[a]
+        part = data[offsets[a]:offsets[b]]
+        if len(part):
+            starts, ends, folded = word_spans(part, off, lut)
+            hashes.append(span_hashes(starts, ends, folded))
+            counts.append(np.diff(np.searchsorted(starts, off)))
+        else:
+            counts.append(np.zeros(b - a, np.int64))
+        a = b
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
 class HashIndex:

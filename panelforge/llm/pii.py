@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
+from .common import release
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 20_000
@@ -237,6 +238,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                      pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
                                                          ("end", pa.int64()), ("base", pa.bool_())]))),
                      pa.array(clean, pa.string())], names=["id", *names.values(), "spans", "redacted"])
+            release()
 
     kinds = "".join(f", {n} {src.schema[n].dataType.simpleString()}" for n in names.values())
     out = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}{kinds}, "
