@@ -174,7 +174,7 @@ c AS (
 ),
 prod AS (
   SELECT a.series, k.k, sum(a.c * b.c) AS s
-  FROM c a JOIN (SELECT unnest(range(1, (SELECT max(rn) FROM c))) AS k) k ON TRUE
+  FROM c a JOIN (SELECT unnest(range(1, (SELECT max(rn) // 2 FROM c))) AS k) k ON TRUE
   JOIN c b ON a.series = b.series AND b.rn = a.rn - k.k
   GROUP BY a.series, k.k
 ),
