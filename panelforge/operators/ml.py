@@ -169,14 +169,14 @@ def cross_validate(df: DataFrame, estimator, grid, features: list[str], label: s
     features = feature_columns_checked(features, label)
     keys = split_keys or features
     data = hash_split(assemble(df, features), keys, train_pct)
-    # A file scan already has a deterministic layout and row order, so the
-    # seeded fold assignment is reproducible without re-shuffling the table;
-    # pass a shuffled input through ``stable_layout`` first.
-    train = data.where(F.col("split") == "train")
+    # Folds by a hash of the keys: the same rows meet in a fold whatever the
+    # partition layout or the number of cores.
+    fold = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(folds)).cast("int")
+    train = data.where(F.col("split") == "train").withColumn("_fold", fold)
     test = data.where(F.col("split") == "test")
     evaluator = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator,
-                        numFolds=folds, seed=seed, parallelism=parallelism)
+                        numFolds=folds, seed=seed, parallelism=parallelism, foldCol="_fold")
     model = cv.fit(train)
     holdout = evaluator.evaluate(model.transform(test))
     names = sorted({p.name for pm in grid for p in pm})

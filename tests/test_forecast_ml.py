@@ -208,3 +208,14 @@ def test_recursive_forecast_reports_series_it_cannot_forecast(spark):
     assert len(out) == 16
     assert {r.series for r in out if r.p is None} == {2, 3, 4}
     assert sum(r.p is not None for r in out) == 4
+
+
+def test_cross_validation_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), float(b), float(2 * a - b + rng.normal() / 9)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y double")
+    lr = LinearRegression(labelCol="y", featuresCol="features", solver="normal")
+    grid = [{lr.regParam: v} for v in (0.0, 0.5)]
+    out = [[(round(r.avg_rmse, 9), round(r.holdout_rmse, 9), r.best) for r in ml.cross_validate(
+        df.repartition(n), lr, grid, ["a", "b"], "y", split_keys=["id"]).collect()] for n in (1, 3)]
+    assert out[0] == out[1]
