@@ -38,7 +38,7 @@ LONG_WORD = 64                  # longer words are not remembered
 # Fixed values of the file format: its split pattern, white space, and the
 # printable stand-ins of the 256 bytes.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{L}{N}]+"
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 END = "</w>"
 
 
