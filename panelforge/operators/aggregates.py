@@ -93,14 +93,15 @@ def null_profile(df: DataFrame, column: str, keys: tuple[str, ...] = ("county",
 
 def null_profiles(df: DataFrame, columns: list[str],
                   keys: tuple[str, ...] = ("county", "state")) -> DataFrame:
-    """A7 for several columns in one pass: the table is scanned once and
-    unpivoted to (key, column, is_null) before the grouped count."""
-    stacked = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("isnull")) for c in columns
-    ])).alias("_c"))
-    return (stacked.where(F.col("_c.isnull"))
-            .groupBy(*keys, F.col("_c.column").alias("column"))
-            .agg(F.count(F.lit(1)).alias("n_nulls")))
+    """A7 for several columns in one pass: NULLs are counted per key and
+    column in one aggregate, whose result is unpivoted to (key, column,
+    n_nulls); columns without a NULL give no row."""
+    counts = df.groupBy(*keys).agg(*[F.count_if(F.col(c).isNull()).alias(f"_n{i}")
+                                     for i, c in enumerate(columns)])
+    stacked = counts.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n_nulls"))
+        for i, c in enumerate(columns)])).alias("_c"))
+    return stacked.select(*keys, "_c.column", "_c.n_nulls").where("n_nulls > 0")
 
 
 def mean_series(panel: DataFrame, y: str = "density", t: str = "t",

@@ -147,11 +147,27 @@ def rmse_by(pred: DataFrame, keys: list[str]) -> DataFrame:
 
 def select_model(pred: DataFrame, model_order: list[str]) -> DataFrame:
     """Models ranked by mean per-series SMAPE (ties broken by the
-    given model order); ``selected`` marks the best one."""
+    given model order); ``selected`` marks the best one.
+
+    Models are compared on the same cells: those (series, t) for which each
+    model with any defined error has one.  ``coverage`` is the share of its
+    own cells that a model predicts, so a model cannot win by predicting only
+    easy series unnoticed.  A model without a defined error ranks last; if no
+    cell is common, every ``mean_smape`` is NULL and the order decides."""
     order = F.array_position(F.array(*[F.lit(m) for m in model_order]), F.col("model"))
-    macro = (smape_by(pred, ["series"]).groupBy("model")
-             .agg(F.avg("smape").alias("mean_smape")))
+    cell = Window.partitionBy("series", "t")
+    known = F.when(F.col("_e").isNotNull(), F.col("model"))
+    scored = with_smape(pred)
+    able = scored.agg(F.count_distinct(known).alias("n")).first()["n"]
+    marked = scored.withColumn("_all", F.size(F.collect_set(known).over(cell)) == able)
+    per_series = marked.groupBy("model", "series").agg(
+        F.avg(F.when(F.col("_all"), F.col("_e"))).alias("smape"),
+        F.count("_e").alias("_known"), F.count(F.lit(1)).alias("_cells"))
+    macro = per_series.groupBy("model").agg(
+        F.avg("smape").alias("mean_smape"),
+        (F.sum("_known") / F.sum("_cells")).alias("coverage"))
     # a model without a defined error ranks last, never selected first
     rk = F.row_number().over(Window.orderBy(F.col("mean_smape").asc_nulls_last(), F.col("_ord")))
-    return (macro.withColumn("_ord", order.cast("int")).select("model", "mean_smape", rk.alias("rank"))
+    return (macro.withColumn("_ord", order.cast("int"))
+            .select("model", "mean_smape", "coverage", rk.alias("rank"))
             .withColumn("selected", F.col("rank") == 1))

@@ -80,6 +80,11 @@ def lookup_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, key, "inner")
 
 
+def attach_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """J3, keeping every row: a key without an id gets a NULL one."""
+    return df.join(ids, key, "left")
+
+
 def missing_keys(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Keys of ``df`` absent from the id table (the reference raised KeyError)."""
     return df.select(key).distinct().join(ids.select(key), key, "left_anti")

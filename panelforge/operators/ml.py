@@ -15,8 +15,7 @@ import math
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
-from pyspark.ml.feature import (OneHotEncoder, PCA, SQLTransformer, StandardScaler,
-                                StringIndexer, TargetEncoder, VectorAssembler)
+from pyspark.ml.feature import OneHotEncoder, PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -250,26 +249,8 @@ def sample_param_maps(estimator, space: dict, n_trials: int = C.SEARCH_TRIALS,
     """Seeded random search.  ``space`` maps a param name to a list of
     choices or to ``("log", lo, hi)`` / ``("uniform", lo, hi)``.  Distinct
     maps only; at most ``n_trials``."""
-    rng = np.random.default_rng(seed)
-    maps, seen = [], set()
-    for _ in range(n_trials * 20):
-        if len(maps) >= n_trials:
-            break
-        pm = {}
-        for name, spec in space.items():
-            if isinstance(spec, tuple) and spec and spec[0] in ("log", "uniform"):
-                kind, lo, hi = spec
-                v = math.exp(rng.uniform(math.log(lo), math.log(hi))) if kind == "log" \
-                    else rng.uniform(lo, hi)
-                v = float(f"{v:.6g}")
-            else:
-                v = spec[int(rng.integers(len(spec)))]
-            pm[name] = v
-        sig = tuple(sorted(pm.items()))
-        if sig not in seen:
-            seen.add(sig)
-            maps.append(pm)
-    return [{estimator.getParam(k): v for k, v in pm.items()} for pm in maps]
+    return [{estimator.getParam(k): v for k, v in pm.items()}
+            for pm in sample_settings(space, n_trials, seed)]
 
 
 def sample_settings(space: dict, n_trials: int = C.SEARCH_TRIALS,
@@ -343,13 +324,35 @@ def flatten_windows(windows: DataFrame, length: int = C.SEQUENCE_LENGTH) -> Data
     return windows.select("*", *[F.element_at("x", i).alias(f"x_{i}") for i in range(1, length + 1)])
 
 
+def series_encoding(train: DataFrame, key: str = "series", label: str = "target",
+                    smoothing: float = 1.0, out: str = "series_te") -> DataFrame:
+    """One row per series of ``train`` with its smoothed mean target,
+    ``(sum + smoothing * overall mean) / (rows + smoothing)``: the counterpart
+    of a learned series embedding.  A grouped aggregate keyed by series; only
+    the overall mean reaches the driver."""
+    overall = train.agg(F.avg(label).alias("m")).first()["m"]
+    return train.groupBy(key).agg(
+        ((F.coalesce(F.sum(label), F.lit(0.0)) + F.lit(smoothing) * F.lit(overall))
+         / (F.count(label) + F.lit(smoothing))).alias(out))
+
+
+def add_series_encoding(df: DataFrame, train: DataFrame, key: str = "series", label: str = "target",
+                        smoothing: float = 1.0, out: str = "series_te") -> DataFrame:
+    """``df`` with the encoding learned from ``train``; a series that ``train``
+    lacks (or a NULL key) gets the overall mean."""
+    overall = train.agg(F.avg(label).alias("m")).first()["m"]
+    enc = series_encoding(train.where(F.col(key).isNotNull()), key, label, smoothing, out)
+    return df.join(enc, key, "left").withColumn(out, F.coalesce(out, F.lit(overall).cast("double")))
+
+
 def pooled_ar_pipeline(kind: str = "gbt", length: int = C.SEQUENCE_LENGTH, seed: int = C.RF_SEED,
                        group_col: str | None = "state", series_col: str | None = None,
                        reg_param: float = 1e-4, epsilon: float = 1.35) -> Pipeline:
     """One model for all series.  Inputs: the last ``length``
-    values, a one-hot group and, with ``series_col``, a target-encoded series
-    id (the counterpart of a learned series embedding); target: the next
-    value.  ``kind``: 'gbt', 'rf', 'linear' or 'huber' (Huber loss, L2)."""
+    values, a one-hot group (few values: its labels reach the driver) and,
+    with ``series_col``, that numeric column of encoded series ids (see
+    ``add_series_encoding``); target: the next value.  ``kind``: 'gbt', 'rf',
+    'linear' or 'huber' (Huber loss, L2)."""
     stages, inputs = [], lag_features(length)
     if group_col:
         stages += [StringIndexer(inputCol=group_col, outputCol="_g_idx", handleInvalid="keep",
@@ -357,14 +360,7 @@ def pooled_ar_pipeline(kind: str = "gbt", length: int = C.SEQUENCE_LENGTH, seed:
                    OneHotEncoder(inputCols=["_g_idx"], outputCols=["_g_vec"], handleInvalid="keep")]
         inputs.append("_g_vec")
     if series_col:
-        stages += [StringIndexer(inputCol=series_col, outputCol="_s_idx", handleInvalid="keep",
-                                 stringOrderType="alphabetAsc"),
-                   TargetEncoder(inputCols=["_s_idx"], outputCols=["_s_te"], labelCol="target",
-                                 targetType="continuous", handleInvalid="keep", smoothing=1.0),
-                   # the encoder keeps the index's nominal metadata; a derived
-                   # column drops it so trees treat the encoding as continuous
-                   SQLTransformer(statement="SELECT *, _s_te * 1.0 AS _s_te_num FROM __THIS__")]
-        inputs.append("_s_te_num")
+        inputs.append(series_col)
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     if kind == "gbt":
         reg = GBTRegressor(labelCol="target", featuresCol="features", maxIter=30, maxDepth=4,

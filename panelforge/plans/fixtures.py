@@ -1,22 +1,26 @@
 """Panel fixtures derived from the star-schema tables.
 
-Mapping (decided once): ``nation`` plays the series ("county"), ``region``
-plays the group ("state") and the month of ``o_orderdate`` plays the period.
-
-* ``panel``: one row per series x calendar month with the number of orders of
-  the nation's customers (``active``) and ``density = 100 * active /
-  customers``.  The calendar is every distinct order month.
-* ``attributes``: one row per series with customer and supplier aggregates
-  over all rows; ``avg_funded_bal`` averages only suppliers with a balance
-  above ``FUNDED_BALANCE`` and is NULL for a series without one.
-
-Scale notes: the only large inputs are ``orders`` and ``customer``.  Orders
-are counted per customer and month, then meet the customers by key, and the
-join output is aggregated to (nation, month) counts, so the panel costs one
-pass over ``orders``.  A skewed nation or month is absorbed
-by partial aggregation.  The dense panel has exactly (#series x #months) rows,
-so every per-series group downstream holds at most #months rows whatever the
-size of ``orders``.  The panel is hash-partitioned by series, sorted by
+Mapping (decided once): ``supplier`` plays the series ("county"), its
+``nation`` plays the group ("state") and the month of ``l_shipdate`` plays
+the period.  The number of series grows with the data.
+
+* ``panel``: one row per series x calendar month with the number of lines the
+  supplier shipped (``active``) and ``density = 100 * active / customers of
+  the supplier's nation``.  The calendar is every distinct ship month.
+* ``attributes``: one row per series with its own balance and the customer and
+  supplier aggregates of its nation, over all rows; ``avg_funded_bal`` averages
+  only suppliers with a balance above ``FUNDED_BALANCE`` and is NULL for a
+  nation without one.
+* ``appended``: the panel as two extracts give it, the months before the last
+  ``LATE_MONTHS`` and a late extract of those months without ``active``.
+  Backtests and models read this one.
+
+Scale notes: the only large input is ``lineitem``.  Its two columns are
+counted per (supplier, month) with map-side combine in one pass and no join,
+so a supplier or month with any number of lines is one row per task of the
+shuffle.  The counts then meet the suppliers by key as one map of at most
+#months entries per series, and months are spread in place.  The dense panel
+has exactly (#series x #months) rows, hash-partitioned by series, sorted by
 (series, t) and checkpointed to the shared folder, so per-series windows
 downstream run without another shuffle and recovery never replays the scan.
 """
@@ -33,12 +37,11 @@ from ..session import ensure_checkpoint_dir, session_key
 from ..sources.tables import read_table
 
 # Fixed values of the fixture definition.
-FUNDED_BALANCE = 9500.0               # of the suppliers that avg_funded_bal averages
+FUNDED_BALANCE = 5000.0               # of the suppliers that avg_funded_bal averages
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 LATE_MONTHS = 4                       # months of the late-arriving panel
 FUTURE_MONTHS = 4                     # months of the future panel
-CALENDAR_BROADCAST_MAX = 100_000      # months; far above any real calendar
-PANEL_ROWS_PER_PARTITION = 250_000    # target panel partition size (rows)
+PANEL_ROWS_PER_PARTITION = 20_000     # target panel partition size (rows)
 
 _lock = threading.RLock()
 _memo: dict[tuple, DataFrame] = {}
@@ -59,81 +62,66 @@ def clear_memo() -> None:
         _memo.clear()
 
 
-def order_month_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series, t, active) for every nation-month with at least one order, plus
-    rows with NULL series for orders whose customer is unknown (they still
-    define calendar months)."""
-    # Orders are counted per (customer, month) before the join: a customer
-    # with any number of orders is at most #months rows of the shuffle.
-    orders = (read_table(spark, sf_dir, "orders", ["o_custkey", "o_orderdate"])
-              .where(F.col("o_orderdate").isNotNull())
-              .groupBy("o_custkey", F.trunc(F.to_date("o_orderdate"), "month").alias("t"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
-    return (joined.groupBy(F.col("c_nationkey").alias("series"), "t")
-            .agg(F.sum("n").cast("int").alias("active")))
+def line_month_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, t, active) for every supplier-month with at least one line;
+    lines without a supplier give rows with NULL series (they still define
+    calendar months)."""
+    return (read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate"])
+            .where(F.col("l_shipdate").isNotNull())
+            .groupBy(F.col("l_suppkey").alias("series"),
+                     F.trunc(F.to_date("l_shipdate"), "month").alias("t"))
+            .agg(F.count(F.lit(1)).cast("int").alias("active")))
 
 
 def series_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """series, county, state: nation joined to region (both fixed-size dims)."""
-    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
-    region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    return (nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
-            .select(F.col("n_nationkey").cast("int").alias("series"),
-                    F.col("n_name").alias("county"), F.col("r_name").alias("state")))
-
-
-def customers_per_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """series, county, state, customers: every supplier with its nation and
+    that nation's number of customers (NULL if it has none)."""
+    supplier = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
+    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
     customer = read_table(spark, sf_dir, "customer", ["c_nationkey"])
-    return customer.groupBy(F.col("c_nationkey").cast("int").alias("series")).agg(
-        F.count(F.lit(1)).alias("customers"))
+    per_nation = customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
+    return (supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+            .join(per_nation, F.col("s_nationkey") == F.col("c_nationkey"), "left")
+            .select(F.col("s_suppkey").alias("series"), F.col("s_name").alias("county"),
+                    F.col("n_name").alias("state"), "customers"))
 
 
-def build_panel(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
+def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense panel ``series, county, state, t, active, density``."""
     ensure_checkpoint_dir(spark)
-    # small (at most #nations x #months rows) and read three times below:
-    # bounds, calendar and cells.  A checkpoint rather than a cache: under
-    # AQE a cached plan keeps all shuffle partitions uncoalesced, a
-    # checkpoint is written from the coalesced plan (and cuts lineage).
-    counts = order_month_counts(spark, sf_dir)
-    if checkpoint:
-        counts = counts.checkpoint(eager=True)
+    # at most #series x #months rows, read three times below: bounds, calendar
+    # and cells.  A checkpoint rather than a cache: under AQE a cached plan
+    # keeps all shuffle partitions uncoalesced, a checkpoint is written from
+    # the coalesced plan (and cuts lineage).
+    counts = line_month_counts(spark, sf_dir).checkpoint(eager=True)
     bounds = counts.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
-    if bounds is None or bounds["lo"] is None:
-        lo = hi = None
+    if bounds["lo"] is None:
+        n_months, months = 0, F.array().cast("array<date>")
     else:
         lo, hi = bounds["lo"], bounds["hi"]
-    calendar = counts.select("t").distinct()
-    if lo is not None:
         n_months = (hi.year - lo.year) * 12 + hi.month - lo.month + 1
-        if n_months <= CALENDAR_BROADCAST_MAX:
-            calendar = F.broadcast(calendar)
         months = F.sequence(F.lit(lo), F.lit(hi), F.expr("INTERVAL 1 MONTH"))
-    else:
-        months = F.array().cast("array<date>")
+    # the months of a calendar: under 120,000 for any DATE
+    calendar = F.broadcast(counts.select("t").distinct())
+    n_parts = panel_partitions(spark, sf_dir, n_months)
+    by_month = (counts.where(F.col("series").isNotNull()).repartition(n_parts, "series")
+                .groupBy("series")
+                .agg(F.map_from_entries(F.collect_list(F.struct("t", "active"))).alias("_m")))
     # Every series gets every month between the bounds (explode, no cross
     # join); the semi join keeps only months that occur in the data.
-    cells = (series_dim(spark, sf_dir)
-             .select("series", "county", "state", F.explode(months).alias("t"))
-             .join(calendar, "t", "left_semi"))
-    panel = (cells
-             .join(counts.where(F.col("series").isNotNull()), ["series", "t"], "left")
-             .join(customers_per_series(spark, sf_dir), "series", "left")
-             .select("series", "county", "state", "t",
-                     F.coalesce(F.col("active"), F.lit(0)).cast("int").alias("active"),
-                     (F.coalesce(F.col("active"), F.lit(0)).cast("double") * F.lit(100.0)
-                      / F.col("customers")).alias("density")))
-    n_parts = panel_partitions(spark, sf_dir, n_months if lo is not None else 0)
-    if checkpoint:
-        # Materialize the joined cells under AQE (small shuffles coalesced),
-        # then only the final repartition + sort runs in the AQE-off
-        # checkpoint job that keeps the partitioning.
-        cells_done = panel.checkpoint(eager=True)
-        return checkpoint_clustered(
-            cells_done.repartition(n_parts, "series").sortWithinPartitions("series", "t"))
-    return panel.repartition(n_parts, "series").sortWithinPartitions("series", "t")
+    cells = (series_dim(spark, sf_dir).repartition(n_parts, "series")
+             .join(by_month, "series", "left")
+             .select("series", "county", "state", "customers", "_m", F.explode(months).alias("t"))
+             .join(calendar, "t", "left_semi")
+             .withColumn("active", F.coalesce(F.element_at("_m", F.col("t")), F.lit(0))))
+    panel = cells.select(
+        "series", "county", "state", "t", "active",
+        (F.col("active").cast("double") * F.lit(100.0) / F.col("customers")).alias("density"))
+    return checkpoint_clustered(clustered(panel, n_parts))
+
+
+def clustered(df: DataFrame, n_parts: int) -> DataFrame:
+    return df.repartition(n_parts, "series").sortWithinPartitions("series", "t")
 
 
 def panel_partitions(spark: SparkSession, sf_dir: str, n_months: int) -> int:
@@ -141,9 +129,8 @@ def panel_partitions(spark: SparkSession, sf_dir: str, n_months: int) -> int:
     divided by the target partition size, capped by the shuffle partition
     setting.  Keeps downstream per-series tasks full instead of launching
     thousands of empty ones for a small panel on a large cluster."""
-    # series_dim is nation left-joined to region: same rows as nation, whose
-    # count Parquet answers from footer metadata
-    n_series = read_table(spark, sf_dir, "nation").count()
+    # Parquet answers the count from footer metadata
+    n_series = read_table(spark, sf_dir, "supplier").count()
     cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
     want = -(-max(n_series * n_months, 1) // PANEL_ROWS_PER_PARTITION)
     return max(1, min(cap, want))
@@ -184,14 +171,35 @@ def holdout(spark: SparkSession, sf_dir: str, valid: int = C.VALIDATION_LENGTH)
                      lambda: holdout_calendar(panel(spark, sf_dir), valid).checkpoint(eager=True))
 
 
+def _late_months(spark: SparkSession, sf_dir: str, months: int) -> DataFrame:
+    """The last ``months`` calendar months (that many rows)."""
+    return F.broadcast(
+        panel(spark, sf_dir).select("t").distinct()
+        .select("t", F.dense_rank().over(_desc_t()).alias("_r"))
+        .where(F.col("_r") <= months).select("t"))
+
+
+def base_panel(spark: SparkSession, sf_dir: str, months: int = LATE_MONTHS) -> DataFrame:
+    """The panel before its last ``months`` calendar months."""
+    return panel(spark, sf_dir).join(_late_months(spark, sf_dir, months), "t", "left_anti")
+
+
 def late_panel(spark: SparkSession, sf_dir: str, months: int = LATE_MONTHS) -> DataFrame:
     """The last ``months`` calendar months of the panel, without ``active``
     (the shape of a late-arriving extract)."""
     p = panel(spark, sf_dir)
-    last = (p.select("t").distinct()
-            .select("t", F.dense_rank().over(_desc_t()).alias("_r"))
-            .where(F.col("_r") <= months).select("t"))
-    return p.join(F.broadcast(last), "t", "left_semi").drop("active")
+    return p.join(_late_months(spark, sf_dir, months), "t", "left_semi").drop("active")
+
+
+def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and late extract as one panel, laid out like ``panel``."""
+    from ..operators.joins import append_panel
+
+    def build():
+        both = append_panel(base_panel(spark, sf_dir), late_panel(spark, sf_dir))
+        n_parts = panel(spark, sf_dir).rdd.getNumPartitions()
+        return checkpoint_clustered(clustered(both, n_parts))
+    return _memoized(spark, ("appended", sf_dir), build)
 
 
 def _desc_t():
@@ -211,27 +219,28 @@ def future_panel(spark: SparkSession, sf_dir: str, months: int = FUTURE_MONTHS)
 
 def attributes(spark: SparkSession, sf_dir: str,
                funded_balance: float = FUNDED_BALANCE) -> DataFrame:
-    """One row per series: customer count, mean balance, market-segment
-    shares, supplier count and mean balance, and the mean balance of the
-    suppliers above ``funded_balance`` (NULL where there is none)."""
+    """One row per series: its balance, and of its nation the customer count,
+    mean balance, market-segment shares, supplier count and mean balance, and
+    the mean balance of the suppliers above ``funded_balance`` (NULL where
+    there is none)."""
     def build():
         customer = read_table(spark, sf_dir, "customer",
                               ["c_nationkey", "c_acctbal", "c_mktsegment"])
         shares = [F.avg(F.when(F.col("c_mktsegment") == s, 1.0).otherwise(0.0))
                   .alias(f"share_{s.lower()}") for s in SEGMENTS]
-        cust = customer.groupBy(F.col("c_nationkey").cast("int").alias("series")).agg(
+        cust = customer.groupBy(F.col("c_nationkey").alias("_nation")).agg(
             F.count(F.lit(1)).alias("customers"), F.avg("c_acctbal").alias("avg_acctbal"),
             *shares)
-        supplier = read_table(spark, sf_dir, "supplier", ["s_nationkey", "s_acctbal"])
+        supplier = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])
         funded = F.when(F.col("s_acctbal") > F.lit(funded_balance), F.col("s_acctbal"))
-        supp = supplier.groupBy(F.col("s_nationkey").cast("int").alias("series")).agg(
+        supp = supplier.groupBy(F.col("s_nationkey").alias("_nation")).agg(
             F.count(F.lit(1)).alias("suppliers"), F.avg("s_acctbal").alias("avg_supp_bal"),
             F.avg(funded).alias("avg_funded_bal"))
-        out = (cust.join(supp, "series", "left")
-               .select("series", "customers", "avg_acctbal",
-                       *[f"share_{s.lower()}" for s in SEGMENTS],
-                       F.coalesce("suppliers", F.lit(0)).cast("bigint").alias("suppliers"),
-                       "avg_supp_bal", "avg_funded_bal"))
+        out = (supplier.withColumnRenamed("s_nationkey", "_nation")
+               .join(supp.join(cust, "_nation", "left"), "_nation", "left")
+               .select(F.col("s_suppkey").alias("series"), "customers", "avg_acctbal",
+                       *[f"share_{s.lower()}" for s in SEGMENTS], "suppliers",
+                       F.col("s_acctbal").alias("supp_bal"), "avg_supp_bal", "avg_funded_bal"))
         return out.checkpoint(eager=True)
     return _memoized(spark, ("attributes", sf_dir, funded_balance), build)
 

@@ -10,56 +10,50 @@ from __future__ import annotations
 
 # Fixed values of the fixture definition (same as plans.fixtures).
 ANCHOR_SQL = "DATE '2000-01-01'"
-FUNDED_BALANCE_SQL = "9500.0"
+FUNDED_BALANCE_SQL = "5000.0"
 
 FIXTURE_CTES = f"""
 cal AS (
-  SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS t
-  FROM orders WHERE o_orderdate IS NOT NULL
-),
-ser AS (
-  SELECT CAST(n.n_nationkey AS INTEGER) AS series, n.n_name AS county, r.r_name AS state
-  FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+  SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS t
+  FROM lineitem WHERE l_shipdate IS NOT NULL
 ),
 pop AS (
-  SELECT CAST(c_nationkey AS INTEGER) AS series, count(*) AS customers
+  SELECT c_nationkey AS nation, count(*) AS customers, avg(c_acctbal) AS avg_acctbal,
+         avg(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1.0 ELSE 0.0 END) AS share_automobile,
+         avg(CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END) AS share_building,
+         avg(CASE WHEN c_mktsegment = 'FURNITURE' THEN 1.0 ELSE 0.0 END) AS share_furniture,
+         avg(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1.0 ELSE 0.0 END) AS share_household,
+         avg(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0 ELSE 0.0 END) AS share_machinery
   FROM customer GROUP BY c_nationkey
 ),
+ser AS (
+  SELECT s.s_suppkey AS series, s.s_name AS county, n.n_name AS state, pop.customers
+  FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+  LEFT JOIN pop ON pop.nation = s.s_nationkey
+),
 cnt AS (
-  SELECT CAST(c.c_nationkey AS INTEGER) AS series,
-         CAST(date_trunc('month', o.o_orderdate) AS DATE) AS t, count(*) AS active
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-  WHERE o.o_orderdate IS NOT NULL
+  SELECT l_suppkey AS series, CAST(date_trunc('month', l_shipdate) AS DATE) AS t, count(*) AS active
+  FROM lineitem WHERE l_shipdate IS NOT NULL
   GROUP BY 1, 2
 ),
 panel AS (
   SELECT s.series, s.county, s.state, cal.t,
          CAST(coalesce(cnt.active, 0) AS INTEGER) AS active,
-         CAST(coalesce(cnt.active, 0) AS DOUBLE) * 100.0 / pop.customers AS density
+         CAST(coalesce(cnt.active, 0) AS DOUBLE) * 100.0 / s.customers AS density
   FROM ser s CROSS JOIN cal
   LEFT JOIN cnt ON cnt.series = s.series AND cnt.t = cal.t
-  LEFT JOIN pop ON pop.series = s.series
 ),
 attrs AS (
-  SELECT c.series, c.customers, c.avg_acctbal, c.share_automobile, c.share_building,
-         c.share_furniture, c.share_household, c.share_machinery,
-         CAST(coalesce(s.suppliers, 0) AS BIGINT) AS suppliers, s.avg_supp_bal, s.avg_funded_bal
-  FROM (
-    SELECT CAST(c_nationkey AS INTEGER) AS series, count(*) AS customers,
-           avg(c_acctbal) AS avg_acctbal,
-           avg(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1.0 ELSE 0.0 END) AS share_automobile,
-           avg(CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END) AS share_building,
-           avg(CASE WHEN c_mktsegment = 'FURNITURE' THEN 1.0 ELSE 0.0 END) AS share_furniture,
-           avg(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1.0 ELSE 0.0 END) AS share_household,
-           avg(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0 ELSE 0.0 END) AS share_machinery
-    FROM customer GROUP BY c_nationkey
-  ) c
+  SELECT s.s_suppkey AS series, c.customers, c.avg_acctbal, c.share_automobile, c.share_building,
+         c.share_furniture, c.share_household, c.share_machinery, g.suppliers,
+         s.s_acctbal AS supp_bal, g.avg_supp_bal, g.avg_funded_bal
+  FROM supplier s
+  LEFT JOIN pop c ON c.nation = s.s_nationkey
   LEFT JOIN (
-    SELECT CAST(s_nationkey AS INTEGER) AS series, count(*) AS suppliers,
-           avg(s_acctbal) AS avg_supp_bal,
+    SELECT s_nationkey AS nation, count(*) AS suppliers, avg(s_acctbal) AS avg_supp_bal,
            avg(CASE WHEN s_acctbal > {FUNDED_BALANCE_SQL} THEN s_acctbal END) AS avg_funded_bal
     FROM supplier GROUP BY s_nationkey
-  ) s ON s.series = c.series
+  ) g ON g.nation = s.s_nationkey
 ),
 ncal AS (SELECT count(*) AS n_periods FROM cal)
 """

@@ -16,7 +16,7 @@ BASELINE_MODELS = ["persistence", "seasonal_naive"]
 
 
 def baseline_predictions(spark, sf_dir) -> DataFrame:
-    return fc.naive_forecasts(win.zero_series_repair(fx.panel(spark, sf_dir)),
+    return fc.naive_forecasts(win.zero_series_repair(fx.appended(spark, sf_dir)),
                               holdout=fx.holdout(spark, sf_dir))
 
 
@@ -124,14 +124,17 @@ def q_rmse_by_group(spark, sf_dir):
 
 
 @register("backtest_select", "WITH " + PRED_SQL + """,
+shared AS (SELECT series, t FROM scored WHERE e IS NOT NULL GROUP BY series, t HAVING count(DISTINCT model) = 2),
 m AS (SELECT model, avg(smape) AS mean_smape
-      FROM (SELECT model, series, avg(e) AS smape FROM scored GROUP BY model, series) x GROUP BY model)
-SELECT model, round(mean_smape, 6) AS mean_smape,
+      FROM (SELECT model, series, avg(e) AS smape FROM scored JOIN shared USING (series, t)
+            GROUP BY model, series) x GROUP BY model),
+c AS (SELECT model, count(e) / count(*) AS coverage FROM scored GROUP BY model)
+SELECT model, round(mean_smape, 6) AS mean_smape, round(coverage, 6) AS coverage,
        CAST(row_number() OVER (ORDER BY mean_smape,
             CASE model WHEN 'persistence' THEN 1 ELSE 2 END) AS INTEGER) AS rank,
        row_number() OVER (ORDER BY mean_smape,
             CASE model WHEN 'persistence' THEN 1 ELSE 2 END) = 1 AS selected
-FROM m
+FROM c LEFT JOIN m USING (model)
 """)
 def q_backtest_select(spark, sf_dir):
     out = fc.select_model(baseline_predictions(spark, sf_dir), BASELINE_MODELS)

@@ -28,7 +28,7 @@ from .q_evaluation import baseline_predictions
 LINE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 LINE_LABEL = "l_extendedprice"
 ATTR_FEATURES = ["x", "customers", "avg_acctbal", "share_automobile", "share_building",
-                 "share_furniture", "share_household", "share_machinery", "suppliers"]
+                 "share_furniture", "share_household", "share_machinery", "suppliers", "supp_bal"]
 SEQ_LEN = C.SEQUENCE_LENGTH
 VALID = C.VALIDATION_LENGTH
 
@@ -129,16 +129,19 @@ def q_gbt_cv(spark, sf_dir):
 
 # ------------------------------------------------------- panel forecasting
 def _windows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(train windows, valid windows) of the zero-repaired panel: a window
-    trains when its target precedes the hold-out periods.  The flattened
-    window table (panel-sized) is checkpointed once per session, because
-    every model fit and search trial reads it again."""
+    """(train windows, valid windows) of the zero-repaired appended panel: a
+    window trains when its target precedes the hold-out periods.  The
+    flattened window table (panel-sized) is checkpointed once per session,
+    because every model fit and search trial reads it again, with the
+    panel's partitions sorted by key: a seeded fit sees the same layout."""
     def build():
-        repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
+        repaired = win.zero_series_repair(fx.appended(spark, sf_dir))
         hold = fx.holdout(spark, sf_dir, VALID)
         seq = win.sequence_windows(repaired, length=SEQ_LEN, extra=("county", "state"))
-        seq = ml.flatten_windows(seq, SEQ_LEN)
-        return seq.join(F.broadcast(hold), "t", "left").checkpoint(eager=True)
+        seq = ml.flatten_windows(seq, SEQ_LEN).join(F.broadcast(hold), "t", "left")
+        seq = ml.add_series_encoding(seq, seq.where(F.col("h").isNull()))
+        n_parts = fx.panel(spark, sf_dir).rdd.getNumPartitions()
+        return ml.stable_layout(seq, ["series", "t"], n_parts).checkpoint(eager=True)
     marked = fx._memoized(spark, ("windows", sf_dir), build)
     train = marked.where(F.col("h").isNull()).drop("h")
     valid = marked.where(F.col("h").isNotNull())
@@ -147,16 +150,20 @@ def _windows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def _recursive_state(spark, sf_dir) -> DataFrame:
     """Per series, the last SEQ_LEN known values before the hold-out (oldest
-    first); a series with fewer of them keeps its row and is not forecast."""
-    repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
-    hold = fx.holdout(spark, sf_dir, VALID)
-    hist = repaired.join(F.broadcast(hold), "t", "left_anti")
-    ids = hist.select("series", "county", "state").distinct()
-    hist = hist.where(F.col("density").isNotNull())
-    last = win.last_values(hist, "density", SEQ_LEN, extra=("county", "state"))
-    x = last.groupBy("series").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("t", "density"))), lambda s: s["density"]).alias("x"))
-    return ids.join(x, "series", "left")
+    first) and its encoding; a series with fewer of them keeps its row and is
+    not forecast.  Checkpointed once for all models."""
+    def build():
+        repaired = win.zero_series_repair(fx.appended(spark, sf_dir))
+        hold = fx.holdout(spark, sf_dir, VALID)
+        hist = repaired.join(F.broadcast(hold), "t", "left_anti")
+        ids = hist.select("series", "county", "state").distinct()
+        hist = hist.where(F.col("density").isNotNull())
+        last = win.last_values(hist, "density", SEQ_LEN, extra=("county", "state"))
+        x = last.groupBy("series").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("t", "density"))), lambda s: s["density"]).alias("x"))
+        state = ids.join(x, "series", "left")
+        return ml.add_series_encoding(state, _windows(spark, sf_dir)[0]).checkpoint(eager=True)
+    return fx._memoized(spark, ("state", sf_dir), build)
 
 
 @register("gbt_early_stop")
@@ -193,7 +200,7 @@ def q_param_search(spark, sf_dir):
     def build(s):
         return ml.pooled_ar_pipeline("huber", SEQ_LEN,
                                      group_col="state" if s["use_state"] else None,
-                                     series_col="county" if s["use_county"] else None,
+                                     series_col="series_te" if s["use_county"] else None,
                                      reg_param=s["l2"], epsilon=s["epsilon"])
     return rounded(ml.random_search_pipelines(train, valid, build, space, n_trials=C.SEARCH_TRIALS,
                                               label="target", seed=C.GLOBAL_SEED))
@@ -215,43 +222,61 @@ def q_model_roundtrip(spark, sf_dir):
 POOLED_KINDS = ("rf", "gbt", "huber")
 
 
-def pooled_predictions(spark, sf_dir, kinds=POOLED_KINDS, recursive: bool = True) -> DataFrame:
-    """Recursive 4-step forecasts of each pooled model, in the prediction
-    layout of ``operators.forecast`` (with the actual ``y``)."""
-    train, valid = _windows(spark, sf_dir)
-    state = _recursive_state(spark, sf_dir)
-    repaired = win.zero_series_repair(fx.panel(spark, sf_dir))
-    hold = fx.holdout(spark, sf_dir, VALID)
+def pooled_model(spark, sf_dir, kind: str) -> PipelineModel:
+    train, _ = _windows(spark, sf_dir)
+    return ml.pooled_ar_pipeline(kind, SEQ_LEN, series_col="series_te").fit(train)
+
+
+def one_step_predictions(spark, sf_dir, kind: str) -> DataFrame:
+    """One step ahead: the window's own target is the actual value."""
+    _, valid = _windows(spark, sf_dir)
+    return pooled_model(spark, sf_dir, kind).transform(valid).select(
+        F.lit(f"pooled_{kind}").alias("model"), "series", "state", "t", "h",
+        F.col("target").alias("y"), F.col("prediction").alias("p"))
+
+
+def recursive_predictions(spark, sf_dir, kind: str, model: PipelineModel) -> DataFrame:
+    """Recursive 4-step forecasts of a pooled model, in the prediction layout
+    of ``operators.forecast`` (with the actual ``y``)."""
+    repaired = win.zero_series_repair(fx.appended(spark, sf_dir))
     actual = repaired.select("series", "t", F.col("density").alias("y"))
-    out = None
-    for kind in kinds:
-        model = ml.pooled_ar_pipeline(kind, SEQ_LEN, series_col="county").fit(train)
-        if recursive:
-            pred = ml.recursive_forecast(model, state, hold, VALID, SEQ_LEN, f"pooled_{kind}")
-            pred = pred.join(actual, ["series", "t"]).select(*fc.PRED_COLS)
-        else:
-            # one step ahead: the window's own target is the actual value
-            pred = model.transform(valid).select(
-                F.lit(f"pooled_{kind}").alias("model"), "series", "state", "t", "h",
-                F.col("target").alias("y"), F.col("prediction").alias("p"))
-        out = pred if out is None else out.unionByName(pred)
-    return out
+    pred = ml.recursive_forecast(model, _recursive_state(spark, sf_dir), fx.holdout(spark, sf_dir, VALID),
+                                 VALID, SEQ_LEN, f"pooled_{kind}")
+    return pred.join(actual, ["series", "t"]).select(*fc.PRED_COLS)
 
 
 @register("pooled_ar_forecast")
 def q_pooled_ar_forecast(spark, sf_dir):
     """One-step-ahead (teacher-forced) predictions of the pooled RF model."""
-    return rounded(pooled_predictions(spark, sf_dir, ("rf",), recursive=False))
+    return rounded(one_step_predictions(spark, sf_dir, "rf"))
 
 
 @register("backtest_recursive")
 def q_backtest_recursive(spark, sf_dir):
-    return rounded(pooled_predictions(spark, sf_dir, ("rf",), recursive=True))
+    return rounded(recursive_predictions(spark, sf_dir, "rf", pooled_model(spark, sf_dir, "rf")))
 
 
 @register("backtest_select_all")
 def q_backtest_select_all(spark, sf_dir):
-    preds = baseline_predictions(spark, sf_dir).unionByName(pooled_predictions(spark, sf_dir))
+    preds = baseline_predictions(spark, sf_dir)
+    for kind in POOLED_KINDS:
+        preds = preds.unionByName(recursive_predictions(spark, sf_dir, kind, pooled_model(spark, sf_dir, kind)))
     order = ["persistence", "seasonal_naive"] + [f"pooled_{k}" for k in POOLED_KINDS]
     out = fc.select_model(preds, order)
     return rounded(out.withColumn("rank", F.col("rank").cast("int")))
+
+
+@register("best_model_saved")
+def q_best_model_saved(spark, sf_dir):
+    """S8/T14 end to end: fit the pooled models, save each one, select the best
+    by backtest, load that one again and return its errors per series."""
+    base, order, preds = scratch_path(spark, "models"), [f"pooled_{k}" for k in POOLED_KINDS], None
+    for kind in POOLED_KINDS:
+        model = pooled_model(spark, sf_dir, kind)
+        model.write().save(f"{base}/pooled_{kind}")
+        pred = recursive_predictions(spark, sf_dir, kind, model)
+        preds = pred if preds is None else preds.unionByName(pred)
+    best = fc.select_model(preds, order).where("selected").first()["model"]
+    loaded = PipelineModel.load(f"{base}/{best}")
+    return rounded(fc.smape_by(recursive_predictions(spark, sf_dir, best.removeprefix("pooled_"), loaded),
+                               ["series"]))

@@ -8,15 +8,16 @@ from ..operators import aggregates as agg
 from ..operators import columns as cols
 from ..operators import joins
 from ..session import scratch_path
+from ..sources.tables import read_table
 from ..sources.text import PANEL_SCHEMA, read_csv, write_csv
 from . import fixtures as fx
 from .catalog import register, rounded
 
 PANEL_COLS = "series, county, state, t, active, round(density, 6) AS density"
 ATTR_COLS = ("customers", "avg_acctbal", "share_automobile", "share_building", "share_furniture",
-             "share_household", "share_machinery", "suppliers", "avg_supp_bal", "avg_funded_bal")
+             "share_household", "share_machinery", "suppliers", "supp_bal", "avg_supp_bal", "avg_funded_bal")
 ATTR_SQL = ", ".join(
-    f"round({c}, 6) AS {c}" if c.startswith(("avg", "share")) else c for c in ATTR_COLS)
+    f"round({c}, 6) AS {c}" if c.startswith(("avg", "share", "supp_bal")) else c for c in ATTR_COLS)
 
 
 @register("group_time_corr", """
@@ -122,7 +123,7 @@ def q_null_profile(spark, sf_dir):
 SELECT p.series, p.county, p.state, p.t, p.active, round(p.density, 6) AS density, {ATTR_SQL}
 FROM panel p JOIN attrs a ON p.series = a.series
 WHERE p.county IS NOT NULL AND p.state IS NOT NULL AND p.density IS NOT NULL
-  AND a.avg_acctbal IS NOT NULL AND a.avg_supp_bal IS NOT NULL
+  AND a.avg_acctbal IS NOT NULL AND a.supp_bal IS NOT NULL AND a.avg_supp_bal IS NOT NULL
   AND a.avg_funded_bal IS NOT NULL
 """)
 def q_complete_rows(spark, sf_dir):
@@ -141,7 +142,7 @@ def q_drop_columns(spark, sf_dir):
     joined = joins.panel_attr_join(fx.panel(spark, sf_dir), fx.attributes(spark, sf_dir))
     dropped = cols.drop_columns(joined, [
         "county", "state", "avg_acctbal", "share_automobile", "share_building",
-        "share_furniture", "share_household", "share_machinery", "row_id", "no_such_column"])
+        "share_furniture", "share_household", "share_machinery", "supp_bal", "row_id", "no_such_column"])
     return rounded(dropped)
 
 
@@ -149,7 +150,7 @@ def q_drop_columns(spark, sf_dir):
 def q_cast_columns(spark, sf_dir):
     text = fx.typed_text(spark, sf_dir)
     typed = cols.cast_columns(text, ["series", "county", "state", "t", "active", "density"],
-                              ["int", "string", "string", "date", "int", "double"])
+                              ["bigint", "string", "string", "date", "int", "double"])
     return rounded(typed)
 
 
@@ -166,7 +167,7 @@ def q_csv_read_cast(spark, sf_dir):
     path = write_csv(fx.typed_text(spark, sf_dir), scratch_path(spark, "csv-strings"))
     text = read_csv(spark, path, schema=None)
     typed = cols.cast_columns(text, ["series", "county", "state", "t", "active", "density"],
-                              ["int", "string", "string", "date", "int", "double"])
+                              ["bigint", "string", "string", "date", "int", "double"])
     return rounded(typed)
 
 
@@ -178,7 +179,7 @@ FROM panel
 def q_date_parts(spark, sf_dir):
     text = fx.typed_text(spark, sf_dir).select("series", "t")
     parsed = cols.date_parts(text, "t")
-    return parsed.select(F.col("series").cast("int").alias("series"), F.col("date").alias("t"),
+    return parsed.select(F.col("series").cast("bigint").alias("series"), F.col("date").alias("t"),
                          "date", "year", "month", "day")
 
 
@@ -190,55 +191,102 @@ def q_month_index(spark, sf_dir):
 
 
 @register("append_panel", """
-SELECT series, county, state, t, active, round(density, 6) AS density FROM panel
-UNION ALL
-SELECT series, county, state, t, CAST(NULL AS INTEGER) AS active, round(density, 6) AS density
-FROM panel WHERE t IN (SELECT t FROM cal ORDER BY t DESC LIMIT 4)
+SELECT series, county, state, t,
+       CASE WHEN t IN (SELECT t FROM cal ORDER BY t DESC LIMIT 4) THEN NULL ELSE active END AS active,
+       round(density, 6) AS density
+FROM panel
 """)
 def q_append_panel(spark, sf_dir):
-    return rounded(joins.append_panel(fx.panel(spark, sf_dir), fx.late_panel(spark, sf_dir)))
+    return rounded(joins.append_panel(fx.base_panel(spark, sf_dir), fx.late_panel(spark, sf_dir)))
 
 
 @register("stream_append", """
-SELECT series, county, state, t, active, round(density, 6) AS density FROM panel
-UNION ALL
-SELECT series, county, state, t, CAST(NULL AS INTEGER) AS active, round(density, 6) AS density
-FROM panel WHERE t IN (SELECT t FROM cal ORDER BY t DESC LIMIT 4)
+SELECT series, county, state, t,
+       CASE WHEN t IN (SELECT t FROM cal ORDER BY t DESC LIMIT 4) THEN NULL ELSE active END AS active,
+       round(density, 6) AS density
+FROM panel
 """)
 def q_stream_append(spark, sf_dir):
     from ..streaming import stream_append
-    return rounded(stream_append(spark, fx.panel(spark, sf_dir), fx.late_panel(spark, sf_dir)))
+    return rounded(stream_append(spark, fx.base_panel(spark, sf_dir), fx.late_panel(spark, sf_dir)))
 
 
-@register("dense_ids", """
-SELECT county, CAST(row_number() OVER (ORDER BY county) - 1 AS INTEGER) AS county_id
-FROM (SELECT DISTINCT county FROM panel WHERE county IS NOT NULL) d
-""")
+IDS_SQL = """
+sid AS (
+  SELECT series, CAST(row_number() OVER (ORDER BY series) - 1 AS BIGINT) AS series_id
+  FROM (SELECT DISTINCT series FROM panel WHERE series IS NOT NULL) d
+),
+st AS (
+  SELECT state, CAST(row_number() OVER (ORDER BY state) - 1 AS BIGINT) AS state_id
+  FROM (SELECT DISTINCT state FROM panel WHERE state IS NOT NULL) d
+),
+ids AS (
+  SELECT p.series, p.state, sid.series_id, st.state_id
+  FROM (SELECT series, arg_min(state, t) AS state FROM panel GROUP BY series) p
+  LEFT JOIN sid ON sid.series = p.series LEFT JOIN st ON st.state = p.state
+)
+"""
+
+
+def id_table(spark, sf_dir):
+    """series, state, series_id, state_id: one row per series.  The dense ids
+    are attached here, once per series, and every other table looks them up by
+    the series key, so nothing large is shuffled on the few states."""
+    def build():
+        p = fx.panel(spark, sf_dir)
+        per_series = p.groupBy("series").agg(F.min_by("state", "t").alias("state"))
+        per_series = joins.attach_ids(per_series, joins.dense_ids(p, "series", "series_id"), "series")
+        return joins.attach_ids(per_series, joins.dense_ids(per_series, "state", "state_id"), "state").select(
+            "series", "state", "series_id", "state_id").checkpoint(eager=True)
+    return fx._memoized(spark, ("ids", sf_dir), build)
+
+
+@register("dense_ids", "WITH " + IDS_SQL + "SELECT series, series_id FROM sid")
 def q_dense_ids(spark, sf_dir):
-    return joins.dense_ids(fx.panel(spark, sf_dir), "county", "county_id")
+    return joins.dense_ids(fx.panel(spark, sf_dir), "series", "series_id")
 
 
-@register("future_state_ids", """
-WITH st AS (
-  SELECT state, CAST(row_number() OVER (ORDER BY state) - 1 AS INTEGER) AS state_id
-  FROM (SELECT DISTINCT state FROM panel WHERE state IS NOT NULL) d
-),
-fs AS (SELECT series, arg_min(state, t) AS state, max(t) AS last_t FROM panel GROUP BY series),
+@register("panel_ids", "WITH " + IDS_SQL + """
+SELECT p.series, p.t, ids.series_id, ids.state_id FROM panel p LEFT JOIN ids ON ids.series = p.series
+""")
+def q_panel_ids(spark, sf_dir):
+    return joins.attach_ids(fx.panel(spark, sf_dir).select("series", "t"),
+                            id_table(spark, sf_dir).drop("state"), "series")
+
+
+@register("future_state_ids", "WITH " + IDS_SQL + """,
+fs AS (SELECT series, max(t) AS last_t FROM panel GROUP BY series),
 fut AS (
   SELECT fs.series, CAST(x.t AS DATE) AS t
   FROM fs, unnest(generate_series(fs.last_t + INTERVAL 1 MONTH, fs.last_t + INTERVAL 4 MONTH,
                                   INTERVAL 1 MONTH)) AS x(t)
 )
-SELECT fut.series, fut.t, fs.state, st.state_id
-FROM fut JOIN fs ON fut.series = fs.series JOIN st ON fs.state = st.state
+SELECT fut.series, fut.t, ids.state, ids.series_id, ids.state_id
+FROM fut LEFT JOIN ids ON fut.series = ids.series
 """)
 def q_future_state_ids(spark, sf_dir):
-    p = fx.panel(spark, sf_dir)
-    fut = fx.future_panel(spark, sf_dir)
-    state_of = p.groupBy("series").agg(F.min_by("state", "t").alias("state"))
-    ids = joins.dense_ids(p, "state", "state_id")
-    with_state = fut.join(state_of, "series")
-    return joins.lookup_ids(with_state, ids, "state").select("series", "t", "state", "state_id")
+    return joins.attach_ids(fx.future_panel(spark, sf_dir), id_table(spark, sf_dir), "series").select(
+        "series", "t", "state", "series_id", "state_id")
+
+
+@register("missing_keys", """
+SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)
+""")
+def q_missing_keys(spark, sf_dir):
+    """Keys without an entry in the other table: documents without a label."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id"]).where(F.col("doc_id").isNotNull())
+    return joins.missing_keys(docs, read_table(spark, sf_dir, "labels", ["doc_id"]), "doc_id")
+
+
+@register("label_coverage", """
+SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS panel_keys,
+       (SELECT count(DISTINCT doc_id) FROM labels) AS attr_keys,
+       (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS common_keys
+""")
+def q_label_coverage(spark, sf_dir):
+    """Key coverage of two tables of which one has keys the other lacks."""
+    return agg.key_coverage(read_table(spark, sf_dir, "documents", ["doc_id"]),
+                            read_table(spark, sf_dir, "labels", ["doc_id"]), key="doc_id")
 
 
 @register("series_endpoints", """

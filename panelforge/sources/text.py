@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 PANEL_SCHEMA = T.StructType([
-    T.StructField("series", T.IntegerType()),
+    T.StructField("series", T.LongType()),
     T.StructField("county", T.StringType()),
     T.StructField("state", T.StringType()),
     T.StructField("t", T.DateType()),
@@ -21,7 +21,7 @@ PANEL_SCHEMA = T.StructType([
 ])
 
 FUTURE_SCHEMA = T.StructType([
-    T.StructField("series", T.IntegerType()),
+    T.StructField("series", T.LongType()),
     T.StructField("t", T.DateType()),
 ])
 

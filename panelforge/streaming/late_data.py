@@ -18,7 +18,7 @@ from ..operators.joins import append_panel
 from ..session import scratch_path
 
 LATE_SCHEMA = T.StructType([
-    T.StructField("series", T.IntegerType()),
+    T.StructField("series", T.LongType()),
     T.StructField("county", T.StringType()),
     T.StructField("state", T.StringType()),
     T.StructField("t", T.DateType()),

@@ -13,8 +13,8 @@ def test_panel_shape_and_partitioning(spark):
     p = fx.panel(spark, SF_ORACLE)
     prof = p.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("series").alias("s"),
                  F.count_distinct("t").alias("m"), F.max("t").alias("hi")).first()
-    assert (prof.n, prof.s, prof.m) == (2000, 25, 80)
-    assert prof.hi == dt.date(2001, 8, 1)
+    assert (prof.n, prof.s, prof.m) == (8300, 100, 83)
+    assert prof.hi == dt.date(2001, 11, 1)
     # every (series, t) exactly once
     assert p.groupBy("series", "t").count().where("count > 1").count() == 0
     # per-series windows need no shuffle on the fixture
@@ -25,26 +25,47 @@ def test_panel_shape_and_partitioning(spark):
 def test_late_and_future_panels(spark):
     late = fx.late_panel(spark, SF_ORACLE)
     assert "active" not in late.columns
-    assert late.select("t").distinct().count() == 4 and late.count() == 100
+    assert late.select("t").distinct().count() == 4 and late.count() == 400
     fut = fx.future_panel(spark, SF_ORACLE)
     ts = sorted(r.t for r in fut.select("t").distinct().collect())
-    assert ts == [dt.date(2001, 9, 1), dt.date(2001, 10, 1), dt.date(2001, 11, 1), dt.date(2001, 12, 1)]
-    assert fut.count() == 100
+    assert ts == [dt.date(2001, 12, 1), dt.date(2002, 1, 1), dt.date(2002, 2, 1), dt.date(2002, 3, 1)]
+    assert fut.count() == 400
 
 
 def test_attributes_have_null_supplier_balance(spark):
     a = fx.attributes(spark, SF_ORACLE)
-    assert a.count() == 25
     assert a.where("avg_funded_bal IS NULL").count() > 0
-    # every supplier and every order is in the fixtures
-    tables = {n: spark.read.parquet(f"{SF_ORACLE}/{n}.parquet").count() for n in ("supplier", "orders")}
-    assert a.agg(F.sum("suppliers")).first()[0] == tables["supplier"]
-    assert fx.panel(spark, SF_ORACLE).agg(F.sum("active")).first()[0] == tables["orders"]
+    # every supplier and every line is in the fixtures
+    tables = {n: spark.read.parquet(f"{SF_ORACLE}/{n}.parquet").count() for n in ("supplier", "lineitem")}
+    assert a.count() == tables["supplier"] == 100
+    assert fx.panel(spark, SF_ORACLE).agg(F.sum("active")).first()[0] == tables["lineitem"]
     shares = a.select((F.col("share_automobile") + F.col("share_building") + F.col("share_furniture")
                        + F.col("share_household") + F.col("share_machinery")).alias("s")).collect()
     assert all(abs(r.s - 1.0) < 1e-9 for r in shares)
 
 
+def test_appended_panel_equals_the_panel(spark):
+    p, a = fx.panel(spark, SF_ORACLE), fx.appended(spark, SF_ORACLE)
+    cols = ["series", "county", "state", "t", "density"]
+    assert a.count() == p.count() and a.select(cols).exceptAll(p.select(cols)).count() == 0
+    assert a.where("active IS NULL").count() == 400
+    plan = win.rolling_stats(a)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_panel_spreads_over_partitions_as_series_grow(spark):
+    big = SF_ORACLE.replace("0.01", "0.1")
+    assert fx.panel_partitions(spark, SF_ORACLE, 83) == 1
+    assert fx.panel_partitions(spark, big, 83) > 1
+
+
+def test_attach_ids_keeps_unknown_keys(spark):
+    ids = spark.createDataFrame([(1, 0), (2, 1)], "k int, id int")
+    df = spark.createDataFrame([(1,), (3,), (None,)], "k int")
+    got = {r.k: r.id for r in joins.attach_ids(df, ids, "k").collect()}
+    assert got == {1: 0, 3: None, None: None}
+
+
 def test_global_rank_deterministic_with_duplicates(spark):
     rows = [(i % 37, i) for i in range(600)]
     df = spark.createDataFrame(rows, "k int, v int").repartition(6)

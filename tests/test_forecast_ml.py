@@ -135,19 +135,32 @@ def test_standardize_matches_ml_scaler(spark):
         assert np.allclose(native[r.id], r.scaled.toArray(), atol=1e-10)
 
 
-def test_target_encoding_is_continuous_for_trees(spark):
-    # encoded values far above the number of series must not be read as categories
+def test_series_encoding_feeds_trees(spark):
     rng = np.random.default_rng(3)
     rows = []
     for s in range(4):
         for i in range(20):
             x = [float(100 + 50 * s + v) for v in rng.normal(size=8)]
-            rows.append((s, f"c{s}", "S" if s < 2 else "T", x, float(100 + 50 * s)))
+            # two series share one county name
+            rows.append((s, f"c{s // 2}", "S" if s < 2 else "T", x, float(100 + 50 * s)))
     df = spark.createDataFrame(rows, "series int, county string, state string, x array<double>, target double")
-    w = ml.flatten_windows(df)
+    w = ml.add_series_encoding(ml.flatten_windows(df), df)
+    enc = {r.series: r.series_te for r in w.select("series", "series_te").distinct().collect()}
+    assert all(math.isclose(enc[s], (20 * (100 + 50 * s) + 175) / 21) for s in range(4))
     for kind in ("rf", "gbt"):
-        model = ml.pooled_ar_pipeline(kind, series_col="county").fit(w)
+        model = ml.pooled_ar_pipeline(kind, series_col="series_te").fit(w)
         assert model.transform(w).count() == 80
+    # an unknown series and a NULL key get the overall mean
+    new = spark.createDataFrame([(9,), (None,)], "series int")
+    assert [r.series_te for r in ml.add_series_encoding(new, df).collect()] == [175.0, 175.0]
+
+
+def test_select_model_compares_common_cells(spark):
+    rows = [("easy", 1, 1, 1.0, 1.0), ("easy", 2, 1, 1.0, None), ("full", 1, 1, 1.0, 1.0), ("full", 2, 1, 1.0, 3.0)]
+    pred = (spark.createDataFrame(rows, "model string, series int, h int, y double, p double")
+            .selectExpr("model", "series", "'S' AS state", "DATE '2000-01-01' AS t", "h", "y", "p"))
+    out = {r.model: (r["rank"], r.mean_smape, r.coverage) for r in fc.select_model(pred, ["full", "easy"]).collect()}
+    assert out == {"full": (1, 0.0, 1.0), "easy": (2, 0.0, 0.5)}
 
 
 def test_naive_forecasts_equal_single_models(spark):

@@ -45,8 +45,15 @@ def test_per_series_operators_do_not_shuffle(spark, spread_panel, name):
     assert "Exchange" not in plan, plan
 
 
-def test_orders_scan_is_pruned_and_filtered(spark):
-    plan = _plan(fx.order_month_counts(spark, SF_ORACLE))
-    scan = [line for line in plan.splitlines() if "FileScan parquet" in line and "o_orderdate" in line][0]
-    assert "PushedFilters: [IsNotNull(o_orderdate)]" in scan
-    assert "ReadSchema: struct<o_custkey:bigint,o_orderdate:timestamp_ntz>" in scan
+def test_lineitem_scan_is_pruned_and_filtered(spark):
+    plan = _plan(fx.line_month_counts(spark, SF_ORACLE))
+    scan = [line for line in plan.splitlines() if "FileScan parquet" in line and "l_shipdate" in line][0]
+    assert "PushedFilters: [IsNotNull(l_shipdate)]" in scan
+    assert "ReadSchema: struct<l_suppkey:bigint,l_shipdate:timestamp_ntz>" in scan
+    assert "Join" not in plan
+
+
+def test_ids_shuffle_nothing_on_the_state(spark):
+    from panelforge.plans.q_relational import id_table, q_future_state_ids
+    id_table(spark, SF_ORACLE)
+    assert "hashpartitioning(state" not in _plan(q_future_state_ids(spark, SF_ORACLE))
