@@ -67,17 +67,23 @@ def acf_arrays(df: DataFrame, y: str = "density", key: str = "series",
         F.sort_array(F.collect_list(F.struct(F.col(order), F.col(y).cast("double").alias("_y")))).alias("_s"))
     c = F.transform("_s", lambda s: F.coalesce(s["_y"] - F.col("_m"), F.lit(0.0)))
     kmax = F.least(F.ceil(F.lit(10.0) * F.log10("n")).cast("int"), (F.col("n") / 2).cast("int"))
-    rows = rows.select(key, "n", kmax.alias("K"), c.alias("_c"))
+    lags = F.when(kmax >= 1, F.sequence(F.lit(1), kmax)).otherwise(F.array().cast("array<int>"))
 
-    def product(k):
-        later = F.slice(F.col("_c"), k + 1, F.size("_c"))
+    def product(c, k):
+        later = F.slice(c, k + 1, F.size(c))
         # the shorter side ends the zip with NULLs, which are skipped
-        return F.aggregate(F.zip_with(later, F.col("_c"), lambda p, q: F.coalesce(p * q, F.lit(0.0))),
+        return F.aggregate(F.zip_with(later, c, lambda p, q: F.coalesce(p * q, F.lit(0.0))),
                            F.lit(0.0), lambda total, x: total + x)
 
-    lags = F.when(F.col("K") >= 1, F.sequence(F.lit(1), F.col("K"))).otherwise(F.array().cast("array<int>"))
-    r = F.transform(lags, lambda k: F.try_divide(product(k), product(F.lit(0))))
-    return rows.select(key, "n", "K", r.alias("r"))
+    r = once(c, lambda c: once(product(c, F.lit(0)), lambda s0: F.transform(
+        lags, lambda k: F.try_divide(product(c, k), s0))))
+    return rows.select(key, "n", kmax.alias("K"), r.alias("r"))
+
+
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated a single time, however often
+    the body names it (expressions inside a lambda are not shared)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def acf(df: DataFrame, y: str = "density", key: str = "series",
@@ -103,16 +109,20 @@ def durbin_levinson(r: Column, kp: Column) -> Column:
     phi_kk = (r_k - sum_j phi_{k-1,j} r_{k-j}) / v_{k-1}, updates
     phi_{k,j} = phi_{k-1,j} - phi_kk phi_{k-1,k-j} and v_k = v_{k-1}(1 - phi_kk^2)."""
     def step(acc, k):
-        dot = F.aggregate(F.zip_with(acc["phi"], F.reverse(F.slice(r, F.lit(1), k - 1)),
+        dot = F.aggregate(F.zip_with(acc["phi"], F.reverse(F.slice(acc["r"], F.lit(1), k - 1)),
                                      lambda x, z: x * z), F.lit(0.0), lambda s, z: s + z)
-        a = F.try_divide(F.element_at(r, k) - dot, acc["v"])
-        phi = F.concat(F.zip_with(acc["phi"], F.reverse(acc["phi"]), lambda p, q: p - a * q),
-                       F.array(a))
-        return F.struct(phi.alias("phi"), (acc["v"] * (F.lit(1.0) - a * a)).alias("v"),
-                        F.concat(acc["out"], F.array(a)).alias("out"))
 
+        def update(a):
+            phi = F.concat(F.zip_with(acc["phi"], F.reverse(acc["phi"]), lambda p, q: p - a * q),
+                           F.array(a))
+            return F.struct(acc["r"].alias("r"), phi.alias("phi"),
+                            (acc["v"] * (F.lit(1.0) - a * a)).alias("v"),
+                            F.concat(acc["out"], F.array(a)).alias("out"))
+        return once(F.try_divide(F.element_at(acc["r"], k) - dot, acc["v"]), update)
+
+    # r travels in the state, so the fold evaluates it once
     empty = F.array().cast("array<double>")
-    init = F.struct(empty.alias("phi"), F.lit(1.0).alias("v"), empty.alias("out"))
+    init = F.struct(r.alias("r"), empty.alias("phi"), F.lit(1.0).alias("v"), empty.alias("out"))
     ks = F.when(kp >= 1, F.sequence(F.lit(1), kp)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(ks, init, step)["out"]
 
