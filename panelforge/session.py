@@ -38,7 +38,7 @@ def cluster_conf(total_cores: int, input_tb: float = 100.0) -> dict[str, str]:
     """Settings for a large cluster (to pass as ``extra`` or to spark-submit).
 
     * shuffle partitions: enough that one partition of the largest shuffle
-      (the orders x customer join input, about a tenth of the input bytes)
+      (taken as about a tenth of the input bytes)
       stays near 256 MB, and at least 3 per core; AQE coalesces small
       shuffles back down, so small stages do not pay for it;
     * 256 MB file splits and advisory partition size, so a task's input and
