@@ -161,10 +161,13 @@ def _cv_rows(cv_model, param_names: list[str], metric: str = "rmse") -> tuple[li
 def cross_validate(df: DataFrame, estimator, grid, features: list[str], label: str,
                    folds: int = C.CV_FOLDS, seed: int = C.SPLIT_SEED,
                    train_pct: int = C.TRAIN_PERCENT,
-                   split_keys: list[str] | None = None, parallelism: int = 2) -> DataFrame:
+                   split_keys: list[str] | None = None, parallelism: int = 2,
+                   requested: list[dict] | None = None) -> DataFrame:
     """Hash split into train/test, k-fold CV over ``grid`` on
     train (best model refit on all train), hold-out RMSE on test.  Returns
-    the CV table with the hold-out RMSE and a ``best`` flag."""
+    the CV table with the hold-out RMSE and a ``best`` flag.  ``requested``
+    has, per map, the values asked for where Spark cannot take them; they are
+    reported as columns ``requested_<param>``."""
     features = feature_columns_checked(features, label)
     keys = split_keys or features
     data = hash_split(assemble(df, features), keys, train_pct)
@@ -182,7 +185,11 @@ def cross_validate(df: DataFrame, estimator, grid, features: list[str], label: s
     rows, schema = _cv_rows(model, names)
     best = int(np.argmin(model.avgMetrics))
     rows = [r + (float(holdout), i == best) for i, r in enumerate(rows)]
-    return df.sparkSession.createDataFrame(rows, schema + ", holdout_rmse double, best boolean")
+    schema += ", holdout_rmse double, best boolean"
+    for n in sorted({n for asked in requested or [] for n in asked}):
+        rows = [r + (float(asked[n]),) for r, asked in zip(rows, requested)]
+        schema += f", requested_{n} double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def rf_grid(rf: RandomForestRegressor, full: bool = False):
@@ -208,6 +215,21 @@ def gbt_grid(gbt: GBTRegressor, full: bool = False):
     return ParamGridBuilder().addGrid(gbt.maxDepth, [2, 5]).addGrid(gbt.maxIter, [10]).build()
 
 
+def gbt_reference_grid(gbt: GBTRegressor) -> tuple[list[dict], list[dict]]:
+    """The 12 maps of ``constants.GBT_GRID`` as the queries run them and, per
+    map, the depth the reference asks for: above Spark's maximum (30) a tree
+    grows to that maximum."""
+    g = C.GBT_GRID
+    maps, requested = [], []
+    for depth in g["maxDepth"]:
+        part = (ParamGridBuilder().addGrid(gbt.maxDepth, [min(depth, C.SPARK_MAX_TREE_DEPTH)])
+                .addGrid(gbt.maxBins, list(g["maxBins"]))
+                .addGrid(gbt.maxIter, list(g["maxIter"])).build())
+        maps += part
+        requested += [{"maxDepth": depth}] * len(part)
+    return maps, requested
+
+
 def gbt_early_stop(train: DataFrame, valid: DataFrame, features: list[str], label: str,
                    max_iter: int = 100, tol: float = 0.001, step_size: float = 0.3,
                    seed: int = C.RF_SEED, layout_keys: list[str] | None = None) -> tuple:

@@ -109,22 +109,31 @@ def q_pca_scree_features(spark, sf_dir):
     return rounded(ml.pca_scree(data, features=ATTR_FEATURES, standardize_first=True))
 
 
-def _line_cv(spark, sf_dir, estimator, grid) -> DataFrame:
-    li = _lineitem(spark, sf_dir)
-    return rounded(ml.cross_validate(li, estimator, grid, LINE_FEATURES, LINE_LABEL, folds=2,
-                                     seed=123, split_keys=["l_orderkey", "l_linenumber"]))
+def _grid_cv(spark, sf_dir, make, maps) -> DataFrame:
+    """Cross-validation of every map on ``lineitem`` and on the reference's
+    kind of input, the panel-attribute table; ``input`` names the table."""
+    panel = _attr_panel(spark, sf_dir).where(F.col("density").isNotNull())
+    panel = ml.stable_layout(panel.select("series", "t", *ATTR_FEATURES, "density"), ["series", "t"])
+    inputs = [("lineitem", _lineitem(spark, sf_dir), LINE_FEATURES, LINE_LABEL, ["l_orderkey", "l_linenumber"]),
+              ("panel_attributes", panel, ATTR_FEATURES, "density", ["series", "t"])]
+    parts = []
+    for name, data, features, label, keys in inputs:
+        estimator = make(labelCol=label, featuresCol="features", seed=C.RF_SEED)
+        grid, requested = maps(estimator)
+        out = ml.cross_validate(data, estimator, grid, features, label, folds=C.CV_FOLDS, seed=C.SPLIT_SEED,
+                                split_keys=keys, parallelism=4, requested=requested)
+        parts.append(out.select(F.lit(name).alias("input"), "*"))
+    return rounded(parts[0].unionByName(parts[1]))
 
 
 @register("rf_cv")
 def q_rf_cv(spark, sf_dir):
-    rf = RandomForestRegressor(labelCol=LINE_LABEL, featuresCol="features", seed=C.RF_SEED)
-    return _line_cv(spark, sf_dir, rf, ml.rf_grid(rf))
+    return _grid_cv(spark, sf_dir, RandomForestRegressor, lambda rf: (ml.rf_grid(rf, full=True), None))
 
 
 @register("gbt_cv")
 def q_gbt_cv(spark, sf_dir):
-    gbt = GBTRegressor(labelCol=LINE_LABEL, featuresCol="features", seed=C.RF_SEED)
-    return _line_cv(spark, sf_dir, gbt, ml.gbt_grid(gbt))
+    return _grid_cv(spark, sf_dir, GBTRegressor, ml.gbt_reference_grid)
 
 
 # ------------------------------------------------------- panel forecasting

@@ -232,3 +232,29 @@ def test_cross_validation_does_not_depend_on_the_layout(spark):
     out = [[(round(r.avg_rmse, 9), round(r.holdout_rmse, 9), r.best) for r in ml.cross_validate(
         df.repartition(n), lr, grid, ["a", "b"], "y", split_keys=["id"]).collect()] for n in (1, 3)]
     assert out[0] == out[1]
+
+
+def test_cv_queries_run_the_reference_grids_on_both_inputs(spark, monkeypatch):
+    from panelforge.plans import q_ml
+    seen = []
+
+    def fake(df, estimator, grid, features, label, requested=None, **_):
+        seen.append((label, [{p.name: v for p, v in pm.items()} for pm in grid], requested))
+        return spark.createDataFrame([(0.5,)], "avg_rmse double")
+
+    monkeypatch.setattr(q_ml.ml, "cross_validate", fake)
+    for q in (q_ml.q_rf_cv, q_ml.q_gbt_cv):
+        assert {r.input for r in q(spark, "/root/testdata/sf0.001").collect()} == {"lineitem", "panel_attributes"}
+    assert [(label, len(maps)) for label, maps, _ in seen] == [
+        ("l_extendedprice", 27), ("density", 27), ("l_extendedprice", 12), ("density", 12)]
+    for _, maps, requested in seen[2:]:
+        assert {(m["maxDepth"], r["maxDepth"]) for m, r in zip(maps, requested)} == {(2, 2), (30, 105)}
+
+
+def test_cv_reports_requested_values(spark):
+    rows = [(i, float(i % 9), float(i % 9)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, y double")
+    lr = LinearRegression(labelCol="y", featuresCol="features")
+    out = ml.cross_validate(df, lr, [{lr.regParam: 0.0}, {lr.regParam: 0.5}], ["a"], "y", split_keys=["id"],
+                            requested=[{"regParam": 0.0}, {"regParam": 9.0}]).collect()
+    assert [(r.regParam, r.requested_regParam) for r in out] == [(0.0, 0.0), (0.5, 9.0)]
