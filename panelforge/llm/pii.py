@@ -2,13 +2,17 @@
 
 Generators propose spans, which may overlap: every match of the base patterns
 (which always stay), and looser forms of the same kinds: spelled-out e-mail
-addresses, dotted, grouped or bare numbers of fitting length.  Boosted trees
-judge a looser span by its format (digits, groups, separators) and context
-(neighbouring characters, digits and telling words nearby).  They learn from
-the spans of a bounded sample of documents (about ``SAMPLE_DOCS``, by a hash of
-the row): base matches against looser spans that no base match overlaps.  The
-validity rules of the base patterns (check digit, number ranges) are no
-features, so the trees judge how a span is written.  On a fold of that sample
+addresses and, of every run of digit groups, each sequence of neighbouring
+groups of fitting length, so a list of numbers proposes its items too.  Boosted
+trees judge a looser span by its format (digits, groups, separators) and
+context (neighbouring characters, digits and telling words nearby).  They learn
+from the spans of a bounded sample of documents (about ``SAMPLE_DOCS``, by a
+hash of the row): base matches against looser spans and pieces of base matches
+of another kind.  The validity rules of the base patterns (check digit, number
+ranges) are no features, nor are the marks of the base forms (``@``, ``.`` and
+``+`` count as their looser forms do), so the trees judge how a span is
+written.  A looser span that only lacks the mark (a spelled-out address, a
+phone number without ``+``) has no label: it is judged, not learned from.  On a fold of that sample
 each kind gets the lowest threshold (``PRECISION`` of the spans above it, and one more, are
 base matches, at least ``FLOOR``); looser spans above it are added.
 
@@ -23,6 +27,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SPELLED = re.compile(r"[A-Za-z0-9_%+-]{1,64}\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]{1,64}"
                      r"(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]{1,64}){1,4}")
 CLUSTER = re.compile(r"[+(]{0,2}[0-9](?:[\x20().,:/-]{0,2}[0-9])*")
+GROUP = re.compile(r"[0-9]+")
+AT, DOT = re.compile(r"\x20?(?:\(at\)|\[at\]|@)\x20?"), re.compile(r"\x20?(?:\(dot\)|\[dot\]|\.)\x20?")
+MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 TELLING = re.compile(r"(?i)mail|contact|phone|tel|call|fax|mobile|card|visa|credit|account|ip\b|host|server|addr")
 NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -98,35 +106,91 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Looser candidates that no base match overlaps."""
+def _overlaps(base: list[tuple[str, int, int]]):
+    """Whether a base match overlaps a place, as a function of its ends."""
+    taken = sorted((a, b) for _, a, b in base)
+    starts, reach, top = [a for a, _ in taken], [], 0
+    for _, b in taken:
+        top = max(top, b)
+        reach.append(top)
+
+    def overlaps(a: int, b: int) -> bool:
+        k = bisect_left(starts, b) - 1
+        return k >= 0 and reach[k] > a
+    return overlaps
+
+
+def proposals(text: str) -> list[tuple[str, int, int]]:
+    """Every looser form: spelled-out addresses, and of each run of digit
+    groups all sequences of neighbouring groups of fitting length (at most 19
+    per group, as a sequence has at most 19 digits)."""
     out = []
     if "at)" in text or "at]" in text or "@" in text:
         out += [("email", m.start(), m.end()) for m in SPELLED.finditer(text)]
     for m in CLUSTER.finditer(text):
         if m.end() - m.start() < 7:
             continue
-        n = sum("0" <= c <= "9" for c in m[0])
-        if 7 <= n <= 15:
-            out.append(("phone", m.start(), m.end()))
-        if 12 <= n <= 19:
-            out.append(("card", m.start(), m.end()))
-        if 4 <= n <= 15 and len(re.findall(r"[0-9]+", m[0])) == 4:
-            out.append(("ip", m.start(), m.end()))
+        groups = [(g.start(), g.end()) for g in GROUP.finditer(text, m.start(), m.end())]
+        for i, (first, _) in enumerate(groups):
+            a = first
+            while a > m.start() and first - a < 2 and text[a - 1] in "+(":
+                a -= 1
+            n = 0
+            for j in range(i, len(groups)):
+                n += groups[j][1] - groups[j][0]
+                if n > 19:
+                    break
+                b = groups[j][1]
+                if 7 <= n <= 15:
+                    out.append(("phone", a, b))
+                if 12 <= n:
+                    out.append(("card", a, b))
+                if n <= 15 and j - i == 3:
+                    out.append(("ip", a, b))
+    return out
+
+
+def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Looser candidates that no base match overlaps."""
+    out = proposals(text)
     if not out or not base:
         return out
-    taken = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in taken]
-    reach, top = [], 0
-    for _, b in taken:
-        top = max(top, b)
-        reach.append(top)
-    keep = []
-    for kind, a, b in out:
-        k = int(np.searchsorted(starts, b, "left")) - 1
-        if k < 0 or reach[k] <= a:
-            keep.append((kind, a, b))
-    return keep
+    overlaps = _overlaps(base)
+    return [s for s in out if not overlaps(s[1], s[2])]
+
+
+def written(kind: str, s: str) -> str:
+    """The span without the marks that only its base form has."""
+    if kind == "email":
+        return DOT.sub(".", AT.sub("@", s))
+    return s.lstrip("+") if kind == "phone" else s
+
+
+def unmarked(text: str, kind: str, a: int, b: int) -> bool:
+    """Whether a looser span fails its base pattern for want of a mark only."""
+    s = written(kind, text[a:b])
+    if kind == "email":
+        return bool(MAIL.fullmatch(s))
+    if kind != "phone" or text[max(0, a - 1):a].isalnum() or text[b:b + 1].isalnum():
+        return False
+    return bool(PHONE.fullmatch("+" + s.lstrip("("))) and 9 <= sum("0" <= c <= "9" for c in s) <= 15
+
+
+def labelled(text: str) -> list[tuple[float, tuple[str, int, int]]]:
+    """Spans to learn from: base matches (1), and as others (0) looser spans
+    that lack more than a mark and pieces of base matches of other kinds."""
+    base = base_spans(text)
+    out = [(1.0, s) for s in base]
+    more = proposals(text)
+    overlaps = _overlaps(base)
+    own = {k: _overlaps([s for s in base if s[0] == k]) for k in {s[0] for s in base}}
+    for s in more:
+        if overlaps(s[1], s[2]):
+            if s[0] not in own or not own[s[0]](s[1], s[2]):
+                out.append((0.0, s))
+        elif not unmarked(text, *s):
+            out.append((0.0, s))
+    return out
 
 
 def _class(ch: str) -> int:
@@ -134,12 +198,12 @@ def _class(ch: str) -> int:
 
 
 def span_features(text: str, kind: str, a: int, b: int) -> list[float]:
-    s = text[a:b]
+    s = written(kind, text[a:b])
     groups = [len(g) for g in re.findall(r"[0-9]+", s)] or [0]
     near = text[max(0, a - 24):a] + text[b:b + 24]
     return [KINDS.index(kind), sum(groups), len(s), len(groups), max(groups), min(groups),
-            s.count(" "), s.count("-"), s.count("."), s.count("(") + s.count(")"), float(s[:1] == "+"),
-            s.count("@"), s.count(",") + s.count(":") + s.count("/"), _class(text[a - 1:a] if a else ""),
+            s.count(" "), s.count("-"), s.count("."), s.count("(") + s.count(")"),
+            s.count(",") + s.count(":") + s.count("/"), _class(text[a - 1:a] if a else ""),
             _class(text[b:b + 1]), float(bool(TELLING.search(text, max(0, a - 24), a))),
             sum(map(str.isdigit, near)), sum(map(str.isalpha, s)), float(s[-1:].isalpha()), len(set(s))]
 
@@ -174,9 +238,7 @@ def fit_spans(docs: DataFrame) -> SpanModel | None:
     def run(batches):
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                base = base_spans(text)
-                rows = [(1.0, *span_features(text, *s)) for s in base]
-                rows += [(0.0, *span_features(text, *s)) for s in loose_spans(text, base)]
+                rows = [(y, *span_features(text, *s)) for y, s in labelled(text)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["row"])
 

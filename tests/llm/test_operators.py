@@ -224,3 +224,24 @@ def test_pipeline(spark):
     docs = spark.createDataFrame([(*r[:2], "en", "s", 1) for r in EDGE], "doc_id long, text string, lang string, source string, n_chars long")
     kept = p.near_duplicates(spark, docs, SF)
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 4, 5]
+
+
+def test_personal_data_in_lists_and_without_marks(spark):
+    from panelforge.llm.pii import base_spans, find_personal_data, labelled, loose_spans, span_features
+    found = lambda t: {(k, t[a:b]) for k, a, b in loose_spans(t, base_spans(t))}
+    both = {("phone", "555-123-4567"), ("phone", "555-765-4321")}
+    assert both <= found("555-123-4567, 555-765-4321") and both <= found("555-123-4567 555-765-4321")
+    assert ("phone", "(555) 123-4567") in found("10.1.2.3 (555) 123-4567")
+    assert not any(k == "ip" and s == "10.1.2.3" for k, s in found("10.1.2.3 (555) 123-4567"))
+    # a span that only lacks the mark is no counter-example, and the mark no feature
+    t = "write ann (at) mail (dot) org or 49 30 1234567"
+    assert not {"ann (at) mail (dot) org", "49 30 1234567"} & {t[a:b] for _, (_, a, b) in labelled(t)}
+    a, b = "x ann@mail.org y", "x ann (at) mail (dot) org y"
+    assert span_features(a, "email", 2, 14) == span_features(b, "email", 2, 25)
+    rng = np.random.default_rng(4)
+    num = lambda: "-".join(str(v) for v in [rng.integers(10, 99), rng.integers(100, 999), rng.integers(1000000, 9999999)])
+    rows = [(i, f"order 1{i:07d}x phone +{num()} call") for i in range(400)]
+    rows += [(1000 + i, f"phone {num()} call") for i in range(200)]
+    out = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in out.collect()}
+    assert all(("phone", False) in spans[1000 + i] for i in range(200))
