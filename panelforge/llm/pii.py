@@ -6,18 +6,21 @@ addresses and, of every run of digit groups, each sequence of neighbouring
 groups of fitting length, so a list of numbers proposes its items too.  Boosted
 trees judge a looser span by its format (digits, groups, separators) and
 context (neighbouring characters, digits and telling words nearby).  They learn
-from the spans of a bounded sample of documents (about ``SAMPLE_DOCS``, by a
-hash of the row): base matches against looser spans and pieces of base matches
-of another kind.  The validity rules of the base patterns (check digit, number
+from spans of all documents, base matches against looser spans and pieces of
+base matches of another kind, of which a hash of (row, span) keeps about
+``FIT_SPANS`` per kind and label; the shares follow a count and are undone in
+the score.  The validity rules of the base patterns (check digit, number
 ranges) are no features, nor are the marks of the base forms (``@``, ``.`` and
 ``+`` count as their looser forms do), so the trees judge how a span is
 written.  A looser span that only lacks the mark (a spelled-out address, a
-phone number without ``+``) has no label: it is judged, not learned from.  On a fold of that sample
-each kind gets the lowest threshold (``PRECISION`` of the spans above it, and one more, are
-base matches, at least ``FLOOR``); looser spans above it are added.
+phone number without ``+``) has no label: it is judged, not learned from.  On the
+quarter of all spans that another hash keeps out of the fit, score histograms
+summed over all documents give each kind the lowest threshold (``PRECISION`` of
+the spans above it, and one more, are base matches, at least ``FLOOR``); looser
+spans above it are added.
 
-Fit aside, the operator is one map over all documents: whole texts, no
-shuffle.  All patterns run in linear time on any text.
+Counting, drawing, scoring and the result are one map over all documents each:
+whole texts; only counts, drawn spans and histograms are shuffled.  All patterns run in linear time on any text.
 
 Defined results: NULL counts as empty text without spans; offsets count code
 points, end exclusive; repeated rows get the same result each; other columns
@@ -28,6 +31,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +43,9 @@ from .boosting import BoostedTrees
 from .common import release
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 20_000
-MAX_SPANS = 100_000            # candidate spans the trees are fitted on
+FIT_SPANS = 12_500             # drawn spans per kind and label the trees are fitted on
+HELD_EVERY = 4                 # one span in so many is held out for the thresholds
+SCORE_STEP, SCORE_LIMIT = 0.02, 15.0    # histogram of the scores (log odds)
 PRECISION, FLOOR = 0.98, 0.8
 
 # The base patterns.
@@ -209,49 +215,98 @@ def span_features(text: str, kind: str, a: int, b: int) -> list[float]:
 
 
 class SpanModel:
-    """Boosted trees and each kind's threshold."""
+    """Boosted trees, each kind's correction for the drawn shares, and each
+    kind's threshold on the log odds."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray):
-        fit = ~fold
-        self.trees = BoostedTrees().fit(x[fit], y[fit])
-        p = self.trees.predict(x[fold])
+    def __init__(self, x: np.ndarray, y: np.ndarray, shift: np.ndarray):
+        self.trees = BoostedTrees().fit(x, y)
+        self.shift = shift
         self.threshold = np.full(len(KINDS), np.inf)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Log odds as a step of the histograms."""
+        p = np.clip(self.trees.predict(x), 1e-12, 1 - 1e-12)
+        z = np.log(p / (1 - p)) + self.shift[x[:, 0].astype(int)]
+        return np.floor(np.clip(z, -SCORE_LIMIT, SCORE_LIMIT) / SCORE_STEP).astype(np.int64)
+
+    def set_thresholds(self, kind: np.ndarray, step: np.ndarray, label: np.ndarray, n: np.ndarray) -> None:
+        """From histograms of held-out spans: ``n`` of each (kind, step, label)."""
         for k in range(len(KINDS)):
-            mine = x[fold, 0] == k
-            order = np.argsort(-p[mine], kind="stable")
-            if not len(order):
-                continue
-            hits = y[fold][mine][order]
-            good = np.flatnonzero(np.cumsum(hits) >= PRECISION * np.arange(2, len(hits) + 2))
-            # ties at the threshold must all count
-            for at in good[::-1]:
-                if at + 1 == len(order) or p[mine][order][at + 1] < p[mine][order][at]:
-                    self.threshold[k] = max(FLOOR, p[mine][order][at])
-                    break
+            mine = kind == k
+            steps, at = np.unique(-step[mine], return_inverse=True)
+            rows = np.cumsum(np.bincount(at, n[mine], len(steps)))
+            hits = np.cumsum(np.bincount(at, n[mine] * label[mine], len(steps)))
+            good = np.flatnonzero(hits >= PRECISION * (rows + 1))
+            if len(good):
+                self.threshold[k] = max(np.ceil(np.log(FLOOR / (1 - FLOOR)) / SCORE_STEP), -steps[good[-1]])
 
     def accept(self, x: np.ndarray) -> np.ndarray:
-        return self.trees.predict(x) >= self.threshold[x[:, 0].astype(int)]
+        return self.score(x) >= self.threshold[x[:, 0].astype(int)]
+
+
+def _hashed(row: int, span: tuple[str, int, int]) -> int:
+    """64 bits of (row, span)."""
+    return int.from_bytes(blake2b(f"{row},{span}".encode(), digest_size=8).digest(), "little")
 
 
 def fit_spans(docs: DataFrame) -> SpanModel | None:
-    """Fit on the candidates of ``docs(text)``; None without both labels."""
-    def run(batches):
+    """Fit on the spans of ``docs(row, text)``, ``row`` a 64-bit hash; None
+    without both labels."""
+    cells = "kind int, step bigint, label int, n bigint"
+
+    def spans(batch):
+        """(hash, label, span, text) of every span of a batch."""
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+            for y, s in labelled(text):
+                yield _hashed(row, s), int(y), s, text
+
+    def summed(count):
+        keys = [*count]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32()))]
+            + [pa.array([count[k] for k in keys], pa.int64())], names=["kind", "step", "label", "n"])
+
+    def totals(rows):
+        got = rows.groupBy("kind", "step", "label").agg(F.sum("n").alias("n")).toArrow()
+        return [got.column(c).to_numpy() for c in ("kind", "step", "label", "n")]
+
+    def count(batches):
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                rows = [(y, *span_features(text, *s)) for y, s in labelled(text)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["row"])
+            yield summed(Counter((KINDS.index(s[0]), 0, y) for h, y, s, _ in spans(batch) if h % HELD_EVERY))
 
-    got = docs.select("text").mapInArrow(run, "row array<double>").limit(MAX_SPANS).toArrow()
-    if got.num_rows == 0:
+    share = np.ones((len(KINDS), 2))
+    kind, _, label, n = totals(docs.mapInArrow(count, cells))
+    if len(set(label)) < 2:
         return None
+    share[kind, label] = np.minimum(1.0, FIT_SPANS / n)
+
+    def draw(batches):
+        for batch in batches:
+            rows = [(h - (1 << 63), [float(y), *span_features(text, *s)]) for h, y, s, text in spans(batch)
+                    if h % HELD_EVERY and (h >> 2) < share[KINDS.index(s[0]), y] * (1 << 62)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()),
+                                                  pa.array([r for _, r in rows], pa.list_(pa.float64()))], names=["h", "row"])
+
+    # repeated rows are drawn once, as they share their hashes
+    got = (docs.mapInArrow(draw, "h bigint, row array<double>").groupBy("h").agg(F.min("row").alias("row"))
+           .select("row").toArrow())
     rows = got.column("row").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
     rows = rows[np.lexsort(rows.T)]                          # one order, whatever the partitions
     y, x = rows[:, 0], rows[:, 1:]
-    fold = np.arange(len(y)) % 4 == 0
-    if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
+    if len(set(y)) < 2:
         return None
-    return SpanModel(x, y, fold)
+    model = SpanModel(x, y, np.log(share[:, 0] / share[:, 1]))
+
+    def scores(batches):
+        for batch in batches:
+            held = [(y, span_features(text, *s)) for h, y, s, text in spans(batch) if h % HELD_EVERY == 0]
+            if held:
+                x = np.array([f for _, f in held], float)
+                yield summed(Counter(zip(x[:, 0].astype(int).tolist(), model.score(x).tolist(), [y for y, _ in held])))
+
+    model.set_thresholds(*totals(docs.mapInArrow(scores, cells)))
+    return model
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -274,9 +329,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = {c: f"k{i}" for i, c in enumerate(keep)}
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                       *[F.col(c).alias(n) for c, n in names.items()])
-    rows = src.count()
-    u = F.pmod(F.xxhash64(F.lit("pii"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    model = fit_spans(src.where(u < min(1.0, SAMPLE_DOCS / max(rows, 1))))
+    model = fit_spans(src.select(F.xxhash64("id", "text").alias("row"), "text"))
     order = {k: i for i, k in enumerate(KINDS)}
 
     def run(batches):

@@ -245,3 +245,19 @@ def test_personal_data_in_lists_and_without_marks(spark):
     out = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
     spans = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in out.collect()}
     assert all(("phone", False) in spans[1000 + i] for i in range(200))
+
+
+def test_personal_data_model_does_not_depend_on_the_layout(spark, monkeypatch):
+    from panelforge.llm import pii
+    monkeypatch.setattr(pii, "FIT_SPANS", 150)
+    # the first document alone has more numbers than are drawn
+    rows = [(0, " ; ".join(f"x{7000000 + 13 * i}y" for i in range(3000)))]
+    rows += [(i, f"phone +{10 + i % 80} {100 + i % 700} {1000000 + 7919 * i} call") for i in range(1, 900)]
+    df = spark.createDataFrame(rows, "row long, text string").coalesce(1)
+    models = [pii.fit_spans(d) for d in (df, df.repartition(7, "row"), df.orderBy(F.desc("row")).coalesce(1))]
+    assert all(m is not None for m in models)
+    phone = pii.KINDS.index("phone")
+    assert math.isfinite(models[0].threshold[phone])
+    for m in models[1:]:
+        assert np.array_equal(m.threshold, models[0].threshold)
+        assert all(np.array_equal(a, b) for t, u in zip(m.trees.trees, models[0].trees.trees) for a, b in zip(t, u))
