@@ -17,7 +17,8 @@ documents that hold it.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of non-ASCII
 characters.  Defined results: NULL and empty texts have no words and no hits;
-an item without words never occurs; an item of fewer words than a window is
+an item without words never occurs; an item
+without id counts for ``n_hit`` and ``contaminated`` but is not listed; an item of fewer words than a window is
 one window; repeated rows get the same result each; other columns, whatever
 their names, are ignored.
 """
@@ -70,9 +71,10 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
 
 def item_windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """(item, win, phrase): every window of ``size`` words of each item, or
-    the whole item if it is shorter; distinct phrases per item."""
+    the whole item if it is shorter; distinct phrases per item (NULL: all items
+    without id)."""
     w = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words"))
-    w = w.where((F.size("words") > 0) & F.col("item").isNotNull())
+    w = w.where(F.size("words") > 0)
     last = F.greatest(F.size("words") - size, F.lit(0))
     return (w.select("item", F.explode(F.transform(F.sequence(F.lit(0), last),
                                                    lambda i: F.slice(F.col("words"), i + 1, size))).alias("phrase"))

@@ -261,3 +261,19 @@ def test_personal_data_model_does_not_depend_on_the_layout(spark, monkeypatch):
     for m in models[1:]:
         assert np.array_equal(m.threshold, models[0].threshold)
         assert all(np.array_equal(a, b) for t, u in zip(m.trees.trees, models[0].trees.trees) for a, b in zip(t, u))
+
+
+def test_decontamination_of_items_without_id(spark, tmp_path):
+    import duckdb
+
+    from panelforge.llm.catalog import ORACLE, QUERIES
+    docs = [(1, "a copy of one two three four"), (2, "five six and one two three four"), (3, "clean")]
+    items = [(None, "one two three four"), (7, "five six")]
+    con = duckdb.connect()
+    for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("benchmark", items, "item_id int, text string")):
+        path = str(tmp_path / f"{name}.parquet")
+        spark.createDataFrame(rows, schema).write.parquet(path)
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    got = sorted(map(tuple, QUERIES["op5_decontamination"](spark, str(tmp_path)).collect()))
+    assert [r[:4] + r[5:] for r in got] == [(1, 7, 4, 0, True), (2, 7, 6, 1, True), (3, 1, 0, 0, False)]
+    assert got == sorted(con.sql(ORACLE["op5_decontamination"]).fetchall())
