@@ -125,16 +125,41 @@ def exact_matches(index: PositionalIndex, phrases: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: PositionalIndex, phrases: DataFrame, slop: int) -> DataFrame:
-    """(phrase_id, doc, start, span): places where the two rarest terms of a
-    phrase stand at most ``slop`` words further apart or closer than in it."""
-    leads = _leads(phrases, index).where(F.col("t2").isNotNull())
-    a = (index.postings.join(leads, F.col("term_id") == F.col("t1"))
-         .select("phrase_id", "doc", F.col("pos").alias("p1"), "o1", "o2", "t2"))
-    b = index.postings.select(F.col("term_id").alias("t2"), "doc", F.col("pos").alias("p2"))
-    gap = F.col("p2") - F.col("p1") - (F.col("o2") - F.col("o1"))
-    return (a.join(b, ["t2", "doc"]).where(F.abs(gap) <= slop)
-            .select("phrase_id", "doc", F.least("p1", "p2").alias("start"), (F.abs(F.col("p2") - F.col("p1")) + 1).alias("span"))
-            .distinct())
+    """(phrase_id, doc, start, span): places that hold every word of a phrase,
+    each at a word of its own and shifted against the others by at most
+    ``slop`` words; of those with one smallest shift, the earliest words.
+
+    Every occurrence of the rarest term is joined with the postings within
+    ``slop`` of each other word's place only, found by buckets of positions,
+    so a long document does not pair all positions of two frequent terms."""
+    n = F.size("phrase")
+    wide = F.lit(slop + 1)
+    leads = _leads(phrases, index).select("phrase_id", "phrase", "t1", "o1")
+    first = (index.postings.join(leads, F.col("term_id") == F.col("t1"))
+             .select("phrase_id", "phrase", "doc", (F.col("pos") - F.col("o1")).alias("p1")))
+    place = F.col("p1") + F.col("off")
+    asked = (first.select("phrase_id", "doc", "p1", n.alias("n"), F.posexplode("phrase").alias("off", "term"))
+             .select("phrase_id", "doc", "p1", "n", "off", F.xxhash64("term").alias("term_id"),
+                     F.explode(F.sequence(F.floor((place - slop) / wide), F.floor((place + slop) / wide))).alias("b")))
+    near = index.postings.withColumn("b", F.floor(F.col("pos") / wide))
+    shift = F.col("pos") - F.col("off")
+    found = (asked.join(near, ["term_id", "doc", "b"]).where(F.abs(shift - F.col("p1")) <= slop)
+             .groupBy("phrase_id", "doc", "p1", "n")
+             .agg(F.sort_array(F.collect_set(F.struct(F.col("pos"), F.col("off"), shift.alias("shift")))).alias("at"))
+             .where(F.size(F.array_distinct("at.off")) == F.col("n"))
+             .select("n", "phrase_id", "doc", "at", F.explode(F.array_distinct(
+                 F.filter("at.shift", lambda x: x <= F.col("p1")))).alias("low")))
+
+    def pick(taken: Column, off: Column) -> Column:
+        """The earliest free place of a word; NULL from the first without one."""
+        free = F.filter("at", lambda x: (x["off"] == off) & x["shift"].between(F.col("low"), F.col("low") + slop)
+                        & ~F.array_contains(taken, x["pos"]))
+        return F.when(F.size(free) > 0, F.concat(taken, F.array(F.get(free, F.lit(0))["pos"])))
+
+    words = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.array().cast("array<int>"), pick)
+    return (found.withColumn("words", words).where(F.col("words").isNotNull())
+            .select("phrase_id", "doc", F.array_min("words").alias("start"),
+                    (F.array_max("words") - F.array_min("words") + 1).alias("span")).distinct())
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id",

@@ -277,3 +277,18 @@ def test_decontamination_of_items_without_id(spark, tmp_path):
     got = sorted(map(tuple, QUERIES["op5_decontamination"](spark, str(tmp_path)).collect()))
     assert [r[:4] + r[5:] for r in got] == [(1, 7, 4, 0, True), (2, 7, 6, 1, True), (3, 1, 0, 0, False)]
     assert got == sorted(con.sql(ORACLE["op5_decontamination"]).fetchall())
+
+
+def test_proximity_needs_every_word(spark):
+    from panelforge.llm.decontam import build_index, proximity_matches
+    docs = spark.createDataFrame([(1, "a x b c"), (2, "a b q q q q q q c"), (3, "c b a"), (4, "b"), (5, "d"), (6, "d x d")],
+                                 "doc_id long, text string")
+    phrases = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b"]), (3, ["d", "d"])], "phrase_id long, phrase array<string>")
+    index = build_index(docs, phrases.select(F.explode("phrase").alias("term")))
+    names = index.docs.select(F.xxhash64("id", "text").alias("doc"), "id")
+    got = lambda slop: {tuple(r) for r in proximity_matches(index, phrases, slop).join(names, "doc")
+                        .select("phrase_id", "id", "start", "span").collect()}
+    one = {(2, 1, 2, 1), (2, 2, 1, 1), (2, 3, 1, 1), (2, 4, 0, 1)}
+    assert got(0) == one
+    assert got(1) == one | {(1, 1, 0, 4), (3, 6, 0, 3)}
+    assert (1, 3, 0, 3) in got(4) and not any(i == 2 and p == 1 for p, i, *_ in got(5))
