@@ -2,7 +2,10 @@
 
 Each page is read as text blocks under a stack of container elements.  Blocks
 inside page furniture (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) are left out.  Every container scores
+forms, scripts, styles, reader comments) are left out.  A class or id tells
+furniture unless the word is qualified (``no-sidebar``, ``has-comments``) or
+the element, other than adverts and comments, holds all of the page's unlinked
+text, or most of it and a title, ``article`` or ``main``: it wraps the page.  Every container scores
 the text of its blocks less their link text; the page votes for the
 generalised path (tags and classes without digits) of its best one.  Spark
 adds up the votes per host, and the second pass extracts, on every page of a
@@ -51,6 +54,12 @@ FURNITURE = re.compile(
     r"bread-?crumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
     r"newsletter|subscribe|signup|login|social|share|sharing|related|recommend\w*|widget|comments?|replies|"
     r"respond|disqus|discussion|pagination|pager|toolbar|skip-?link)(?=$|[\s_-])", re.I)
+#: a class name that says what a wrapper has or lacks beside its text
+QUALIFIED = re.compile(r"(?<![^\s_-])(?:no|non|not|with|without|has|have|hide|sans)[_-]\S*", re.I)
+#: furniture that never wraps a page, however long it is
+ASIDE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|newsletter|subscribe|"
+    r"comments?|replies|respond|disqus|discussion)(?=$|[\s_-])", re.I)
 TITLED = frozenset(("article", "main"))
 
 
@@ -66,7 +75,11 @@ class Page:
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int, tuple[str, ...]]] = []
-        stack: list[tuple[str, bool, str]] = []      # tag, furniture, container path or ""
+        read: list[tuple[str, int, tuple[str, ...], tuple[int, ...]]] = []
+        # tag, furniture, container path or "", number among the furniture by name or 0
+        stack: list[tuple[str, bool, str, int]] = []
+        named: tuple[int, ...] = ()                  # furniture by name around the text
+        n_named, topped = 0, set()                   # those that hold the page's title
         paths: tuple[str, ...] = ("",)
         text: list[str] = []
         linked = links = hidden = 0
@@ -77,13 +90,16 @@ class Page:
             if text:
                 words = " ".join(entities.unescape("".join(text)).split())
                 if words:
-                    self.blocks.append((words, linked, paths))
+                    read.append((words, linked, paths, named))
                 text = []
             linked = 0
 
         def pop():
-            nonlocal hidden, links, paths
-            tag, furniture, path = stack.pop()
+            nonlocal hidden, links, paths, named
+            if stack[-1][3]:
+                flush()
+                named = named[:-1]
+            tag, furniture, path, _ = stack.pop()
             hidden -= furniture
             links -= tag == "a"
             if path:
@@ -116,21 +132,40 @@ class Page:
             if tag in ONE_OF and stack and stack[-1][0] == tag:
                 pop()
             names = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if attrs else {}
-            told = f"{names.get('class', '')} {names.get('id', '')}"
+            told = QUALIFIED.sub(" ", f"{names.get('class', '')} {names.get('id', '')}")
             titled = any(s[0] in TITLED for s in stack)
             furniture = (tag in FURNITURE_TAGS or tag == "header" and not titled
-                         or names.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search")
-                         or tag not in ("html", "body", "article", "main") and bool(told.strip() and FURNITURE.search(told)))
+                         or names.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search"))
+            if tag in TITLED or tag == "h1":
+                topped.update(named)
+            number = 0
+            if not furniture and tag not in ("html", "body", "article", "main") and told.strip() and FURNITURE.search(told):
+                if tag in INLINE or ASIDE.search(told):
+                    furniture = True
+                else:
+                    n_named += 1
+                    number = n_named
+                    named = (*named, number)
             path = ""
             if tag in CONTAINER:
                 path = _path(paths[-1], tag, names.get("class", ""))
                 paths = (*paths, path)
-            stack.append((tag, furniture, path))
+            stack.append((tag, furniture, path, number))
             hidden += furniture
             links += tag == "a"
         if not hidden and at < len(html):
             text.append(html[at:])
         flush()
+        # furniture by name that holds the title and most of the page's unlinked
+        # text, or all of that text, is a wrapper
+        total, held = 0, defaultdict(int)
+        for words, in_links, _, around in read:
+            worth = max(len(words) - in_links, 0)
+            total += worth
+            for k in around:
+                held[k] += worth
+        self.blocks = [(words, in_links, p) for words, in_links, p, around in read
+                       if all(held[k] == total or k in topped and 2 * held[k] > total for k in around)]
 
     def best(self) -> tuple[str, float] | None:
         """Generalised path of the best container and its score."""

@@ -292,3 +292,19 @@ def test_proximity_needs_every_word(spark):
     assert got(0) == one
     assert got(1) == one | {(1, 1, 0, 4), (3, 6, 0, 3)}
     assert (1, 3, 0, 3) in got(4) and not any(i == 2 and p == 1 for p, i, *_ in got(5))
+
+
+def test_html_wrappers_named_like_furniture():
+    from panelforge.llm.html_text import extract
+    body = "<p>" + "the article goes on " * 20 + "</p>"
+    want = ("the article goes on " * 20).strip()
+    for name in ("content no-sidebar", "layout with-sidebar", "post has-comments", "page-with-left-sidebar"):
+        page = (f"<body><div class='menu'><a href='/'>Home</a></div><div class='{name}'>{body}"
+                "<div class='sidebar'><p>side</p></div></div><div class='footer'>foot</div>")
+        assert extract(page, None) == want, name
+    page = f"<body><div class='layout sidebar'><h1>T</h1>{body}<div class='menu'>m</div></div><div>other words</div>"
+    assert extract(page, None) == f"T\n\n{want}"
+    # reader comments stay out however long they are, as does small furniture
+    page = f"<body><div class='post'><p>short</p></div><div class='has-replies comments'>{body}</div><div class='ad'>buy"
+    assert extract(page, None) == "short"
+    assert extract("<body><p>a<span class='ad'>x</span>b<div class='ad'>buy</div>c d e f", None) == "ab\n\nc d e f"
