@@ -6,9 +6,8 @@ A bigram model over the words of all training texts:
 
 The three weights depend on the bucket b of the context's frequency c(v)
 (powers of two) and are learned by expectation-maximisation on held-out
-counts: every occurrence in the held-out blocks (each ``HELD_EVERY``-th block
-of every partition, training texts only) is deleted from the counts before
-they predict it.
+counts: every occurrence in the training texts, all of them, is deleted from
+the counts before they predict it.
 
 How it runs.  Texts are encoded once into blocks of word hashes and stored in
 the shared folder.  A block asks for the counts of its distinct words, then of
@@ -38,7 +37,6 @@ from pyspark.sql import functions as F
 from .common import SPACED, mix, pack, stored, text_blocks, unpack, word_hashes
 
 BLOCK = 6 << 20                # text bytes in a block
-HELD_EVERY = 4                 # one block in so many is held out for EM
 KEYS_PER_BUCKET = 2_000_000
 END, START = np.uint64(0x454E44), np.uint64(0x5354415254)
 EM_ROUNDS = 60
@@ -222,7 +220,7 @@ def _joined(blocks: DataFrame, words: DataFrame, pairs: DataFrame, run, schema:
 
 
 def learn_weights(blocks, words, pairs, bits: int, n_tokens: int, n_types: int, texts: int) -> np.ndarray:
-    """EM on the held-out blocks' deleted counts: weights (pair, word,
+    """EM on the deleted counts of all blocks: weights (pair, word,
     uniform) of every context-frequency bucket."""
     def table(mine, theirs):
         k = Block(mine, theirs, bits, texts)
@@ -238,9 +236,7 @@ def learn_weights(blocks, words, pairs, bits: int, n_tokens: int, n_types: int,
         return pa.table({"f": key[:, 0].astype(np.int64), "b2": key[:, 1].astype(np.int64),
                          "b1": key[:, 2].astype(np.int64), "n": n.astype(np.int64)})
 
-    held = F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)) % HELD_EVERY == 0
-    got = (_joined(blocks.where(held), words.where(held), pairs.where(held), table,
-                   "f bigint, b2 bigint, b1 bigint, n bigint")
+    got = (_joined(blocks, words, pairs, table, "f bigint, b2 bigint, b1 bigint, n bigint")
            .groupBy("f", "b2", "b1").agg(F.sum("n").alias("n")).toArrow())
     f, b2, b1, n = (got.column(c).to_numpy() for c in ("f", "b2", "b1", "n"))
     p = np.column_stack([np.where(b2 > 0, 0.0, 2.0 ** (b2 / STEP)), np.where(b1 > 0, 0.0, 2.0 ** (b1 / STEP)),

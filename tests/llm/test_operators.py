@@ -308,3 +308,12 @@ def test_html_wrappers_named_like_furniture():
     page = f"<body><div class='post'><p>short</p></div><div class='has-replies comments'>{body}</div><div class='ad'>buy"
     assert extract(page, None) == "short"
     assert extract("<body><p>a<span class='ad'>x</span>b<div class='ad'>buy</div>c d e f", None) == "ab\n\nc d e f"
+
+
+def test_lm_weights_do_not_depend_on_the_layout(spark, monkeypatch):
+    from panelforge.llm import ngram_lm
+    monkeypatch.setattr(ngram_lm, "BLOCK", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = [{r.doc_id: r.score for r in ngram_lm.score_texts(d, lambda i: i % 10 != 0).collect()}
+           for d in (docs.coalesce(1), docs.repartition(5, "doc_id"))]
+    assert len(got[0]) > 100 and got[0] == pytest.approx(got[1], rel=1e-9)
