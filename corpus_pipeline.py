@@ -2,10 +2,12 @@
 
 Five stages, each a call of one operator over all that its predecessor kept:
 quality classifier, n-gram Jaccard join, benchmark decontamination, personal
-data, byte-pair encoding.  Filtering stages join the ids they drop (broadcast
-only up to ``BROADCAST_ROWS`` of them), so the texts themselves are shuffled
-only beyond that bound.  A ``doc_id`` names one document; rows without one
-cannot be named and pass the stages that drop by id.
+data, byte-pair encoding.  The stages that drop near copies and benchmark
+passages do so by row, known by its id (NULL equals NULL) and a 64-bit hash of
+its text: different texts that share an id, or have none, are judged each for
+itself; rows of one id and equal text are one.  The rows to drop are broadcast
+only up to ``BROADCAST_ROWS``, so the texts themselves are shuffled only beyond
+that bound.
 """
 
 from __future__ import annotations
@@ -32,26 +34,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                      train=lambda i: crc_fold(i, 5) != 1, calibrate=lambda i: crc_fold(i, 5) == 1)
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """(row, text) for the operators; rows with an id come first, then by it."""
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id",
+                                F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("row"), "text")
+
+
+def of_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` with (left_semi) or without (left_anti) those of ``rows(row)``."""
+    named = rows.select(F.col("row.doc_id").alias("of_id"), F.col("row.h").alias("of_h"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("of_h"))
+    return docs.join(bounded(named, rows.count()), same, how)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near
     copies (five-word shingles, Jaccard 0.8 or more)."""
-    found = stored(similarity_join(docs).select("doc_id", "class_id"), "pipeline-classes")
-    gone = stored(found.where("doc_id <> class_id").select("doc_id").distinct(), "pipeline-gone")
-    kept = docs.join(bounded(gone, gone.count()), "doc_id", "left_anti")
-    again = stored(found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"),
-                   "pipeline-repeated")
-    n = again.count()
-    if n:       # repeated rows of one id
-        once = kept.join(bounded(again, n), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(bounded(again, n), "doc_id", "left_anti").unionByName(once)
+    found = stored(similarity_join(by_row(docs), id_col="row").select("row", "class_id"), "pipeline-classes")
+    first = (F.col("row.doc_id").eqNullSafe(F.col("class_id.doc_id")) & (F.col("row.h") == F.col("class_id.h")))
+    gone = stored(found.where(~first).select("row").distinct(), "pipeline-gone")
+    kept = of_rows(docs, gone, "left_anti")
+    again = stored(found.where(first).groupBy("row").count().where("count > 1").select("row"), "pipeline-repeated")
+    if again.count():       # repeated rows of one id and text
+        text = F.xxhash64(F.coalesce("text", F.lit("")))
+        once = of_rows(kept, again, "left_semi").withColumn("_h", text).dropDuplicates(["doc_id", "_h"]).drop("_h")
+        kept = of_rows(kept, again, "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth are benchmark passages."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = stored(found.where("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
-    return docs.join(bounded(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    found = contamination(by_row(docs), table(spark, sf_dir, "benchmark"), id_col="row")
+    gone = stored(found.where("contaminated").select("row").distinct(), "pipeline-contaminated")
+    return of_rows(docs, gone, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

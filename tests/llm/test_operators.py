@@ -317,3 +317,15 @@ def test_lm_weights_do_not_depend_on_the_layout(spark, monkeypatch):
     got = [{r.doc_id: r.score for r in ngram_lm.score_texts(d, lambda i: i % 10 != 0).collect()}
            for d in (docs.coalesce(1), docs.repartition(5, "doc_id"))]
     assert len(got[0]) > 100 and got[0] == pytest.approx(got[1], rel=1e-9)
+
+
+def test_pipeline_drops_by_row(spark, tmp_path):
+    import corpus_pipeline as p
+    one, other, bad = "one two three four five six seven", "red green blue grey pink black white", "copied passage of the test " * 4
+    docs = spark.createDataFrame([(1, one), (2, one), (2, other), (3, other + " !"), (3, bad), (None, one), (None, bad),
+                                  (None, "own words only"), (4, "clean"), (4, bad), (4, "clean")], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in p.near_duplicates(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(1, one), (2, other), (3, bad), (None, "own words only"), (4, "clean")], key=str)
+    spark.createDataFrame([(1, bad)], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = sorted(((r.doc_id, r.text) for r in p.decontaminate(spark, docs, str(tmp_path)).collect()), key=str)
+    assert kept == sorted([tuple(r) for r in docs.collect() if r.text != bad], key=str)
