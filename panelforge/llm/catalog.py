@@ -112,3 +112,16 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest rows of every fiftieth vector."""
     from .ann import nearest
     return nearest(table(spark, sf_dir, "embeddings"), is_query=lambda i: i % 50 == 0)
+
+
+@query
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowing fingerprints of every document and of its edited text."""
+    from .fingerprint import edited_fingerprints, fingerprint_text
+    out = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.char_length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        fingerprint_text(F.col("pos"), F.col("hash")).alias("fingerprint"),
+        fingerprint_text(F.col("edited_pos"), F.col("edited_hash")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
