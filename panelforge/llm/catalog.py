@@ -114,6 +114,14 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), is_query=lambda i: i % 50 == 0)
 
 
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str, path_a: str = public_tokenizers.path("byte_bpe_50k.json"),
+                   path_b: str = public_tokenizers.path("piece_bpe_32k.model")) -> DataFrame:
+    """Alignment of two tokenizers over every document."""
+    from .align import alignment
+    return alignment(table(spark, sf_dir, "documents"), path_a, path_b)[0]
+
+
 @query
 def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowing fingerprints of every document and of its edited text."""
