@@ -14,7 +14,7 @@ from . import oracle
 from .common import crc_fold, table
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {"op5_decontamination": oracle.OP5}
+ORACLE: dict[str, str] = {"op5_decontamination": oracle.OP5, "op12_hard_negatives": oracle.OP12}
 
 
 def query(fn):
@@ -122,6 +122,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str, path_a: str = public_tokeni
     return alignment(table(spark, sf_dir, "documents"), path_a, path_b)[0]
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, a seventh of the labels moved."""
+    from .negatives import hard_negatives
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label),
+                          is_anchor=lambda i: i % 100 == 0)
+
+
 @query
 def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowing fingerprints of every document and of its edited text."""
