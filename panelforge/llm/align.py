@@ -135,8 +135,10 @@ def segmented_ends(lists: pa.ListArray, lengths: pa.Array) -> tuple[pa.Array, pa
 
 
 def same_bytes(side: Side, ids: pa.Array, size: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Texts that the joined bytes of their tokens give back."""
-    flat = b"".join(pc.take(side.bytes, ids).to_pylist())
+    """Texts that the joined bytes of their tokens give back.  The data buffer
+    of the taken tokens is their concatenation."""
+    data = pc.take(side.bytes, ids).buffers()[2]
+    flat = memoryview(data) if data is not None else b""
     at = np.concatenate([[0], np.cumsum(size)])
     return np.array([flat[at[i]:at[i + 1]] == t for i, t in enumerate(texts)], bool)
 
