@@ -296,12 +296,11 @@ def _threshold(counts: DataFrame, most: int) -> int:
 class Weights:
     """Counts of the frequent pairs, sorted, and the best count of every B id."""
 
-    def __init__(self, heavy: pa.Table, best: pa.Table):
-        order = np.argsort(heavy["pair"].to_numpy())
-        self.pair, self.n = heavy["pair"].to_numpy()[order], heavy["n"].to_numpy()[order]
-        b = best["b"].to_numpy()
+    def __init__(self, pair: np.ndarray, n: np.ndarray, b: np.ndarray, top: np.ndarray):
+        order = np.argsort(pair)
+        self.pair, self.n = pair[order], n[order]
         self.best = np.zeros(int(b.max()) + 1 if len(b) else 0, np.int64)
-        self.best[b] = best["n"].to_numpy()
+        self.best[b] = top
 
     def look_up(self, pairs: np.ndarray) -> np.ndarray:
         """Count of each pair, 0 where it is not a frequent one."""
@@ -326,7 +325,10 @@ def alignment(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     b_of = F.pmod("pair", F.lit(B_IDS)).cast("int")
     best = counts.groupBy(b_of.alias("b")).agg(F.max("n").alias("n"))           # at most one row per B id
     least = _threshold(counts, heavy_pairs)
-    weights = spark.sparkContext.broadcast(Weights(counts.where(F.col("n") >= least).toArrow(), best.toArrow()))
+    # plain arrays: executors need no copy of this package
+    heavy, top = (t.toArrow() for t in (counts.where(F.col("n") >= least), best))
+    weights = spark.sparkContext.broadcast([t[c].to_numpy() for t, c in (
+        (heavy, "pair"), (heavy, "n"), (top, "b"), (top, "n"))])
 
     out = _weighed(links, weights)
     if least > 1:
@@ -342,7 +344,7 @@ def _weighed(links: DataFrame, weights) -> DataFrame:
     kept = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
     def run(batches):
-        w = weights.value
+        w = Weights(*weights.value)
         for batch in batches:
             parent, pairs, times = (x.to_numpy(zero_copy_only=False) for x in _flat_lists(batch))
             n = w.look_up(pairs)
