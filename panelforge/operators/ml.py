@@ -11,6 +11,7 @@ on how rows are partitioned.  Row splits use a key hash, not
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,12 +19,13 @@ from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.exprs import hash_percent, smape_term
+from . import forest
 
 
 # ------------------------------------------------------------------ helpers
@@ -94,21 +96,19 @@ def feature_columns_checked(features: list[str], label: str) -> list[str]:
 def feature_importance(df: DataFrame, features: list[str], label: str,
                        num_trees: int = C.RF_NUM_TREES, max_depth: int = C.RF_MAX_DEPTH,
                        seed: int = C.RF_SEED, layout_keys: list[str] | None = None,
-                       train_pct: int | None = None) -> DataFrame:
+                       train_pct: int | None = None, bins: int = C.RF_BINS) -> DataFrame:
     """M4: random-forest importances by feature name, descending (sum 1).
     With ``train_pct`` the forest is fit on that share of rows (hash split
-    on ``layout_keys``), as the reference fits on a 70 % split."""
+    on ``layout_keys``), as the reference fits on a 70 % split.  The rows'
+    bootstrap follows a hash of ``layout_keys`` (of all columns if not given),
+    so the result does not depend on the layout (see ``operators.forest``)."""
     features = feature_columns_checked(features, label)
     if train_pct is not None:
         if not layout_keys:
             raise ValueError("train_pct needs layout_keys to hash")
         df = hash_split(df, layout_keys, train_pct).where(F.col("split") == "train")
-    data = assemble(df.select(*(layout_keys or []), *features, label), features)
-    if layout_keys:
-        data = stable_layout(data, layout_keys)
-    model = RandomForestRegressor(labelCol=label, featuresCol="features", numTrees=num_trees,
-                                  maxDepth=max_depth, seed=seed).fit(data)
-    imp = model.featureImportances.toArray().tolist()
+    data = forest.prepared(df, features, label, layout_keys or [*features, label]).checkpoint(eager=True)
+    imp = forest.fit_forest(data, len(features), num_trees, max_depth, bins, seed).importances().tolist()
     spark = df.sparkSession
     rows = [(f, float(v)) for f, v in zip(features, imp)]
     out = spark.createDataFrame(rows, "feature string, importance double")
@@ -192,42 +192,131 @@ def cross_validate(df: DataFrame, estimator, grid, features: list[str], label: s
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def rf_grid(rf: RandomForestRegressor, full: bool = False):
-    """The reference grid (``constants.RF_GRID``, 27 maps) or a small
-    default for routine runs."""
-    if full:
-        g = C.RF_GRID
-        return (ParamGridBuilder().addGrid(rf.numTrees, list(g["numTrees"]))
-                .addGrid(rf.maxDepth, list(g["maxDepth"]))
-                .addGrid(rf.maxBins, list(g["maxBins"])).build())
-    return ParamGridBuilder().addGrid(rf.numTrees, [10, 20]).addGrid(rf.maxDepth, [5]).build()
-
-
-def gbt_grid(gbt: GBTRegressor, full: bool = False):
-    """The reference grid (``constants.GBT_GRID``, 12 maps) with depths above
-    Spark's maximum (30) replaced by 5; or a small default."""
-    if full:
-        g = C.GBT_GRID
-        depths = sorted({d if d <= C.SPARK_MAX_TREE_DEPTH else 5 for d in g["maxDepth"]})
-        return (ParamGridBuilder().addGrid(gbt.maxDepth, depths)
-                .addGrid(gbt.maxBins, list(g["maxBins"]))
-                .addGrid(gbt.maxIter, list(g["maxIter"])).build())
-    return ParamGridBuilder().addGrid(gbt.maxDepth, [2, 5]).addGrid(gbt.maxIter, [10]).build()
-
-
-def gbt_reference_grid(gbt: GBTRegressor) -> tuple[list[dict], list[dict]]:
-    """The 12 maps of ``constants.GBT_GRID`` as the queries run them and, per
-    map, the depth the reference asks for: above Spark's maximum (30) a tree
-    grows to that maximum."""
-    g = C.GBT_GRID
-    maps, requested = [], []
-    for depth in g["maxDepth"]:
-        part = (ParamGridBuilder().addGrid(gbt.maxDepth, [min(depth, C.SPARK_MAX_TREE_DEPTH)])
-                .addGrid(gbt.maxBins, list(g["maxBins"]))
-                .addGrid(gbt.maxIter, list(g["maxIter"])).build())
-        maps += part
-        requested += [{"maxDepth": depth}] * len(part)
-    return maps, requested
+def split_and_folds(df: DataFrame, keys: list[str], folds: int = C.CV_FOLDS,
+                    train_pct: int = C.TRAIN_PERCENT) -> DataFrame:
+    """M3/M6: ``split`` by key hash, and for training rows the ``fold`` (0 ..
+    folds - 1, NULL for test rows) by the same hash."""
+    fold = F.when(F.col("split") == "train", F.col("bucket") % F.lit(folds)).cast("int")
+    return hash_split(df, keys, train_pct).withColumn("fold", fold)
+
+
+def fold_baseline(df: DataFrame, label: str, keys: list[str], folds: int = C.CV_FOLDS) -> DataFrame:
+    """``split``, ``fold``, ``n_rows``, ``train_mean`` (of the other folds'
+    training rows; of all of them for the test split) and the RMSE of that mean.
+    One aggregate to folds + 1 rows."""
+    y = F.col(label).cast("double")
+    g = split_and_folds(df, keys, folds).groupBy("split", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss"))
+    all_ = Window.partitionBy()
+    train = F.col("split") == "train"
+    total = lambda c: F.sum(F.when(train, F.col(c)).otherwise(0)).over(all_)
+    own = lambda c: F.when(train, F.col(c)).otherwise(0)
+    mu = (total("s") - own("s")) / (total("n") - own("n"))
+    out = g.select("split", "fold", F.col("n").alias("n_rows"), mu.alias("train_mean"), "s", "ss", "n")
+    mse = F.col("ss") / F.col("n") - 2 * F.col("train_mean") * F.col("s") / F.col("n") + F.col("train_mean") ** 2
+    return out.select("split", "fold", "n_rows", "train_mean", F.sqrt(F.greatest(mse, F.lit(0.0))).alias("mean_rmse"))
+
+
+def _at_once(jobs: list, parallelism: int) -> list:
+    """Results of functions that each run Spark jobs, a few at a time."""
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        return pool.map(lambda job: job(), jobs)
+
+
+def _grid_rows(spark, names: list[str], maps: list[tuple], mse: list[dict], holdout, requested=None) -> DataFrame:
+    """One row per map: its parameters, the mean over the folds of their RMSE,
+    the hold-out RMSE of the best map (refit on all training rows), ``best``."""
+    avg = [float(np.mean([math.sqrt(m[p]) if p in m else math.nan for m in mse])) for p in maps]
+    best = int(np.nanargmin(avg)) if np.isfinite(avg).any() else 0
+    held = holdout(maps[best])
+    schema = ", ".join(f"{n} double" for n in names) + ", avg_rmse double, holdout_rmse double, best boolean"
+    rows = [(*map(float, p), a, held, i == best) for i, (p, a) in enumerate(zip(maps, avg))]
+    if requested:
+        rows = [(*r, float(q)) for r, q in zip(rows, requested)]
+        schema += ", requested_maxDepth double"
+    return spark.createDataFrame(rows, schema)
+
+
+def forest_grid(df: DataFrame, features: list[str], label: str, keys: list[str], grid: dict = C.RF_GRID,
+                folds: int = C.CV_FOLDS, seed: int = C.RF_SEED, train_pct: int = C.TRAIN_PERCENT,
+                parallelism: int = 3) -> DataFrame:
+    """Random forests over every map of ``grid`` (``maxBins``,
+    ``maxDepth``, ``numTrees``), cross-validated on the training split.
+
+    Forests are nested (``operators.forest``): one growth per number of bins
+    and fold, to the most trees and the greatest depth, holds the forests of
+    all other maps, whose errors come from one pass."""
+    features = feature_columns_checked(features, label)
+    data = forest.prepared(split_and_folds(df, keys, folds, train_pct), features, label, keys,
+                           ("split", "fold")).checkpoint(eager=True)
+    train, d = data.where(F.col("split") == "train"), len(features)
+    depths, counts = sorted(grid["maxDepth"]), sorted(grid["numTrees"])
+
+    def fold_errors(bins, fold):
+        grown = forest.fit_forest(train.where(F.col("fold") != fold), d, counts[-1], depths[-1], bins, seed)
+        found = forest.squared_errors(train.where(F.col("fold") == fold), grown, depths, counts)
+        return fold, {(bins, depth, n): mse for (depth, n), mse in found.items()}
+
+    jobs = [lambda b=b, f=f: fold_errors(b, f) for b in grid["maxBins"] for f in range(folds)]
+    mse = [{} for _ in range(folds)]
+    for fold, found in _at_once(jobs, parallelism):
+        mse[fold] |= found
+
+    def holdout(best):
+        bins, depth, n = best
+        grown = forest.fit_forest(train, d, n, depth, bins, seed)
+        found = forest.squared_errors(data.where(F.col("split") == "test"), grown, [depth], [n])
+        return math.sqrt(found[depth, n]) if found else None
+
+    maps = [(b, depth, n) for n in grid["numTrees"] for depth in grid["maxDepth"] for b in grid["maxBins"]]
+    return _grid_rows(df.sparkSession, ["maxBins", "maxDepth", "numTrees"], maps, mse, holdout)
+
+
+def staged_errors(model, data: DataFrame) -> list[float]:
+    """Mean squared error on ``data`` after each iteration of a boosted model,
+    from one pass: entry i - 1 is that of the model of i iterations."""
+    return model.evaluateEachIteration(data, "squared")
+
+
+def boosted_grid(df: DataFrame, features: list[str], label: str, keys: list[str], grid: dict = C.GBT_GRID,
+                 folds: int = C.CV_FOLDS, seed: int = C.RF_SEED, train_pct: int = C.TRAIN_PERCENT,
+                 parallelism: int = 8) -> DataFrame:
+    """Boosted trees over every map of ``grid`` (``maxBins``,
+    ``maxDepth``, ``maxIter``), cross-validated on the training split.
+
+    The trees of a sequence do not depend on its length, so one fit per depth,
+    number of bins and fold, of the most iterations, holds all shorter ones.
+    Depths above Spark's maximum grow to it; ``requested_maxDepth`` shows what
+    was asked for."""
+    features = feature_columns_checked(features, label)
+    data = assemble(split_and_folds(df, keys, folds, train_pct).na.drop("any", subset=[label]), features).select(
+        "features", F.col(label).cast("double").alias("label"), "split", "fold").checkpoint(eager=True)
+    train = data.where(F.col("split") == "train")
+
+    def fit(rows, bins, depth, rounds):
+        return GBTRegressor(labelCol="label", featuresCol="features", maxDepth=min(depth, C.SPARK_MAX_TREE_DEPTH),
+                            maxBins=bins, maxIter=rounds, seed=seed, maxMemoryInMB=C.TREE_MEMORY_MB).fit(rows)
+
+    def fold_errors(bins, depth, fold):
+        errors = staged_errors(fit(train.where(F.col("fold") != fold), bins, depth, max(grid["maxIter"])),
+                               train.where(F.col("fold") == fold))
+        return fold, {(bins, depth, i): errors[i - 1] for i in grid["maxIter"]}
+
+    jobs = [lambda b=b, d=d, f=f: fold_errors(b, d, f)
+            for d in sorted(grid["maxDepth"], reverse=True) for b in grid["maxBins"] for f in range(folds)]
+    mse = [{} for _ in range(folds)]
+    for fold, found in _at_once(jobs, parallelism):
+        mse[fold] |= found
+
+    def holdout(best):
+        bins, depth, rounds = best
+        scored = fit(train, bins, depth, rounds).transform(data.where(F.col("split") == "test"))
+        return scored.agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2)).alias("r")).first()["r"]
+
+    maps = [(b, d, i) for d in grid["maxDepth"] for b in grid["maxBins"] for i in grid["maxIter"]]
+    out = _grid_rows(df.sparkSession, ["maxBins", "requested", "maxIter"], maps, mse, holdout, [m[1] for m in maps])
+    return out.withColumn("maxDepth", F.least("requested", F.lit(float(C.SPARK_MAX_TREE_DEPTH)))).select(
+        "maxBins", "maxDepth", "maxIter", "avg_rmse", "holdout_rmse", "best", "requested_maxDepth")
 
 
 def gbt_early_stop(train: DataFrame, valid: DataFrame, features: list[str], label: str,

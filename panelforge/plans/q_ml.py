@@ -1,16 +1,14 @@
 """Machine-learning and forecasting queries (slices 5-6).
 
 ``split_hash``, ``standardize`` and ``assemble_features`` have SQL oracles;
-model fits do not (the driver records rows-only checks, and the tests check
-their properties).  Grids are small here; the reference's full grids are an
-option of the operators (``full=True``).
+most model fits do not (the driver records rows-only checks, and the tests
+check their properties).  Grids are the reference's.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,31 +107,65 @@ def q_pca_scree_features(spark, sf_dir):
     return rounded(ml.pca_scree(data, features=ATTR_FEATURES, standardize_first=True))
 
 
-def _grid_cv(spark, sf_dir, make, maps) -> DataFrame:
-    """Cross-validation of every map on ``lineitem`` and on the reference's
-    kind of input, the panel-attribute table; ``input`` names the table."""
+def _cv_inputs(spark, sf_dir):
+    """(name, table, features, label, keys): ``lineitem`` and the reference's
+    kind of input, the panel-attribute table."""
     panel = _attr_panel(spark, sf_dir).where(F.col("density").isNotNull())
-    panel = ml.stable_layout(panel.select("series", "t", *ATTR_FEATURES, "density"), ["series", "t"])
-    inputs = [("lineitem", _lineitem(spark, sf_dir), LINE_FEATURES, LINE_LABEL, ["l_orderkey", "l_linenumber"]),
-              ("panel_attributes", panel, ATTR_FEATURES, "density", ["series", "t"])]
-    parts = []
-    for name, data, features, label, keys in inputs:
-        estimator = make(labelCol=label, featuresCol="features", seed=C.RF_SEED)
-        grid, requested = maps(estimator)
-        out = ml.cross_validate(data, estimator, grid, features, label, folds=C.CV_FOLDS, seed=C.SPLIT_SEED,
-                                split_keys=keys, parallelism=4, requested=requested)
-        parts.append(out.select(F.lit(name).alias("input"), "*"))
+    return [("lineitem", _lineitem(spark, sf_dir), LINE_FEATURES, LINE_LABEL, ["l_orderkey", "l_linenumber"]),
+            ("panel_attributes", panel.select("series", "t", *ATTR_FEATURES, "density"), ATTR_FEATURES, "density",
+             ["series", "t"])]
+
+
+def _grid_cv(spark, sf_dir, grid) -> DataFrame:
+    """Cross-validation of every map on both inputs; ``input`` names the table."""
+    parts = [grid(data, features, label, keys, folds=C.CV_FOLDS, seed=C.RF_SEED).select(F.lit(name).alias("input"), "*")
+             for name, data, features, label, keys in _cv_inputs(spark, sf_dir)]
     return rounded(parts[0].unionByName(parts[1]))
 
 
 @register("rf_cv")
 def q_rf_cv(spark, sf_dir):
-    return _grid_cv(spark, sf_dir, RandomForestRegressor, lambda rf: (ml.rf_grid(rf, full=True), None))
+    return _grid_cv(spark, sf_dir, ml.forest_grid)
 
 
 @register("gbt_cv")
 def q_gbt_cv(spark, sf_dir):
-    return _grid_cv(spark, sf_dir, GBTRegressor, ml.gbt_reference_grid)
+    return _grid_cv(spark, sf_dir, ml.boosted_grid)
+
+
+@register("cv_folds", """
+WITH line AS (
+  SELECT 'lineitem' AS input, CAST(l_extendedprice AS DOUBLE) AS y,
+         CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 8)) AS BIGINT) % 100 AS bucket
+  FROM lineitem
+  WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL AND l_extendedprice IS NOT NULL
+), merged AS (
+  SELECT 'panel_attributes' AS input, p.density AS y,
+         CAST(('0x' || substr(md5(CAST(p.series AS VARCHAR) || '|' || CAST(p.t AS VARCHAR)), 1, 8)) AS BIGINT) % 100 AS bucket
+  FROM panel p JOIN attrs a ON p.series = a.series
+  WHERE p.density IS NOT NULL AND a.customers IS NOT NULL AND a.avg_acctbal IS NOT NULL AND a.suppliers IS NOT NULL
+    AND a.supp_bal IS NOT NULL
+), cells AS (
+  SELECT input, y, CASE WHEN bucket < 70 THEN 'train' ELSE 'test' END AS split,
+         CASE WHEN bucket < 70 THEN CAST(bucket % 2 AS INTEGER) END AS fold
+  FROM (SELECT * FROM line UNION ALL SELECT * FROM merged)
+), g AS (
+  SELECT input, split, fold, count(*) AS n, sum(y) AS s, sum(y * y) AS ss FROM cells GROUP BY 1, 2, 3
+), m AS (
+  SELECT g.*, (SELECT sum(o.s) / sum(o.n) FROM g o
+               WHERE o.input = g.input AND o.split = 'train' AND (g.fold IS NULL OR o.fold <> g.fold)) AS mu
+  FROM g
+)
+SELECT input, split, fold, n AS n_rows, round(mu, 6) AS train_mean,
+       round(sqrt(greatest(ss / n - 2 * mu * s / n + mu * mu, 0)), 4) AS mean_rmse
+FROM m
+""")
+def q_cv_folds(spark, sf_dir):
+    """Sizes of the splits and folds of ``rf_cv`` and ``gbt_cv``, and the error
+    of the mean of the rows that a fold is validated against."""
+    parts = [ml.fold_baseline(data.na.drop("any", subset=[*features, label]), label, keys)
+             .select(F.lit(name).alias("input"), "*") for name, data, features, label, keys in _cv_inputs(spark, sf_dir)]
+    return rounded(parts[0].unionByName(parts[1])).withColumn("mean_rmse", F.round("mean_rmse", 4))
 
 
 # ------------------------------------------------------- panel forecasting
@@ -141,15 +173,17 @@ def _windows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(train windows, valid windows) of the zero-repaired appended panel: a
     window trains when its target precedes the hold-out periods.  The
     flattened window table (panel-sized) is checkpointed once per session,
-    because every model fit and search trial reads it again, with the
-    panel's partitions sorted by key: a seeded fit sees the same layout."""
+    because every model fit and search trial reads it again, in partitions
+    whose number follows from the rows, sorted by key: a seeded fit sees the
+    same layout on any cluster."""
     def build():
         repaired = win.zero_series_repair(fx.appended(spark, sf_dir))
         hold = fx.holdout(spark, sf_dir, VALID)
         seq = win.sequence_windows(repaired, length=SEQ_LEN, extra=("county", "state"))
         seq = ml.flatten_windows(seq, SEQ_LEN).join(F.broadcast(hold), "t", "left")
         seq = ml.add_series_encoding(seq, seq.where(F.col("h").isNull()))
-        n_parts = fx.panel(spark, sf_dir).rdd.getNumPartitions()
+        # from the rows alone: seeded fits must not change with the cluster
+        n_parts = max(1, -(-fx.panel(spark, sf_dir).count() // fx.PANEL_ROWS_PER_PARTITION))
         return ml.stable_layout(seq, ["series", "t"], n_parts).checkpoint(eager=True)
     marked = fx._memoized(spark, ("windows", sf_dir), build)
     train = marked.where(F.col("h").isNull()).drop("h")

@@ -197,17 +197,6 @@ def test_backtest_calendar_roles(spark):
     assert [r.pos for r in cal] == list(range(1, 9)) + list(range(1, 5))
 
 
-def test_reference_grids_full_size(spark):
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-    rf = RandomForestRegressor()
-    gbt = GBTRegressor()
-    rf_maps = ml.rf_grid(rf, full=True)
-    gbt_maps = ml.gbt_grid(gbt, full=True)
-    assert len(rf_maps) == 27 and len(gbt_maps) == 12
-    depths = {pm[gbt.maxDepth] for pm in gbt_maps}
-    assert depths == {2, 5}  # 105 exceeds Spark's maximum depth of 30
-
-
 def test_recursive_forecast_reports_series_it_cannot_forecast(spark):
     rng = np.random.default_rng(1)
     rows = [(s, "A", [float(v) for v in rng.normal(size=8)], float(rng.normal())) for s in range(30)]
@@ -234,21 +223,57 @@ def test_cross_validation_does_not_depend_on_the_layout(spark):
     assert out[0] == out[1]
 
 
+def _noisy(spark, n=400):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a), float(b), float(a * a - 2 * b + rng.normal() / 3)) for i, (a, b) in
+            enumerate(np.round(rng.normal(size=(n, 2)), 1))]
+    return spark.createDataFrame(rows, "id int, a double, b double, y double")
+
+
 def test_cv_queries_run_the_reference_grids_on_both_inputs(spark, monkeypatch):
     from panelforge.plans import q_ml
     seen = []
 
-    def fake(df, estimator, grid, features, label, requested=None, **_):
-        seen.append((label, [{p.name: v for p, v in pm.items()} for pm in grid], requested))
+    def fake(data, features, label, keys, folds, seed):
+        seen.append((label, len(features), data.where(F.col(label).isNull()).count()))
         return spark.createDataFrame([(0.5,)], "avg_rmse double")
 
-    monkeypatch.setattr(q_ml.ml, "cross_validate", fake)
+    for name in ("forest_grid", "boosted_grid"):
+        monkeypatch.setattr(q_ml.ml, name, fake)
     for q in (q_ml.q_rf_cv, q_ml.q_gbt_cv):
         assert {r.input for r in q(spark, "/root/testdata/sf0.001").collect()} == {"lineitem", "panel_attributes"}
-    assert [(label, len(maps)) for label, maps, _ in seen] == [
-        ("l_extendedprice", 27), ("density", 27), ("l_extendedprice", 12), ("density", 12)]
-    for _, maps, requested in seen[2:]:
-        assert {(m["maxDepth"], r["maxDepth"]) for m, r in zip(maps, requested)} == {(2, 2), (30, 105)}
+    assert seen == [("l_extendedprice", 4, 0), ("density", 10, 0)] * 2
+
+
+def test_reference_grids_have_their_maps(spark):
+    df = _noisy(spark, 120)
+    small = {"maxDepth": (2, 105), "maxBins": (4, 8), "maxIter": (1, 2, 3)}
+    out = ml.boosted_grid(df, ["a", "b"], "y", ["id"], small).collect()
+    assert len(out) == 12 and sum(r.best for r in out) == 1
+    assert {(r.maxDepth, r.requested_maxDepth) for r in out} == {(2, 2), (30, 105)}
+    assert [len(v) for v in ml.C.GBT_GRID.values()] == [2, 2, 3] and [len(v) for v in ml.C.RF_GRID.values()] == [3, 3, 3]
+
+
+def test_staged_errors_equal_separate_fits(spark):
+    from pyspark.ml.regression import GBTRegressor
+    df = ml.assemble(_noisy(spark), ["a", "b"]).checkpoint()
+    train, valid = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    fit = lambda n: GBTRegressor(labelCol="y", featuresCol="features", maxDepth=3, maxBins=16, maxIter=n, seed=5).fit(train)
+    # the label column of the model's parameters is used
+    staged = ml.staged_errors(fit(12), valid)
+    for n in (2, 5, 12):
+        own = fit(n).transform(valid).agg(F.avg((F.col("y") - F.col("prediction")) ** 2)).first()[0]
+        assert math.isclose(staged[n - 1], own, rel_tol=1e-9)
+
+
+def test_forest_grid_does_not_depend_on_the_layout(spark):
+    df = _noisy(spark)
+    grid = {"numTrees": (2, 5), "maxDepth": (2, 4), "maxBins": (8,)}
+    out = [[tuple(round(v, 9) for v in r) for r in ml.forest_grid(df.repartition(n), ["a", "b"], "y", ["id"], grid).collect()]
+           for n in (1, 3, 8)]
+    assert out[0] == out[1] == out[2] and len(out[0]) == 4
+    imp = [ml.feature_importance(df.repartition(n), ["a", "b"], "y", 5, 3, layout_keys=["id"]).collect() for n in (1, 8)]
+    assert imp[0] == imp[1]
 
 
 def test_cv_reports_requested_values(spark):
