@@ -31,4 +31,5 @@ L2_CHOICES = (1e-5, 3e-5, 5e-5, 1e-6, 5e-6)
 # Our own limits (not from the reference)
 SPARK_MAX_TREE_DEPTH = 30           # Spark rejects deeper trees; 105 becomes 30
 RF_BINS = 32                        # bins of the importance forest
+LEAST_INFO_GAIN = 1e-9              # below it a boosted tree's gain is rounding of exhausted residuals
 TREE_MEMORY_MB = 512                # histograms of a boosted tree that one pass may hold

@@ -287,7 +287,9 @@ def boosted_grid(df: DataFrame, features: list[str], label: str, keys: list[str]
     The trees of a sequence do not depend on its length, so one fit per depth,
     number of bins and fold, of the most iterations, holds all shorter ones.
     Depths above Spark's maximum grow to it; ``requested_maxDepth`` shows what
-    was asked for."""
+    was asked for.  Once deep trees have used up what the bins can tell apart,
+    residuals are rounding; splits on them (gain below ``LEAST_INFO_GAIN``) are
+    not made."""
     features = feature_columns_checked(features, label)
     data = assemble(split_and_folds(df, keys, folds, train_pct).na.drop("any", subset=[label]), features).select(
         "features", F.col(label).cast("double").alias("label"), "split", "fold").checkpoint(eager=True)
@@ -295,7 +297,8 @@ def boosted_grid(df: DataFrame, features: list[str], label: str, keys: list[str]
 
     def fit(rows, bins, depth, rounds):
         return GBTRegressor(labelCol="label", featuresCol="features", maxDepth=min(depth, C.SPARK_MAX_TREE_DEPTH),
-                            maxBins=bins, maxIter=rounds, seed=seed, maxMemoryInMB=C.TREE_MEMORY_MB).fit(rows)
+                            maxBins=bins, maxIter=rounds, seed=seed, maxMemoryInMB=C.TREE_MEMORY_MB,
+                            minInfoGain=C.LEAST_INFO_GAIN).fit(rows)
 
     def fold_errors(bins, depth, fold):
         errors = staged_errors(fit(train.where(F.col("fold") != fold), bins, depth, max(grid["maxIter"])),

@@ -5,21 +5,21 @@ long ``(series, t, y)`` DataFrame and answers for all series in one job:
 
 * decomposition, ACF and PACF are pure window/aggregate/higher-order-function
   plans on the panel's series partitioning (no shuffle, no Python);
-* ADF (OLS with a lag search) runs per series in ``applyInPandas``.  Each
-  group is one series of at most #calendar-months rows, so the group size is
-  bounded by the calendar and never by data volume.
+* ADF (OLS with a lag search) is a fold over one array per series of at most
+  #calendar-months values; ``functions/adf_kernel.py`` is the same test on one
+  numpy array, for single series and as a check.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as C
-from ..functions import adf_kernel
-from ..functions.adf_kernel import (ADF_CRIT, ADF_SCHEMA, adf_critical, adf_pvalue,  # noqa: F401
-                                    adf_test)
+from ..functions.adf_kernel import (ADF_CRIT, ADF_LARGE_P, ADF_SMALL_P, ADF_TAU_MAX,  # noqa: F401
+                                    ADF_TAU_MIN, ADF_TAU_STAR, adf_critical, adf_pvalue, adf_test)
 from .windows import centred_ma, series_window
 
 
@@ -55,8 +55,8 @@ def decompose(df: DataFrame, y: str = "density", period: int = C.SEASONAL_PERIOD
 
 def acf_arrays(df: DataFrame, y: str = "density", key: str = "series",
                order: str = "t") -> DataFrame:
-    """Per series: ``n``, the lag count ``K = min(ceil(10 log10 n), n // 2)``
-    and ``r`` = [r_1 .. r_K] (biased autocovariance ratio).
+    """Per series: ``n``, the lag count ``K = min(ceil(10 log10 n), n // 2)``,
+    ``r`` = [r_1 .. r_K] (biased autocovariance ratio) and its values ``y``.
 
     Each series is gathered once into an ordered array (bounded by the length
     of the calendar); the lags are higher-order functions over it, so their
@@ -77,7 +77,7 @@ def acf_arrays(df: DataFrame, y: str = "density", key: str = "series",
 
     r = once(c, lambda c: once(product(c, F.lit(0)), lambda s0: F.transform(
         lags, lambda k: F.try_divide(product(c, k), s0))))
-    return rows.select(key, "n", kmax.alias("K"), r.alias("r"))
+    return rows.select(key, "n", kmax.alias("K"), r.alias("r"), F.transform("_s", lambda s: s["_y"]).alias("y"))
 
 
 def once(value: Column, body) -> Column:
@@ -141,33 +141,128 @@ def pacf(df: DataFrame, y: str = "density", key: str = "series",
                     "pacf", (F.lit(1.96) / F.sqrt(F.col("n"))).alias("band"), "n"))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _centred(c: Column) -> Column:
+    """The array less its mean: a regression on centred columns is the one
+    with a constant."""
+    return once(c, lambda v: once(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v),
+                                  lambda m: F.transform(v, lambda x: x - m)))
+
+
+def _regressions(y: Column, columns: Column) -> Column:
+    """Least squares of ``y`` on the first 1, 2, .. of the columns, by adding
+    one orthonormal column at a time (modified Gram-Schmidt).  Struct of the
+    squared residuals ``ssr`` after each, and of the last column's coordinate
+    ``z``.  A column that the earlier ones span adds nothing."""
+    def step(state, c):
+        rest = F.aggregate(state["q"], c, lambda v, q: once(_dot(v, q), lambda d: F.zip_with(v, q, lambda x, e: x - d * e)))
+
+        def add(r):
+            size = F.sqrt(_dot(r, r))
+            unit = once(F.when(size > 1e-9 * F.sqrt(_dot(c, c)), 1.0 / size).otherwise(0.0),
+                        lambda f: F.transform(r, lambda x: x * f))
+            return once(unit, lambda q: once(_dot(q, state["y"]), lambda z: once(
+                F.zip_with(state["y"], q, lambda x, e: x - z * e), lambda left: F.struct(
+                    F.concat(state["q"], F.array(q)).alias("q"), left.alias("y"), z.alias("z"),
+                    F.concat(state["ssr"], F.array(_dot(left, left))).alias("ssr")))))
+        return once(rest, add)
+
+    none = F.array().cast("array<double>")
+    start = F.struct(F.array().cast("array<array<double>>").alias("q"), y.alias("y"), F.lit(0.0).alias("z"),
+                     none.alias("ssr"))
+    return F.aggregate(columns, start, step)
+
+
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function: 1/2 + density(x) * (x + x^3/3 +
+    x^5/(3*5) + ..); beyond 8 it is 0 or 1 to 15 digits."""
+    def series(x):
+        terms = F.aggregate(F.sequence(F.lit(1), F.lit(150)), F.struct(x.alias("t"), x.alias("s")),
+                            lambda a, k: once(a["t"] * x * x / (2 * k + 1), lambda t: F.struct(
+                                t.alias("t"), (a["s"] + t).alias("s"))))["s"]
+        return F.lit(0.5) + terms * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    return once(x, lambda v: F.when(v < -8, 0.0).when(v > 8, 1.0).otherwise(series(v)))
+
+
+def adf_p_value(tau: Column) -> Column:
+    """Approximate p-value of the ADF statistic (constant, no trend)."""
+    poly = lambda coef: sum((F.lit(c) * F.pow(tau, F.lit(i)) for i, c in enumerate(coef)), F.lit(0.0))
+    return F.when(tau > ADF_TAU_MAX, 1.0).when(tau < ADF_TAU_MIN, 0.0).otherwise(normal_cdf(
+        F.when(tau <= ADF_TAU_STAR, poly(ADF_SMALL_P)).otherwise(poly(ADF_LARGE_P))))
+
+
 def adf(df: DataFrame, y: str = "density", key: str = "series", order: str = "t") -> DataFrame:
     """ADF statistic, p-value, lag used, observations, critical values
     1/5/10 % and best AIC, one row per series, whatever the key's type; rows
-    with a NULL key belong to no series."""
-    slim = df.select(F.col(key).alias("series"), F.col(order).alias("t"),
-                     F.col(y).cast("double").alias("y")).where(F.col("series").isNotNull())
-    schema = T.StructType([slim.schema["series"], *ADF_SCHEMA.fields[1:]])
-    return slim.groupBy("series").applyInPandas(adf_kernel.adf_group, schema)
+    with a NULL key belong to no series.
+
+    Everything is an expression over one ordered array per series (bounded by
+    the calendar): the regressions of the lag search, nested on one sample,
+    come from one pass that adds a lag at a time, the chosen one is repeated on
+    all its observations.  A series of fewer than 12 points, with a NULL or
+    non-finite value, or constant, has NULLs."""
+    rows = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("series")).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct(F.col(order).alias("t"), F.col(y).cast("double").alias("y")))),
+        lambda s: s["y"]).alias("x"))
+    n = F.size("x")
+    finite = ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    ready = rows.select("series", F.when((n >= 12) & finite & (F.array_max("x") > F.array_min("x")), F.col("x")).alias("x"))
+    ready = ready.select(
+        "series", "x", F.least(F.ceil(F.lit(12.0) * F.pow(n / 100.0, F.lit(0.25))), F.floor(n / 2) - 2).cast("int").alias("most"),
+        F.zip_with(F.slice("x", F.lit(2), n - 1), F.slice("x", F.lit(1), n - 1), lambda a, b: a - b).alias("dx"))
+    m = F.size("dx")
+
+    def lags(nobs, k):
+        some = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
+                           lambda j: _centred(F.slice("dx", m - nobs - j + 1, nobs)))
+        return F.when(k >= 1, some).otherwise(F.array().cast("array<array<double>>"))
+
+    target = lambda nobs: _centred(F.slice("dx", m - nobs + 1, nobs))          # noqa: E731
+    level = lambda nobs: F.array(_centred(F.slice("x", m - nobs + 1, nobs)))
+    nobs = m - F.col("most")
+    searched = ready.withColumn("_f", _regressions(target(nobs), F.concat(level(nobs), lags(nobs, F.col("most")))))
+    aic = F.transform("_f.ssr", lambda s, i: F.when(s > 0, F.struct(
+        (nobs * (math.log(2 * math.pi) + 1.0 + F.log(s / nobs)) + 2.0 * (i + 2)).alias("ic"), i.alias("lag"))))
+    chosen = searched.select("series", "x", "dx", F.array_min(aic).alias("_b")).select(
+        "series", "x", "dx", "_b.ic", "_b.lag", (m - F.col("_b.lag")).alias("nobs"))
+    final = chosen.withColumn("_f", _regressions(target(F.col("nobs")), F.concat(
+        lags(F.col("nobs"), F.col("lag")), level(F.col("nobs")))))
+    dof, ssr = F.col("nobs") - F.col("lag") - 2, F.element_at("_f.ssr", -1)
+    tau = final.select("series", "ic", "lag", "nobs", F.when((dof > 0) & (ssr > 0), F.col("_f.z") / F.sqrt(ssr / dof)).alias("tau"))
+    some = lambda c: F.when(F.col("tau").isNotNull(), c)                       # noqa: E731
+    crit = [some(sum((F.lit(b) / F.pow(F.col("nobs"), F.lit(i)) for i, b in enumerate(poly)), F.lit(0.0))).alias(name)
+            for name, poly in ADF_CRIT.items()]
+    return tau.select("series", F.col("tau").alias("adf_stat"), adf_p_value(F.col("tau")).alias("p_value"),
+                      some(F.col("lag")).cast("int").alias("used_lag"), some(F.col("nobs")).cast("int").alias("n_obs"),
+                      *crit, some(F.col("ic")).alias("ic_best"))
 
 
 def ts_summary(df: DataFrame, y: str = "density", key: str = "series",
                order: str = "t") -> DataFrame:
-    """The series dashboard as one long table
-    ``(series, stat, k, value)``: ADF p-value, ACF and PACF by lag.  ACF and
-    PACF come from one autocorrelation array per series (one windowed pass),
-    exploded once; the ADF rows come from the per-series test."""
-    a = acf_arrays(df, y, key, order)
+    """The series dashboard as one long table ``(series, stat, k, value)``:
+    the series itself (``y``, k = position from 1), ACF and PACF by lag with
+    their bands (``acf_band``, ``pacf_band``), and of the ADF test statistic,
+    p-value, lag, observations and critical values (k = 0).  One ordered array
+    per series, exploded once."""
+    a = acf_arrays(df.where(F.col(key).isNotNull()), y, key, order)
     kp = F.least(F.col("K"), (F.col("n") / 2).cast("int") - 1)
-    acf_part = F.transform(F.slice("r", F.lit(1), F.col("K")),
-                           lambda v, i: F.struct(F.lit("acf").alias("stat"), (i + 1).alias("k"),
-                                                 v.alias("value")))
-    pacf_part = F.transform(durbin_levinson(F.col("r"), kp),
-                            lambda v, i: F.struct(F.lit("pacf").alias("stat"), (i + 1).alias("k"),
-                                                  v.alias("value")))
-    both = a.select(F.col(key).alias("series"),
-                    F.explode(F.concat(acf_part, pacf_part)).alias("_e"))
-    stats = both.select("series", "_e.stat", F.col("_e.k").cast("int").alias("k"), "_e.value")
-    d = adf(df, y, key, order).select(
-        "series", F.lit("adf_p").alias("stat"), F.lit(0).alias("k"), F.col("p_value").alias("value"))
-    return stats.unionByName(d)
+    rows = lambda stat, values: F.transform(values, lambda v, i: F.struct(     # noqa: E731
+        F.lit(stat).alias("stat"), (i + 1).alias("k"), v.cast("double").alias("value")))
+    prior = F.transform(F.slice("r", F.lit(1), F.col("K")), lambda _, i: F.aggregate(
+        F.slice("r", F.lit(1), i), F.lit(0.0), lambda s, x: s + x * x))
+    partial = durbin_levinson(F.col("r"), kp)
+    parts = a.select(F.col(key).alias("series"), "n", "y", F.slice("r", F.lit(1), F.col("K")).alias("acf"),
+                     F.transform(prior, lambda p: F.lit(1.96) * F.sqrt((p * 2.0 + 1.0) / F.col("n"))).alias("acf_band"),
+                     partial.alias("pacf"))
+    parts = parts.select("series", F.explode(F.concat(
+        rows("y", F.col("y")), rows("acf", F.col("acf")), rows("acf_band", F.col("acf_band")), rows("pacf", F.col("pacf")),
+        rows("pacf_band", F.transform("pacf", lambda _: F.lit(1.96) / F.sqrt(F.col("n")))))).alias("_e"))
+    stats = parts.select("series", "_e.stat", F.col("_e.k").cast("int").alias("k"), "_e.value")
+    one = lambda stat, c: F.struct(F.lit(stat).alias("stat"), F.col(c).cast("double").alias("value"))
+    test = adf(df, y, key, order).select("series", F.explode(F.array(
+        one("adf_stat", "adf_stat"), one("adf_p", "p_value"), one("adf_lag", "used_lag"), one("adf_n_obs", "n_obs"),
+        *[one(f"adf_{c}", c) for c in ADF_CRIT])).alias("_e"))
+    return stats.unionByName(test.select("series", "_e.stat", F.lit(0).alias("k"), "_e.value"))

@@ -93,13 +93,76 @@ def q_feature_importance(spark, sf_dir):
                                          layout_keys=["series", "t"], train_pct=C.TRAIN_PERCENT))
 
 
-@register("pca_scree")
+def pca_sql(cov: str) -> str:
+    """Scree table of the covariance matrix ``cov`` (i, j, v from 0; an even
+    number of rows): Jacobi rotations, all disjoint pairs of a round at once
+    (round-robin pairing), ten sweeps, as a recursive CTE over the matrix as a
+    list."""
+    at = lambda i, j: f"a[({i}) * d + ({j}) + 1]"
+    low, high = "least(i, p.w[i + 1])", "greatest(i, p.w[i + 1])"
+    tau = f"(({at(high, high)} - {at(low, low)}) / (2 * {at(low, high)}))"
+    own = lambda i: f"r.co[{i} + 1]"
+    other = lambda i: f"r.sg[{i} + 1]"
+    with_ = lambda i: f"p.w[{i} + 1]"
+    i, j = "(x // d)", "(x % d)"
+    return f"""
+jac AS (
+  SELECT 0 AS step, (SELECT list(v ORDER BY i, j) FROM {cov}) AS a, (SELECT CAST(max(i) + 1 AS BIGINT) FROM {cov}) AS d
+  UNION ALL
+  SELECT step + 1, list_transform(range(0, d * d), lambda x:
+           {own(i)} * {own(j)} * {at(i, j)} + {other(i)} * {own(j)} * {at(with_(i), j)}
+           + {own(i)} * {other(j)} * {at(i, with_(j))} + {other(i)} * {other(j)} * {at(with_(i), with_(j))}), d
+  FROM jac,
+  LATERAL (SELECT list_transform(range(0, d), lambda i: CASE
+             WHEN i = d - 1 THEN step % (d - 1) WHEN i = step % (d - 1) THEN d - 1
+             ELSE (2 * (step % (d - 1)) - i + 2 * (d - 1)) % (d - 1) END) AS w) p,
+  LATERAL (SELECT list_transform(range(0, d), lambda i: CASE WHEN {at(low, high)} = 0 THEN 0.0 ELSE
+             (CASE WHEN {tau} >= 0 THEN 1.0 ELSE -1.0 END) / (abs({tau}) + sqrt(1 + {tau} * {tau})) END) AS t) tan,
+  LATERAL (SELECT list_transform(tan.t, lambda t: 1 / sqrt(1 + t * t)) AS co,
+                  list_transform(range(0, d), lambda i: (CASE WHEN i < p.w[i + 1] THEN -1 ELSE 1 END) * tan.t[i + 1]
+                                                        / sqrt(1 + tan.t[i + 1] * tan.t[i + 1])) AS sg) r
+  WHERE step < 10 * (d - 1)
+),
+eigen AS (
+  SELECT unnest(list_transform(range(0, d), lambda i: a[i * d + i + 1])) AS e
+  FROM jac WHERE step = 10 * (d - 1)
+),
+scree AS (
+  SELECT CAST(row_number() OVER (ORDER BY e DESC) AS INTEGER) AS k, e / sum(e) OVER () AS explained FROM eigen
+)
+SELECT k, round(explained, 6) AS explained, round(sum(explained) OVER (ORDER BY k), 6) AS cumulative,
+       sum(explained) OVER (ORDER BY k) >= {C.PCA_CUTOFF} AS reaches_cutoff
+FROM scree WHERE k <= {C.PCA_MAX_COMPONENTS}
+"""
+
+
+@register("pca_scree", """WITH RECURSIVE cell AS (
+  SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings
+), cov AS (
+  SELECT a.i, b.i AS j, covar_samp(CAST(a.x AS DOUBLE), CAST(b.x AS DOUBLE)) AS v
+  FROM cell a JOIN cell b ON a.vec_id = b.vec_id GROUP BY a.i, b.i
+),""" + pca_sql("cov"))
 def q_pca_scree(spark, sf_dir):
     emb = ml.embeddings_vectors(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
     return rounded(ml.pca_scree(emb, vector_col="vec"))
 
 
-@register("pca_scree_features")
+_ATTR_VALUES = ", ".join("CAST((year(p.t) - 2019) * 12 + month(p.t) - 8 AS DOUBLE)" if c == "x" else f"CAST(a.{c} AS DOUBLE)"
+                         for c in ATTR_FEATURES)
+
+
+@register("pca_scree_features", f"""WITH RECURSIVE vecs AS (
+  SELECT p.series, p.t, [{_ATTR_VALUES}] AS f FROM panel p JOIN attrs a ON p.series = a.series
+), cell AS (
+  SELECT series, t, unnest(f) AS x, unnest(range(0, {len(ATTR_FEATURES)})) AS i FROM vecs
+  WHERE len(list_filter(f, lambda v: v IS NULL)) = 0
+), dev AS (SELECT i, stddev_samp(x) AS sd FROM cell GROUP BY i),
+cov AS (
+  SELECT a.i, b.i AS j, CASE WHEN any_value(s.sd) = 0 OR any_value(u.sd) = 0 THEN 0.0
+                             ELSE covar_samp(a.x, b.x) / any_value(s.sd) / any_value(u.sd) END AS v
+  FROM cell a JOIN cell b ON a.series = b.series AND a.t = b.t JOIN dev s ON s.i = a.i JOIN dev u ON u.i = b.i
+  GROUP BY a.i, b.i
+),""" + pca_sql("cov"))
 def q_pca_scree_features(spark, sf_dir):
     """M5 on the reference's kind of input: the feature matrix of the
     panel-attribute join (attributes + month index), standardised first."""

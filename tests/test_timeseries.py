@@ -43,7 +43,9 @@ def test_series_key_of_any_type(spark):
     df = _panel(spark, {1: y.tolist(), 2: (-y).tolist()}).withColumn("series", F.concat(F.lit("s"), "series"))
     assert {r.series for r in ts.adf(df).collect()} == {"s1", "s2"}
     assert {r.series for r in ts.pacf(df).collect()} == {"s1", "s2"}
-    assert {r.stat for r in ts.ts_summary(df).collect()} == {"adf_p", "acf", "pacf"}
+    stats = {r.stat for r in ts.ts_summary(df).collect()}
+    assert stats == {"y", "acf", "acf_band", "pacf", "pacf_band", "adf_stat", "adf_p", "adf_lag", "adf_n_obs",
+                     "adf_crit_1", "adf_crit_5", "adf_crit_10"}
 
 
 def test_pacf_matches_yule_walker(spark):
@@ -116,3 +118,35 @@ def test_adf_size_and_power_simulation(spark):
     power = (wn.p_value < 0.05).mean()
     assert 0.01 <= size <= 0.12, size
     assert power >= 0.9, power
+
+
+def test_adf_expression_equals_the_kernel(spark):
+    rng = np.random.default_rng(11)
+    values = {i: (rng.normal(size=n).cumsum() * 10.0 ** (i % 4 - 1) + 5 * i).tolist()
+              for i, n in enumerate((12, 13, 14, 20, 47, 83, 120, 300))}
+    values[20] = rng.normal(size=90).tolist()                       # stationary: the other branch of the p-value
+    values[21] = (np.arange(60) ** 1.5 + rng.normal(size=60)).tolist()    # a trend: p near 1
+    values[30], values[31] = [2.0] * 40, [float(i) for i in range(11)]
+    df = _panel(spark, values).unionByName(spark.createDataFrame(
+        [(40, t, v) for t, v in zip(months(30), [1.0, None] * 15)] + [(None, t, 1.0) for t in months(20)],
+        "series int, t date, density double"))
+    got = {r.series: r for r in ts.adf(df).collect()}
+    assert got.keys() == values.keys() | {40}
+    for s, x in values.items():
+        want = ts.adf_test(np.array(x))
+        if want is None:
+            assert all(v is None for v in got[s][1:])
+            continue
+        for name, v in want.items():
+            assert math.isclose(got[s][name], v, rel_tol=1e-7, abs_tol=1e-8), (s, name, got[s][name], v)
+    assert all(v is None for v in got[40][1:])
+
+
+def test_dashboard_rows(spark):
+    y = np.random.default_rng(12).normal(size=40)
+    out = {(r.stat, r.k): r.value for r in ts.ts_summary(_panel(spark, {1: y.tolist()})).collect()}
+    assert [out["y", i + 1] for i in range(40)] == y.tolist()
+    assert math.isclose(out["acf_band", 1], 1.96 / math.sqrt(40)) and out["acf_band", 5] > out["acf_band", 1]
+    assert math.isclose(out["pacf_band", 3], 1.96 / math.sqrt(40))
+    res = ts.adf_test(y)
+    assert (out["adf_lag", 0], out["adf_n_obs", 0]) == (res["used_lag"], res["n_obs"])
