@@ -182,10 +182,10 @@ def _limit(p: np.ndarray, y: np.ndarray) -> float:
     one) are 1; 2 if there is none."""
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
-    good = np.flatnonzero(hits >= SURE * np.arange(2, len(y) + 2))
-    # rows that tie with the threshold must count
-    good = [k for k in good[::-1][:1000] if k + 1 == len(y) or p[order[k + 1]] < p[order[k]]]
-    return float(p[order[good[0]]]) if good else 2.0
+    # rows that tie with the threshold must count: ends of tie groups only
+    ends = np.append(p[order][1:] < p[order][:-1], True)[:len(y)]
+    good = np.flatnonzero((hits >= SURE * np.arange(2, len(y) + 2)) & ends)
+    return float(p[order[good[-1]]]) if len(good) else 2.0
 
 
 def _step(rows: DataFrame, teachers: Views | None, weights: list[np.ndarray]) -> list[np.ndarray]:

@@ -329,3 +329,54 @@ def test_pipeline_drops_by_row(spark, tmp_path):
     spark.createDataFrame([(1, bad)], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = sorted(((r.doc_id, r.text) for r in p.decontaminate(spark, docs, str(tmp_path)).collect()), key=str)
     assert kept == sorted([tuple(r) for r in docs.collect() if r.text != bad], key=str)
+
+
+def test_language_beyond_one_matrix(spark):
+    from panelforge.llm.langid import TILE, predict_language
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: letters[i // 26 % 26] + letters[i % 26] + letters[i // 676 + 3] + letters[i * 7 % 26]
+    rows = [(2 * i + k, " ".join([word(i)] * (20 + k)), f"l{i:03d}") for i in range(501) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in predict_language(df, lambda i: i % 2 == 0).collect()}
+    assert TILE < 501 and len(out) == 1002 and all(0 <= r.score <= 1 for r in out.values())
+    assert sum(out[i].lang_pred == lang for i, _, lang in rows) >= 0.99 * len(rows)
+
+
+def test_language_tiles_do_not_change_the_result(spark, monkeypatch):
+    from panelforge.llm import langid
+    df = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    run = lambda: sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in
+                         langid.predict_language(df, lambda i: i % 3 != 1).collect())
+    whole = run()
+    monkeypatch.setattr(langid, "TILE", 2)
+    assert run() == whole
+
+
+def test_language_against_plain_bayes(spark):
+    """Scores from a dictionary of cell counts, document by document."""
+    from panelforge.llm.langid import ALPHA, BUCKETS, cells, predict_language
+    docs = [(0, "the cat and the dog", "en"), (1, "der hund und die katze", "de"), (2, "a dog", "en"), (3, "die", "de"),
+            (4, "the hund", None), (5, "", "en"), (6, "123", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+
+    def of(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return [int(c) for cell, _ in cells(raw, np.array([0, len(raw)])) for c in cell] if len(raw) else []
+    n = {lang: collections.Counter(c for i, t, l in docs if l == lang and i != 2 for c in of(t)) for lang in ("en", "de")}
+    for r in predict_language(df, lambda i: i != 2).collect():
+        text = docs[r.doc_id][1]
+        s = {lang: sum(math.log((n[lang][c] + ALPHA) / (sum(n[lang].values()) + ALPHA * BUCKETS)) for c in of(text)) for lang in n}
+        best = max(sorted(s), key=s.get)
+        if any(ch.isalpha() for ch in text):
+            assert r.lang_pred == best and r.score == pytest.approx(1 / sum(math.exp(v - s[best]) for v in s.values()), abs=1e-5)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_quality_limit_with_many_ties():
+    from panelforge.llm.quality import _limit
+    for ties in (1000, 6000):
+        p = np.concatenate([np.full(3000, 0.95), np.full(ties, 0.5)])
+        y = np.concatenate([np.ones(3000), np.zeros(ties)])
+        assert _limit(p, y) == 0.95
+    assert _limit(np.zeros(0), np.zeros(0)) == 2.0 and _limit(np.full(2000, 0.7), np.ones(2000)) == 0.7
