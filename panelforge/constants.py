@@ -26,6 +26,8 @@ PCA_CUTOFF = 0.95                   # explained-variance line on the scree plot
 RF_GRID = {"numTrees": (50, 100, 150), "maxDepth": (5, 10, 15), "maxBins": (16, 32, 48)}
 GBT_GRID = {"maxDepth": (2, 105), "maxBins": (16, 32), "maxIter": (10, 50, 100)}
 SEARCH_TRIALS = 30                  # trials of the model-settings search
+PATIENCE = 30                       # iterations without a better validation error
+SERIES_FACTORS = (32, 64)           # numbers of a series' embedding
 L2_CHOICES = (1e-5, 3e-5, 5e-5, 1e-6, 5e-6)
 
 # Our own limits (not from the reference)

@@ -18,6 +18,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
@@ -340,6 +341,32 @@ def gbt_early_stop(train: DataFrame, valid: DataFrame, features: list[str], labe
     return gbt.fit(data), data
 
 
+def gbt_keep_best(train: DataFrame, valid: DataFrame, features: list[str], label: str, max_iter: int = 100,
+                  patience: int = C.PATIENCE, step_size: float = 0.3, max_depth: int = 3, seed: int = C.RF_SEED,
+                  layout_keys: list[str] | None = None) -> tuple:
+    """M14, keep the best: (model, curve).  ``curve`` has the validation RMSE
+    after each iteration until ``patience`` iterations brought nothing better;
+    the model is the sequence cut at its best iteration (the first of equals).
+
+    Boosting does not look ahead, so the shorter sequence, fit from the same
+    rows, is the longer one's beginning: the curve comes from one long fit and
+    one pass over ``valid``."""
+    prepare = lambda df: assemble(df, features)
+    rows = stable_layout(prepare(train), layout_keys) if layout_keys else prepare(train)
+    rows = rows.select("features", label).checkpoint(eager=True)
+    fit = lambda n: GBTRegressor(labelCol=label, featuresCol="features", maxIter=n, maxDepth=max_depth,
+                                 stepSize=step_size, seed=seed).fit(rows)
+    whole = fit(max_iter)
+    curve, best = [], 0
+    for i, mse in enumerate(staged_errors(whole, prepare(valid))):
+        curve.append(math.sqrt(mse))
+        if curve[i] < curve[best]:
+            best = i
+        if i - best >= patience:
+            break
+    return (whole if best + 1 == max_iter else fit(best + 1)), curve
+
+
 # ------------------------------------------------------------ SMAPE tooling
 class SmapeEvaluator(Evaluator):
     """Mean SMAPE of (label, prediction) as a Spark ML evaluator (smaller is
@@ -459,13 +486,41 @@ def add_series_encoding(df: DataFrame, train: DataFrame, key: str = "series", la
     return df.join(enc, key, "left").withColumn(out, F.coalesce(out, F.lit(overall).cast("double")))
 
 
+def series_factors(train: DataFrame, rank: int, key: str = "series", t: str = "t", label: str = "target",
+                   reg: float = 0.1, rounds: int = 10, seed: int = C.GLOBAL_SEED) -> DataFrame:
+    """One row per series of ``train`` with ``rank`` numbers (array
+    ``factors``): the series side of a factorisation of the series x period
+    matrix of targets by alternating least squares, the counterpart of a
+    learned id embedding.  Only cells of ``train`` are seen.  Ids are dense
+    numbers from a distributed rank, so the key may have any type; cells with
+    a NULL key or target are left out."""
+    from .joins import dense_ids
+    cells = train.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, t, label)
+    rows, periods = dense_ids(cells, key, "_row"), dense_ids(cells, t, "_period")
+    numbered = (cells.join(rows, key).join(F.broadcast(periods), t)       # the periods of a calendar
+                .select(F.col("_row").cast("int"), F.col("_period").cast("int"), F.col(label).cast("float").alias("_v")))
+    model = ALS(rank=rank, maxIter=rounds, regParam=reg, userCol="_row", itemCol="_period", ratingCol="_v", seed=seed,
+                checkpointInterval=10).fit(numbered)
+    found = model.userFactors.select(F.col("id").alias("_row"), F.col("features").cast("array<double>").alias("factors"))
+    return rows.withColumn("_row", F.col("_row").cast("int")).join(found, "_row").select(key, "factors")
+
+
+def add_series_factors(df: DataFrame, factors: DataFrame, rank: int, key: str = "series",
+                       out: str = "series_factors") -> DataFrame:
+    """``df`` with the vector ``out`` of its series' factors; zeros for a series
+    that the factorisation has not seen (or a NULL key)."""
+    zeros = F.array_repeat(F.lit(0.0), rank)
+    return (df.join(factors.withColumnRenamed("factors", out), key, "left")
+            .withColumn(out, array_to_vector(F.coalesce(out, zeros))))
+
+
 def pooled_ar_pipeline(kind: str = "gbt", length: int = C.SEQUENCE_LENGTH, seed: int = C.RF_SEED,
                        group_col: str | None = "state", series_col: str | None = None,
                        reg_param: float = 1e-4, epsilon: float = 1.35) -> Pipeline:
     """One model for all series.  Inputs: the last ``length``
     values, a one-hot group (few values: its labels reach the driver) and,
-    with ``series_col``, that numeric column of encoded series ids (see
-    ``add_series_encoding``); target: the next value.  ``kind``: 'gbt', 'rf',
+    with ``series_col``, that column of encoded series ids (a number, see
+    ``add_series_encoding``, or a vector, see ``add_series_factors``); target: the next value.  ``kind``: 'gbt', 'rf',
     'linear' or 'huber' (Huber loss, L2)."""
     stages, inputs = [], lag_features(length)
     if group_col:

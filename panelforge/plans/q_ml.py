@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -285,6 +286,22 @@ def q_gbt_early_stop(spark, sf_dir):
                               F.lit(100).alias("max_iter"), rmse.alias("valid_rmse")))
 
 
+@register("gbt_keep_best")
+def q_gbt_keep_best(spark, sf_dir):
+    """The validation curve, the iteration it keeps, and the error of
+    the kept model after saving and loading it."""
+    train, valid = _windows(spark, sf_dir)
+    feats = ml.lag_features(SEQ_LEN)
+    model, curve = ml.gbt_keep_best(train, valid, feats, "target", max_iter=100, layout_keys=["series", "t"])
+    path = scratch_path(spark, "kept-model")
+    model.write().save(path)
+    scored = GBTRegressionModel.load(path).transform(ml.assemble(valid, feats))
+    rmse = scored.agg(F.sqrt(F.avg((F.col("target") - F.col("prediction")) ** 2)).alias("r")).first()["r"]
+    best = curve.index(min(curve))
+    rows = [(i + 1, v, i == best, rmse if i == best else None) for i, v in enumerate(curve)]
+    return rounded(spark.createDataFrame(rows, "iteration int, valid_rmse double, kept boolean, reloaded_rmse double"))
+
+
 @register("huber_ar")
 def q_huber_ar(spark, sf_dir):
     train, _ = _windows(spark, sf_dir)
@@ -297,16 +314,23 @@ def q_huber_ar(spark, sf_dir):
 def q_param_search(spark, sf_dir):
     """Seeded random search over model settings, scored by SMAPE on the
     last VALID months (time-ordered).  Like the reference's tuner the space
-    switches the series and group encodings on and off and draws the L2
-    factor from its choice list; the model is the Huber-loss regression."""
+    switches the series and group encodings on and off, draws the size of the
+    series' embedding (factors of the training months; 1 is the mean) and the L2
+    factor from their choice lists; the model is the Huber-loss regression."""
     train, valid = _windows(spark, sf_dir)
-    space = {"use_county": [True, False], "use_state": [True, False],
+    for rank in C.SERIES_FACTORS:
+        factors = ml.series_factors(train, rank).checkpoint(eager=True)
+        train, valid = (ml.add_series_factors(d, factors, rank, out=f"series_{rank}") for d in (train, valid))
+    train, valid = train.checkpoint(eager=True), valid.checkpoint(eager=True)
+    space = {"use_county": [True, False], "use_state": [True, False], "county_size": [1, *C.SERIES_FACTORS],
              "l2": list(C.L2_CHOICES), "epsilon": [1.35, 2.0, 3.0]}
 
+    columns = {1: "series_te"} | {rank: f"series_{rank}" for rank in C.SERIES_FACTORS}
+
     def build(s):
         return ml.pooled_ar_pipeline("huber", SEQ_LEN,
                                      group_col="state" if s["use_state"] else None,
-                                     series_col="series_te" if s["use_county"] else None,
+                                     series_col=columns[s["county_size"]] if s["use_county"] else None,
                                      reg_param=s["l2"], epsilon=s["epsilon"])
     return rounded(ml.random_search_pipelines(train, valid, build, space, n_trials=C.SEARCH_TRIALS,
                                               label="target", seed=C.GLOBAL_SEED))

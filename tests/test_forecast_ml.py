@@ -283,3 +283,32 @@ def test_cv_reports_requested_values(spark):
     out = ml.cross_validate(df, lr, [{lr.regParam: 0.0}, {lr.regParam: 0.5}], ["a"], "y", split_keys=["id"],
                             requested=[{"regParam": 0.0}, {"regParam": 9.0}]).collect()
     assert [(r.regParam, r.requested_regParam) for r in out] == [(0.0, 0.0), (0.5, 9.0)]
+
+
+def test_keep_best_cuts_at_the_minimum(spark, tmp_path):
+    from pyspark.ml.regression import GBTRegressionModel
+    df = _noisy(spark)
+    train, valid = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    model, curve = ml.gbt_keep_best(train, valid, ["a", "b"], "y", max_iter=25, patience=6, layout_keys=["id"])
+    best = curve.index(min(curve)) + 1
+    assert model.getNumTrees == best and len(curve) == min(25, best + 6)
+    model.write().save(str(tmp_path / "m"))
+    scored = GBTRegressionModel.load(str(tmp_path / "m")).transform(ml.assemble(valid, ["a", "b"]))
+    rmse = scored.agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))).first()[0]
+    assert math.isclose(rmse, min(curve), rel_tol=1e-9)
+
+
+def test_series_factors_tell_series_apart(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"s{s}", f"2020-{m:02d}", float((1 + s) * (m + 3) + rng.normal() / 10)) for s in range(6) for m in range(1, 13)]
+    train = spark.createDataFrame(rows + [(None, "2020-01", 1.0), ("s0", "2020-02", None)],
+                                  "series string, t string, target double")
+    found = ml.series_factors(train, 4).collect()
+    assert sorted(r.series for r in found) == [f"s{s}" for s in range(6)] and all(len(r.factors) == 4 for r in found)
+    # the first direction follows the level of the series
+    size = {r.series: float(np.linalg.norm(r.factors)) for r in found}
+    assert sorted(size, key=size.get) == [f"s{s}" for s in range(6)]
+    factors = spark.createDataFrame([(r.series, r.factors) for r in found], "series string, factors array<double>")
+    new = spark.createDataFrame([("s0",), ("other",), (None,)], "series string")
+    out = {r.series: r.series_factors.toArray().tolist() for r in ml.add_series_factors(new, factors, 4).collect()}
+    assert out["other"] == out[None] == [0.0] * 4 and any(out["s0"])
