@@ -423,17 +423,20 @@ def sample_settings(space: dict, n_trials: int = C.SEARCH_TRIALS,
 
 def random_search_pipelines(train: DataFrame, valid: DataFrame, build, space: dict,
                             n_trials: int = C.SEARCH_TRIALS, label: str = "target",
-                            seed: int = C.GLOBAL_SEED) -> DataFrame:
+                            seed: int = C.GLOBAL_SEED, parallelism: int = 4) -> DataFrame:
     """M11 with structure in the space: ``build(settings) -> Pipeline`` makes
     one pipeline per sampled setting (e.g. with or without the series
     encoding), each fit on ``train`` and scored by SMAPE on the time-ordered
-    ``valid`` rows.  The loop is over settings; every fit is distributed."""
+    ``valid`` rows.  Every fit is distributed; a few run at a time."""
     ev = SmapeEvaluator(labelCol=label)
-    rows = []
-    for i, settings in enumerate(sample_settings(space, n_trials, seed)):
+
+    def trial(i, settings):
         model = build(settings).fit(train)
         desc = ", ".join(f"{k}={settings[k]}" for k in sorted(settings))
-        rows.append((i, desc, ev.evaluate(model.transform(valid))))
+        return i, desc, ev.evaluate(model.transform(valid))
+
+    rows = _at_once([lambda i=i, s=s: trial(i, s) for i, s in enumerate(sample_settings(space, n_trials, seed))],
+                    parallelism)
     out = train.sparkSession.createDataFrame(rows, "trial int, params string, smape double")
     rk = F.row_number().over(Window.orderBy("smape", "trial"))
     return out.select("trial", "params", "smape", rk.cast("int").alias("rank"))
