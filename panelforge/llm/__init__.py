@@ -1,6 +1,6 @@
 """Operators for training-data preparation at scale.
 
-Ten operators over the ``documents``, ``pages``, ``benchmark``, ``labels`` and
+Thirteen operators over the ``documents``, ``pages``, ``benchmark``, ``labels`` and
 ``embeddings`` tables.  Each module holds one operator with its general
 interface; ``catalog`` holds the thin registered queries.  Nothing else in the
 library imports this subpackage.
