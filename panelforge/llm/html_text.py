@@ -2,7 +2,8 @@
 
 Each page is read as text blocks under a stack of container elements.  Blocks
 inside page furniture (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) are left out.  A class or id tells
+forms, scripts, styles, reader comments) or inside hidden elements are left
+out.  A class or id tells
 furniture unless the word is qualified (``no-sidebar``, ``has-comments``) or
 the element, other than adverts and comments, holds all of the page's unlinked
 text, or most of it and a title, ``article`` or ``main``: it wraps the page.  Every container scores
@@ -10,18 +11,22 @@ the text of its blocks less their link text; the page votes for the
 generalised path (tags and classes without digits) of its best one.  Spark
 adds up the votes per host, and the second pass extracts, on every page of a
 host, the blocks under the winning path; a page without that path falls back
-on its own best container.
+on its own best container.  An article in several parts stays whole: siblings
+of the best container that hold a fifth of its unlinked text or more, and few
+links, belong to it if at least half of its voters say so.
 
 Scale: the votes are summed within each Arrow batch first, so the shuffle has
 one row per host, path and batch however many pages a host has.  The winners
 (one short row per host) are broadcast only up to ``BROADCAST_ROWS`` hosts;
 beyond that pages and winners meet in a join by host, which adaptive execution
-splits for a hot host.  Whole pages, no cap.
+splits for a hot host.  A page costs time and memory linear in its length,
+however deep it is nested.  Whole pages, no cap.
 
 Defined results: NULL and empty html give empty text; a NULL or malformed url
 counts as one host without a name; unclosed, misnested and truncated markup is
-read as far as it goes; repeated rows get the same result each; other columns
-are ignored.
+read as far as it goes; equal scores go to the container opened first, equal votes
+to the higher score and then the later path in order; repeated rows get the same result
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
     r"|<[!?/][^>]*>|<(?:[a-zA-Z/!?][^>]*)\Z", re.S | re.I)
-ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr img".split())
@@ -63,24 +68,40 @@ ASIDE = re.compile(
 TITLED = frozenset(("article", "main"))
 
 
-def _path(parent: str, tag: str, names: str) -> str:
-    classes = sorted({re.sub(r"\d+", "", c.lower()) for c in names.split()})
-    step = tag + "".join(f".{c}" for c in classes if c)
-    return f"{parent}>{step}" if parent else step
+HIDDEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)")
+SIBLING_SHARE = 0.2            # of the best container's unlinked text, for a sibling to belong to the article
+SIBLING_LINKS = 0.25           # at most, of a sibling's text
+
+
+def _step(tag: str, names: str) -> str:
+    """One container of a generalised path: tag and classes without digits."""
+    classes = sorted({re.sub(r"[\d>]+", "", c.lower()) for c in names.split()})
+    return tag + "".join(f".{c}" for c in classes if c)
+
+
+def _add_up(own: list[float], parent: list[int]) -> list[float]:
+    """Sums over each node's subtree; parents come before their children."""
+    total = list(own)
+    for k in range(len(total) - 1, 0, -1):
+        total[parent[k]] += total[k]
+    return total
 
 
 class Page:
-    """Text blocks of one page: (text, link characters, paths of the
-    containers around it, outermost first)."""
+    """Text blocks of one page: (text, link characters, number of the
+    container path around it).  Path 0 is the page itself; ``up`` has each
+    path's parent, which comes before it, and ``steps`` its last step.  Work and
+    memory are linear in the page, however deep it is nested."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, int, tuple[str, ...]]] = []
-        read: list[tuple[str, int, tuple[str, ...], tuple[int, ...]]] = []
-        # tag, furniture, container path or "", number among the furniture by name or 0
-        stack: list[tuple[str, bool, str, int]] = []
-        named: tuple[int, ...] = ()                  # furniture by name around the text
-        n_named, topped = 0, set()                   # those that hold the page's title
-        paths: tuple[str, ...] = ("",)
+        self.up, self.steps, self.ids = [0], [""], {}
+        read: list[tuple[str, int, int, int]] = []
+        # tag, furniture, whether a container, whether furniture by name
+        stack: list[tuple[str, bool, bool, bool]] = []
+        is_open: dict[str, int] = defaultdict(int)
+        # furniture by name: the innermost around the text, parents, and whether it holds the page's title
+        named, named_up, topped = 0, [0], [False]
+        path = 0
         text: list[str] = []
         linked = links = hidden = 0
         at = 0
@@ -90,20 +111,21 @@ class Page:
             if text:
                 words = " ".join(entities.unescape("".join(text)).split())
                 if words:
-                    read.append((words, linked, paths, named))
+                    read.append((words, linked, path, named))
                 text = []
             linked = 0
 
         def pop():
-            nonlocal hidden, links, paths, named
+            nonlocal hidden, links, path, named
             if stack[-1][3]:
                 flush()
-                named = named[:-1]
-            tag, furniture, path, _ = stack.pop()
+                named = named_up[named]
+            tag, furniture, container, _ = stack.pop()
+            is_open[tag] -= 1
             hidden -= furniture
             links -= tag == "a"
-            if path:
-                paths = paths[:-1]
+            if container:
+                path = self.up[path]
 
         for m in TOKEN.finditer(html):
             if m.start() > at and not hidden:
@@ -122,7 +144,7 @@ class Page:
             if tag not in INLINE:
                 flush()
             if end:
-                if any(s[0] == tag for s in stack):
+                if is_open[tag]:
                     while stack[-1][0] != tag:
                         pop()
                     pop()
@@ -131,26 +153,31 @@ class Page:
                 continue
             if tag in ONE_OF and stack and stack[-1][0] == tag:
                 pop()
-            names = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if attrs else {}
+            names: dict[str, str] = {}
+            for k, a, b, c in ATTR.findall(attrs) if attrs else ():
+                names.setdefault(k.lower(), a or b or c)
             told = QUALIFIED.sub(" ", f"{names.get('class', '')} {names.get('id', '')}")
-            titled = any(s[0] in TITLED for s in stack)
-            furniture = (tag in FURNITURE_TAGS or tag == "header" and not titled
-                         or names.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search"))
+            whole = tag in ("html", "body")
+            furniture = (tag in FURNITURE_TAGS or tag == "header" and not (is_open["article"] or is_open["main"])
+                         or names.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search")
+                         or not whole and ("hidden" in names or names.get("aria-hidden", "").lower() == "true"
+                                           or bool(HIDDEN.search(names.get("style", "")))))
             if tag in TITLED or tag == "h1":
-                topped.update(named)
-            number = 0
-            if not furniture and tag not in ("html", "body", "article", "main") and told.strip() and FURNITURE.search(told):
+                topped[named] = True
+            by_name = False
+            if not furniture and not whole and tag not in TITLED and told.strip() and FURNITURE.search(told):
                 if tag in INLINE or ASIDE.search(told):
                     furniture = True
                 else:
-                    n_named += 1
-                    number = n_named
-                    named = (*named, number)
-            path = ""
-            if tag in CONTAINER:
-                path = _path(paths[-1], tag, names.get("class", ""))
-                paths = (*paths, path)
-            stack.append((tag, furniture, path, number))
+                    by_name = True
+                    named_up.append(named)
+                    topped.append(False)
+                    named = len(named_up) - 1
+            container = tag in CONTAINER
+            if container:
+                path = self._child(path, _step(tag, names.get("class", "")))
+            stack.append((tag, furniture, container, by_name))
+            is_open[tag] += 1
             hidden += furniture
             links += tag == "a"
         if not hidden and at < len(html):
@@ -158,64 +185,123 @@ class Page:
         flush()
         # furniture by name that holds the title and most of the page's unlinked
         # text, or all of that text, is a wrapper
-        total, held = 0, defaultdict(int)
+        held = [0] * len(named_up)
         for words, in_links, _, around in read:
-            worth = max(len(words) - in_links, 0)
-            total += worth
-            for k in around:
-                held[k] += worth
-        self.blocks = [(words, in_links, p) for words, in_links, p, around in read
-                       if all(held[k] == total or k in topped and 2 * held[k] > total for k in around)]
-
-    def best(self) -> tuple[str, float] | None:
-        """Generalised path of the best container and its score."""
-        score: dict[str, float] = defaultdict(float)
-        for text, linked, paths in self.blocks:
-            worth = len(text) - 2.0 * linked
-            score[paths[-1]] += worth
-            if len(paths) > 1:
-                score[paths[-2]] += worth / 2
-            for p in paths:
-                if re.search(r"(?:^|>)(?:article|main)(?:\.[^>]*)?$", p):
-                    score[p] += worth / 2
-        if not score:
+            held[around] += max(len(words) - in_links, 0)
+        held = _add_up(held, named_up)
+        for k in range(len(topped) - 1, 0, -1):
+            topped[named_up[k]] |= topped[k]
+        wraps = [True] * len(named_up)
+        for k in range(1, len(named_up)):
+            wraps[k] = wraps[named_up[k]] and (held[k] == held[0] or topped[k] and 2 * held[k] > held[0])
+        self.blocks = [(words, in_links, p) for words, in_links, p, around in read if wraps[around]]
+
+    def _child(self, path: int, step: str) -> int:
+        new = self.ids.setdefault((path, step), len(self.up))
+        if new == len(self.up):
+            self.up.append(path)
+            self.steps.append(step)
+        return new
+
+    def name(self, path: int) -> str:
+        steps = []
+        while path:
+            steps.append(self.steps[path])
+            path = self.up[path]
+        return ">".join(reversed(steps))
+
+    def find(self, name: str) -> int | None:
+        path = 0
+        for step in name.split(">") if name else ():
+            path = self.ids.get((path, step))
+            if path is None:
+                return None
+        return path
+
+    def best(self) -> tuple[str, float, list[str]] | None:
+        """Generalised path of the best container (the first opened of
+        equals), its score, and the paths beside it that belong to the article:
+        siblings with much unlinked text, and ``parent>`` for the blocks
+        directly under the common parent."""
+        if not self.blocks:
             return None
-        path = min(score, key=lambda p: (-score[p], p))
-        return path, score[path]
+        n = len(self.up)
+        own, chars, links, score, seen = [0.0] * n, [0] * n, [0] * n, [0.0] * n, [False] * n
+        for text, linked, p in self.blocks:
+            worth = len(text) - 2.0 * linked
+            own[p] += worth
+            chars[p] += len(text)
+            links[p] += linked
+            score[p] += worth
+            seen[p] = seen[self.up[p]] = True
+            if p:
+                score[self.up[p]] += worth / 2
+        under, size, linked = _add_up(own, self.up), _add_up(chars, self.up), _add_up(links, self.up)
+        for p in range(1, n):
+            if self.steps[p].split(".", 1)[0] in TITLED and size[p]:
+                score[p] += under[p] / 2
+                seen[p] = True
+        win = max((p for p in range(n) if seen[p]), key=lambda p: (score[p], -p))
+        beside, least = [], SIBLING_SHARE * under[win]
+        if win and least > 0:
+            parent = self.up[win]
+            beside = [self.name(p) for p in range(1, n)
+                      if self.up[p] == parent and p != win and under[p] >= least and linked[p] <= SIBLING_LINKS * size[p]]
+            if own[parent] >= least and links[parent] <= SIBLING_LINKS * chars[parent]:
+                beside.append(self.name(parent) + ">")
+        return self.name(win), score[win], beside
 
-    def text(self, path: str | None) -> str:
-        return "\n\n".join(t for t, _, paths in self.blocks if path is None or path in paths)
+    def text(self, names: list[str]) -> str:
+        """The blocks under any of the paths (directly under it, if it ends in ``>``)."""
+        inside, direct = [False] * len(self.up), [False] * len(self.up)
+        for name in names:
+            p = self.find(name.removesuffix(">"))
+            if p is not None:
+                (direct if name.endswith(">") else inside)[p] = True
+        for p in range(1, len(self.up)):
+            inside[p] |= inside[self.up[p]]
+        return "\n\n".join(t for t, _, p in self.blocks if inside[p] or direct[p])
 
 
-def extract(html: str | None, winner: str | None) -> str:
+def extract(html: str | None, winners: list[str] | None) -> str:
+    """Main text of a page: under its host's paths, or else its own."""
     page = Page(html or "")
-    if winner is not None and (text := page.text(winner)):
+    if winners and page.find(winners[0]) is not None and (text := page.text(winners)):
         return text
     best = page.best()
-    return page.text(best[0]) if best else ""
+    return page.text([best[0], *best[2]]) if best else ""
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the winning container path of every host of
-    ``pages(host, html)``."""
+    """(host, paths): the winning container path of every host of
+    ``pages(host, html)``, and after it the paths beside it that at least half
+    of its voters name."""
     def run(batches):
         for batch in batches:
-            votes: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0, 0.0])
+            votes: dict[tuple[str, str, str | None], list[float]] = defaultdict(lambda: [0, 0.0])
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 best = Page(html).best() if html else None
                 if best:
-                    cell = votes[host, best[0]]
-                    cell[0] += 1
-                    cell[1] += best[1]
+                    for beside in (None, *best[2]):
+                        cell = votes[host, best[0], beside]
+                        cell[0] += 1
+                        cell[1] += best[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()),
+                [*[pa.array([k[i] for k in votes], pa.string()) for i in range(3)],
                  pa.array([v[0] for v in votes.values()], pa.int64()),
-                 pa.array([v[1] for v in votes.values()], pa.float64())], names=["host", "path", "votes", "score"])
+                 pa.array([v[1] for v in votes.values()], pa.float64())], names=["host", "path", "beside", "votes", "score"])
 
-    rows = pages.select("host", "html").mapInArrow(run, "host string, path string, votes bigint, score double")
-    sums = rows.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
+    rows = pages.select("host", "html").mapInArrow(run, "host string, path string, beside string, votes bigint, score double")
+    sums = stored(rows.groupBy("host", "path", "beside").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score")),
+                  "host-votes")
     # equal votes: the higher score (in whole characters), then the path
-    return sums.groupBy("host").agg(F.max(F.struct("votes", F.round("score").alias("s"), "path"))["path"].alias("path"))
+    won = sums.where("beside is null").groupBy("host").agg(
+        F.max(F.struct("votes", F.round("score").alias("s"), "path")).alias("w")).select(
+        "host", F.col("w.path").alias("path"), F.col("w.votes").alias("most"))
+    return (won.join(sums.where("beside is not null").select("host", "path", "beside", "votes"), ["host", "path"], "left")
+            .groupBy("host", "path").agg(F.sort_array(F.collect_set(F.when(2 * F.col("votes") >= F.col("most"), F.col("beside"))))
+                                         .alias("beside"))
+            .select("host", F.concat(F.array("path"), "beside").alias("paths")))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -228,10 +314,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches):
         for batch in batches:
-            text = [extract(h, p) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist())]
+            text = [extract(h, p) for h, p in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(text, pa.string())],
                                              names=["id", "url", "text"])
 
-    out = joined.select("id", "url", "html", "path").mapInArrow(
+    out = joined.select("id", "url", "html", "paths").mapInArrow(
         run, f"id {src.schema['id'].dataType.simpleString()}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
