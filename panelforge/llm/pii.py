@@ -20,19 +20,25 @@ the spans above it, and one more, are base matches, at least ``FLOOR``); looser
 spans above it are added.
 
 Counting, drawing, scoring and the result are one map over all documents each:
-whole texts; only counts, drawn spans and histograms are shuffled.  All patterns run in linear time on any text.
+whole texts; only counts, drawn spans and histograms are shuffled.  All
+patterns run in linear time on any text, and candidates are made one by one
+and scored ``CHUNK_SPANS`` at a time: beside a text only its base and accepted
+spans are held, however many numbers it lists.
 
 Defined results: NULL counts as empty text without spans; offsets count code
-points, end exclusive; repeated rows get the same result each; other columns
-are ignored.
+points, end exclusive; equal scores are accepted or refused together; repeated rows get
+the same result each; an empty table gives an empty result; columns of
+``keep`` may have any names, others are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +51,7 @@ from .common import release
 KINDS = ("email", "ip", "card", "phone")
 FIT_SPANS = 12_500             # drawn spans per kind and label the trees are fitted on
 HELD_EVERY = 4                 # one span in so many is held out for the thresholds
+CHUNK_SPANS = 4_096            # candidates scored at once
 SCORE_STEP, SCORE_LIMIT = 0.02, 15.0    # histogram of the scores (log odds)
 PRECISION, FLOOR = 0.98, 0.8
 
@@ -126,43 +133,53 @@ def _overlaps(base: list[tuple[str, int, int]]):
     return overlaps
 
 
-def proposals(text: str) -> list[tuple[str, int, int]]:
-    """Every looser form: spelled-out addresses, and of each run of digit
+def proposals(text: str) -> Iterator[tuple[str, int, int]]:
+    """Every looser form, one at a time: spelled-out addresses, and of each run of digit
     groups all sequences of neighbouring groups of fitting length (at most 19
     per group, as a sequence has at most 19 digits)."""
-    out = []
     if "at)" in text or "at]" in text or "@" in text:
-        out += [("email", m.start(), m.end()) for m in SPELLED.finditer(text)]
+        for m in SPELLED.finditer(text):
+            yield "email", m.start(), m.end()
     for m in CLUSTER.finditer(text):
         if m.end() - m.start() < 7:
             continue
-        groups = [(g.start(), g.end()) for g in GROUP.finditer(text, m.start(), m.end())]
-        for i, (first, _) in enumerate(groups):
+        ahead: deque[tuple[int, int]] = deque()
+        more = GROUP.finditer(text, m.start(), m.end())
+        while True:
+            # a sequence of at most 19 digits has at most 19 groups
+            while len(ahead) < 20 and (g := next(more, None)):
+                ahead.append(g.span())
+            if not ahead:
+                break
+            first = ahead[0][0]
             a = first
             while a > m.start() and first - a < 2 and text[a - 1] in "+(":
                 a -= 1
             n = 0
-            for j in range(i, len(groups)):
-                n += groups[j][1] - groups[j][0]
+            for j, (start, b) in enumerate(ahead):
+                n += b - start
                 if n > 19:
                     break
-                b = groups[j][1]
                 if 7 <= n <= 15:
-                    out.append(("phone", a, b))
+                    yield "phone", a, b
                 if 12 <= n:
-                    out.append(("card", a, b))
-                if n <= 15 and j - i == 3:
-                    out.append(("ip", a, b))
-    return out
+                    yield "card", a, b
+                if n <= 15 and j == 3:
+                    yield "ip", a, b
+            ahead.popleft()
 
 
-def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Looser candidates that no base match overlaps."""
-    out = proposals(text)
-    if not out or not base:
-        return out
+def loose_spans(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Looser candidates that no base match overlaps, one at a time."""
     overlaps = _overlaps(base)
-    return [s for s in out if not overlaps(s[1], s[2])]
+    return (s for s in proposals(text) if not overlaps(s[1], s[2]))
+
+
+def chunks(items: Iterable, n: int = CHUNK_SPANS) -> Iterator[list]:
+    """Lists of at most ``n`` items, so no text is held as spans whole."""
+    it = iter(items)
+    while part := list(islice(it, n)):
+        yield part
 
 
 def written(kind: str, s: str) -> str:
@@ -182,21 +199,19 @@ def unmarked(text: str, kind: str, a: int, b: int) -> bool:
     return bool(PHONE.fullmatch("+" + s.lstrip("("))) and 9 <= sum("0" <= c <= "9" for c in s) <= 15
 
 
-def labelled(text: str) -> list[tuple[float, tuple[str, int, int]]]:
-    """Spans to learn from: base matches (1), and as others (0) looser spans
+def labelled(text: str) -> Iterator[tuple[float, tuple[str, int, int]]]:
+    """Spans to learn from, one at a time: base matches (1), and as others (0) looser spans
     that lack more than a mark and pieces of base matches of other kinds."""
     base = base_spans(text)
-    out = [(1.0, s) for s in base]
-    more = proposals(text)
+    yield from ((1.0, s) for s in base)
     overlaps = _overlaps(base)
     own = {k: _overlaps([s for s in base if s[0] == k]) for k in {s[0] for s in base}}
-    for s in more:
+    for s in proposals(text):
         if overlaps(s[1], s[2]):
             if s[0] not in own or not own[s[0]](s[1], s[2]):
-                out.append((0.0, s))
+                yield 0.0, s
         elif not unmarked(text, *s):
-            out.append((0.0, s))
-    return out
+            yield 0.0, s
 
 
 def _class(ch: str) -> int:
@@ -282,9 +297,9 @@ def fit_spans(docs: DataFrame) -> SpanModel | None:
 
     def draw(batches):
         for batch in batches:
-            rows = [(h - (1 << 63), [float(y), *span_features(text, *s)]) for h, y, s, text in spans(batch)
-                    if h % HELD_EVERY and (h >> 2) < share[KINDS.index(s[0]), y] * (1 << 62)]
-            if rows:
+            drawn = ((h - (1 << 63), [float(y), *span_features(text, *s)]) for h, y, s, text in spans(batch)
+                     if h % HELD_EVERY and (h >> 2) < share[KINDS.index(s[0]), y] * (1 << 62))
+            for rows in chunks(drawn):
                 yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()),
                                                   pa.array([r for _, r in rows], pa.list_(pa.float64()))], names=["h", "row"])
 
@@ -300,15 +315,26 @@ def fit_spans(docs: DataFrame) -> SpanModel | None:
 
     def scores(batches):
         for batch in batches:
-            held = [(y, span_features(text, *s)) for h, y, s, text in spans(batch) if h % HELD_EVERY == 0]
-            if held:
+            found: Counter = Counter()
+            for held in chunks((y, span_features(text, *s)) for h, y, s, text in spans(batch) if h % HELD_EVERY == 0):
                 x = np.array([f for _, f in held], float)
-                yield summed(Counter(zip(x[:, 0].astype(int).tolist(), model.score(x).tolist(), [y for y, _ in held])))
+                found.update(zip(x[:, 0].astype(int).tolist(), model.score(x).tolist(), [y for y, _ in held]))
+            if found:
+                yield summed(found)
 
     model.set_thresholds(*totals(docs.mapInArrow(scores, cells)))
     return model
 
 
+def added_spans(model: SpanModel, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Accepted looser spans of a text; candidates are scored in chunks."""
+    out: set[tuple[str, int, int]] = set()
+    for part in chunks(loose_spans(text, base)):
+        ok = model.accept(np.array([span_features(text, *s) for s in part], float))
+        out.update(s for s, good in zip(part, ok) if good)
+    return sorted(out)
+
+
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with every span replaced by its kind; overlapping spans by
     that of the one that starts first."""
@@ -340,10 +366,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 found, clean = [], []
                 for text in texts:
                     base = base_spans(text)
-                    more = loose_spans(text, base) if model is not None else []
-                    if more:
-                        ok = model.accept(np.array([span_features(text, *s) for s in more], float))
-                        more = sorted({s for s, good in zip(more, ok) if good})
+                    more = added_spans(model, text, base) if model is not None else []
                     spans = [(*s, True) for s in base] + [(*s, False) for s in more]
                     spans.sort(key=lambda s: (order[s[0]], s[1], s[2]))
                     found.append([dict(zip(("kind", "start", "end", "base"), s)) for s in spans])
