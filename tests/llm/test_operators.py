@@ -123,6 +123,37 @@ def test_join_edges_and_blocks(spark, edge, monkeypatch):
     assert {(r.class_id, r.n_links) for r in out} == {(0, 59)}
 
 
+def test_join_cores_lose_and_add_no_link(spark, monkeypatch):
+    """Large buckets of variants at all distances from their origin (equal
+    texts, one to eight changed words, half another family) against all pairs."""
+    from panelforge.llm import ngram_join
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = np.random.default_rng(7)
+    texts = []
+    for family in range(2):
+        base = [f"f{family}w{k}" for k in range(150)]
+        for v in range(70):
+            w = list(base)
+            for at in rng.choice(150, int(rng.choice([0, 1, 1, 1, 2, 3, 4, 8])), replace=False):
+                w[at] = f"x{family}v{v}"
+            texts.append(" ".join(w))
+    texts += [texts[3]] * 5 + [" ".join([f"f0w{k}" for k in range(75)] + [f"f1w{k}" for k in range(75)]), "", ""]
+    found = {}
+    similar = ngram_join.find_cores
+    monkeypatch.setattr(ngram_join, "find_cores", lambda *a: found.setdefault("cores", similar(*a)))
+    out = {r.doc_id: r for r in ngram_join.similarity_join(
+        spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    grams = [frozenset(tuple(t.split()[k:k + 5]) for k in range(max(len(t.split()) - 4, 0))) for t in texts]
+    near = [[j for j in range(len(texts)) if j != i and (texts[i] == texts[j] or grams[i] and 5 * len(grams[i] & grams[j])
+             >= 4 * len(grams[i] | grams[j]))] for i in range(len(texts))]
+    assert {i: r.n_links for i, r in out.items()} == {i: len(x) for i, x in enumerate(near)}
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min([root[i], *(root[j] for j in near[i])]) for i in range(len(texts))]
+    assert {i: r.class_id for i, r in out.items()} == dict(enumerate(root))
+    assert found["cores"].groupBy("core").count().where("count > 15").count() >= 2
+
+
 def test_bands_reach_the_recall():
     from panelforge.llm.ngram_join import choose_bands
     bands, rows = choose_bands()
