@@ -290,7 +290,9 @@ def boosted_grid(df: DataFrame, features: list[str], label: str, keys: list[str]
     Depths above Spark's maximum grow to it; ``requested_maxDepth`` shows what
     was asked for.  Once deep trees have used up what the bins can tell apart,
     residuals are rounding; splits on them (gain below ``LEAST_INFO_GAIN``) are
-    not made."""
+    not made.  A sequence whose last tree has no split has none later either
+    (the next trees see the same residuals less a constant), so the fit of the
+    fewest iterations stands for the longer ones if it ends so."""
     features = feature_columns_checked(features, label)
     data = assemble(split_and_folds(df, keys, folds, train_pct).na.drop("any", subset=[label]), features).select(
         "features", F.col(label).cast("double").alias("label"), "split", "fold").checkpoint(eager=True)
@@ -302,9 +304,12 @@ def boosted_grid(df: DataFrame, features: list[str], label: str, keys: list[str]
                             minInfoGain=C.LEAST_INFO_GAIN).fit(rows)
 
     def fold_errors(bins, depth, fold):
-        errors = staged_errors(fit(train.where(F.col("fold") != fold), bins, depth, max(grid["maxIter"])),
-                               train.where(F.col("fold") == fold))
-        return fold, {(bins, depth, i): errors[i - 1] for i in grid["maxIter"]}
+        others, own = train.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
+        model = fit(others, bins, depth, min(grid["maxIter"]))
+        if model.trees[-1].numNodes > 1:
+            model = fit(others, bins, depth, max(grid["maxIter"]))
+        errors = staged_errors(model, own)
+        return fold, {(bins, depth, i): errors[min(i, len(errors)) - 1] for i in grid["maxIter"]}
 
     jobs = [lambda b=b, d=d, f=f: fold_errors(b, d, f)
             for d in sorted(grid["maxDepth"], reverse=True) for b in grid["maxBins"] for f in range(folds)]
