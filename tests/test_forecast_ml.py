@@ -266,27 +266,6 @@ def test_staged_errors_equal_separate_fits(spark):
         assert math.isclose(staged[n - 1], own, rel_tol=1e-9)
 
 
-def test_boosted_grid_with_used_up_trees_equals_separate_fits(spark):
-    """Depth 30 uses up two features of few values in the first trees; depth 2
-    does not.  Every map against a fit of its own."""
-    from pyspark.ml.regression import GBTRegressor
-    df = _noisy(spark, 120).withColumns({"a": F.round("a", 1), "b": F.round("b", 1)}).checkpoint()
-    grid = {"maxDepth": (2, 105), "maxBins": (8,), "maxIter": (4, 9)}
-    cells = ml.assemble(ml.split_and_folds(df, ["id"]), ["a", "b"]).where("split = 'train'").checkpoint()
-
-    def rmse(depth, n, fold):
-        model = GBTRegressor(labelCol="y", featuresCol="features", maxDepth=min(depth, 30), maxBins=8, maxIter=n,
-                             seed=ml.C.RF_SEED, minInfoGain=ml.C.LEAST_INFO_GAIN).fit(cells.where(F.col("fold") != fold))
-        scored = model.transform(cells.where(F.col("fold") == fold))
-        return math.sqrt(scored.agg(F.avg((F.col("y") - F.col("prediction")) ** 2)).first()[0]), model.trees[-1].numNodes
-
-    rows = {(r.requested_maxDepth, r.maxIter): r.avg_rmse for r in ml.boosted_grid(df, ["a", "b"], "y", ["id"], grid).collect()}
-    for depth, n in ((2, 4), (2, 9), (105, 4), (105, 9)):
-        each = [rmse(depth, n, fold) for fold in range(ml.C.CV_FOLDS)]
-        assert math.isclose(rows[depth, n], sum(e for e, _ in each) / len(each), rel_tol=1e-9)
-        assert depth == 2 or {nodes for _, nodes in each} == {1}
-
-
 def test_forest_grid_does_not_depend_on_the_layout(spark):
     df = _noisy(spark)
     grid = {"numTrees": (2, 5), "maxDepth": (2, 4), "maxBins": (8,)}
