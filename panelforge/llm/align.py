@@ -138,7 +138,8 @@ def same_bytes(side: Side, ids: pa.Array, size: np.ndarray, texts: list[bytes])
     """Texts that the joined bytes of their tokens give back.  The data buffer
     of the taken tokens is their concatenation."""
     data = pc.take(side.bytes, ids).buffers()[2]
-    flat = memoryview(data) if data is not None else b""
+    # as unsigned bytes: a view whose format is signed never equals a text's bytes above 127
+    flat = memoryview(data).cast("B") if data is not None else b""
     at = np.concatenate([[0], np.cumsum(size)])
     return np.array([flat[at[i]:at[i + 1]] == t for i, t in enumerate(texts)], bool)
 

@@ -3,11 +3,13 @@ import collections
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from panelforge.llm.align import B_IDS, ByteTokens, PieceTokens, alignment
+from panelforge.llm.align import (B_IDS, ByteTokens, PieceTokens, Side, align_texts, alignment, same_bytes,
+                                  segmented_ends, sides)
 from panelforge.llm.bpe import byte_symbols, read_model
 
 SF = "/root/testdata/sf0.001"
@@ -94,6 +96,17 @@ def test_query_against_plain_loop(spark):
     assert [got[r.doc_id] for r in docs] == want
 
 
+def test_bytes_above_127_are_given_back():
+    side = Side(PieceTokens(read_model(B)), ";")
+    texts = ["plain", "é", "漢字 naïve", "ß", ""]
+    ids = pa.array(side.encode(texts), pa.list_(pa.int32()))
+    flat, _, _, size = segmented_ends(ids, side.lengths)
+    want = [(" " + t).encode() if t else b"" for t in texts]
+    assert same_bytes(side, flat, size, want).tolist() == [True] * len(texts)
+    assert same_bytes(side, flat, size, [w[:-1] + b"\xff" for w in want]).tolist() == [False] * len(texts)
+    assert align_texts(["é ñ"], *sides(read_model(A), read_model(B)))["n_a"][0] > 0
+
+
 def test_ids_of_both_libraries():
     a, b = ByteTokens(read_model(A)), PieceTokens(read_model(B))
     assert len(a.bytes) < B_IDS and len(b.bytes) < B_IDS
