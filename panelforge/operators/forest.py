@@ -32,6 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EDGE_SAMPLE = 20_000          # rows, by key hash, whose quantiles give the bin edges
+CHUNK_ROWS = 100_000          # rows that a task routes through a tree at once
+DENSE = 16                    # a table of sums may have this many places per entry, else entries are sorted
+LEAF = (1 << 16) - 1          # cut of a leaf: no bin is beyond it
 LEAST_GAIN = 1e-9             # of a node's own term; below it a gain is rounding
 _POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1))) for k in range(13)])
 
@@ -49,7 +52,13 @@ def row_weights(key: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """Poisson(1) weight of every row in a tree."""
     salt = mix(mix(np.uint64(seed)) ^ np.uint64(tree))
     u = (mix(key ^ salt) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    return np.searchsorted(_POISSON, u, side="right")
+    w = np.zeros(len(u), np.int64)
+    for p in _POISSON:
+        beyond = u >= p
+        if not beyond.any():
+            break
+        w += beyond
+    return w
 
 
 def drawn_features(tree: np.ndarray, path: np.ndarray, features: int, m: int, seed: int) -> np.ndarray:
@@ -77,20 +86,28 @@ class Forest:
         """Bins of a batch's rows, one column per feature."""
         return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, columns)], axis=1)
 
-    def step(self, node: np.ndarray, codes: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Nodes one level further down; leaves stay."""
-        child = self.child[node]
-        right = codes[row, self.feature[node]] > self.cut[node]
-        return np.where(child >= 0, child + right, node)
+    def ways(self) -> np.ndarray:
+        """Per node the next one on the left (at a leaf the leaf), its feature
+        and its cut, in one number."""
+        inner = self.child >= 0
+        left = np.where(inner, self.child, np.arange(len(self.child))).astype(np.int64)
+        return left << 32 | self.feature.astype(np.int64) << 16 | np.where(inner, self.cut, LEAF)
+
+    @staticmethod
+    def step(ways: np.ndarray, node: np.ndarray, codes: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Nodes one level further down; leaves stay.  ``codes`` are flat,
+        ``start`` is where a row's codes begin."""
+        way = ways.take(node)
+        return (way >> 32) + (codes.take(start + (way >> 16 & LEAF)) > (way & LEAF))
 
     def predictions(self, codes: np.ndarray, depths: list[int]):
         """Per tree, the value of every row at each depth limit."""
-        row = np.arange(len(codes))
+        start, ways, flat = np.arange(len(codes)) * codes.shape[1], self.ways(), codes.reshape(-1)
         for t in range(self.trees):
-            node, at, out = np.full(len(codes), t, np.int32), 0, {}
+            node, at, out = np.full(len(codes), t, np.int64), 0, {}
             for d in sorted(set(depths)):
                 for _ in range(d - at):
-                    node = self.step(node, codes, row)
+                    node = self.step(ways, node, flat, start)
                 at = d
                 out[d] = self.value[node]
             yield out
@@ -135,14 +152,45 @@ def bin_edges(data: DataFrame, rows: int, n_features: int, bins: int) -> list[np
     return edges
 
 
-def _histogram(key: np.ndarray, w: np.ndarray, s: np.ndarray):
-    """Sums by key, keys ascending; whole numbers throughout."""
-    order = np.argsort(key, kind="stable")
-    key, w, s = key[order], w[order], s[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    if not len(first):
-        return key, w, s
-    return key[first], np.add.reduceat(w, first), np.add.reduceat(s, first)
+def chunks(batches):
+    """Columns of the rows of several batches together."""
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= CHUNK_ROWS:
+            yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+            held, rows = [], 0
+    if held:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+
+
+class Sums:
+    """Sums by key, keys ascending; whole numbers throughout, weights above 0.
+    Keys that are close together are counted in a table that is kept for the
+    next call, others are sorted."""
+
+    def __init__(self):
+        self.w = self.s = np.zeros(0, np.int64)
+
+    def __call__(self, key: np.ndarray, w: np.ndarray, s: np.ndarray):
+        if not len(key):
+            return key, w, s
+        places = int(key.max()) + 1
+        if places > DENSE * len(key):
+            order = np.argsort(key)
+            key = key[order]
+            last = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]]))
+            return key[last], *(np.diff(np.cumsum(x[order])[last], prepend=0) for x in (w, s))
+        if places > len(self.w):
+            self.w, self.s = np.zeros(places, np.int64), np.zeros(places, np.int64)
+        np.add.at(self.w, key, w)
+        np.add.at(self.s, key, s)
+        key = np.flatnonzero(self.w[:places])
+        out = key, self.w[key], self.s[key]
+        self.w[key] = self.s[key] = 0
+        return out
 
 
 def best_splits(key: np.ndarray, w: np.ndarray, s: np.ndarray, m: int, bins: int):
@@ -154,8 +202,9 @@ def best_splits(key: np.ndarray, w: np.ndarray, s: np.ndarray, m: int, bins: int
     cw, cs = np.cumsum(w), np.cumsum(s)
     base_w, base_s = np.repeat(cw[start] - w[start], length), np.repeat(cs[start] - s[start], length)
     left_w, left_s = cw - base_w, cs - base_s
-    total_w = np.repeat(np.add.reduceat(w, start), length)
-    total_s = np.repeat(np.add.reduceat(s, start), length)
+    end = start + length - 1
+    total_w = np.repeat(left_w[end], length)
+    total_s = np.repeat(left_s[end], length)
     right_w, right_s = total_w - left_w, total_s - left_s
     own = total_s.astype(float) ** 2 / total_w
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -186,45 +235,43 @@ def grow(data: DataFrame, n_features: int, trees: int, depth: int, bins: int, se
     open_nodes = np.arange(trees)
     for level in range(depth):
         drawn = drawn_features(tree_of[open_nodes], path[open_nodes], n_features, m, seed)
-        number = np.full(len(forest.child), -1, np.int64)       # of the open nodes within their tree
+        number = np.full(len(forest.child), -1, np.int32)       # of the open nodes within their tree
         order = np.argsort(tree_of[open_nodes], kind="stable")
         open_nodes, drawn = open_nodes[order], drawn[order]
         first = np.searchsorted(tree_of[open_nodes], np.arange(trees + 1))
         number[open_nodes] = np.arange(len(open_nodes)) - first[tree_of[open_nodes]]
         # plain arrays: executors need no copy of this class
-        shared = spark.sparkContext.broadcast((vars(forest), number, first, drawn))
+        shared = spark.sparkContext.broadcast((forest.ways(), number, first, drawn))
 
         def count(batches, shared=shared, level=level):
-            arrays, number, first, drawn = shared.value
-            forest, parts = Forest(**arrays), {}
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-                key, y = cols[0].view(np.uint64), np.rint(cols[1] * forest.scale).astype(np.int64)
-                codes = forest.codes(cols[2:])
-                for t in range(forest.trees):
+            ways, number, first, drawn = shared.value
+            binned, sums, parts = Forest(trees, edges, scale), Sums(), {}
+            for columns in chunks(batches):
+                key, y = columns[0].view(np.uint64), np.rint(columns[1] * scale).astype(np.int64)
+                codes = binned.codes(columns[2:]).reshape(-1)
+                for t in range(trees):
                     if first[t] == first[t + 1]:
                         continue
                     w = row_weights(key, t, seed)
                     row = np.flatnonzero(w)
-                    node = np.full(len(row), t, np.int32)
+                    node, start = np.full(len(row), t, np.int64), row * n_features
                     for _ in range(level):
-                        node = forest.step(node, codes, row)
-                    at = number[node]
-                    live = at >= 0
-                    row, at = row[live], at[live]
-                    chosen = drawn[first[t] + at]
-                    k = ((at[:, None] * m + np.arange(m)) * bins + codes[row[:, None], chosen]).reshape(-1)
-                    parts.setdefault(t, []).append(_histogram(k, np.repeat(w[row], m), np.repeat(w[row] * y[row], m)))
+                        node = Forest.step(ways, node, codes, start)
+                    at = number.take(node).astype(np.int64)
+                    live = np.flatnonzero(at >= 0)
+                    at, start, row = at[live], start[live], row[live]
+                    w = w[row]
+                    chosen, place = drawn.take(first[t] + at, axis=0), at * m
+                    k = np.concatenate([(place + j) * bins + codes.take(start + chosen[:, j]) for j in range(m)])
+                    parts.setdefault(t, []).append(sums(k, np.tile(w, m), np.tile(w * y[row], m)))
             for t, held in parts.items():
-                k, w, s = _histogram(*(np.concatenate(x) for x in zip(*held)))
+                k, w, s = held[0] if len(held) == 1 else sums(*(np.concatenate(x) for x in zip(*held)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([t], pa.int32()), *[pa.array([x.astype(np.int64).tobytes()], pa.large_binary()).cast(pa.binary())
                                                   for x in (k, w, s)]], names=["tree", "k", "w", "s"])
 
         def choose(table: pa.Table) -> pa.Table:
-            k, w, s = _histogram(*(np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("k", "w", "s")))
+            k, w, s = Sums()(*(np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("k", "w", "s")))
             got = best_splits(k, w, s, m, bins) if len(k) else [np.zeros(0)] * 8
             t = table.column("tree")[0].as_py()
             kinds = [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 4

@@ -240,7 +240,7 @@ def _grid_rows(spark, names: list[str], maps: list[tuple], mse: list[dict], hold
 
 def forest_grid(df: DataFrame, features: list[str], label: str, keys: list[str], grid: dict = C.RF_GRID,
                 folds: int = C.CV_FOLDS, seed: int = C.RF_SEED, train_pct: int = C.TRAIN_PERCENT,
-                parallelism: int = 3) -> DataFrame:
+                parallelism: int = 6) -> DataFrame:
     """Random forests over every map of ``grid`` (``maxBins``,
     ``maxDepth``, ``numTrees``), cross-validated on the training split.
 
@@ -250,6 +250,10 @@ def forest_grid(df: DataFrame, features: list[str], label: str, keys: list[str],
     features = feature_columns_checked(features, label)
     data = forest.prepared(split_and_folds(df, keys, folds, train_pct), features, label, keys,
                            ("split", "fold")).checkpoint(eager=True)
+    # few files: enough tasks for the rows (the forest is the same on any layout)
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-data.count() // forest.CHUNK_ROWS))
+    if data.rdd.getNumPartitions() < tasks:
+        data = data.repartition(tasks).checkpoint(eager=True)
     train, d = data.where(F.col("split") == "train"), len(features)
     depths, counts = sorted(grid["maxDepth"]), sorted(grid["numTrees"])
 

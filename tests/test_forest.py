@@ -114,3 +114,26 @@ def test_edges(spark):
     data = fo.prepared(flat, list("abcd"), "y", ["id"])
     forest = fo.fit_forest(data, 4, 2, 3, 8, seed=1)
     assert data.count() == 9 and fo.squared_errors(data, forest, [0, 3], [1, 2])[3, 2] == pytest.approx(0.0)
+
+
+def test_sums_close_and_far_keys():
+    """The table of sums is left empty for the next call; far keys are sorted."""
+    rng, sums = np.random.default_rng(3), fo.Sums()
+    for places in (5, 40, 10_000_000, 30):
+        key, w, s = rng.integers(0, places, 400), rng.integers(1, 9, 400), rng.integers(-(1 << 50), 1 << 50, 400)
+        want = {}
+        for k, a, b in zip(key.tolist(), w.tolist(), s.tolist()):
+            x = want.get(k, (0, 0))
+            want[k] = x[0] + a, x[1] + b
+        k, a, b = (x.tolist() for x in sums(key, w, s))
+        assert k == sorted(want) and [want[i] for i in k] == list(zip(a, b))
+    assert not sums.w.any() and not sums.s.any()
+
+
+def test_ways_lead_to_children_and_stay_at_leaves():
+    f = fo.Forest(1, [np.array([0.5]), np.array([1.5, 2.5])], 1.0, np.array([1, 0, 0, 0, 0], np.int32),
+                  np.array([1, 0, 0, 0, 0], np.int32), np.array([1, 3, -1, -1, -1], np.int32))
+    codes = np.array([[0, 0], [1, 1], [0, 2]])
+    start, node = np.arange(3) * 2, np.zeros(3, np.int64)
+    seen = [(node := fo.Forest.step(f.ways(), node, codes.reshape(-1), start)).tolist() for _ in range(3)]
+    assert seen == [[1, 1, 2], [3, 4, 2], [3, 4, 2]]
