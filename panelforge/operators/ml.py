@@ -14,12 +14,13 @@ import math
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -345,6 +346,18 @@ def gbt_early_stop(train: DataFrame, valid: DataFrame, features: list[str], labe
     return gbt.fit(data), data
 
 
+def first_iterations(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The boosted model of the first ``n`` iterations of ``model``, without a fit."""
+    sc, java = SparkContext._active_spark_context, model._java_obj
+    kind = sc._jvm.org.apache.spark.ml.regression
+    trees = sc._gateway.new_array(kind.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:n], model.treeWeights)):
+        trees[i], weights[i] = tree, weight
+    cut = model._copyValues(GBTRegressionModel(kind.GBTRegressionModel(java.uid(), trees, weights)))
+    return cut._set(maxIter=n)
+
+
 def gbt_keep_best(train: DataFrame, valid: DataFrame, features: list[str], label: str, max_iter: int = 100,
                   patience: int = C.PATIENCE, step_size: float = 0.3, max_depth: int = 3, seed: int = C.RF_SEED,
                   layout_keys: list[str] | None = None) -> tuple:
@@ -352,15 +365,14 @@ def gbt_keep_best(train: DataFrame, valid: DataFrame, features: list[str], label
     after each iteration until ``patience`` iterations brought nothing better;
     the model is the sequence cut at its best iteration (the first of equals).
 
-    Boosting does not look ahead, so the shorter sequence, fit from the same
-    rows, is the longer one's beginning: the curve comes from one long fit and
-    one pass over ``valid``."""
+    Boosting does not look ahead, so the shorter sequence is the longer one's
+    beginning: curve and model come from one long fit and one pass over
+    ``valid``."""
     prepare = lambda df: assemble(df, features)
     rows = stable_layout(prepare(train), layout_keys) if layout_keys else prepare(train)
     rows = rows.select("features", label).checkpoint(eager=True)
-    fit = lambda n: GBTRegressor(labelCol=label, featuresCol="features", maxIter=n, maxDepth=max_depth,
-                                 stepSize=step_size, seed=seed).fit(rows)
-    whole = fit(max_iter)
+    whole = GBTRegressor(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=max_depth,
+                         stepSize=step_size, seed=seed).fit(rows)
     curve, best = [], 0
     for i, mse in enumerate(staged_errors(whole, prepare(valid))):
         curve.append(math.sqrt(mse))
@@ -368,7 +380,7 @@ def gbt_keep_best(train: DataFrame, valid: DataFrame, features: list[str], label
             best = i
         if i - best >= patience:
             break
-    return (whole if best + 1 == max_iter else fit(best + 1)), curve
+    return (whole if best + 1 == max_iter else first_iterations(whole, best + 1)), curve
 
 
 # ------------------------------------------------------------ SMAPE tooling

@@ -298,6 +298,19 @@ def test_keep_best_cuts_at_the_minimum(spark, tmp_path):
     assert math.isclose(rmse, min(curve), rel_tol=1e-9)
 
 
+def test_first_iterations_equal_a_shorter_fit(spark, tmp_path):
+    from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+    rows = ml.assemble(_noisy(spark), ["a", "b"]).select("features", "y")
+    fit = lambda n: GBTRegressor(labelCol="y", maxIter=n, maxDepth=3, stepSize=0.3, seed=42).fit(rows)
+    short, cut = fit(4), ml.first_iterations(fit(9), 4)
+    cut.write().save(str(tmp_path / "cut"))
+    loaded = GBTRegressionModel.load(str(tmp_path / "cut"))
+    values = [[r.prediction for r in m.transform(rows).collect()] for m in (short, cut, loaded)]
+    assert values[0] == values[1] == values[2]
+    assert cut.getMaxIter() == 4 and cut.getNumTrees == 4 and cut.getMaxDepth() == 3
+    assert cut.treeWeights == short.treeWeights and cut.toDebugString.split("\n")[1:] == short.toDebugString.split("\n")[1:]
+
+
 def test_series_factors_tell_series_apart(spark):
     rng = np.random.default_rng(7)
     rows = [(f"s{s}", f"2020-{m:02d}", float((1 + s) * (m + 3) + rng.normal() / 10)) for s in range(6) for m in range(1, 13)]
