@@ -325,3 +325,20 @@ def test_series_factors_tell_series_apart(spark):
     new = spark.createDataFrame([("s0",), ("other",), (None,)], "series string")
     out = {r.series: r.series_factors.toArray().tolist() for r in ml.add_series_factors(new, factors, 4).collect()}
     assert out["other"] == out[None] == [0.0] * 4 and any(out["s0"])
+
+
+def test_search_trials_share_equal_feature_stages(spark, monkeypatch):
+    from pyspark.ml.feature import StringIndexer
+    rows = [("ab"[i % 2], float(i % 7), float(i % 5), float(i % 7) + 2.0 * (i % 2) + 5.0) for i in range(80)]
+    df = spark.createDataFrame(rows, "state string, x_1 double, x_2 double, target double")
+    build = lambda s: ml.pooled_ar_pipeline("huber", 2, group_col="state" if s["use_state"] else None,
+                                            reg_param=s["l2"])
+    space = {"use_state": [True, False], "l2": [1e-5, 1e-3, 1e-1]}
+    fits, fit = [], StringIndexer._fit
+    monkeypatch.setattr(StringIndexer, "_fit", lambda self, data: fits.append(1) or fit(self, data))
+    got = {r.params: r.smape for r in
+           ml.random_search_pipelines(df, df, build, space, n_trials=6, label="target").collect()}
+    assert len(got) == 6 and len(fits) == 1              # one fit of the index, not one per trial with it
+    for s in ml.sample_settings(space, 6):
+        want = ml.SmapeEvaluator(labelCol="target").evaluate(build(s).fit(df).transform(df))
+        assert abs(got[", ".join(f"{k}={s[k]}" for k in sorted(s))] - want) < 1e-6
