@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.exprs import smape_term
+from ..session import ensure_checkpoint_dir
 
 PRED_COLS = ["model", "series", "state", "t", "h", "y", "p"]
 
@@ -157,7 +158,9 @@ def select_model(pred: DataFrame, model_order: list[str]) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(m) for m in model_order]), F.col("model"))
     cell = Window.partitionBy("series", "t")
     known = F.when(F.col("_e").isNotNull(), F.col("model"))
-    scored = with_smape(pred)
+    ensure_checkpoint_dir(pred.sparkSession)
+    # read twice below: models and forecasts behind ``pred`` run once
+    scored = with_smape(pred.select("model", "series", "t", "y", "p")).checkpoint(eager=True)
     able = scored.agg(F.count_distinct(known).alias("n")).first()["n"]
     marked = scored.withColumn("_all", F.size(F.collect_set(known).over(cell)) == able)
     per_series = marked.groupBy("model", "series").agg(

@@ -362,13 +362,27 @@ def q_model_roundtrip(spark, sf_dir):
 
 
 POOLED_KINDS = ("rf", "gbt", "huber")
+LEAST_FIT_TASKS = 24                # of a fit without draws, if the windows have as many partitions
+FIT_PARTITIONS_PER_TASK = 25        # and above: half a million rows
 
 
 def pooled_model(spark, sf_dir, kind: str) -> PipelineModel:
     train, _ = _windows(spark, sf_dir)
+    if kind == "huber":
+        # a job per step and no draws: fewer, larger tasks once there are many
+        n = train.rdd.getNumPartitions()
+        train = train.coalesce(max(min(n, LEAST_FIT_TASKS), -(-n // FIT_PARTITIONS_PER_TASK)))
     return ml.pooled_ar_pipeline(kind, SEQ_LEN, series_col="series_te").fit(train)
 
 
+def pooled_models(spark, sf_dir) -> dict[str, PipelineModel]:
+    """The models of all kinds, fitted at the same time: each is a row of
+    short jobs that leave cores idle."""
+    _windows(spark, sf_dir)
+    fits = [lambda k=k: pooled_model(spark, sf_dir, k) for k in POOLED_KINDS]
+    return dict(zip(POOLED_KINDS, ml._at_once(fits, len(fits))))
+
+
 def one_step_predictions(spark, sf_dir, kind: str) -> DataFrame:
     """One step ahead: the window's own target is the actual value."""
     _, valid = _windows(spark, sf_dir)
@@ -380,8 +394,11 @@ def one_step_predictions(spark, sf_dir, kind: str) -> DataFrame:
 def recursive_predictions(spark, sf_dir, kind: str, model: PipelineModel) -> DataFrame:
     """Recursive 4-step forecasts of a pooled model, in the prediction layout
     of ``operators.forecast`` (with the actual ``y``)."""
-    repaired = win.zero_series_repair(fx.appended(spark, sf_dir))
-    actual = repaired.select("series", "t", F.col("density").alias("y"))
+    def build():
+        repaired = win.zero_series_repair(fx.appended(spark, sf_dir))
+        held = repaired.join(F.broadcast(fx.holdout(spark, sf_dir, VALID)), "t", "left_semi")
+        return held.select("series", "t", F.col("density").alias("y")).checkpoint(eager=True)
+    actual = fx._memoized(spark, ("actual", sf_dir), build)     # of the held-out months, once for all models
     pred = ml.recursive_forecast(model, _recursive_state(spark, sf_dir), fx.holdout(spark, sf_dir, VALID),
                                  VALID, SEQ_LEN, f"pooled_{kind}")
     return pred.join(actual, ["series", "t"]).select(*fc.PRED_COLS)
@@ -401,8 +418,8 @@ def q_backtest_recursive(spark, sf_dir):
 @register("backtest_select_all")
 def q_backtest_select_all(spark, sf_dir):
     preds = baseline_predictions(spark, sf_dir)
-    for kind in POOLED_KINDS:
-        preds = preds.unionByName(recursive_predictions(spark, sf_dir, kind, pooled_model(spark, sf_dir, kind)))
+    for kind, model in pooled_models(spark, sf_dir).items():
+        preds = preds.unionByName(recursive_predictions(spark, sf_dir, kind, model))
     order = ["persistence", "seasonal_naive"] + [f"pooled_{k}" for k in POOLED_KINDS]
     out = fc.select_model(preds, order)
     return rounded(out.withColumn("rank", F.col("rank").cast("int")))

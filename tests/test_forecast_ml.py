@@ -342,3 +342,17 @@ def test_search_trials_share_equal_feature_stages(spark, monkeypatch):
     for s in ml.sample_settings(space, 6):
         want = ml.SmapeEvaluator(labelCol="target").evaluate(build(s).fit(df).transform(df))
         assert abs(got[", ".join(f"{k}={s[k]}" for k in sorted(s))] - want) < 1e-6
+
+
+def test_select_model_runs_its_forecasts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def forecast(y):
+        seen.add(1)
+        return y + 1.0
+
+    rows = [(m, s, months(1)[0], float(s)) for m in ("a", "b") for s in range(1, 6)]
+    pred = spark.createDataFrame(rows, "model string, series int, t date, y double").withColumn("p", forecast("y"))
+    out = {r.model: r["rank"] for r in fc.select_model(pred, ["b", "a"]).collect()}
+    assert out == {"b": 1, "a": 2} and seen.value == len(rows)
