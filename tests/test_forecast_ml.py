@@ -356,3 +356,19 @@ def test_select_model_runs_its_forecasts_once(spark):
     pred = spark.createDataFrame(rows, "model string, series int, t date, y double").withColumn("p", forecast("y"))
     out = {r.model: r["rank"] for r in fc.select_model(pred, ["b", "a"]).collect()}
     assert out == {"b": 1, "a": 2} and seen.value == len(rows)
+
+
+def test_models_of_a_backtest_share_the_held_out_values(spark, monkeypatch):
+    from panelforge.plans import fixtures as fx
+    from panelforge.plans import q_ml
+    sf = "/root/testdata/sf0.001"
+    model = q_ml.pooled_model(spark, sf, "huber")
+    q_ml._recursive_state(spark, sf)
+    fx._memo.pop((*fx.session_key(spark), "actual", sf), None)
+    repairs, repair = [], q_ml.win.zero_series_repair
+    monkeypatch.setattr(q_ml.win, "zero_series_repair", lambda df: repairs.append(1) or repair(df))
+    first, second = (q_ml.recursive_predictions(spark, sf, kind, model) for kind in ("huber", "rf"))
+    assert len(repairs) == 1
+    known = {(r.series, r.t): r.density for r in repair(fx.appended(spark, sf)).collect()}
+    assert first.count() == second.count() > 0
+    assert all(r.y == known[r.series, r.t] for r in first.collect())
