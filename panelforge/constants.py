@@ -20,6 +20,7 @@ RF_SEED = 42
 TRAIN_PERCENT = 70                  # 70 / 30 split
 SPLIT_SEED = 123                    # seed of the split and the folds
 CV_FOLDS = 2
+GBT_STEP = 0.1                      # learning rate of the boosted grid
 GLOBAL_SEED = 1999                  # seed of the search over model settings
 PCA_MAX_COMPONENTS = 9
 PCA_CUTOFF = 0.95                   # explained-variance line on the scree plot

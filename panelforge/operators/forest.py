@@ -37,6 +37,10 @@ DENSE = 16                    # a table of sums may have this many places per en
 LEAF = (1 << 16) - 1          # cut of a leaf: no bin is beyond it
 LEAST_GAIN = 1e-9             # of a node's own term; below it a gain is rounding
 _POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1))) for k in range(13)])
+# weight by the first 16 bits of a draw, -1 where a bound lies among the draws of those bits
+_BITS = np.arange((1 << 16) + 1) / float(1 << 16)
+_WEIGHT = np.searchsorted(_POISSON, _BITS[:-1], side="right")
+_WEIGHT = np.where(np.searchsorted(_POISSON, _BITS[1:], side="left") == _WEIGHT, _WEIGHT, -1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,13 +55,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 def row_weights(key: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """Poisson(1) weight of every row in a tree."""
     salt = mix(mix(np.uint64(seed)) ^ np.uint64(tree))
-    u = (mix(key ^ salt) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    w = np.zeros(len(u), np.int64)
-    for p in _POISSON:
-        beyond = u >= p
-        if not beyond.any():
-            break
-        w += beyond
+    draw = mix(key ^ salt)
+    w = _WEIGHT.take((draw >> np.uint64(48)).astype(np.int64))
+    near = np.flatnonzero(w < 0)
+    if len(near):
+        u = (draw[near] >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+        w[near] = np.searchsorted(_POISSON, u, side="right")
     return w
 
 
@@ -140,16 +143,16 @@ def bin_edges(data: DataFrame, rows: int, n_features: int, bins: int) -> list[np
     else quantiles.  Taken from ``EDGE_SAMPLE`` rows chosen by key hash."""
     u = F.pmod(F.xxhash64(F.lit("edges"), "key"), F.lit(1 << 30)) / float(1 << 30)
     sample = data.where(u < min(1.0, EDGE_SAMPLE / max(rows, 1))).select(*[f"f_{i}" for i in range(n_features)]).toArrow()
-    edges = []
-    for i in range(n_features):
-        x = np.sort(sample.column(i).to_numpy())
-        values = np.unique(x)
-        if len(values) > bins:
-            values = np.unique(x[(np.arange(1, bins) * len(x)) // bins])
-            edges.append(values)
-        else:
-            edges.append((values[1:] + values[:-1]) / 2)
-    return edges
+    return [edges_of(sample.column(i).to_numpy(), bins) for i in range(n_features)]
+
+
+def edges_of(values: np.ndarray, bins: int) -> np.ndarray:
+    """Cuts between all neighbours of at most ``bins`` values, else quantiles."""
+    x = np.sort(values)
+    values = np.unique(x)
+    if len(values) > bins:
+        return np.unique(x[(np.arange(1, bins) * len(x)) // bins])
+    return (values[1:] + values[:-1]) / 2
 
 
 def chunks(batches):
@@ -193,7 +196,16 @@ class Sums:
         return out
 
 
-def best_splits(key: np.ndarray, w: np.ndarray, s: np.ndarray, m: int, bins: int):
+def square_gains(left_w, left_s, right_w, right_s, total_w, total_s) -> np.ndarray:
+    """What a cut takes off the sum of squares; -1 where there is none."""
+    own = total_s.astype(float) ** 2 / total_w
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = left_s.astype(float) ** 2 / left_w + right_s.astype(float) ** 2 / right_w - own
+    gain[(right_w <= 0) | ~(gain > LEAST_GAIN * (own + 1))] = -1.0
+    return gain
+
+
+def best_splits(key: np.ndarray, w: np.ndarray, s: np.ndarray, m: int, bins: int, gains=square_gains):
     """Of every node with a split: its number, the place of the drawn feature, the cut,
     the gain, and (weight, sum) of the left side and of the node."""
     run = key // bins
@@ -205,11 +217,7 @@ def best_splits(key: np.ndarray, w: np.ndarray, s: np.ndarray, m: int, bins: int
     end = start + length - 1
     total_w = np.repeat(left_w[end], length)
     total_s = np.repeat(left_s[end], length)
-    right_w, right_s = total_w - left_w, total_s - left_s
-    own = total_s.astype(float) ** 2 / total_w
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = left_s.astype(float) ** 2 / left_w + right_s.astype(float) ** 2 / right_w - own
-    gain[(right_w <= 0) | ~(gain > LEAST_GAIN * (own + 1))] = -1.0
+    gain = gains(left_w, left_s, total_w - left_w, total_s - left_s, total_w, total_s)
     node = run // m
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     top = np.maximum.reduceat(gain, first)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.exprs import hash_percent, smape_term
 from ..session import scratch_path
+from . import cells as cl
 from . import forest
 
 
@@ -300,35 +301,62 @@ def boosted_grid(df: DataFrame, features: list[str], label: str, keys: list[str]
 
     The trees of a sequence do not depend on its length, so one fit per depth,
     number of bins and fold, of the most iterations, holds all shorter ones.
+    Sequences grow over the rows' cells (``operators.cells``) with Spark ML's
+    thresholds, one to a task; with too many cells Spark ML fits them over rows.
     Depths above Spark's maximum grow to it; ``requested_maxDepth`` shows what
     was asked for.  Once deep trees have used up what the bins can tell apart,
     residuals are rounding; splits on them (gain below ``LEAST_INFO_GAIN``) are
     not made."""
-    features = feature_columns_checked(features, label)
-    data = assemble(split_and_folds(df, keys, folds, train_pct).na.drop("any", subset=[label]), features).select(
-        "features", F.col(label).cast("double").alias("label"), "split", "fold").checkpoint(eager=True)
-    train = data.where(F.col("split") == "train")
-
-    def fit(rows, bins, depth, rounds):
-        return GBTRegressor(labelCol="label", featuresCol="features", maxDepth=min(depth, C.SPARK_MAX_TREE_DEPTH),
-                            maxBins=bins, maxIter=rounds, seed=seed, maxMemoryInMB=C.TREE_MEMORY_MB,
-                            minInfoGain=C.LEAST_INFO_GAIN).fit(rows)
+    features, spark = feature_columns_checked(features, label), df.sparkSession
+    columns = [f"f_{i}" for i in range(len(features))]
+    data = split_and_folds(df, keys, folds, train_pct).na.drop("any", subset=[label, *features]).select(
+        *[F.col(c).cast("double").alias(f) for c, f in zip(features, columns)], F.col(label).cast("double").alias("y"),
+        F.coalesce("fold", F.lit(-1)).alias("part")).checkpoint(eager=True)
+    train = data.where(F.col("part") >= 0)
+    rows = {r["part"]: r["count"] for r in data.groupBy("part").count().collect()}
+    others = [[p for p in range(folds) if p != f] for f in range(folds)]
+
+    def edges(name, parts):
+        kept = train if name == "all" else train.where(F.col("part") != name)
+        found = cl.spark_edges(kept, sum(rows.get(p, 0) for p in parts), len(features), grid["maxBins"], seed)
+        return {(name, b): e for b, e in found.items()}
+
+    known = None
+    if all(sum(rows.get(p, 0) for p in parts) for parts in others):
+        sets = [*enumerate(others), ("all", [*range(folds)])]
+        known = cl.count_cells(data, {k: v for e in _at_once([lambda s=s: edges(*s) for s in sets], len(sets)) for k, v in e.items()})
+    depths, rounds = sorted(grid["maxDepth"], reverse=True), max(grid["maxIter"])
+
+    def boosted(jobs):
+        """Errors of jobs (edges' set, bins, depth, training parts, scored parts)."""
+        return cl.boosted_jobs(spark, known, [((name, b), b, min(d, C.SPARK_MAX_TREE_DEPTH), at, scored)
+                                              for name, b, d, at, scored in jobs], rounds, C.GBT_STEP, C.LEAST_INFO_GAIN)
+
+    def fit(kept, bins, depth, n):
+        return GBTRegressor(labelCol="y", featuresCol="features", maxDepth=min(depth, C.SPARK_MAX_TREE_DEPTH),
+                            maxBins=bins, maxIter=n, stepSize=C.GBT_STEP, seed=seed, maxMemoryInMB=C.TREE_MEMORY_MB,
+                            minInfoGain=C.LEAST_INFO_GAIN).fit(assemble(kept, columns))
 
     def fold_errors(bins, depth, fold):
-        errors = staged_errors(fit(train.where(F.col("fold") != fold), bins, depth, max(grid["maxIter"])),
-                               train.where(F.col("fold") == fold))
-        return fold, {(bins, depth, i): errors[i - 1] for i in grid["maxIter"]}
+        return staged_errors(fit(train.where(F.col("part") != fold), bins, depth, rounds),
+                             assemble(train.where(F.col("part") == fold), columns))
 
-    jobs = [lambda b=b, d=d, f=f: fold_errors(b, d, f)
-            for d in sorted(grid["maxDepth"], reverse=True) for b in grid["maxBins"] for f in range(folds)]
+    jobs = [(b, d, f) for d in depths for b in grid["maxBins"] for f in range(folds)]
+    if known:
+        errors = boosted([(f, b, d, others[f], [f]) for b, d, f in jobs])
+    else:
+        errors = _at_once([lambda j=j: fold_errors(*j) for j in jobs], parallelism)
     mse = [{} for _ in range(folds)]
-    for fold, found in _at_once(jobs, parallelism):
-        mse[fold] |= found
+    for (b, d, f), found in zip(jobs, errors):
+        mse[f] |= {(b, d, i): found[i - 1] for i in grid["maxIter"]}
 
     def holdout(best):
-        bins, depth, rounds = best
-        scored = fit(train, bins, depth, rounds).transform(data.where(F.col("split") == "test"))
-        return scored.agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2)).alias("r")).first()["r"]
+        bins, depth, n = best
+        if known:
+            at = boosted([("all", bins, depth, [*range(folds)], [-1])])[0][n - 1]
+            return None if math.isnan(at) else math.sqrt(at)
+        scored = fit(train, bins, depth, n).transform(assemble(data.where(F.col("part") == -1), columns))
+        return scored.agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)).alias("r")).first()["r"]
 
     maps = [(b, d, i) for d in grid["maxDepth"] for b in grid["maxBins"] for i in grid["maxIter"]]
     out = _grid_rows(df.sparkSession, ["maxBins", "requested", "maxIter"], maps, mse, holdout, [m[1] for m in maps])
