@@ -18,6 +18,7 @@ row's weight in every tree once, for all numbers of bins and folds together.
 
 from __future__ import annotations
 
+import math
 import sys
 from dataclasses import dataclass
 
@@ -31,6 +32,7 @@ from . import forest as fo
 
 CELLS = 1_500_000             # entries (cell and part) that are kept on the driver and in a task
 SUM_BYTES = 1 << 26           # of a task's bootstrap sums
+DRAW_ROWS = 1 << 15           # whose weights in a tree are drawn at once: they stay in the processor's cache
 EXAMPLES_FOR_SPLITS = 10_000  # rows, at least, from which Spark ML takes thresholds
 _PLACE = np.uint64(0x5851F42D4C957F2D)
 
@@ -253,11 +255,12 @@ def forest_edges(data: DataFrame, rows: dict, n_features: int, bins: tuple, sets
     return out
 
 
-def bootstrap_sums(data: DataFrame, cells: Cells, parts: list, trees: int, seed: int, scale: float,
+def bootstrap_sums(data: DataFrame, cells: Cells, parts: list, trees: int, seed: int, scales: list,
                    block_of: list, cores: int) -> DataFrame:
-    """Weight and weighted target of every (tree, part, cell), from one draw of
-    each row's weight in each tree: rows ``block, tree, start, w, s``, the sums
-    of the cells from ``start`` on, all parts after each other.
+    """Weight and weighted fixed-point target, at each of ``scales``, of every
+    (tree, part, cell), from one draw of each row's weight in each tree: rows
+    ``block, tree, start, sums``, of the cells from ``start`` on, all parts after
+    each other, the weights before the targets.
 
     Rows meet by cell: a task has a run of cells with about the same number of
     rows; the rows of a large cell are dealt over several tasks by their key."""
@@ -265,7 +268,7 @@ def bootstrap_sums(data: DataFrame, cells: Cells, parts: list, trees: int, seed:
     rows = cells.n[at].sum(axis=0)
     size = rows + rows.sum() / len(rows)          # so a task's cells are bounded as well
     ends = np.cumsum(size)
-    wide = 2 * len(rows) * len(parts) * trees * 16
+    wide = 2 * len(rows) * len(parts) * trees * 8 * (1 + len(scales))
     tasks = int(max(2 * cores, -(-wide // SUM_BYTES), -(-rows.sum() // (10 * fo.CHUNK_ROWS))))
     tasks = int(min(tasks, max(1, -(-rows.sum() * trees // fo.CHUNK_ROWS))))
     begin = (ends - size) / ends[-1] * tasks
@@ -282,36 +285,36 @@ def bootstrap_sums(data: DataFrame, cells: Cells, parts: list, trees: int, seed:
             cell = np.searchsorted(known, cell_keys(codes))
             u = (fo.mix(key.view(np.uint64) ^ _PLACE) >> np.uint64(11)).astype(float) / float(1 << 53)
             task = np.minimum(begin[cell] + u * (finish[cell] - begin[cell]), tasks - 1).astype(np.int32)
-            fixed = np.rint(y * scale).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(task), pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(key), pa.array(fixed)],
+                [pa.array(task), pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(key), pa.array(y)],
                 names=["task", "cell", "part", "key", "y"])
 
     def add(batches):
         *_, first, last = shared.value
-        w = s = None
+        held = None
         for task, cell, part, key, y in fo.chunks(batches):
-            if w is None:
+            if held is None:
                 start, width = int(first[task[0]]), int(last[task[0]] - first[task[0]])
-                w, s = (np.zeros((trees, len(parts) * width), np.int64) for _ in range(2))
+                held = np.zeros((trees, 1 + len(scales), len(parts) * width), np.int64)
             slot = np.searchsorted(parts, part) * width + cell - start
             order = np.argsort(slot, kind="stable")
-            slot, key, y = slot[order], key[order].view(np.uint64), y[order]
-            runs = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-            own = slot[runs]
-            for t in range(trees):
-                drawn = fo.row_weights(key, t, seed)
-                w[t, own] += np.add.reduceat(drawn, runs)
-                s[t, own] += np.add.reduceat(drawn * y, runs)
-        for t in range(trees if w is not None else 0):
+            for rows in np.split(order, range(DRAW_ROWS, len(order), DRAW_ROWS)):
+                at, k = slot[rows], key[rows].view(np.uint64)
+                runs = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                own, fixed = at[runs], [np.rint(y[rows] * scale).astype(np.int64) for scale in scales]
+                for t in range(trees):
+                    drawn = fo.row_weights(k, t, seed)
+                    held[t, 0, own] += np.add.reduceat(drawn, runs)
+                    for i, f in enumerate(fixed, 1):
+                        held[t, i, own] += np.add.reduceat(drawn * f, runs)
+        for t in range(trees if held is not None else 0):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block_of[t]], pa.int32()), pa.array([t], pa.int32()), pa.array([start], pa.int32()),
-                 pa.array([w[t].tobytes()], pa.binary()), pa.array([s[t].tobytes()], pa.binary())],
-                names=["block", "tree", "start", "w", "s"])
+                 pa.array([held[t].tobytes()], pa.binary())], names=["block", "tree", "start", "sums"])
 
     placed = data.where(F.col("part").isin(parts)).select("part", "key", "y", *[f"f_{f}" for f in range(n_features)]).mapInArrow(
-        place, "task int, cell int, part int, key bigint, y bigint")
-    return (placed.repartitionById(tasks, "task").mapInArrow(add, "block int, tree int, start int, w binary, s binary")
+        place, "task int, cell int, part int, key bigint, y double")
+    return (placed.repartitionById(tasks, "task").mapInArrow(add, "block int, tree int, start int, sums binary")
             .checkpoint(eager=True))
 
 
@@ -365,14 +368,14 @@ def tree_blocks(counts: list, cores: int) -> list:
 
 
 def forest_errors(sums: DataFrame, cells: Cells, parts: list, jobs: list, depths: list, counts: list, block_of: list,
-                  seed: int, scale: float, means: list) -> dict:
+                  seed: int, scales: list) -> dict:
     """(job, depth, number of trees) -> mean squared error; a job is (edges'
-    name, bins, parts to grow on, parts to score).  A task grows a block of
-    trees for all jobs and adds up their values; blocks meet by job and depth."""
+    name, bins, parts to grow on, parts to score, scale, mean target).  A task grows
+    a block of trees for all jobs and adds up their values; blocks meet by job and depth."""
     spark, d = sums.sparkSession, len(cells.unions)
     m, blocks = -(-d // 3), block_of[counts[-1] - 1] + 1
     binned = [cells.binned(name) for name, *_ in jobs]
-    scored = [cells.stats(valid, inverse, len(codes)) for (codes, inverse), (*_, valid) in zip(binned, jobs)]
+    scored = [cells.stats(job[3], inverse, len(codes)) for (codes, inverse), job in zip(binned, jobs)]
     shared = spark.sparkContext.broadcast((binned, scored, len(cells.key)))
 
     def grow(batches):
@@ -382,18 +385,18 @@ def forest_errors(sums: DataFrame, cells: Cells, parts: list, jobs: list, depths
             for row in batch.to_pylist():
                 block = row["block"]
                 if row["tree"] not in held:
-                    held[row["tree"]] = np.zeros((2, len(parts), size), np.int64)
-                got = np.stack([np.frombuffer(row[c], np.int64).reshape(len(parts), -1) for c in ("w", "s")])
+                    held[row["tree"]] = np.zeros((1 + len(scales), len(parts), size), np.int64)
+                got = np.frombuffer(row["sums"], np.int64).reshape(1 + len(scales), len(parts), -1)
                 held[row["tree"]][:, :, row["start"]:row["start"] + got.shape[2]] += got
         table, total = fo.Sums(), {}
         for tree in sorted(held):
-            for j, (_, bins, train, _) in enumerate(jobs):
+            for j, (_, bins, train, _, scale, mean) in enumerate(jobs):
                 codes, inverse = binned[j]
-                w, s = held[tree][:, [i for i, p in enumerate(parts) if p in train]].sum(axis=1)
                 own = np.zeros((2, len(codes)), np.int64)
-                np.add.at(own[0], inverse, w)
-                np.add.at(own[1], inverse, s)
-                for depth, value in grown_values(codes, bins, *own, tree, depths, m, seed, scale, means[j], table).items():
+                for i in (i for i, p in enumerate(parts) if p in train):
+                    np.add.at(own[0], inverse, held[tree][0, i])
+                    np.add.at(own[1], inverse, held[tree][1 + scales.index(scale), i])
+                for depth, value in grown_values(codes, bins, *own, tree, depths, m, seed, scale, mean, table).items():
                     total[j, depth] = total.get((j, depth), 0) + value
         for (j, depth), value in total.items():
             yield pa.RecordBatch.from_arrays(
@@ -421,5 +424,50 @@ def forest_errors(sums: DataFrame, cells: Cells, parts: list, jobs: list, depths
     return {(r["job"], r["depth"], r["trees"]): r["mse"] for r in found}
 
 
+def forest_grid_errors(data: DataFrame, n_features: int, bins: tuple, depths: list, counts: list, folds: int,
+                       seed: int) -> tuple | None:
+    """Forests of all maps on every fold, grown over cells: per fold a dict
+    (bins, depth, number of trees) -> mean squared error, and a function from a
+    map to the RMSE on the test rows of its forest of all training rows.  None
+    without training rows or with too many cells."""
+    spark, own = data.sparkSession, [*range(folds)]
+    data = data.withColumn("part", F.coalesce("fold", F.lit(-1)))
+    got = {r["part"]: r for r in data.groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.abs("y")).alias("top"), F.avg("y").alias("mean")).collect()}
+    held = [p for p in own if p in got]
+    if not held:
+        return None
+    rows = {p: got[p]["n"] if p in got else 0 for p in own}
+    sets = {f: [p for p in own if p != f] for f in own} | {"all": own}
+    total = {name: sum(rows[p] for p in parts) for name, parts in sets.items()}
+    means = {name: sum(got[p]["mean"] * rows[p] for p in parts if rows[p]) / max(total[name], 1) for name, parts in sets.items()}
+    # as of a growth over the rows of each set
+    scale = {name: fo.fixed_point(total[name], max((got[p]["top"] for p in parts if rows[p]), default=0.0))
+             for name, parts in sets.items()}
+    scales = sorted(set(scale.values()))
+    cells = count_cells(data, forest_edges(data, rows, n_features, bins, sets))
+    if cells is None:
+        return None
+    cores = spark.sparkContext.defaultParallelism
+    block_of = tree_blocks(counts, cores)
+    sums = bootstrap_sums(data, cells, held, counts[-1], seed, scales, block_of, cores)
+
+    def errors(jobs, depths, counts):
+        return forest_errors(sums, cells, held, [((name, b), b, sets[name], scored, scale[name], means[name])
+                                                 for name, b, scored in jobs], depths, counts, block_of, seed, scales)
+
+    jobs = [(f, b, [f]) for f in own for b in bins]
+    mse = [{} for _ in own]
+    for (j, depth, n), found in errors(jobs, depths, counts).items():
+        mse[jobs[j][0]][jobs[j][1], depth, n] = found
+
+    def holdout(best):
+        b, depth, n = best
+        found = errors([("all", b, [-1])], [depth], [n])
+        return math.sqrt(found[0, depth, n]) if found else None
+
+    return mse, holdout
+
+
 # executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

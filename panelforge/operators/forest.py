@@ -47,16 +47,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit."""
     with np.errstate(over="ignore"):
         x = np.asarray(x).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        # in place: a new array per step costs more than the step
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def row_weights(key: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """Poisson(1) weight of every row in a tree."""
     salt = mix(mix(np.uint64(seed)) ^ np.uint64(tree))
     draw = mix(key ^ salt)
-    w = _WEIGHT.take((draw >> np.uint64(48)).astype(np.int64))
+    w = _WEIGHT.take((draw >> np.uint64(48)).view(np.int64))
     near = np.flatnonzero(w < 0)
     if len(near):
         u = (draw[near] >> np.uint64(11)).astype(np.float64) / float(1 << 53)
@@ -317,8 +321,12 @@ def target_scale(data: DataFrame, trees_weight: int = 13) -> tuple[int, float, f
     """Rows, mean target, and the power of two that keeps every weighted sum of
     fixed-point targets within 62 bits."""
     r = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("y")).alias("top"), F.avg("y").alias("mean")).first()
-    most = max(r["n"], 1) * max(r["top"] or 0.0, 1e-300) * trees_weight
-    return r["n"], r["mean"] or 0.0, 2.0 ** int(np.clip(62 - np.ceil(np.log2(most)), -60, 60))
+    return r["n"], r["mean"] or 0.0, fixed_point(r["n"], r["top"], trees_weight)
+
+
+def fixed_point(rows: int, top: float | None, trees_weight: int = 13) -> float:
+    most = max(rows, 1) * max(top or 0.0, 1e-300) * trees_weight
+    return 2.0 ** int(np.clip(62 - np.ceil(np.log2(most)), -60, 60))
 
 
 def fit_forest(data: DataFrame, n_features: int, trees: int, depth: int, bins: int, seed: int,

@@ -256,7 +256,9 @@ def forest_grid(df: DataFrame, features: list[str], label: str, keys: list[str],
 
     Forests are nested (``operators.forest``): one growth per number of bins
     and fold, to the most trees and the greatest depth, holds the forests of
-    all other maps, whose errors come from one pass."""
+    all other maps, whose errors come from one pass.  They grow over the rows'
+    cells (``operators.cells``), all numbers of bins and folds from one draw of
+    each row's weights; with too many cells they grow level by level over rows."""
     features = feature_columns_checked(features, label)
     data = forest.prepared(split_and_folds(df, keys, folds, train_pct), features, label, keys,
                            ("split", "fold")).checkpoint(eager=True)
@@ -266,6 +268,11 @@ def forest_grid(df: DataFrame, features: list[str], label: str, keys: list[str],
         data = data.repartition(tasks).checkpoint(eager=True)
     train, d = data.where(F.col("split") == "train"), len(features)
     depths, counts = sorted(grid["maxDepth"]), sorted(grid["numTrees"])
+    maps = [(b, depth, n) for n in grid["numTrees"] for depth in grid["maxDepth"] for b in grid["maxBins"]]
+    names = ["maxBins", "maxDepth", "numTrees"]
+    over_cells = cl.forest_grid_errors(data, d, grid["maxBins"], depths, counts, folds, seed)
+    if over_cells:
+        return _grid_rows(df.sparkSession, names, maps, *over_cells)
 
     def fold_errors(bins, fold):
         grown = forest.fit_forest(train.where(F.col("fold") != fold), d, counts[-1], depths[-1], bins, seed)
@@ -283,8 +290,7 @@ def forest_grid(df: DataFrame, features: list[str], label: str, keys: list[str],
         found = forest.squared_errors(data.where(F.col("split") == "test"), grown, [depth], [n])
         return math.sqrt(found[depth, n]) if found else None
 
-    maps = [(b, depth, n) for n in grid["numTrees"] for depth in grid["maxDepth"] for b in grid["maxBins"]]
-    return _grid_rows(df.sparkSession, ["maxBins", "maxDepth", "numTrees"], maps, mse, holdout)
+    return _grid_rows(df.sparkSession, names, maps, mse, holdout)
 
 
 def staged_errors(model, data: DataFrame) -> list[float]:

@@ -94,3 +94,50 @@ def test_cells_hold_every_row(spark):
         for c, a, b, s in zip(map(tuple, codes.tolist()), n, mean, m2):
             own = y[[x == c for x in bins]]
             assert a == len(own) and b == pytest.approx(own.mean()) and s == pytest.approx(((own - own.mean()) ** 2).sum())
+
+
+def test_forest_grid_grows_over_cells_as_over_rows(spark, monkeypatch):
+    df = frame(spark).repartition(3).checkpoint()
+    grid = {"numTrees": (2, 5, 7), "maxDepth": (2, 6), "maxBins": (4, 16)}
+    run = lambda: [tuple(r) for r in ml.forest_grid(df, ["a", "b", "c"], "y", ["id"], grid).collect()]
+    with monkeypatch.context() as few:
+        few.setattr(cl, "CELLS", 5)
+        want = run()
+    monkeypatch.setattr(cl.fo, "grow", None)                # no growth level by level over rows
+    got = run()
+    assert len(got) == len(want) == 12 and sum(r[-1] for r in got) == 1
+    for a, b in zip(got, want):
+        assert a == pytest.approx(b, rel=1e-9)
+
+
+@pytest.mark.parametrize("n,kinds", [(900, 40), (900, 1)])
+def test_bootstrap_sums_are_those_of_the_rows(spark, monkeypatch, n, kinds):
+    """With a cell's rows dealt over several tasks too."""
+    monkeypatch.setattr(cl.fo, "CHUNK_ROWS", 50)
+    rng = np.random.default_rng(2)
+    rows = [(int(k), int(p), float(x % kinds), float(y)) for k, p, x, y in
+            zip(rng.integers(-(1 << 62), 1 << 62, n), rng.integers(-1, 2, n), rng.integers(0, 99, n), rng.normal(size=n))]
+    data = spark.createDataFrame(rows, "key long, part int, f_0 double, y double").repartition(4)
+    cells = cl.count_cells(data, {"e": [np.arange(0.5, 50)]})
+    scales, trees = [2.0 ** 20, 2.0 ** 30], 3
+    found = cl.bootstrap_sums(data, cells, [0, 1], trees, 5, scales, [0, 0, 1], 3).collect()
+    got = np.zeros((trees, 3, 2, len(cells.key)), np.int64)
+    for r in found:
+        assert r.block == [0, 0, 1][r.tree]
+        x = np.frombuffer(r.sums, np.int64).reshape(3, 2, -1)
+        got[r.tree, :, :, r.start:r.start + x.shape[2]] += x
+    want = np.zeros_like(got)
+    for t in range(trees):
+        for (_, part, x, y), w in zip(rows, cl.fo.row_weights(np.array([r[0] for r in rows]).view(np.uint64), t, 5)):
+            c = int(np.flatnonzero((cells.codes[:, 0] == int(x)))[0])
+            if part >= 0:
+                want[t, :, part, c] += [w, *(w * int(np.rint(y * s)) for s in scales)]
+    assert (got == want).all() and len({(r.start, len(r.sums)) for r in found}) >= (2 if kinds > 1 else 1)
+    assert len(found) >= 2 * trees                          # several tasks
+
+
+def test_row_weights_are_poisson_draws_of_the_hash():
+    fo, key = cl.fo, np.random.default_rng(3).integers(0, 1 << 63, 300_000).astype(np.uint64)
+    draw = fo.mix(key ^ fo.mix(fo.mix(np.uint64(4)) ^ np.uint64(2)))
+    u = (draw >> np.uint64(11)).astype(float) / float(1 << 53)
+    assert (fo.row_weights(key, 2, 4) == (u[:, None] >= fo._POISSON).sum(axis=1)).all()
