@@ -182,12 +182,13 @@ def _cv_inputs(spark, sf_dir):
 
 
 def _grid_cv(spark, sf_dir, grid) -> DataFrame:
-    """Cross-validation of every map on both inputs; ``input`` names the table."""
+    """Cross-validation of every map on both inputs, one after the other (each
+    keeps the cores busy by itself); ``input`` names the table."""
     def scored(name, data, features, label, keys):
         out = grid(data, features, label, keys, folds=C.CV_FOLDS, seed=C.RF_SEED)
         return out.select(F.lit(name).alias("input"), "*")
 
-    parts = ml._at_once([lambda i=i: scored(*i) for i in _cv_inputs(spark, sf_dir)], 2)
+    parts = [scored(*i) for i in _cv_inputs(spark, sf_dir)]
     return rounded(parts[0].unionByName(parts[1]))
 
 
